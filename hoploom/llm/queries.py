@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .bpe import op9_bpe
 from .chat import OP5_SQL, op5_chat
+from .packing import op4_packing
 
 QUERIES = {
+    "op4_packing": op4_packing,
     "op5_chat": op5_chat,
+    "op9_bpe": op9_bpe,
 }
 
 ORACLES = {
