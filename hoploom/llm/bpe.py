@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_slices, table
-from .pieces import PieceEncoder
+from .pieces import ASCII_PATTERN, PieceEncoder
 
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -159,7 +159,9 @@ class BytePairVocabulary:
 @lru_cache(maxsize=2)
 def _codec(path: str, pattern: str) -> tuple[BytePairVocabulary, PieceEncoder]:
     vocabulary = BytePairVocabulary.from_file(path)
-    return vocabulary, PieceEncoder(pattern, vocabulary.encode_pieces)
+    import public_tokenizers
+
+    return vocabulary, PieceEncoder(pattern, vocabulary.encode_pieces, ascii_pattern=ASCII_PATTERN if pattern == public_tokenizers.PATTERN else None)
 
 
 def encode_texts(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_slices, table
-from .pieces import PieceEncoder
+from .pieces import ASCII_PATTERN, PieceEncoder
 
 #: Sequence ids are the partition's number times this, plus a count.
 SEQUENCES_PER_PARTITION = 1 << 40
@@ -77,12 +77,32 @@ def _tokenizer(path: str, pattern: str):
 
     tokenizer = Tokenizer.from_file(path)
 
+    newline = tokenizer.encode("\n", add_special_tokens=False).ids
+
     def encode_new(pieces: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(x.ids, dtype="<u4").tobytes() for x in found]
+        # Pieces without line breaks go as lines of longer texts: a line break between two of them is a
+        # token of its own, which none of them holds, and cuts the ids again.
+        out: list[bytes] = [b""] * len(pieces)
+        plain = [k for k, p in enumerate(pieces) if len(newline) == 1 and not p.isspace() and "\n" not in p]
+        for start in range(0, len(plain), 2000):
+            part = plain[start : start + 2000]
+            found = tokenizer.encode_batch_fast(["\n".join([pieces[k] for k in part])], add_special_tokens=False)[0]
+            ids = np.array(found.ids, dtype="<u4")
+            cuts = np.flatnonzero(ids == newline[0])
+            if len(cuts) != len(part) - 1:
+                raise ValueError("the tokenizer merges across line breaks")
+            flat, starts, ends = ids.tobytes(), [0, *(4 * (cuts + 1)).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+            for k, a, b in zip(part, starts, ends, strict=True):
+                out[k] = flat[a:b]
+        rest = [k for k in range(len(pieces)) if not out[k]]
+        for k, found in zip(rest, tokenizer.encode_batch_fast([pieces[k] for k in rest], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, dtype="<u4").tobytes()
+        return out
 
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-    encoder = PieceEncoder(pattern, encode_new)
+    import public_tokenizers
+
+    encoder = PieceEncoder(pattern, encode_new, ascii_pattern=ASCII_PATTERN if pattern == public_tokenizers.PATTERN else None)
 
     def encode(texts: list[str]) -> list[bytes]:
         out = encoder.encode(texts)

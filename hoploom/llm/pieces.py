@@ -4,8 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import re
+
 import regex
 
+#: What the public byte-level pattern is on texts of ASCII characters alone; the standard library runs it twice as fast.
+ASCII_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+"""
+
 
 class PieceEncoder:
     """Texts to ids, piece by piece.
@@ -13,16 +18,18 @@ class PieceEncoder:
     ``encode_new`` takes a list of distinct pieces and gives their ids as
     little-endian unsigned 32-bit bytes. A worker keeps at most ``max_cached``
     pieces; beyond that the cache starts anew, which changes time, not results.
+    ``ascii_pattern`` must cut texts of ASCII characters as ``pattern`` does.
     """
 
-    def __init__(self, pattern: str, encode_new: Callable[[list[str]], list[bytes]], max_cached: int = 400_000, max_piece: int = 64):
+    def __init__(self, pattern: str, encode_new: Callable[[list[str]], list[bytes]], max_cached: int = 400_000, max_piece: int = 64, ascii_pattern: str | None = None):
         self._find = regex.compile(pattern).findall
+        self._find_ascii = re.compile(ascii_pattern).findall if ascii_pattern else self._find
         self._encode_new = encode_new
         self._cache: dict[str, bytes] = {}
         self._max_cached, self._max_piece = max_cached, max_piece
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._find(text) for text in texts]
+        split = [self._find_ascii(text) if text.isascii() else self._find(text) for text in texts]
         if len(self._cache) > self._max_cached:
             self._cache = {}
         cache = self._cache

@@ -38,3 +38,17 @@ def test_pieces_tokenize_as_whole_texts():
     encode = packing._tokenizer(P.path("byte_bpe_50k.json"), P.PATTERN)
     for text, ids in zip(TEXTS, encode(TEXTS), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == real.encode(text, add_special_tokens=False).ids, text[:20]
+
+
+def test_ascii_pattern_cuts_alike():
+    import random
+    import re
+
+    import regex
+
+    from hoploom.llm.pieces import ASCII_PATTERN
+
+    rng, a, b = random.Random(5), re.compile(ASCII_PATTERN).findall, regex.compile(P.PATTERN).findall
+    for _ in range(3000):
+        text = "".join(chr(rng.choice([rng.randrange(128), 32, 39, rng.choice(b"abdelmrstv \t\n\r_0")])) for _ in range(rng.randrange(30)))
+        assert a(text) == b(text), repr(text)
