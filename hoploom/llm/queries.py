@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from .bpe import op9_bpe
 from .chat import OP5_SQL, op5_chat
+from .html_text import op2_html_text
+from .interleaved import op3_media
 from .packing import op4_packing
+from .url_filter import op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_html_text": op2_html_text,
+    "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op9_bpe": op9_bpe,
