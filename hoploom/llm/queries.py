@@ -6,7 +6,9 @@ from .bpe import op9_bpe
 from .chat import OP5_SQL, op5_chat
 from .html_text import op2_html_text
 from .interleaved import op3_media
+from .language_id import op8_language_id
 from .packing import op4_packing
+from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
 
 QUERIES = {
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_media": op3_media,
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
+    "op6_toxicity": op6_toxicity,
+    "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
 }
 
