@@ -8,8 +8,10 @@ from .html_text import op2_html_text
 from .interleaved import op3_media
 from .language_id import op8_language_id
 from .packing import op4_packing
+from .text_join import op10_text_join
 from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
+from .vector_dedup import OP7_SQL, op7_vector_dedup
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -18,10 +20,13 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_chat": op5_chat,
     "op6_toxicity": op6_toxicity,
+    "op7_vector_dedup": op7_vector_dedup,
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
+    "op10_text_join": op10_text_join,
 }
 
 ORACLES = {
     "op5_chat": OP5_SQL,
+    "op7_vector_dedup": OP7_SQL,
 }
