@@ -1,9 +1,645 @@
-"""Registry of the engine's queries and of their SQL."""
+"""The engine's queries over the data directory, and each one's SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scores as sc
+from ..functions import text as tx
+from ..functions import vector as vx
+from ..operators import activation, affinity, dense, evaluation, evidence, graph, keys, masking, pagerank, prior, propagation, propositions
+from ..session import cut_lineage
+from . import inputs as src
+from .inputs import stand_in_sql, table, with_
+
 FLAGSHIP = "dense_topk"
 
 QUERIES: dict = {}
-
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+# Keys, dedup, incremental maintenance ------------------------------------------------
+
+
+@query("content_hash_ids", "SELECT doc_id, 'chunk_' || md5(coalesce(text, '')) AS hash_id FROM documents")
+def content_hash_ids(spark, d):
+    return keys.with_key(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "chunk_").select("doc_id", "hash_id")
+
+
+@query("dedup_by_hash", "SELECT 'chunk_' || md5(coalesce(text, '')) AS hash_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def dedup_by_hash(spark, d):
+    return keys.dedup_first(content_hash_ids(spark, d).select("hash_id", "doc_id"), "hash_id", "doc_id")
+
+
+@query("insert_if_missing", """SELECT 'chunk_' || md5(text) AS hash_id FROM documents WHERE text IS NOT NULL
+EXCEPT SELECT 'chunk_' || md5(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL""")
+def insert_if_missing(spark, d):
+    """Texts that are not stored yet; those of labelled documents are."""
+    docs = keys.with_key(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text", "chunk_")
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+    return keys.missing(docs.select("hash_id"), stored, "hash_id")
+
+
+@query("new_passages", with_("passages") + "SELECT passage_id, idx FROM passages WHERE idx NOT IN (SELECT doc_id FROM labels)")
+def new_passages(spark, d):
+    """Passages without recogniser output; labelled ones have it."""
+    known = table(spark, d, "labels").select(F.col("doc_id").alias("idx"))
+    return src.passages(spark, d).join(known, "idx", "left_anti").select("passage_id", "idx")
+
+
+_HALVES = with_("passages", "mentions", more="""old AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 < 2 AND entity < 'M'),
+new AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 > 0 AND entity >= 'H')""")
+
+
+def _halves(spark, d):
+    """Two overlapping recogniser results over the passages: what is merged."""
+    m = src.mentions(spark, d).join(src.passages(spark, d).select("passage_id", "idx"), "passage_id")
+    return m.where("idx % 3 < 2 AND entity < 'M'").drop("idx"), m.where("idx % 3 > 0 AND entity >= 'H'").drop("idx")
+
+
+@query("ner_merge_override", _HALVES + "SELECT passage_id, entity FROM new UNION SELECT passage_id, entity FROM old WHERE passage_id NOT IN (SELECT passage_id FROM new)")
+def ner_merge_override(spark, d):
+    return keys.merge_override(*_halves(spark, d), "passage_id", "entity")
+
+
+@query("ner_merge_union", _HALVES + "SELECT passage_id, entity FROM new UNION SELECT passage_id, entity FROM old")
+def ner_merge_union(spark, d):
+    return keys.merge_union(*_halves(spark, d), "passage_id", "entity")
+
+
+@query("entity_index", with_("passages", "mentions") + "SELECT name, row_number() OVER (ORDER BY name) - 1 AS entity_idx FROM (SELECT DISTINCT lower(entity) AS name FROM mentions)")
+def entity_index(spark, d):
+    return keys.dense_index(src.mentions(spark, d).select(F.lower("entity").alias("name")), "name", "entity_idx")
+
+
+@query("lookup_embeddings", "SELECT vec_id, embedding[1] AS first_component FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels)")
+def lookup_embeddings(spark, d):
+    ids = table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"))
+    return keys.lookup(table(spark, d, "embeddings"), ids, "vec_id").select("vec_id", F.element_at("embedding", 1).alias("first_component"))
+
+
+# Mentions, sentences, graph ------------------------------------------------------------
+
+
+@query("mentions", with_("passages", "mentions") + "SELECT passage_id, entity FROM mentions")
+def mentions(spark, d):
+    return src.mentions(spark, d)
+
+
+@query("sentences_entities", with_("passages", "pairs") + "SELECT 'sentence-' || md5(sentence) AS sentence_id, 'entity-' || md5(entity) AS entity_id FROM pairs")
+def sentences_entities(spark, d):
+    return src.pairs(spark, d).select(tx.content_key(F.col("sentence"), "sentence-").alias("sentence_id"), tx.content_key(F.col("entity"), "entity-").alias("entity_id"))
+
+
+@query("inverted_index", with_("passages", "pairs") + "SELECT entity, count(*) AS n_sentences, md5(string_agg(md5(sentence), ',' ORDER BY sentence)) AS sentences_md5 FROM pairs GROUP BY entity")
+def inverted_index(spark, d):
+    found = graph.inverted_index(src.pairs(spark, d))
+    return found.select("entity", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join(F.transform("sentences", F.md5), ",")).alias("sentences_md5"))
+
+
+_WEIGHTS = """counted AS (SELECT m.passage_id, m.entity, CAST((length(p.text) - length(replace(p.text, m.entity, ''))) / length(m.entity) AS BIGINT) AS n FROM mentions m JOIN passages p USING (passage_id)),
+weights AS (SELECT 'entity-' || md5(entity) AS src, passage_id AS dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY passage_id) AS weight FROM counted),
+adjacent AS (SELECT passage_id AS src, lead(passage_id) OVER (ORDER BY idx, passage_id) AS dst, CAST(1 AS DOUBLE) AS weight FROM passages)"""
+
+
+@query("edge_weights", with_("passages", "mentions", more=_WEIGHTS) + "SELECT src, dst, round(weight, 6) AS weight FROM weights")
+def edge_weights(spark, d):
+    return graph.mention_edges(src.mentions(spark, d), src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("adjacency_edges", with_("passages", "mentions", more=_WEIGHTS) + "SELECT src, dst, weight FROM adjacent WHERE dst IS NOT NULL")
+def adjacency_edges(spark, d):
+    return graph.adjacency_edges(src.passages(spark, d))
+
+
+@query("graph_nodes", with_("passages", "mentions") + "SELECT DISTINCT 'entity-' || md5(entity) AS id, 'entity' AS kind FROM mentions UNION SELECT passage_id, 'passage' FROM passages")
+def graph_nodes(spark, d):
+    return graph.graph_nodes(src.mentions(spark, d).select("entity").distinct(), src.passages(spark, d)).select("id", "kind")
+
+
+_EDGES = with_("passages", "mentions", more=_WEIGHTS + ", edges AS (SELECT * FROM weights UNION ALL SELECT * FROM adjacent WHERE dst IS NOT NULL)")
+
+
+@query("graph_edges", _EDGES + "SELECT src, dst, round(weight, 6) AS weight FROM edges WHERE src <> dst")
+def graph_edges(spark, d):
+    return graph.graph_edges(src.mentions(spark, d), src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
+@query("graph_degree", _EDGES + "SELECT id, count(*) AS degree, round(sum(weight), 6) AS strength FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY id")
+def graph_degree(spark, d):
+    return graph.degrees(graph.graph_edges(src.mentions(spark, d), src.passages(spark, d))).select("id", "degree", F.round("strength", 6).alias("strength"))
+
+
+@query("sparsity_stats", with_("passages", "pairs") + "SELECT count(*) AS nnz, count(DISTINCT entity) AS n_rows, count(DISTINCT sentence) AS n_cols, round((1 - count(*) / (CAST(count(DISTINCT entity) AS DOUBLE) * count(DISTINCT sentence))) * 100, 6) AS sparsity FROM pairs")
+def sparsity_stats(spark, d):
+    return evaluation.sparsity(src.pairs(spark, d), "entity", "sentence").withColumn("sparsity", F.round("sparsity", 6))
+
+
+# Dense retrieval and seeds -------------------------------------------------------------
+
+#: The stated query set: every hundredth vector asks for its nearest among all.
+_QUERY_SET = "vec_id % 100 = 0"
+
+
+def _items(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("iid"), F.col("embedding").alias("vector"), "label")
+
+
+def _query_set(spark, d):
+    return table(spark, d, "embeddings").where(_QUERY_SET).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+@query("dense_topk", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, round(list_dot_product(v, vector), 9) AS score FROM q, vectors)") + """
+SELECT qid, iid, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS rank FROM s) WHERE rank <= 5""")
+def dense_topk(spark, d):
+    return dense.top_k(_query_set(spark, d), _items(spark, d), 5).select("qid", "iid", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("minmax_scores", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, list_dot_product(v, vector) AS score FROM q, vectors)") + """
+SELECT qid, iid, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM s WINDOW w AS (PARTITION BY qid)""")
+def minmax_scores(spark, d):
+    return sc.with_minmax(dense.all_scores(_query_set(spark, d), _items(spark, d)), ["qid"], "score", "scaled").select("qid", "iid", F.round("scaled", 6).alias("scaled"))
+
+
+_SEEDS = f"""entity_vectors AS (SELECT entity, vector FROM (SELECT DISTINCT entity FROM mentions) JOIN vectors ON vec_id = {stand_in_sql('entity')}),
+mention_vectors AS (SELECT mention, vector AS v FROM (SELECT DISTINCT mention FROM question_mentions) JOIN vectors ON vec_id = {stand_in_sql('mention')}),
+by_vector AS (SELECT vector, min(entity) AS entity FROM entity_vectors GROUP BY vector),
+nearest AS (SELECT mention, entity, score FROM (SELECT mention, entity, round(list_dot_product(v, vector), 9) AS score, row_number() OVER (PARTITION BY mention ORDER BY round(list_dot_product(v, vector), 9) DESC, entity) AS r FROM mention_vectors, by_vector) WHERE r = 1),
+seeds AS (SELECT qid, entity, max(score) AS score FROM question_mentions JOIN nearest USING (mention) GROUP BY qid, entity)"""
+_SEEDED = with_("passages", "mentions", "vectors", "questions", "question_mentions", more=_SEEDS)
+
+
+def _seeds(spark, d):
+    entities = src.stand_in_vectors(spark, d, src.mentions(spark, d).select("entity").distinct(), "entity")
+    asked = src.stand_in_vectors(spark, d, src.question_mentions(spark, d), "mention")
+    return activation.seed_entities(asked, entities)
+
+
+@query("seed_entities", _SEEDED + "SELECT qid, entity, round(score, 6) AS score FROM seeds")
+def seed_entities(spark, d):
+    return _seeds(spark, d).select("qid", "entity", F.round("score", 6).alias("score"))
+
+
+# Activation ----------------------------------------------------------------------------
+
+_THRESHOLD, _TOP_SENTENCES = 0.05, 3
+
+
+def _similarity(spark, d):
+    asked = cut_lineage(src.stand_in_vectors(spark, d, src.questions(spark, d), "text", "q").select("qid", "q"))
+
+    def of(rows: DataFrame) -> DataFrame:
+        return src.stand_in_vectors(spark, d, rows.join(asked, "qid"), "sentence", "s").select("qid", "sentence", vx.dot(F.col("s"), F.col("q")).alias("sim"))
+
+    return of
+
+
+def _hop_sql(t: int) -> str:
+    unused = "".join(f" AND NOT EXISTS (SELECT 1 FROM chosen{k} c WHERE c.qid = f.qid AND c.sentence = p.sentence)" for k in range(1, t))
+    return f""",
+reach{t} AS (SELECT f.qid, f.entity, f.score, p.sentence, list_dot_product(qv.v, sv.vector) AS sim FROM frontier{t - 1} f JOIN pairs p ON p.entity = f.entity
+  JOIN question_vectors qv ON qv.qid = f.qid JOIN vectors sv ON sv.vec_id = {stand_in_sql('p.sentence')} WHERE f.score >= {_THRESHOLD} AND f.score > 0{unused}),
+chosen{t} AS (SELECT DISTINCT qid, sentence FROM (SELECT *, row_number() OVER (PARTITION BY qid, entity ORDER BY round(sim, 9) DESC, sentence) AS r FROM reach{t}) WHERE r <= {_TOP_SENTENCES}),
+lit{t} AS (SELECT qid, sentence, sum(score) * any_value(sim) AS w FROM reach{t} SEMI JOIN chosen{t} USING (qid, sentence) GROUP BY qid, sentence),
+frontier{t} AS (SELECT qid, p.entity, sum(w) AS score FROM lit{t} JOIN pairs p USING (sentence) WHERE w > 0 GROUP BY qid, p.entity)"""
+
+
+def _activation_sql(hops: int) -> str:
+    return (
+        with_("passages", "mentions", "pairs", "vectors", "questions", "question_mentions", more=_SEEDS + f""",
+question_vectors AS (SELECT qid, vector AS v FROM questions JOIN vectors ON vec_id = {stand_in_sql('text')}), frontier0 AS (SELECT * FROM seeds)""")
+        + "".join(_hop_sql(t) for t in range(1, hops + 1))
+        + ", weights AS (SELECT qid, entity, sum(score) AS weight FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM frontier{t}" for t in range(hops + 1))
+        + ") GROUP BY qid, entity), active AS (SELECT qid, entity, arg_max(score, tier) AS score, max(tier) AS tier FROM (SELECT qid, entity, score, 0 AS tier FROM frontier0"
+        + "".join(f" UNION ALL SELECT qid, entity, score, {t} FROM frontier{t} WHERE score >= {_THRESHOLD}" for t in range(1, hops + 1))
+        + ") GROUP BY qid, entity)"
+    ).replace("\n,", ",")
+
+
+def _activated(spark, d, hops: int, walk=activation.activate_vectorized):
+    pairs = cut_lineage(src.pairs(spark, d))
+    return walk(cut_lineage(_seeds(spark, d)), pairs, _similarity(spark, d), hops + 1, _TOP_SENTENCES, _THRESHOLD)
+
+
+_ACTIVE_SQL = "\nSELECT qid, entity, round(weight, 6) AS weight, round(a.score, 6) AS score, a.tier AS tier FROM weights LEFT JOIN active a USING (qid, entity)"
+
+
+def _joined(weights, active):
+    return weights.join(active, ["qid", "entity"], "left").select("qid", "entity", F.round("weight", 6).alias("weight"), F.round("score", 6).alias("score"), F.col("tier").cast("int").alias("tier"))
+
+
+@query("activate_vectorized_hop1", _activation_sql(1) + _ACTIVE_SQL)
+def activate_vectorized_hop1(spark, d):
+    return _joined(*_activated(spark, d, 1))
+
+
+@query("activate_vectorized_hop2", _activation_sql(2) + _ACTIVE_SQL)
+def activate_vectorized_hop2(spark, d):
+    return _joined(*_activated(spark, d, 2))
+
+
+@query("activate_bfs")
+def activate_bfs(spark, d):
+    return _joined(*_activated(spark, d, 2, activation.activate_bfs))
+
+
+# Priors, PageRank, retrieval -----------------------------------------------------------
+
+_PRIOR = f""", passage_vectors AS (SELECT passage_id, vector FROM passages JOIN vectors ON vec_id = {stand_in_sql('text')}),
+dense AS (SELECT qid, passage_id, list_dot_product(v, vector) AS score FROM question_vectors, passage_vectors),
+scaled AS (SELECT qid, passage_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM dense WINDOW w AS (PARTITION BY qid)),
+needles AS (SELECT DISTINCT lower(entity) AS needle FROM active),
+occurring AS (SELECT passage_id, needle, CAST((length(lower(text)) - length(replace(lower(text), needle, ''))) / length(needle) AS BIGINT) AS n FROM passages JOIN needles ON contains(lower(text), needle)),
+bonus AS (SELECT qid, passage_id, sum(score * ln(1 + n) / greatest(tier, 1)) AS bonus FROM active JOIN occurring ON needle = lower(entity) GROUP BY qid, passage_id),
+prior AS (SELECT qid, passage_id, (1.5 * s + ln(1 + coalesce(bonus, 0))) * 0.05 AS prior FROM scaled LEFT JOIN bonus USING (qid, passage_id))"""
+
+
+def _question_vectors(spark, d):
+    return src.stand_in_vectors(spark, d, src.questions(spark, d), "text").select("qid", "vector")
+
+
+def _priors(spark, d, active):
+    return prior.passage_priors(active, _question_vectors(spark, d), src.stand_in_vectors(spark, d, src.passages(spark, d), "text"))
+
+
+@query("passage_prior", _activation_sql(1) + _PRIOR + "\nSELECT qid, passage_id, round(prior, 6) AS prior FROM prior")
+def passage_prior(spark, d):
+    _, active = _activated(spark, d, 1)
+    return _priors(spark, d, active).select("qid", "passage_id", F.round("prior", 6).alias("prior"))
+
+
+_STEPS = 12
+
+
+def _pagerank_sql() -> str:
+    out = _WEIGHTS.replace("weights AS", "entity_edges AS") + """,
+both_ways AS (SELECT src, dst, weight FROM entity_edges UNION ALL SELECT dst, src, weight FROM entity_edges UNION ALL SELECT src, dst, weight FROM adjacent WHERE dst IS NOT NULL UNION ALL SELECT dst, src, weight FROM adjacent WHERE dst IS NOT NULL),
+out_of AS (SELECT src, dst, sum(weight) / any_value(strength) AS p FROM both_ways JOIN (SELECT src, sum(weight) AS strength FROM both_ways GROUP BY src) USING (src) GROUP BY src, dst),
+resets AS (SELECT qid, 'entity-' || md5(entity) AS id, weight FROM weights UNION ALL SELECT qid, passage_id, prior FROM prior),
+clamped AS (SELECT qid, id, weight FROM resets WHERE NOT isnan(weight) AND weight > 0),
+restart AS (SELECT qid, id, sum(weight) / any_value(total) AS r FROM clamped JOIN (SELECT qid, sum(weight) AS total FROM clamped GROUP BY qid) USING (qid) GROUP BY qid, id),
+state0 AS (SELECT qid, id, r AS score FROM restart)"""
+    for t in range(1, _STEPS + 1):
+        out += f""",
+moved{t} AS MATERIALIZED (SELECT qid, dst AS id, sum(score * p) * 0.5 AS score FROM state{t - 1} JOIN out_of ON src = id GROUP BY qid, dst),
+state{t} AS MATERIALIZED (SELECT qid, id, sum(score) AS score FROM (SELECT * FROM moved{t} UNION ALL
+  SELECT qid, id, r * (1 - coalesce(m, 0)) FROM restart LEFT JOIN (SELECT qid, sum(score) AS m FROM moved{t} GROUP BY qid) USING (qid)) GROUP BY qid, id)"""
+    return out
+
+
+def _retrieval(spark, d, k: int = 5):
+    weights, active = _activated(spark, d, 1)
+    active = cut_lineage(active)
+    resets = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight").union(_priors(spark, d, active).select("qid", F.col("passage_id").alias("id"), F.col("prior").alias("weight")))
+    passages = src.passages(spark, d)
+    ranks = pagerank.personalized_pagerank(resets, graph.graph_edges(src.mentions(spark, d), passages), 0.5, _STEPS)
+    return pagerank.rank_passages(ranks, passages, k)
+
+
+@query("ppr_topk", _activation_sql(1) + _PRIOR + "," + _pagerank_sql() + f"""
+SELECT qid, passage_id, round(score, 6) AS score, rank FROM (SELECT qid, id AS passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM state{_STEPS} JOIN passages ON passage_id = id) WHERE rank <= 5""")
+def ppr_topk(spark, d):
+    return _retrieval(spark, d).select("qid", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_DISPATCH = _SEEDED + f""", question_vectors AS (SELECT qid, vector AS v FROM questions JOIN vectors ON vec_id = {stand_in_sql('text')}),
+passage_vectors AS (SELECT passage_id, vector FROM passages JOIN vectors ON vec_id = {stand_in_sql('text')}),
+ranked AS (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(v, vector), 9) DESC, passage_id) AS rank FROM question_vectors, passage_vectors)
+SELECT qid, qid IN (SELECT qid FROM seeds) AS by_graph, CASE WHEN qid IN (SELECT qid FROM seeds) THEN NULL ELSE passage_id END AS passage_id FROM ranked WHERE rank = 1"""
+
+
+@query("retrieve_dispatch", _DISPATCH)
+def retrieve_dispatch(spark, d):
+    """Which way each question goes: with seeds through the graph, else the best passage by similarity."""
+    asked, seeded = _question_vectors(spark, d), _seeds(spark, d).select("qid").distinct()
+    items = src.stand_in_vectors(spark, d, src.passages(spark, d), "text").select(F.col("passage_id").alias("iid"), "vector")
+    plain = dense.top_k(asked.join(seeded, "qid", "left_anti"), items, 1)
+    graphed = asked.join(seeded, "qid", "left_semi").select("qid", F.lit(True).alias("by_graph"), F.lit(None).cast("string").alias("passage_id"))
+    return graphed.unionByName(plain.select("qid", F.lit(False).alias("by_graph"), F.col("iid").alias("passage_id")))
+
+
+# Propositions and incidence ------------------------------------------------------------
+
+_LINES = r"""list_filter(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^(?:10|[1-9])\.', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) >= {n})"""
+_PROPS = "props AS (SELECT 'prop_' || md5(line) AS prop_id, line AS text, min(conv_id) AS chunk_id FROM (SELECT conv_id, unnest(" + _LINES.format(n=10) + ") AS line FROM conversations WHERE role = 'assistant') GROUP BY line)"
+_MEMBERS = _PROPS + """, members AS (SELECT DISTINCT prop_id, lower(unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{3,}')))) AS name FROM props),
+entities AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS entity_idx FROM (SELECT DISTINCT name FROM members)),
+prop_ids AS (SELECT prop_id, row_number() OVER (ORDER BY prop_id) - 1 AS prop_idx FROM (SELECT DISTINCT prop_id FROM members)),
+incidence AS (SELECT entity_idx, prop_idx FROM members JOIN entities USING (name) JOIN prop_ids USING (prop_id))"""
+
+
+def _props(spark, d):
+    replies = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "text")
+    return propositions.parse_propositions(replies, "conv_id", "text")
+
+
+def _incidence(spark, d):
+    members = cut_lineage(propositions.proposition_entities(_props(spark, d)))
+    incidence, entities, props = propositions.incidence_of(members)
+    return cut_lineage(incidence), cut_lineage(entities), cut_lineage(props), members
+
+
+@query("parse_propositions", f"WITH {_PROPS} SELECT prop_id, text, chunk_id FROM props")
+def parse_propositions(spark, d):
+    return _props(spark, d)
+
+
+@query("parse_subquestions", "WITH parts AS (SELECT conv_id AS qid, turn, CASE WHEN len(lines) = 0 THEN [''] ELSE lines END AS lines FROM (SELECT conv_id, turn, " + _LINES.format(n=6) + " AS lines FROM conversations WHERE role = 'user')) SELECT concat(CAST(qid AS VARCHAR), '/', CAST(turn AS VARCHAR)) AS qid, hop, lines[hop + 1] AS text FROM (SELECT qid, turn, lines, CAST(unnest(range(len(lines))) AS INTEGER) AS hop FROM parts)")
+def parse_subquestions(spark, d):
+    replies = table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), "text")
+    return propositions.parse_subquestions(replies, "id", "text")
+
+
+@query("prop_index", f"WITH {_MEMBERS} SELECT prop_id, prop_idx FROM prop_ids")
+def prop_index(spark, d):
+    return keys.dense_index(propositions.proposition_entities(_props(spark, d)), "prop_id", "prop_idx")
+
+
+@query("incidence", f"WITH {_MEMBERS} SELECT entity_idx, prop_idx, CAST(1 AS DOUBLE) AS value FROM incidence")
+def incidence(spark, d):
+    return _incidence(spark, d)[0]
+
+
+@query("sentence_match_entities", f"""{with_('passages', 'pairs', more=_PROPS)} SELECT DISTINCT prop_id, lower(entity) AS name FROM props JOIN pairs ON text = sentence""")
+def sentence_match_entities(spark, d):
+    return propositions.entities_by_sentence_match(_props(spark, d), src.pairs(spark, d))
+
+
+@query("entities_in_prop", f"WITH {_MEMBERS} SELECT prop_id, md5(coalesce(string_agg(name, ',' ORDER BY name), '')) AS names_md5 FROM (SELECT prop_id FROM props) LEFT JOIN members USING (prop_id) GROUP BY prop_id")
+def entities_in_prop(spark, d):
+    props = _props(spark, d)
+    return propositions.entities_in(propositions.proposition_entities(props), props.select("prop_id")).select("prop_id", F.md5(F.array_join("names", ",")).alias("names_md5"))
+
+
+@query("props_with_entity", f"WITH {_MEMBERS}, asked AS (SELECT DISTINCT lower(unnest(regexp_split_to_array(text, '[^A-Za-z]+'))) AS name FROM benchmark) SELECT name, count(prop_id) AS n_props, md5(coalesce(string_agg(prop_id, ',' ORDER BY prop_id), '')) AS props_md5 FROM asked LEFT JOIN members USING (name) GROUP BY name")
+def props_with_entity(spark, d):
+    names = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+", -1)).alias("name"))
+    found = propositions.propositions_with(propositions.proposition_entities(_props(spark, d)), names)
+    return found.select("name", F.size("prop_ids").cast("long").alias("n_props"), F.md5(F.array_join("prop_ids", ",")).alias("props_md5"))
+
+
+# Affinity ------------------------------------------------------------------------------
+
+_KNN = """unit AS (SELECT vec_id, CASE WHEN list_dot_product(vector, vector) > 0 THEN list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) ELSE vector END AS u FROM vectors),
+near AS (SELECT q, i FROM (SELECT a.vec_id AS q, b.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.vec_id) AS r FROM unit a, unit b) WHERE r <= 10),
+candidates AS (SELECT DISTINCT least(q, i) AS i, greatest(q, i) AS j FROM near WHERE q <> i)"""
+#: Names for the vectors: each takes the first words of the document of its id.
+_NAMED = "named AS (SELECT vec_id, vector, coalesce(lower(substr(d.text, 1, 20)), '') AS name FROM vectors LEFT JOIN documents d ON d.doc_id = vec_id)"
+_SCORED = "scored AS (SELECT c.i, c.j, 0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * ((list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)) + 1e-8) + 1) / 2) AS score FROM candidates c JOIN named a ON a.vec_id = c.i JOIN named b ON b.vec_id = c.j)"
+
+
+def _named(spark, d):
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower(F.substring("text", 1, 20)).alias("name"))
+    return table(spark, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector"), F.coalesce("name", F.lit("")).alias("name"))
+
+
+def _scored(spark, d):
+    named = _named(spark, d)
+    return affinity.score_pairs(affinity.candidate_pairs(named), named)
+
+
+@query("knn_pairs", with_("vectors", more=_KNN) + "SELECT i, j FROM candidates")
+def knn_pairs(spark, d):
+    return affinity.candidate_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector")))
+
+
+@query("all_pairs_small", "WITH e AS (SELECT label AS entity_idx FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT CAST(a.entity_idx AS BIGINT) AS i, CAST(b.entity_idx AS BIGINT) AS j FROM e a JOIN e b ON a.entity_idx < b.entity_idx")
+def all_pairs_small(spark, d):
+    """Blocking of at most k entities: the labels' mean vectors are all compared."""
+    labelled = table(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("vector"))
+    few = masking.centroids_of(labelled).select(F.col("cluster_id").cast("long").alias("entity_idx"), F.col("centroid").alias("vector"))
+    return affinity.candidate_pairs(few, 10)
+
+
+@query("affinity_scores", with_("vectors", more=", ".join([_KNN, _NAMED, _SCORED])) + "SELECT i, j, round(score, 6) AS score FROM scored")
+def affinity_scores(spark, d):
+    return _scored(spark, d).select("i", "j", F.round("score", 6).alias("score"))
+
+
+@query("affinity_symmetric", with_("vectors", more=", ".join([_KNN, _NAMED, _SCORED])) + "SELECT i, j, round(score, 6) AS score FROM scored WHERE score >= 0.7 UNION ALL SELECT j, i, round(score, 6) FROM scored WHERE score >= 0.7")
+def affinity_symmetric(spark, d):
+    return affinity.symmetric(_scored(spark, d), 0.7).select("i", "j", F.round("score", 6).alias("score"))
+
+
+_STATE = f"state AS (SELECT q.vec_id AS qid, v.vec_id AS entity_idx, greatest(list_dot_product(q.vector, v.vector), 0) AS score FROM vectors q, vectors v WHERE q.{_QUERY_SET})"
+
+
+@query("apply_affinity", with_("vectors", more=", ".join([_KNN, _NAMED, _SCORED, "a_sem AS (SELECT i, j, score FROM scored WHERE score >= 0.7 UNION ALL SELECT j, i, score FROM scored WHERE score >= 0.7)", _STATE])) + """
+SELECT qid, entity_idx, round(sum(score), 6) AS score FROM (SELECT * FROM state UNION ALL SELECT qid, a.i, 0.3 * sum(s.score * a.score) FROM state s JOIN a_sem a ON a.j = s.entity_idx GROUP BY qid, a.i) GROUP BY qid, entity_idx""")
+def apply_affinity(spark, d):
+    state = dense.all_scores(_query_set(spark, d), _items(spark, d)).select("qid", F.col("iid").alias("entity_idx"), F.greatest("score", F.lit(0.0)).alias("score"))
+    return affinity.apply_affinity(state, affinity.symmetric(_scored(spark, d), 0.7), 0.3).select("qid", "entity_idx", F.round("score", 6).alias("score"))
+
+
+# Masks, attention, propagation -----------------------------------------------------------
+
+_CENTROIDS = "centroids AS (SELECT label AS cluster_id, list(x ORDER BY d) AS centroid FROM (SELECT label, d, avg(vector[d]) AS x FROM (SELECT label, vector, unnest(range(1, len(vector) + 1)) AS d FROM vectors JOIN embeddings USING (vec_id) WHERE label IS NOT NULL) GROUP BY label, d) GROUP BY label)"
+
+
+def _cosine_each(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / ((sqrt(list_dot_product({a}, {a})) + 1e-8) * (sqrt(list_dot_product({b}, {b})) + 1e-8))"
+
+
+_CHOSEN = f"guidance AS (SELECT vec_id AS qid, vector AS g FROM vectors WHERE {_QUERY_SET}), near_clusters AS (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY round({_cosine_each('centroid', 'g')}, 9) DESC, cluster_id) AS r FROM guidance, centroids)"
+
+
+def _guidance(spark, d):
+    return _query_set(spark, d).select("qid", F.lit(0).alias("hop"), "vector")
+
+
+def _label_centroids(spark, d):
+    return masking.centroids_of(table(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("label").alias("cluster_id"), F.col("embedding").alias("vector")))
+
+
+def _prop_cluster(spark, d):
+    return table(spark, d, "embeddings").where("label IS NOT NULL").select(F.col("vec_id").alias("prop_idx"), F.col("label").alias("cluster_id"))
+
+
+@query("cluster_mask", with_("vectors", more=f"{_CENTROIDS}, {_CHOSEN}") + "SELECT qid, vec_id AS prop_idx FROM near_clusters JOIN embeddings ON label = cluster_id WHERE r <= 3")
+def cluster_mask(spark, d):
+    chosen = masking.top_clusters(_guidance(spark, d), _label_centroids(spark, d), 3)
+    return masking.mask(chosen, _prop_cluster(spark, d)).select("qid", "prop_idx")
+
+
+@query("adaptive_mask", with_("vectors", more=f"{_CENTROIDS}, {_CHOSEN}") + """SELECT qid, cluster_id FROM (SELECT *, CASE WHEN c < 0.5 THEN 2 ELSE CAST(floor(2 + (c - 0.5) / 0.5 * 6) AS INTEGER) END AS p FROM (SELECT *, (qid % 1000) / 1000.0 AS c FROM near_clusters)) WHERE r <= p""")
+def adaptive_mask(spark, d):
+    """The number of clusters grows with a question's complexity, here taken from its id."""
+    complexity = (F.col("qid") % 1000) / 1000.0
+    guidance = _guidance(spark, d).withColumn("p", sc.adaptive_clusters(complexity, 0.5, 2, 8))
+    return masking.top_clusters(guidance, _label_centroids(spark, d), "p").select("qid", "cluster_id")
+
+
+@query("cluster_sizes", "SELECT min(n) AS min_size, max(n) AS max_size, round(avg(n), 6) AS mean_size FROM (SELECT count(*) AS n FROM embeddings WHERE label IS NOT NULL GROUP BY label)")
+def cluster_sizes(spark, d):
+    return masking.cluster_sizes(_prop_cluster(spark, d)).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query("kmeans_assign")
+def kmeans_assign(spark, d):
+    """Cluster sizes of k-means over all vectors; other libraries give other centroids."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("prop_idx"), F.col("embedding").alias("vector"))
+    return masking.fit_clusters(rows, 10, 42, 20)[1]
+
+
+_ATTENTION = f"lifted AS (SELECT qid, vec_id AS prop_idx, exp({_cosine_each('vector', 'g')} / 0.1) AS e FROM guidance, vectors), attention AS (SELECT qid, prop_idx, e / (sum(e) OVER (PARTITION BY qid) + 1e-8) * count(*) OVER (PARTITION BY qid) AS attention FROM lifted)"
+
+
+@query("attention_weights", with_("vectors", more=f"{_CENTROIDS}, {_CHOSEN}, {_ATTENTION}") + "SELECT qid, prop_idx, round(attention, 6) AS attention FROM attention")
+def attention_weights(spark, d):
+    return propagation.attention(_guidance(spark, d), _items(spark, d).select(F.col("iid").alias("prop_idx"), "vector")).select("qid", "prop_idx", F.round("attention", 6).alias("attention"))
+
+
+_WALK = f"""{_MEMBERS}, {_CENTROIDS}, guidance AS (SELECT item_id AS qid, vector AS g FROM benchmark JOIN vectors ON vec_id = {stand_in_sql('text')}),
+prop_vectors AS (SELECT prop_idx, vec_id, vector FROM prop_ids JOIN vectors ON vec_id = {stand_in_sql('prop_id')}),
+near_clusters AS (SELECT qid, cluster_id, row_number() OVER (PARTITION BY qid ORDER BY round({_cosine_each('centroid', 'g')}, 9) DESC, cluster_id) AS r FROM guidance, centroids),
+lifted AS (SELECT qid, prop_idx, vec_id, exp({_cosine_each('vector', 'g')} / 0.1) AS e FROM guidance, prop_vectors),
+attention AS (SELECT qid, prop_idx, vec_id, e / (sum(e) OVER (PARTITION BY qid) + 1e-8) * count(*) OVER (PARTITION BY qid) AS attention FROM lifted),
+passing AS (SELECT a.qid, a.prop_idx, a.attention FROM attention a JOIN embeddings v USING (vec_id) JOIN near_clusters n ON n.qid = a.qid AND n.cluster_id = v.label WHERE n.r <= 5),
+aliases AS (SELECT DISTINCT a.entity_idx AS i, b.entity_idx AS j, CAST(0.8 AS DOUBLE) AS score FROM entities a JOIN entities b ON a.name <> b.name AND substr(a.name, 1, 6) = substr(b.name, 1, 6) AND length(a.name) >= 6 AND length(b.name) >= 6),
+asked AS (SELECT DISTINCT item_id AS qid, lower(unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}')))) AS name FROM benchmark),
+x0 AS (SELECT qid, entity_idx, CAST(1 AS DOUBLE) AS score FROM asked JOIN entities USING (name))"""
+
+
+def _step_sql(t: int) -> str:
+    return f""",
+y{t} AS (SELECT qid, prop_idx, sum(score) AS y FROM x{t - 1} JOIN incidence USING (entity_idx) GROUP BY qid, prop_idx),
+raw{t} AS (SELECT qid, entity_idx, sum(score) AS score FROM (SELECT y.qid, i.entity_idx, y * attention AS score FROM y{t} y JOIN passing p ON p.qid = y.qid AND p.prop_idx = y.prop_idx JOIN incidence i ON i.prop_idx = y.prop_idx
+  UNION ALL SELECT qid, a.i, 0.3 * x.score * a.score FROM x{t - 1} x JOIN aliases a ON a.j = x.entity_idx) GROUP BY qid, entity_idx),
+x{t} AS (SELECT qid, entity_idx, CASE WHEN top > 0 THEN score / top ELSE score END AS score FROM raw{t} JOIN (SELECT qid, max(score) AS top FROM raw{t} GROUP BY qid) USING (qid))"""
+
+
+def _walk_inputs(spark, d):
+    incidence, entities, props, _ = _incidence(spark, d)
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    n = vectors.count()
+    placed = cut_lineage(props.withColumn("vec_id", src.stand_in_id(F.col("prop_id"), n)).join(vectors, "vec_id").select("prop_idx", "vector", F.col("label").alias("cluster_id")))
+    guidance = src.stand_in_vectors(spark, d, src.questions(spark, d), "text").select("qid", F.lit(0).alias("hop"), "vector")
+    weights = propagation.attention(guidance, placed.select("prop_idx", "vector"))
+    passing = weights.join(masking.mask(masking.top_clusters(guidance, _label_centroids(spark, d), 5), placed.select("prop_idx", "cluster_id")), ["qid", "hop", "prop_idx"], "left_semi")
+    # Aliases here: entities that share their first six letters; the key of the join is the prefix.
+    stems = entities.where(F.length("name") >= 6).select("entity_idx", "name", F.substring("name", 1, 6).alias("stem"))
+    other = stems.select(F.col("entity_idx").alias("j"), F.col("name").alias("other"), "stem")
+    aliases = cut_lineage(stems.join(other, "stem").where("name <> other").select(F.col("entity_idx").alias("i"), "j", F.lit(0.8).alias("score")))
+    asked = src.questions(spark, d).select("qid", F.explode(tx.capitalised_words(F.col("text"))).alias("name")).select("qid", F.lower("name").alias("name")).distinct()
+    seeds = cut_lineage(asked.join(entities, "name").select("qid", "entity_idx", F.lit(1.0).alias("score")))
+    return seeds, incidence, cut_lineage(passing.select("qid", "prop_idx", "attention")), aliases
+
+
+def _walk(spark, d, hops: int):
+    state, incidence, passing, aliases = _walk_inputs(spark, d)
+    states = [state]
+    for _ in range(hops):
+        state = cut_lineage(propagation.hop(state, incidence, passing, aliases, 0.3))
+        states.append(state)
+    return states, incidence
+
+
+@query("propagate_1hop", with_("vectors", more=_WALK + _step_sql(1)) + "SELECT qid, entity_idx, round(score, 6) AS score FROM x1")
+def propagate_1hop(spark, d):
+    return _walk(spark, d, 1)[0][-1].select("qid", "entity_idx", F.round("score", 6).alias("score"))
+
+
+@query("propagate_2hop", with_("vectors", more=_WALK + _step_sql(1) + _step_sql(2)) + "SELECT qid, entity_idx, round(score, 6) AS score FROM x2")
+def propagate_2hop(spark, d):
+    return _walk(spark, d, 2)[0][-1].select("qid", "entity_idx", F.round("score", 6).alias("score"))
+
+
+@query("convergence_diff", with_("vectors", more=_WALK + _step_sql(1)) + "SELECT qid, round(sqrt(sum(d * d)), 6) AS diff FROM (SELECT qid, entity_idx, sum(s) AS d FROM (SELECT qid, entity_idx, -score AS s FROM x0 UNION ALL SELECT qid, entity_idx, score FROM x1) GROUP BY qid, entity_idx) GROUP BY qid")
+def convergence_diff(spark, d):
+    states, _ = _walk(spark, d, 1)
+    return propagation.change(states[0], states[1]).select("qid", F.round("diff", 6).alias("diff"))
+
+
+@query("topk_entities", with_("vectors", more=_WALK + _step_sql(1)) + "SELECT qid, entity_idx, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, entity_idx) AS rank FROM x1) WHERE rank <= 20")
+def topk_entities(spark, d):
+    states, _ = _walk(spark, d, 1)
+    return propagation.top_rows(states[-1], "entity_idx", 20).select("qid", "entity_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+_RANKED_PROPS = """, prop_scores AS (SELECT qid, prop_idx, sum(score) AS score FROM x1 JOIN incidence USING (entity_idx) GROUP BY qid, prop_idx),
+ranked_props AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, prop_idx) AS rank FROM prop_scores) WHERE rank <= 10)"""
+
+
+def _ranked_props(spark, d):
+    states, incidence = _walk(spark, d, 1)
+    return propagation.top_rows(propagation.proposition_scores(states[-1], incidence), "prop_idx", 10)
+
+
+@query("topk_props", with_("vectors", more=_WALK + _step_sql(1) + _RANKED_PROPS) + "SELECT qid, prop_idx, round(score, 6) AS score, rank FROM ranked_props")
+def topk_props(spark, d):
+    return _ranked_props(spark, d).select("qid", "prop_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("evidence_chunks", with_("vectors", more=_WALK + _step_sql(1) + _RANKED_PROPS) + """SELECT qid, string_agg(CASE WHEN rank <= 5 THEN '- ' || text END, chr(10) ORDER BY rank) AS context, string_agg(CASE WHEN rank <= 3 THEN CAST(chunk_id AS VARCHAR) END, ',' ORDER BY rank) AS chunks
+FROM ranked_props JOIN prop_ids USING (prop_idx) JOIN props USING (prop_id) GROUP BY qid""")
+def evidence_chunks(spark, d):
+    _, _, index, _ = _incidence(spark, d)
+    props = _props(spark, d).join(index, "prop_id").select("prop_idx", "text", F.col("chunk_id").cast("string").alias("chunk_id"))
+    return evidence.evidence(_ranked_props(spark, d), props).select("qid", "context", F.array_join("source_chunks", ",").alias("chunks"))
+
+
+@query("citations", with_("vectors", more=_WALK + _step_sql(1) + _RANKED_PROPS) + "SELECT qid, rank, prop_id, chunk_id, md5(turn_text) AS chunk_md5 FROM ranked_props JOIN prop_ids USING (prop_idx) JOIN props USING (prop_id) LEFT JOIN (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn, text) AS turn_text FROM conversations WHERE role = 'assistant' GROUP BY conv_id) ON conv_id = chunk_id")
+def citations(spark, d):
+    _, _, index, _ = _incidence(spark, d)
+    replies = table(spark, d, "conversations").where("role = 'assistant'")
+    chunks = replies.groupBy(F.col("conv_id").alias("chunk_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"]), "\n").alias("text"))
+    return evidence.citations(_ranked_props(spark, d), _props(spark, d).join(index, "prop_id"), chunks).select("qid", F.col("rank").cast("long").alias("rank"), "prop_id", "chunk_id", F.md5("chunk").alias("chunk_md5"))
+
+
+# Answers -------------------------------------------------------------------------------
+
+_ARTICLES = r"regexp_replace(translate(lower(coalesce({x}, '')), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '(^|[^\pL\pN_])(a|an|the)(?=$|[^\pL\pN_])', '\1 ', 'g')"
+
+
+@query("parse_answer", r"SELECT conv_id, turn, CASE WHEN contains(reply, 'Answer:') THEN regexp_replace(string_split(reply, 'Answer:')[2], '^\s+|\s+$', '', 'g') ELSE reply END AS answer FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('Thought. Answer: ', text) ELSE concat('Answer:', text, ' Answer: again') END AS reply FROM conversations WHERE role = 'assistant')")
+def parse_answer(spark, d):
+    """Replies without, with one and with two marks."""
+    reply = F.when(F.col("conv_id") % 3 == 0, F.col("text")).when(F.col("conv_id") % 3 == 1, F.concat(F.lit("Thought. Answer: "), "text")).otherwise(F.concat(F.lit("Answer:"), "text", F.lit(" Answer: again")))
+    return table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", tx.parse_answer(reply).alias("answer"))
+
+
+#: The ASCII words of a text: the engines' word boundaries differ beside other letters.
+_ASCII = r"regexp_replace(text, '[^ -~]+', ' ', 'g')"
+_NORMAL = r"""regexp_replace(regexp_replace(array_to_string(list_transform(string_split(translate(lower({x}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), ' '), lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ' '), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query("normalize_answer", f"SELECT doc_id, {_NORMAL.format(x=_ASCII)} AS answer FROM documents WHERE text IS NOT NULL")
+def normalize_answer(spark, d):
+    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.normalize_answer(F.regexp_replace("text", "[^ -~]+", " ")).alias("answer"))
+
+
+@query("contain_accuracy", f"""WITH p AS (SELECT doc_id, {_ASCII} AS pred, regexp_replace(substr(text, 1, 12), '[^ -~]+', ' ', 'g') AS gold FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN trim(pred) = '' OR trim(gold) = '' THEN 0 ELSE CAST(contains({_NORMAL.format(x='pred')}, {_NORMAL.format(x='gold')}) AS INTEGER) END AS contain_accuracy FROM p""")
+def contain_accuracy(spark, d):
+    """Each text against its own first characters as the gold answer."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~]+", " ").alias("pred_answer"), F.regexp_replace(F.substring("text", 1, 12), "[^ -~]+", " ").alias("gold_answer"))
+    return evaluation.score_predictions(docs).select("doc_id", "contain_accuracy")
+
+
+@query("judge_accuracy", "SELECT round(avg(CASE WHEN quality = 1 THEN 1.0 ELSE 0.0 END), 6) AS llm_accuracy, round(avg(CASE WHEN toxic = 1 THEN 1.0 ELSE 0.0 END), 6) AS contain_accuracy FROM labels")
+def judge_accuracy(spark, d):
+    """Verdicts and gold answers made from labels, through the evaluator."""
+    rows = table(spark, d, "labels").select(
+        F.when(F.col("quality") == 1, " Correct\n").otherwise("incorrect").alias("verdict"),
+        F.when(F.col("toxic") == 1, "The toxic one!").otherwise("clean").alias("pred_answer"), F.lit("toxic one").alias("gold_answer"),
+    )
+    scored = evaluation.mean_accuracy(evaluation.score_predictions(rows))
+    return scored.select(F.round("llm_accuracy", 6).alias("llm_accuracy"), F.round("contain_accuracy", 6).alias("contain_accuracy"))
+
+
+@query("health_counts", with_("passages", "mentions") + "SELECT (SELECT count(DISTINCT entity) FROM mentions) AS num_entities, (SELECT count(*) FROM passages) AS num_passages")
+def health_counts(spark, d):
+    entities = src.mentions(spark, d).agg(F.countDistinct("entity").alias("num_entities"))
+    return entities.join(src.passages(spark, d).agg(F.count(F.lit(1)).alias("num_passages")))
