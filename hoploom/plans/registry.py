@@ -233,11 +233,11 @@ def _activated(spark, d, hops: int, walk=activation.activate_vectorized):
     return walk(cut_lineage(_seeds(spark, d)), pairs, _similarity(spark, d), hops + 1, _TOP_SENTENCES, _THRESHOLD)
 
 
-_ACTIVE_SQL = "\nSELECT qid, entity, round(weight, 6) AS weight, round(a.score, 6) AS score, a.tier AS tier FROM weights LEFT JOIN active a USING (qid, entity)"
+_ACTIVE_SQL = "\nSELECT qid, entity, round(weight, 6) AS weight, round(coalesce(a.score, 0), 6) AS score, coalesce(a.tier, -1) AS tier FROM weights LEFT JOIN active a USING (qid, entity)"
 
 
 def _joined(weights, active):
-    return weights.join(active, ["qid", "entity"], "left").select("qid", "entity", F.round("weight", 6).alias("weight"), F.round("score", 6).alias("score"), F.col("tier").cast("int").alias("tier"))
+    return weights.join(active, ["qid", "entity"], "left").select("qid", "entity", F.round("weight", 6).alias("weight"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), F.coalesce("tier", F.lit(-1)).cast("int").alias("tier"))
 
 
 @query("activate_vectorized_hop1", _activation_sql(1) + _ACTIVE_SQL)
@@ -395,13 +395,13 @@ def props_with_entity(spark, d):
 _KNN = """unit AS (SELECT vec_id, CASE WHEN list_dot_product(vector, vector) > 0 THEN list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) ELSE vector END AS u FROM vectors),
 near AS (SELECT q, i FROM (SELECT a.vec_id AS q, b.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.vec_id) AS r FROM unit a, unit b) WHERE r <= 10),
 candidates AS (SELECT DISTINCT least(q, i) AS i, greatest(q, i) AS j FROM near WHERE q <> i)"""
-#: Names for the vectors: each takes the first words of the document of its id.
-_NAMED = "named AS (SELECT vec_id, vector, coalesce(lower(substr(d.text, 1, 20)), '') AS name FROM vectors LEFT JOIN documents d ON d.doc_id = vec_id)"
+#: Names for the vectors: each takes the first words of the document of its id, in ASCII (DuckDB compares bytes).
+_NAMED = "named AS (SELECT vec_id, vector, coalesce(regexp_replace(lower(substr(d.text, 1, 20)), '[^ -~]', '_', 'g'), '') AS name FROM vectors LEFT JOIN documents d ON d.doc_id = vec_id)"
 _SCORED = "scored AS (SELECT c.i, c.j, 0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * ((list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)) + 1e-8) + 1) / 2) AS score FROM candidates c JOIN named a ON a.vec_id = c.i JOIN named b ON b.vec_id = c.j)"
 
 
 def _named(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.lower(F.substring("text", 1, 20)).alias("name"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.regexp_replace(F.lower(F.substring("text", 1, 20)), "[^ -~]", "_").alias("name"))
     return table(spark, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector"), F.coalesce("name", F.lit("")).alias("name"))
 
 
