@@ -47,7 +47,8 @@ def occurrences(needles: DataFrame, passages: DataFrame, block: int = 50_000) ->
                     ids += [passage_id] * len(n)
                     found += n.keys()
                     counts += n.values()
-                yield pd.DataFrame({"passage_id": ids, "needle": found, "n": counts})
+                if ids:
+                    yield pd.DataFrame({"passage_id": pd.Series(ids, dtype=object), "needle": pd.Series(found, dtype=object), "n": counts})
 
         parts.append(passages.select("passage_id", "text").mapInPandas(run, "passage_id string, needle string, n long"))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], "passage_id string, needle string, n long")
