@@ -2,37 +2,65 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.scores import clamp_reset
 from ..session import cut_lineage
+from .keys import dense_index
 
 
-def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30) -> DataFrame:
+def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, block: int = 64, cut_every: int = 6) -> DataFrame:
     """(qid, id, score): scores of the undirected weighted graph with restarts in proportion to clamped reset weights.
 
     ``resets`` has qid, id and weight; ids are nodes. The error is at most 2 damping^steps.
     Nodes without edges give their mass back to the restart. Questions whose
     reset is all zero have no rows; callers fall back to the dense ranking.
+
+    A node's scores for ``block`` questions are one vector, so a step is one join
+    of nodes with their edges and one weighted vector sum, combined before it is
+    shuffled, whatever the number of questions in a block. A node without edges
+    receives from the restart alone, so what such nodes give back follows from
+    their share R of the restart: before step k their mass is R c_k-1 with
+    c_0 = 1 and c_k = 1 - d + d R c_k-1, which has a closed form.
     """
-    clamped = resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0")
-    total = clamped.groupBy("qid").agg(F.sum("weight").alias("total"))
-    restart = cut_lineage(clamped.groupBy("qid", "id").agg(F.sum("weight").alias("weight")).join(total, "qid").select("qid", "id", (F.col("weight") / F.col("total")).alias("r")))
-    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    clamped = resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
+    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0")
     strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
-    steps_out = cut_lineage(both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength")).alias("p")).repartition("src"))
-    state = restart.withColumnRenamed("r", "score")
-    for k in range(steps):
-        moved = state.join(steps_out, state["id"] == steps_out["src"]).groupBy("qid", F.col("dst").alias("id")).agg((F.sum(F.col("score") * F.col("p")) * damping).alias("score"))
-        # What does not move, of the damped share, starts anew: with the restart share this makes the sum 1.
-        kept = moved.groupBy("qid").agg(F.sum("score").alias("moved"))
-        back = restart.join(kept, "qid", "left").select("qid", "id", (F.col("r") * (1 - F.coalesce("moved", F.lit(0.0)))).alias("score"))
-        state = moved.unionByName(back).groupBy("qid", "id").agg(F.sum("score").alias("score"))
-        if k % 3 == 2 or k == steps - 1:
+    out = cut_lineage(both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength") * damping).alias("p")))
+    linked = clamped.join(strength.select(F.col("src").alias("id"), F.lit(1).alias("linked")), "id", "left")
+    total = cut_lineage(linked.groupBy("qid").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("linked").isNull(), F.col("weight")).otherwise(0.0)).alias("alone")))
+    block = max(1, min(block, total.count()))
+    placed = dense_index(total, "qid", "q").select("qid", F.floor(F.col("q") / block).alias("block"), (F.col("q") % block).cast("int").alias("pos"))
+    asked = cut_lineage(total.join(placed, "qid").select("qid", "block", "pos", "total", (F.col("alone") / F.col("total") * damping).alias("dr")))
+    shares = clamped.join(asked, "qid").select("id", "block", "pos", (F.col("weight") / F.col("total")).alias("r"), "dr")
+
+    by_pos = F.map_from_entries(F.collect_list(F.struct("pos", F.struct("r", "dr")))).alias("m")
+    positions = F.sequence(F.lit(0), F.lit(block - 1))
+
+    def row(name: str):
+        return F.transform(positions, lambda k: F.coalesce(F.element_at(F.col("m"), k)[name], F.lit(0.0))).alias(name)
+
+    rows = cut_lineage(shares.groupBy("id", "block").agg(by_pos).select("id", "block", row("r"), row("dr")))
+
+    def restart(k: int) -> DataFrame:
+        def share(r, dr):
+            power = F.pow(dr, F.lit(float(k)))
+            return r * ((1 - damping) * (1 - power) / (1 - dr) + power)
+
+        return rows.select("id", "block", array_to_vector(F.zip_with("r", "dr", share)).alias("v"), F.lit(1.0).alias("p"))
+
+    state = restart(0).select("id", "block", "v")
+    for k in range(1, steps + 1):
+        sent = state.join(out, state["id"] == out["src"]).select(F.col("dst").alias("id"), "block", "v", "p")
+        state = sent.unionByName(restart(k)).groupBy("id", "block").agg(Summarizer.sum(F.col("v"), F.col("p")).alias("v"))
+        if k % cut_every == 0 or k == steps:
             state = cut_lineage(state)
-    return state
+    scores = state.select("id", "block", F.posexplode(vector_to_array("v")).alias("pos", "score")).where("score > 0")
+    return scores.join(asked.select("qid", "block", "pos"), ["block", "pos"]).select("qid", "id", "score")
 
 
 def rank_passages(scores: DataFrame, passages: DataFrame, k: int) -> DataFrame:
