@@ -144,9 +144,9 @@ def test_prior_counts(spark):
 def test_pagerank(spark):
     edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 1.0)], "src string, dst string, weight double")
     resets = spark.createDataFrame([(1, "a", 2.0), (1, "c", float("nan")), (1, "b", -1.0), (2, "alone", 1.0), (3, "a", 0.0)], "qid long, id string, weight double")
-    got = {(r.qid, r.id): r.score for r in pagerank.personalized_pagerank(resets, edges, 0.5, 30).collect()}
+    got = {(r.qid, r.id): r.score for r in pagerank.personalized_pagerank(resets, edges, 0.5, 18).collect()}
     for node, want in (("a", 7 / 12), ("b", 1 / 3), ("c", 1 / 12)):
-        assert abs(got[1, node] - want) < 1e-8
+        assert abs(got[1, node] - want) < 1e-5
     assert abs(got[2, "alone"] - 1) < 1e-12 and not any(q == 3 for q, _ in got)
     rng = np.random.default_rng(2)
     n = 12
@@ -159,8 +159,8 @@ def test_pagerank(spark):
     want = np.linalg.solve(np.eye(n) - 0.5 * p.T, 0.5 * r)
     e = spark.createDataFrame([(str(i), str(j), float(w[i, j])) for i in range(n) for j in range(i) if w[i, j]], "src string, dst string, weight double")
     d = spark.createDataFrame([(1, str(i), float(r[i])) for i in range(n)], "qid long, id string, weight double")
-    scores = pagerank.personalized_pagerank(d, e, 0.5, 30)
-    assert all(abs(x.score - want[int(x.id)]) < 1e-8 for x in scores.collect())
+    scores = pagerank.personalized_pagerank(d, e, 0.5, 18, block=1)
+    assert all(abs(x.score - want[int(x.id)]) < 1e-5 for x in scores.collect())
     top = pagerank.rank_passages(scores, spark.createDataFrame([("3",), ("5",), ("7",)], "passage_id string"), 2).orderBy("rank").collect()
     assert [x.passage_id for x in top] == sorted("357", key=lambda x: -want[int(x)])[:2]
 
