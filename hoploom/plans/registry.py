@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import activation, affinity, dense, evaluation, evidence, graph, keys, masking, pagerank, prior, propagation, propositions
+from ..operators import activation, affinity, dense, evaluation, evidence, extensions, graph, keys, masking, pagerank, prior, propagation, propositions
 from ..session import cut_lineage
 from . import inputs as src
 from .inputs import stand_in_sql, table, with_
@@ -643,3 +643,30 @@ def judge_accuracy(spark, d):
 def health_counts(spark, d):
     entities = src.mentions(spark, d).agg(F.countDistinct("entity").alias("num_entities"))
     return entities.join(src.passages(spark, d).agg(F.count(F.lit(1)).alias("num_passages")))
+
+
+# Additions -----------------------------------------------------------------------------
+
+
+@query("entropy_filter", """WITH words AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z]+'), lambda w: w <> '')) AS w FROM documents),
+counts AS (SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL), sums AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_tokens, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM counts GROUP BY doc_id)
+SELECT doc_id, coalesce(n_tokens, 0) AS n_tokens, round(coalesce(entropy, 0), 6) AS entropy, round(coalesce(entropy, 0), 6) >= 4 AS kept FROM documents LEFT JOIN sums USING (doc_id)""")
+def entropy_filter(spark, d):
+    rows = extensions.token_entropy(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text")
+    return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.round("entropy", 6).alias("entropy"), (F.round("entropy", 6) >= 4).alias("kept"))
+
+
+@query("familiarity_router", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, round(list_dot_product(v, vector), 9) AS score FROM q, vectors WHERE vec_id % 100 <> 0)") + """
+SELECT qid, iid, round(score, 6) AS score, score >= 0.5 AS familiar FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS r FROM s) WHERE r = 1""")
+def familiarity_router(spark, d):
+    """The query set against all other vectors."""
+    return extensions.familiar(_query_set(spark, d), _items(spark, d).where("iid % 100 <> 0"), 0.5).select("qid", "iid", F.round("score", 6).alias("score"), "familiar")
+
+
+@query("edit_affinity", with_("vectors", more=", ".join([_KNN, _NAMED])) + """SELECT c.i, c.j, round(CASE WHEN greatest(length(a.name), length(b.name)) > 0 THEN 1 - CAST(levenshtein(a.name, b.name) AS DOUBLE) / greatest(length(a.name), length(b.name)) ELSE 1 END, 6) AS score
+FROM candidates c JOIN named a ON a.vec_id = c.i JOIN named b ON b.vec_id = c.j""")
+def edit_affinity(spark, d):
+    named = _named(spark, d)
+    pairs = affinity.candidate_pairs(named)
+    a, b = (named.select(F.col("entity_idx").alias(k), F.col("name").alias(f"name_{k}")) for k in "ij")
+    return pairs.join(a, "i").join(b, "j").select("i", "j", F.round(extensions.edit_similarity(F.col("name_i"), F.col("name_j")), 6).alias("score"))
