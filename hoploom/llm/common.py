@@ -26,11 +26,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
 
 
-def arrow_slices(batches, rows: int):
-    """Arrow batches cut into slices of at most ``rows`` rows, so that a task's memory is bounded."""
+def arrow_slices(batches, rows: int, size: int = 2_000_000):
+    """Arrow batches cut into slices of at most ``rows`` rows and about ``size`` bytes of text.
+
+    What a task holds beside its batch is bounded by a slice, or by one row that is longer.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        width = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type):
+                width += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(width)
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + size, side="right"))))
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def sorted_groups(batches, keys: list[str]):

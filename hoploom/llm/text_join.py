@@ -58,7 +58,7 @@ class _WordHashes(dict):
 
     def __missing__(self, word: str) -> int:
         value = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = value
         return value

@@ -78,7 +78,7 @@ class ToxicityModel:
 
     def _scores(self, tokens: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """z of each sentence, its document, and the sentence of each token."""
-        if len(self._words) > 500_000:
+        if len(self._words) > 200_000:
             self._words.clear()
         words, weigh = self._words, self._weight
         values = np.array([words[t] if t in words else weigh(t) for found in tokens for t in found], dtype=np.float64)
