@@ -7,6 +7,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +20,21 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
+def sample_by_hash(rows: DataFrame, label: str, per_class: int, max_classes: int = 200) -> DataFrame:
+    """(doc_id, label): at most ``per_class`` ids of each label, chosen by hash, of the ``max_classes`` largest labels.
+
+    Counts are combined before they are shuffled; a filter by hash then leaves about
+    three times the wanted rows, so the ranking never sees a whole label. The counts
+    that are broadcast are ``max_classes`` rows at most.
+    """
+    known = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(max_classes)
+    chance = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    few = known.join(F.broadcast(counts), label).where(chance * F.col("_n") < 3 * per_class)
+    ranked = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return few.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= per_class).select("doc_id", label)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Keep the cluster's shared checkpoint folder; set one of our own only where none is set."""
     context = spark.sparkContext

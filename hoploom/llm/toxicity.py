@@ -26,9 +26,8 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import arrow_slices, held_out, table
+from .common import arrow_slices, held_out, sample_by_hash, table
 
 #: Sentences end at these marks, at line breaks, and after SENTENCE_WORDS words.
 _TOKENS = re.compile(r"\w+|[.!?\n]+").findall
@@ -134,25 +133,28 @@ def fit_bags(texts: list[str], labels: list[int], min_docs: int = 3, min_g: floa
     labels_ = np.array(labels, dtype=bool)
     if labels_.all() or not labels_.any():
         return ToxicityModel()
-    tokens = [_TOKENS(t.lower()) for t in texts]
     vocabulary: dict[str, int] = {}
-    flat = np.array([vocabulary.setdefault(t, len(vocabulary)) for found in tokens for t in found], dtype=np.int64)
-    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    # Only one text's tokens are held as strings at a time.
+    coded = [np.array([vocabulary.setdefault(t, len(vocabulary)) for t in _TOKENS(text.lower())], dtype=np.int32) for text in texts]
+    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(c) for c in coded])
+    flat = np.concatenate(coded)
+    del coded
     words = list(vocabulary)
     breaks = np.array([_is_break(w) for w in words])
-    sentence = _segment(breaks[flat], owner)
+    sentence = _segment(breaks[flat], owner).astype(np.int32)
     bag = owner[np.flatnonzero(np.diff(sentence, prepend=-1))]
     real = ~breaks[flat]
     flat, sentence, token_owner = flat[real], sentence[real], owner[real]
     pairs = [(k, f) for k, w in enumerate(words) if not breaks[k] for f in features_of(w)]
     names = {f: k for k, f in enumerate(dict.fromkeys(f for _, f in pairs))}
     word_of, feature_of = np.array([k for k, _ in pairs]), np.array([names[f] for _, f in pairs])
-    seen = np.unique(token_owner * len(words) + flat)
+    seen = np.unique(token_owner.astype(np.int64) * len(words) + flat)
     by_word = np.argsort(word_of, kind="stable")
     starts = np.searchsorted(word_of[by_word], np.arange(len(words) + 1))
     repeats = np.diff(starts)[seen % len(words)]
     first = np.repeat(starts[seen % len(words)] - np.cumsum(repeats) + repeats, repeats)
     held = np.unique(np.repeat(seen // len(words), repeats) * len(names) + feature_of[by_word][first + np.arange(repeats.sum())])
+    del seen, repeats, first
     toxic = labels_[held // len(names)]
     with_toxic = np.bincount(held[toxic] % len(names), minlength=len(names))
     with_clean = np.bincount(held[~toxic] % len(names), minlength=len(names))
@@ -182,8 +184,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_
     """Learns from (doc_id, text) and (doc_id, toxic), without the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     fit_for = docs.where(F.length("text").between(1, max_chars)).select("doc_id")
-    ranked = W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.join(fit_for, "doc_id", "left_semi").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= per_class).select("doc_id", "toxic").limit(2 * per_class)
+    ids = sample_by_hash(known.join(fit_for, "doc_id", "left_semi"), "toxic", per_class)
     sample = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = sorted(sample.select("doc_id", "text", "toxic").collect())
     return fit_bags([r.text for r in rows], [r.toxic for r in rows])
