@@ -57,7 +57,7 @@ def parse_answer(reply: Column) -> Column:
 
 def passage_index(text: Column) -> Column:
     """The number before the first colon, or null."""
-    found = F.regexp_extract(strip_space(text), r"^(\d+):", 1)
+    found = F.regexp_extract(text, r"(?U)^\s*([0-9]+):", 1)
     return F.when(found != "", found.cast("long"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import capitalised_words, content_key, passage_index, sentences_of, substring_count
 from .keys import dense_index
@@ -42,8 +43,8 @@ def inverted_index(entity_sentences: DataFrame) -> DataFrame:
 def mention_edges(mentions: DataFrame, passages: DataFrame) -> DataFrame:
     """Entity-passage edges weighted by the entity's share of all counted occurrences in the passage."""
     counted = mentions.join(passages.select("passage_id", "text"), "passage_id").select("passage_id", "entity", substring_count(F.col("text"), F.col("entity")).alias("n"))
-    total = counted.groupBy("passage_id").agg(F.sum("n").alias("total"))
-    return counted.join(total, "passage_id").select(
+    # The join has dealt the rows by passage, and a passage has few entities: the window needs no other shuffle.
+    return counted.withColumn("total", F.sum("n").over(W.partitionBy("passage_id"))).select(
         content_key(F.col("entity"), "entity-").alias("src"), F.col("passage_id").alias("dst"), (F.col("n") / F.when(F.col("total") > 0, F.col("total"))).alias("weight")
     )
 
@@ -71,5 +72,5 @@ def graph_edges(mentions: DataFrame, passages: DataFrame) -> DataFrame:
 
 def degrees(edges: DataFrame) -> DataFrame:
     """Number of edges and weighted degree of every node, over both directions."""
-    both = edges.select(F.col("src").alias("id"), "weight").union(edges.select(F.col("dst").alias("id"), "weight"))
+    both = edges.select(F.explode(F.array("src", "dst")).alias("id"), "weight")
     return both.groupBy("id").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))

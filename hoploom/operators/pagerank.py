@@ -28,7 +28,8 @@ def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float =
     c_0 = 1 and c_k = 1 - d + d R c_k-1, which has a closed form.
     """
     clamped = resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
-    both = edges.select("src", "dst", "weight").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).where("weight > 0")
+    ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = cut_lineage(edges.where("weight > 0").select(ways.alias("e"), "weight").select("e.*", "weight"))
     strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
     out = cut_lineage(both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength") * damping).alias("p")))
     linked = clamped.join(strength.select(F.col("src").alias("id"), F.lit(1).alias("linked")), "id", "left")
