@@ -29,9 +29,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import arrow_slices, held_out, table
+from .common import arrow_slices, held_out, sample_by_hash, table
 
 UNKNOWN = "und"
 _TOP = 0x110000
@@ -170,15 +169,14 @@ def _parser(model: LanguageModel) -> CrossParser:
     return CrossParser(model)
 
 
-def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: int = 4000, train_chars: int = 40_000, max_languages: int = 200) -> LanguageModel:
+def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: int = 4000, train_chars: int = 30_000, max_languages: int = 200) -> LanguageModel:
     """Learns from (doc_id, text, lang), without the held-out fold.
 
     The sample's ids are ranked without the texts; at most ``train_docs`` times
     ``max_languages`` ids exist, so sending them to the tasks is bounded.
     """
     usable = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ranked = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= train_docs).select("doc_id", "lang").limit(train_docs * max_languages)
+    ids = sample_by_hash(usable, "lang", train_docs, max_languages).distinct()
     sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.left("text", F.lit(chars_per_doc)).alias("text"))
     texts: dict[str, list[str]] = {}
     rows = sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.text))
