@@ -102,7 +102,7 @@ def _tokenizer(path: str, pattern: str):
     specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
     import public_tokenizers
 
-    encoder = PieceEncoder(pattern, encode_new, max_cached=1_200_000, ascii_pattern=ASCII_PATTERN if pattern == public_tokenizers.PATTERN else None)
+    encoder = PieceEncoder(pattern, encode_new, max_cached=600_000, ascii_pattern=ASCII_PATTERN if pattern == public_tokenizers.PATTERN else None)
 
     def encode(texts: list[str]) -> list[bytes]:
         out = encoder.encode(texts)
