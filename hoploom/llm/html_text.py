@@ -9,9 +9,16 @@ link-adjusted characters per tag,
 
 with characters C, tags T, characters LC and tags LT inside links, and the
 body's LCb and Cb. A node's density sum adds its children's densities; the node
-of maximal sum is the article, the least density on its path to the body is the
-threshold, and an enclosing article or main element that reaches the threshold
-is taken instead, so that a title beside the text stays.
+of maximal sum is where the article is looked for, and the least density on its
+path to the body is the threshold. As the density grows with the size of a node,
+a subtree also reaches the threshold if its characters outside links per tag are
+no fewer than the least on that path. The article is the highest ancestor of
+that node beside whose path another subtree reaches the threshold, so that a
+text in several sections stays whole; what stands between its sections stays, lists of
+links below the threshold do not. An enclosing article element is left only for
+other article elements that reach the threshold, an enclosing main element
+never. If the article has no h1, the nearest h1 before it is its title, and what
+stands between the two stays as well.
 
 Defined results: null and empty pages give an empty text; broken markup is
 closed as browsers do; a page of bare text is its own article; repeated pages
@@ -45,7 +52,7 @@ SCOPES = frozenset("table td th ul ol dl button object article section div body
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "reaches", "titled")
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.noise = tag, parent, noise
@@ -165,8 +172,25 @@ def _measure(top: Node) -> list[Node]:
     return nodes
 
 
+def _plain(node: Node) -> float:
+    return (node.chars - node.link_chars) / max(1, node.tags)
+
+
+def _drop_links(nodes: list[Node | str]) -> None:
+    """Marks lists of links as noise, but not the subtrees that reach the threshold."""
+    todo = [x for x in nodes if isinstance(x, Node) and not x.noise]
+    while todo:
+        x = todo.pop()
+        if x.own:
+            continue
+        if x.reaches or x.titled:
+            todo.extend(c for c in x.children if isinstance(c, Node) and not c.noise)
+        elif x.link_tags > 1 and 2 * x.link_chars > x.chars:
+            x.noise = True
+
+
 def main_node(top: Node) -> Node:
-    """The subtree of maximal density sum, widened to an enclosing article or main that reaches the path's threshold."""
+    """The article's subtree; lists of links and, before a title, what else does not belong to it are taken out of the tree."""
     nodes = _measure(top)
     best = max(reversed(nodes), key=lambda n: n.total)  # the outermost wins a tie
     if best.total <= 0:
@@ -175,11 +199,37 @@ def main_node(top: Node) -> Node:
     while node is not top and node.parent is not None:
         node = node.parent
         path.append(node)
-    threshold = min(n.density for n in path)
-    for node in reversed(path[1:]):
-        if node.tag in ("article", "main") and node.density >= threshold:
-            return node
-    return best
+    threshold, plain = min(n.density for n in path), min(map(_plain, path))
+    marked = [k for k, n in enumerate(path) if n.tag in ("article", "main")]
+    start = marked[-1] if marked else 0
+    for node in nodes:
+        inner = [x for x in node.children if isinstance(x, Node) and not x.noise]
+        node.titled = node.tag == "h1" and node.chars > 0 or any(x.titled for x in inner)
+        node.own = node.density > 0 and (node.density >= threshold or _plain(node) >= plain)
+        node.reaches = node.own and (not marked or node.tag == "article") or any(x.reaches for x in inner)
+
+    def beside(k: int) -> list[Node | str]:
+        return [x for x in path[k].children if x is not path[k - 1]]
+
+    at = start
+    if not any(path[k].tag == "main" for k in marked):
+        at = max((k for k in range(start + 1, len(path)) if any(isinstance(x, Node) and not x.noise and x.reaches for x in beside(k))), default=start)
+    for k in range(start + 1, at + 1):
+        _drop_links(beside(k))
+    if path[at].titled:
+        return path[at]
+    for k in range(at + 1, len(path)):
+        before = path[k].children[: path[k].children.index(path[k - 1])]
+        titles = [i for i, x in enumerate(before) if isinstance(x, Node) and not x.noise and x.titled]
+        if titles:
+            for m in range(at + 1, k + 1):
+                head = path[m].children[: path[m].children.index(path[m - 1])]
+                if m == k:
+                    head = head[titles[-1] :]
+                _drop_links(head)
+                path[m].children = [*head, path[m - 1]]
+            return path[k]
+    return path[at]
 
 
 def blocks_of(top: Node) -> list[str]:

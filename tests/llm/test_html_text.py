@@ -23,3 +23,34 @@ def test_edges(spark):
     assert [got[i].text for i in (1, 2, 3, 4, 5, 6)] == ["", "", "bare text only", "unclosed x\n\ny", "", "deep"]
     assert got[7].text == got[8].text and got[9].n_chars == 399999
     assert h.extract_pages(df.limit(0)).count() == 0
+
+
+def paragraphs(name, n, size=500):
+    return [f"{name}{i} ".ljust(size - 1, "x") + "." for i in range(n)]
+
+
+def as_html(texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def test_sections_without_article_stay_whole():
+    first, second = paragraphs("a", 10), paragraphs("b", 8)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>link {i}</a></li>" for i in range(9)) + "</ul>"
+    sections = f"<div>{as_html(first)}</div><div>{as_html(second)}</div>"
+    whole = ["The title", *first, *second]
+    assert h.extract(f"<body><div id=content><h1>The title</h1>{sections}</div>").split("\n\n") == whole
+    assert h.extract(f"<body>{links}<h1>The title</h1><div>{links}<div>{sections}</div></div>{links}<div>tiny</div>").split("\n\n") == whole
+    # The second section's wrapper is mostly links; the section itself reaches the threshold.
+    assert h.extract(f"<body><h1>The title</h1><div>{as_html(first)}</div><div>{links * 9}<div>{as_html(second)}</div></div>").split("\n\n") == whole
+
+
+def test_title_and_lead_before_one_section():
+    text = paragraphs("a", 10)
+    page = f"<body><div>Site</div><div><h1>The title</h1><p>A short lead.</p><div>{as_html(text)}</div></div><div>tiny</div>"
+    assert h.extract(page).split("\n\n") == ["The title", "A short lead.", *text]
+
+
+def test_articles_side_by_side_stay_and_main_ends_the_search():
+    first, second = paragraphs("a", 6), paragraphs("b", 5)
+    assert h.extract(f"<article>{as_html(first)}</article><article>{as_html(second)}</article>").split("\n\n") == [*first, *second]
+    assert h.extract(f"<main><div>{as_html(first)}</div></main><div>{as_html(second)}</div>").split("\n\n") == first
