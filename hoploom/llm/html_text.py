@@ -1,8 +1,10 @@
 """HTML extraction by composite text density.
 
 A page becomes a tree of elements. Elements that are never article text
-(scripts, navigation, headers, footers, sidebars, notices, adverts, forms,
-comments) are cut off. For every remaining node the composite density is
+(scripts, navigation, headers, footers, asides) are cut off by their tag. Forms
+and elements whose class, id or role names a sidebar, notice, advert, comment or
+the like are cut off too, unless the article is inside: see ``_spare_wrappers``.
+For every remaining node the composite density is
 link-adjusted characters per tag,
 
     C/T * log_b((C/LC) * (T/LT)),  b = ln(C/(C-LC) * LC + LCb/Cb * C + e)
@@ -27,6 +29,7 @@ are extracted alike; extra columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from html.parser import HTMLParser
@@ -39,40 +42,65 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul caption".split()
 )
-NOISE_TAGS = frozenset("head title script style noscript template nav header footer aside form button select textarea input iframe svg object canvas dialog menu".split())
+NOISE_TAGS = frozenset("head title script style noscript template nav header footer aside button select textarea input iframe svg object canvas dialog menu".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 #: Words of a class or an id that mark an element as no article text.
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners promo promos promotion sponsor sponsored sponsors sidebar sidebars aside rail cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus reply replies discussion related recommended recommendations breadcrumb breadcrumbs pagination pager menu menus nav navbar navigation topnav footer foot header masthead widget widgets toolbar search".split()
 )
 KEPT_TAGS = frozenset("html body article main".split())
+#: What these words mark may be longer than the article it belongs to.
+REPLY_WORDS = frozenset("comment comments commentlist disqus reply replies discussion".split())
+#: Running text with one of these words is still text: a paragraph of class "notice" belongs to its article.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table caption tbody thead tr td th dl dt dd figure figcaption span em strong b i u mark code q cite small sub sup".split())
+TEXT_WORDS = frozenset("notice notices related discussion social comment comments reply header search promotion recommended rail modal overlay toolbar share sharing aside".split())
+#: What follows one of these words in a class or an id says how the page is laid out.
+LAYOUT_WORDS = frozenset("has no with without".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the right side is closed by a start tag of the left side.
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("table td th ul ol dl button object article section div body html".split())
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "reaches", "titled")
+    __slots__ = ("tag", "kind", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "reaches", "titled")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, kind: str = ""):
+        self.tag, self.parent, self.kind, self.noise = tag, parent, kind, bool(kind)
         self.children: list[Node | str] = []
 
 
-def _is_noise(tag: str, attributes: list[tuple[str, str | None]]) -> bool:
+def _class_words(value: str) -> set[str]:
+    """Words of a class or an id, without those that only describe the layout (``has-sidebar``, ``layout-with-header``)."""
+    out: set[str] = set()
+    for name in re.sub(r"([a-z])([A-Z])", r"\1 \2", value.replace(" ", "\n")).lower().split("\n"):
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if "layout" not in words:
+            end = next((k for k, w in enumerate(words) if w in LAYOUT_WORDS), len(words))
+            out.update(words[:end])
+    return out
+
+
+def _noise_of(tag: str, attributes: list[tuple[str, str | None]]) -> str:
+    """"cut", "soft" (cut unless it wraps the article), "reply" (the same, but may be longer than the article) or ""."""
     if tag in NOISE_TAGS:
-        return True
+        return "cut"
+    kind = "soft" if tag == "form" else ""
+    if tag in KEPT_TAGS:
+        return kind
     for name, value in attributes:
         value = value or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return tag not in KEPT_TAGS
+            return "cut"
         if name == "role" and value.lower() in NOISE_ROLES:
-            return tag not in KEPT_TAGS
-        if name in ("class", "id") and tag not in KEPT_TAGS:
-            words = re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()
-            if not NOISE_WORDS.isdisjoint(re.split(r"[^a-z]+", words)):
-                return True
-    return False
+            kind = kind or "soft"
+        if name in ("class", "id"):
+            found = NOISE_WORDS & _class_words(value)
+            if tag in TEXT_TAGS:
+                found -= TEXT_WORDS
+            if found:
+                kind = "reply" if found & REPLY_WORDS else kind or "soft"
+    return kind
 
 
 class TreeBuilder(HTMLParser):
@@ -96,7 +124,7 @@ class TreeBuilder(HTMLParser):
             self._close_up_to({"p"}, SCOPES)
         if tag in IMPLIED_END:
             self._close_up_to(IMPLIED_END[tag], SCOPES - IMPLIED_END[tag])
-        node = Node(tag, self.at, _is_noise(tag, attrs))
+        node = Node(tag, self.at, _noise_of(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID:
             self.at = node
@@ -134,7 +162,84 @@ def parse_tree(html: str) -> Node:
     builder = TreeBuilder()
     builder.feed(html)
     builder.close()
-    return builder.body or builder.root
+    top = builder.body or builder.root
+    _spare_wrappers(top)
+    return top
+
+
+class _Share:
+    """What an element holds: characters, those of articles without their headings, main elements, titles, and the wrappers in it."""
+
+    __slots__ = ("chars", "article", "mains", "titles", "wrappers")
+
+    def __init__(self) -> None:
+        self.chars = self.article = self.mains = self.titles = 0
+        self.wrappers: list[tuple[Node, _Share, _Share]] = []
+
+    def add(self, other: _Share) -> None:
+        self.chars += other.chars
+        self.article += other.article
+        self.mains += other.mains
+        self.titles += other.titles
+
+
+def _spare_wrappers(top: Node) -> None:
+    """Keeps the elements of class words, roles and forms that hold what the rest of the page lacks.
+
+    Such an element stays if it holds a main element, at least as much article text
+    as the rest, the only h1, or more than half of the body's text (an advert beside
+    an article with text does not count as that); one of reader comments has to
+    hold the page's only article text. The rest of the page is what
+    no such element holds, and what the ones that stay hold themselves. The longest
+    are asked first, those inside one that stays after it.
+    """
+    order: list[tuple[Node, bool, bool]] = []
+    todo: list[tuple[Node, bool, bool]] = [(top, top.tag in ("article", "main"), False)]
+    while todo:
+        node, inside, heading = todo.pop()
+        order.append((node, inside, heading))
+        for x in node.children:
+            if isinstance(x, Node) and x.kind != "cut":
+                todo.append((x, inside or x.tag in ("article", "main"), heading or x.tag in HEADINGS))
+    if not any(node.kind for node, _, _ in order):
+        return
+    every: dict[int, _Share] = {}  # all but what is cut off by its tag
+    own: dict[int, _Share] = {}  # without the wrappers inside
+    for node, inside, heading in reversed(order):
+        a, o = every[id(node)], own[id(node)] = _Share(), _Share()
+        for x in node.children:
+            if isinstance(x, str):
+                n = len(" ".join(x.split()))
+                for share in (a, o):
+                    share.chars += n
+                    share.article += n if inside and not heading else 0
+            elif x.kind != "cut":
+                a.add(every[id(x)])
+                if x.kind:
+                    o.wrappers.append((x, every[id(x)], own[id(x)]))
+                else:
+                    o.add(own[id(x)])
+                    o.wrappers.extend(own[id(x)].wrappers)
+                    own[id(x)].wrappers = []
+        for share in (a, o):
+            share.mains += node.tag == "main"
+            share.titles += node.tag == "h1" and a.chars > 0
+    total, rest = every[id(top)].chars, own[id(top)]
+    heap = [(-a.chars, k, x, a, o) for k, (x, a, o) in enumerate(rest.wrappers)]
+    heapq.heapify(heap)
+    seen = len(heap)
+    while heap:
+        _, _, node, a, o = heapq.heappop(heap)
+        if node.kind == "reply":
+            stays = a.mains > 0 or rest.article == 0 and (a.article > 0 or 2 * a.chars > total)
+        else:
+            stays = a.mains > 0 or 0 < a.article >= rest.article or a.titles > 0 and rest.titles == 0 or 2 * a.chars > total and (rest.article == 0 or a.article > 0)
+        if stays:
+            node.noise = False
+            rest.add(o)
+            for x, inner, its in o.wrappers:
+                heapq.heappush(heap, (-inner.chars, seen, x, inner, its))
+                seen += 1
 
 
 def _bottom_up(top: Node) -> list[Node]:

@@ -54,3 +54,27 @@ def test_articles_side_by_side_stay_and_main_ends_the_search():
     first, second = paragraphs("a", 6), paragraphs("b", 5)
     assert h.extract(f"<article>{as_html(first)}</article><article>{as_html(second)}</article>").split("\n\n") == [*first, *second]
     assert h.extract(f"<main><div>{as_html(first)}</div></main><div>{as_html(second)}</div>").split("\n\n") == first
+
+
+def test_wrappers_with_noise_words_keep_the_article():
+    text = paragraphs("a", 6)
+    article = f"<article><h1>T</h1>{as_html(text)}</article>"
+    side = "<div class=sidebar><p>" + "side text " * 20 + "</p></div>"
+    comments = "<div id=comments><article class=comment><p>" + "a reader says " * 400 + "</p></article></div>"
+    for wrapper in ('div class="content has-sidebar"', "div class=no-sidebar", "div class=layout-with-header", "div class=search-result-page", "div id=content-header-fixed", "div class=hasSidebar", "form", "div role=form"):
+        end = f"</{wrapper.split()[0]}>"
+        for page in (article + side, article + comments, f"<h1>T</h1>{as_html(text)}{side}"):
+            assert h.extract(f"<body><{wrapper}>{page}{end}").split("\n\n") == ["T", *text], (wrapper, page[:20])
+    # Two wrappers around each other, and a form in the article around its text.
+    assert h.extract(f"<form><div class='sidebar-right page'>{article}{side}</div></form>").split("\n\n") == ["T", *text]
+    assert h.extract(f"<article><h1>T</h1><form>{as_html(text)}</form></article>").split("\n\n") == ["T", *text]
+
+
+def test_noise_words_on_running_text_and_on_true_noise():
+    text = paragraphs("a", 6)
+    marked = [f"{name} ".ljust(300, "y") for name in ("notice", "related", "discussion", "social")]
+    inner = "".join(f"<p class={t.split()[0]}>{t}</p>" for t in marked)
+    noise = "<p class=ad>buy</p><div class='related'><article><p>teaser</p></article></div><form>Search</form><div class='banner has-image'>big</div>"
+    assert h.extract(f"<article><h1>T</h1>{as_html(text)}{inner}{noise}</article>").split("\n\n") == ["T", *text, *marked]
+    assert h.extract(f"<article><h1>T</h1>{as_html(text)}</article>{noise}<div class=comments><h1>Replies</h1><p>" + "so long " * 999).split("\n\n") == ["T", *text]
+    assert h.extract("<div class=ad>" + "buy now " * 30 + "</div><article><h1>T</h1><p>short</p></article>") == "T\n\nshort"
