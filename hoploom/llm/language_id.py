@@ -6,15 +6,18 @@ phrases over n characters and a training text of m characters the entropy
 estimate is c log2(m) / n bits a character, and the language with the least
 wins.
 
-The automaton is a table state x character -> state. Where no transition leads
-on, the table holds the state after a new phrase has begun, marked by its sign,
-so that one step is one table lookup. Texts are parsed in windows of
-``window`` characters side by side; a window's start begins a phrase in every
-language alike.
-
-Training is bounded: per language ``train_docs`` documents, chosen by hash, of
-which at most ``chars_per_doc`` characters each and ``train_chars`` in all are
-used. Scoring reads whole texts.
+Every letter of the training texts has a code of its own. The automaton's rows
+are sparse, so they are laid over each other in one array: a state's row begins
+at its offset, each entry names the state that it belongs to, and one step is
+one lookup however large the alphabet is. Where no transition leads on, a new
+phrase begins with the character. Texts are parsed in windows of ``window``
+characters side by side; a window's start begins a phrase in every language
+alike.
+
+Training is bounded a language, not in the number of languages: of each,
+``train_docs`` distinct texts, chosen by hash, share ``train_chars`` characters
+evenly; what short texts leave goes to the longer ones, of at most
+``chars_per_doc`` characters each. Scoring reads whole texts.
 
 Defined results: texts that are null or hold no letter are ``und`` with score
 0; so is every text if nothing can be learned; ties go to the first language by
@@ -29,8 +32,9 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import arrow_slices, held_out, sample_by_hash, table
+from .common import arrow_slices, held_out, table
 
 UNKNOWN = "und"
 _TOP = 0x110000
@@ -42,7 +46,6 @@ class LanguageModel:
 
     texts: tuple[tuple[str, str], ...]
     window: int = 512
-    max_alphabet: int = 250
 
 
 def normalise(text: str) -> str:
@@ -50,8 +53,8 @@ def normalise(text: str) -> str:
     return " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
 
 
-def build_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Table of the suffix automaton of ``codes``: [state, code] -> state, -1 where there is none."""
+def build_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """Suffix automaton of ``codes``: by state, code -> state."""
     edges: list[dict[int, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in codes:
@@ -77,11 +80,38 @@ def build_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[state] = copy
         last = state
-    out = np.full((len(edges), width), -1, dtype=np.int32)
-    for s, found in enumerate(edges):
-        if found:
-            out[s, list(found)] = list(found.values())
-    return out
+    return edges
+
+
+def lay_rows(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, entries): the entry of state s and code c is entries[offsets[s] + c] = s << 32 | target; other entries are of another state or -1."""
+    order = sorted((s for s, row in enumerate(rows) if row), key=lambda s: -len(rows[s]))
+    size = 1 << max(4, (2 * sum(map(len, rows))).bit_length())
+    while True:
+        taken, offsets, at = bytearray(size + width), np.zeros(len(rows), dtype=np.int64), 0
+        for s in order:
+            for _ in range(10_000):
+                at = (at + 0x9E3779B1) % size
+                for c in rows[s]:
+                    if taken[at + c]:
+                        break
+                else:
+                    break
+            else:
+                break
+            offsets[s] = at
+            for c in rows[s]:
+                taken[at + c] = 1
+        else:
+            break
+        size *= 2
+    entries = np.full(size + width, -1, dtype=np.int64)
+    lengths = [len(row) for row in rows]
+    state = np.repeat(np.arange(len(rows)), lengths)
+    code = np.fromiter((c for row in rows for c in row), dtype=np.int64, count=len(state))
+    target = np.fromiter((t for row in rows for t in row.values()), dtype=np.int64, count=len(state))
+    entries[offsets[state] + code] = state << 32 | target
+    return offsets, entries
 
 
 class CrossParser:
@@ -90,34 +120,28 @@ class CrossParser:
     def __init__(self, model: LanguageModel):
         self.window = model.window
         self.languages = [name for name, _ in model.texts]
-        counts: dict[str, int] = {}
-        for _, text in model.texts:
-            for c in text:
-                counts[c] = counts.get(c, 0) + 1
-        counts.pop(" ", None)
-        letters = sorted(counts, key=lambda c: (-counts[c], c))[: model.max_alphabet]
+        letters = sorted({c for _, text in model.texts for c in set(text)} - {" "})
         # 0: blank, 1..: letters of the training texts, the last code: letters that no training text has.
         self.width = len(letters) + 2
-        self.code_of = np.zeros(_TOP, dtype=np.uint8)
+        self.code_of = np.zeros(_TOP, dtype=np.int32)
         self.code_of[_is_letter()] = self.width - 1
         for k, c in enumerate(letters):
             self.code_of[ord(c)] = k + 1
         self.tables, self.bits = [], []
         for _, text in model.texts:
-            automaton = build_automaton(self.code_of[_points(text)].tolist(), self.width)
+            rows = build_automaton(self.code_of[_points(text)].tolist())
             # One more state, from which every character begins a phrase; characters the text lacks lead there.
-            dead = len(automaton)
-            automaton = np.vstack([automaton, np.full((1, self.width), -1, dtype=np.int32)])
-            begin = np.where(automaton[0] >= 0, automaton[0], dead)
-            # A new phrase begins with the character: the state it leads to, negative and less 1.
-            self.tables.append((dead, np.where(automaton >= 0, automaton, -1 - begin[None, :]).astype(np.int32).ravel()))
+            dead = len(rows)
+            begin = np.full(self.width, dead, dtype=np.int64)
+            begin[list(rows[0])] = list(rows[0].values())
+            self.tables.append((dead, begin, *lay_rows([*rows, {}], self.width)))
             self.bits.append(np.log2(max(2, len(text))))
 
     def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Bits a character by text and language, and each text's number of characters as parsed (0: no letter)."""
         points = [_points(t.lower()) for t in texts]
         owner = np.repeat(np.arange(len(texts)), [len(p) for p in points])
-        codes = self.code_of[np.concatenate(points)] if points else np.zeros(0, dtype=np.uint8)
+        codes = self.code_of[np.concatenate(points)] if points else np.zeros(0, dtype=np.int32)
         keep = codes > 0
         keep[1:] |= (codes[:-1] > 0) & (owner[1:] == owner[:-1])
         codes, owner = codes[keep], owner[keep]
@@ -131,15 +155,16 @@ class CrossParser:
             order = np.argsort(-lengths, kind="stable")
             starts, lengths = starts[order], lengths[order]
             active = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-            for k, (dead, step) in enumerate(self.tables):
+            for k, (dead, begin, offsets, entries) in enumerate(self.tables):
                 state = np.full(len(starts), dead, dtype=np.int64)
                 count = np.zeros(len(starts), dtype=np.int64)
                 for t in range(int(lengths[0])):
                     n = int(active[t])
-                    to = step[state[:n] * self.width + codes[starts[:n] + t]]
-                    new = to < 0
+                    code, at = codes[starts[:n] + t], state[:n]
+                    found = entries[offsets[at] + code]
+                    new = found >> 32 != at
                     count[:n] += new
-                    state[:n] = np.where(new, -1 - to, to)
+                    state[:n] = np.where(new, begin[code], found & 0xFFFFFFFF)
                 phrases[:, k] = np.bincount(owner[starts], weights=count, minlength=len(texts))
         used = np.where(letters > 0, sizes, 0)
         return phrases * np.array(self.bits) / np.maximum(1, sizes)[:, None], used
@@ -169,21 +194,35 @@ def _parser(model: LanguageModel) -> CrossParser:
     return CrossParser(model)
 
 
-def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: int = 4000, train_chars: int = 30_000, max_languages: int = 200) -> LanguageModel:
+def share_out(texts: list[str], budget: int) -> list[str]:
+    """Beginnings of all texts, ``budget`` characters in all (with one blank each): equal shares, short texts leave theirs to the longer ones."""
+    out, left = {}, budget
+    order = sorted(range(len(texts)), key=lambda k: (len(texts[k]), k))
+    for n, k in enumerate(order):
+        out[k] = texts[k][: max(0, left // (len(texts) - n) - 1)]
+        left -= len(out[k]) + 1
+    return [out[k] for k in range(len(texts))]
+
+
+def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: int = 4000, train_chars: int = 40_000) -> LanguageModel:
     """Learns from (doc_id, text, lang), without the held-out fold.
 
-    The sample's ids are ranked without the texts; at most ``train_docs`` times
-    ``max_languages`` ids exist, so sending them to the tasks is bounded.
+    The texts are ranked by their hashes alone; ``train_docs`` hashes a language
+    are sent to the tasks.
     """
     usable = docs.where(F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    ids = sample_by_hash(usable, "lang", train_docs, max_languages).distinct()
-    sample = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi").select("lang", F.xxhash64("doc_id").alias("h"), "doc_id", F.left("text", F.lit(chars_per_doc)).alias("text"))
-    texts: dict[str, list[str]] = {}
-    rows = sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.text))
-    for row in rows:
-        texts.setdefault(row.lang, []).append(normalise(row.text))
-    joined = {name: " ".join(t for t in parts if t)[:train_chars] for name, parts in texts.items()}
-    return LanguageModel(tuple(sorted((name, text) for name, text in joined.items() if text)))
+    hashed = usable.select("lang", F.xxhash64("text").alias("h"), "doc_id", "text")
+    # A filter by hash leaves about three times the wanted texts, so that the ranking never sees a whole language.
+    counts = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("_n"))
+    chance = F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(1 << 30)) / float(1 << 30)
+    few = hashed.select("lang", "h", "doc_id").join(F.broadcast(counts), "lang").where(chance * F.col("_n") < 3 * train_docs).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
+    ids = few.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_rank") <= train_docs).drop("_rank")
+    sample = hashed.join(F.broadcast(ids), ["lang", "h", "doc_id"], "left_semi").select("lang", "h", F.left("text", F.lit(chars_per_doc)).alias("text"))
+    texts: dict[str, dict[str, None]] = {}
+    for row in sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.text)):
+        if text := normalise(row.text):
+            texts.setdefault(row.lang, {})[text] = None
+    return LanguageModel(tuple(sorted((name, " ".join(t for t in share_out(list(parts), train_chars) if t)) for name, parts in texts.items())))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -52,3 +52,34 @@ def test_query_shape(spark):
     assert li.identify(df.limit(0), model).count() == 0
     nothing = li.fit_language_model(df.limit(0))
     assert {r.lang_pred for r in li.identify(df, nothing).collect()} == {"und"}
+
+
+def test_languages_of_a_large_script(spark):
+    """Two languages of 800 words each from one script's 900 letters, none of them frequent, and a third of few letters."""
+    rng = np.random.default_rng(3)
+    script = [chr(0x4E00 + k) for k in range(900)]
+    words = {lang: ["".join(rng.choice(letters, 2)) for _ in range(800)] for lang, letters in (("xa", script), ("xb", script), ("xc", list("abcdefgh")))}
+
+    def prose(lang, n):
+        return "".join(rng.choice(words[lang], n))
+
+    model = li.LanguageModel(tuple((lang, prose(lang, 3000)) for lang in words))
+    texts = [(lang, prose(lang, 30)) for lang in words for _ in range(30)]
+    assert [x[0] for x in li.CrossParser(model).predict([t for _, t in texts])] == [lang for lang, _ in texts]
+    parser = li.CrossParser(model)
+    for text in (texts[0][1], "ж" * 9):  # the second in letters that no language has: every one is a phrase
+        entropy, _ = parser.entropies([text])
+        assert np.allclose(entropy[0], [phrases(text, train, 512)[0] * np.log2(6000) / len(text) for _, train in model.texts])
+
+
+def test_sample_is_spread_over_distinct_texts_and_all_languages(spark):
+    copies = [(k, "copied text " * 400, "aa") for k in range(200)]
+    others = [(1000 + k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}word " * 400, "aa") for k in range(40)]
+    many = [(2000 + 8 * k + j, f"l{k}", f"l{k:03d}") for k in range(260) for j in range(8)]
+    df = spark.createDataFrame([*copies, *others, *many], "doc_id long, text string, lang string")
+    texts = dict(li.fit_language_model(df, train_docs=50, train_chars=4000).texts)
+    kept = [t for k, t, _ in others if zlib.crc32(str(k).encode()) % 4 != 2]
+    assert all(t.split()[0] in texts["aa"] for t in kept) and "copied text" in texts["aa"]
+    assert 3800 <= len(texts["aa"]) <= 4000 and texts["aa"].count("copied") < 20
+    assert len(texts) == 261
+    assert li.share_out(["aaaaaa", "b", "cccc"], 12) == ["aaaa", "b", "cccc"]
