@@ -4,7 +4,10 @@ Mining: every labelled URL is a transaction of its tokens (host labels, path
 segments with digits masked, query keys) plus an item for its label. Spark's
 FP-growth finds the frequent combinations; rules whose consequent is the block
 label are kept if their support, confidence and lift suffice and no more
-general rule is as confident.
+general rule is as confident. Whole transactions are mined, less what cannot
+change a rule: tokens with too few blocked rows to be in one, tokens of every
+row, and all but one of the tokens that always occur together; the rules of
+that one are repeated for the others.
 
 Matching: the kept rules are an inverted index (token -> rule). URLs are first
 reduced to distinct token sets, so a host with a third of all URLs is matched
@@ -20,12 +23,14 @@ alone decide.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import ensure_checkpoint_dir, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK_ITEM = "label=block"
@@ -66,39 +71,71 @@ def fixed_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return out
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 1.2, max_items: int = 12) -> DataFrame:
+def _needless(itemsets: DataFrame, rules: DataFrame) -> DataFrame:
+    """tokens of the rules that have a more general one at least as confident.
+
+    ``itemsets`` has every subset of a rule; the best confidence below a set is handed
+    on from each size to the next, so a set of k tokens is asked for k subsets only.
+    """
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 0
+    sets = itemsets.join(rules.select("tokens", "confidence"), "tokens", "left").where(F.size("tokens") <= longest).checkpoint()
+    below = sets.where(F.size("tokens") == 1).select("tokens", "confidence", F.lit(None).cast("double").alias("general"))
+    levels = [below]
+    for size in range(2, longest + 1):
+        best = below.select(F.col("tokens").alias("sub"), F.greatest("confidence", "general").alias("best"))
+        subsets = sets.where(F.size("tokens") == size).select("tokens", "confidence", F.explode(F.transform("tokens", lambda t: F.array_remove("tokens", t))).alias("sub"))
+        below = subsets.join(best, "sub").groupBy("tokens").agg(F.first("confidence").alias("confidence"), F.max("best").alias("general")).checkpoint()
+        levels.append(below)
+    return reduce(DataFrame.unionByName, levels).where(F.col("general") >= F.col("confidence")).select("tokens")
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from rows (tokens, bad).
 
     A rule needs ``min_support`` of all labelled rows and ``min_count`` rows at least.
-    A transaction has at most ``max_items`` tokens, so that the number of its
-    subsets is bounded; matching uses all tokens.
     """
     from pyspark.ml.fpm import FPGrowth
 
     spark = labelled.sparkSession
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
-    items = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select(
-        F.when(F.col("bad"), F.array_union(F.slice("tokens", 1, max_items), F.array(F.lit(BLOCK_ITEM)))).otherwise(F.slice("tokens", 1, max_items)).alias("items")
-    )
-    n = items.count()
+    rows = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select("tokens", "bad")
+    n = rows.count()
     if n < min_count:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=max(min_support, min_count / n), minConfidence=min_confidence).fit(items)
+    ensure_checkpoint_dir(spark)
+    support = max(min_support, min_count / n)
+    # A token's rows are told by the token sets that hold it: tokens of the same sets always occur together.
+    patterns = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits"))
+    together = (
+        patterns.select("n", "hits", F.xxhash64("tokens").alias("a"), F.xxhash64(F.lit(7), "tokens").alias("b"), F.explode("tokens").alias("token"))
+        .groupBy("token")
+        .agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+        .where(F.col("hits") >= math.ceil(support * n))
+        .where((F.col("n") < n) | F.lit(min_lift <= 1))
+        .groupBy("n", "hits", "a", "b")
+        .agg(F.array_sort(F.collect_list("token")).alias("members"))
+        .select(F.element_at("members", 1).alias("token"), "members")
+    ).checkpoint()
+    reduced = patterns.select("tokens", F.explode("tokens").alias("token")).join(together.select("token"), "token").groupBy("tokens").agg(F.collect_list("token").alias("kept"))
+    kept = F.coalesce("kept", F.array().cast("array<string>"))
+    items = rows.join(reduced, "tokens", "left").select(F.when(F.col("bad"), F.array_append(kept, F.lit(BLOCK_ITEM))).otherwise(kept).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
     rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK_ITEM) & (F.col("lift") >= min_lift)).select(
         F.array_sort("antecedent").alias("tokens"), "confidence", "support"
-    )
-    # A rule is needless if a more general one is as confident: ask for each of its proper subsets by key.
-    # Antecedents have at most max_items tokens, so the subsets of one rule are bounded.
-    subsets = F.aggregate(
-        "tokens",
+    ).checkpoint()
+    if rules.isEmpty():
+        return empty
+    itemsets = model.freqItemsets.where(F.array_contains("items", BLOCK_ITEM) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK_ITEM)).alias("tokens"))
+    kept_rules = rules.join(_needless(itemsets, rules), "tokens", "left_anti")
+    # Every choice of one token for each that stands for several.
+    lists = kept_rules.select("tokens", "confidence", "support", F.explode("tokens").alias("token")).join(together, "token").groupBy("tokens", "confidence", "support").agg(F.collect_list("members").alias("lists"))
+    choices = F.aggregate(
+        "lists",
         F.array(F.array().cast("array<string>")),
-        lambda acc, t: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(t)))),
-    )
-    smaller = rules.select("tokens", "confidence", F.explode(subsets).alias("sub")).where((F.size("sub") > 0) & (F.size("sub") < F.size("tokens")))
-    needless = (
-        smaller.join(rules.select(F.col("tokens").alias("sub"), F.col("confidence").alias("general")), "sub").where(F.col("general") >= F.col("confidence")).select("tokens").distinct()
+        lambda acc, members: F.flatten(F.transform(acc, lambda s: F.transform(members, lambda t: F.array_append(s, t)))),
     )
-    return rules.join(needless, "tokens", "left_anti").select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
+    found = lists.select(F.explode(choices).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
+    return found.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support")
 
 
 def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:

@@ -56,3 +56,28 @@ def test_mined_rules_against_brute_force(spark):
     mined = u.mine_rules(labelled, min_support=0.05, min_count=2, min_confidence=0.7)
     assert {tuple(r.tokens) for r in mined.collect()} == set(kept)
     assert u.judge_urls(pages.limit(0), labels).count() == 0
+
+
+def test_rules_of_long_urls_against_brute_force(spark):
+    """The path decides and comes after more than twelve host labels and query keys; key1 and key2 always occur together."""
+    keys = "&".join(f"key{j}=1" for j in range(1, 12))
+    urls = [f"http://{h}.example.com/{p}/x{'?' + keys if k % 2 else '?key1=1&key2=1' if k % 3 else ''}" for k in range(12) for h in ("one", "two") for p in ("read", "spam")]
+    bad = ["spam" in url and ("key1" in url or "one" in url) for url in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    token = {r.page_id: r.tokens for r in pages.select("page_id", u.tokens_of(pages.url).alias("tokens")).collect()}
+    assert max(map(len, token.values())) > 12
+    kept, rows = {}, [(set(token[i]), bad[i]) for i in range(len(urls))]
+    for n in range(1, 5):  # all supersets of four tokens hold a smaller rule of confidence 1
+        for combo in {c for i in token for c in combinations(token[i], n)}:
+            holds = [b for t, b in rows if t.issuperset(combo)]
+            confidence = sum(holds) / len(holds)
+            if sum(holds) / len(rows) >= 0.05 and confidence >= 0.6 and confidence / (sum(bad) / len(bad)) >= 1.2:
+                if not any(set(k) < set(combo) and c >= confidence for k, c in kept.items()):
+                    kept[combo] = confidence
+    labelled = spark.createDataFrame([(token[i], b) for i, b in enumerate(bad)], "tokens array<string>, bad boolean")
+    mined = {tuple(r.tokens): r.confidence for r in u.mine_rules(labelled, min_support=0.05, min_count=2, min_confidence=0.6).collect()}
+    assert mined.keys() == kept.keys() and all(abs(mined[k] - kept[k]) < 1e-9 for k in kept)
+    assert ("key:key1", "path:spam") in mined and ("key:key2", "path:spam") in mined
+    labels = spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean")
+    got = u.judge_urls(pages, labels, rules=(), min_support=0.05, min_count=2, min_confidence=0.95)
+    assert {r.page_id: r.verdict == "block" for r in got.collect()} == dict(enumerate(bad))
