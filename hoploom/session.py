@@ -8,10 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one of our own only where none is set."""
+    """Keep the cluster's shared checkpoint folder; only a local master may get one of its own where none is set."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    if context.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    context.setCheckpointDir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
