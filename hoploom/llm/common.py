@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..session import ensure_checkpoint_dir  # noqa: F401  (for the modules of this package)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data directory; only Spark opens the path."""
@@ -20,26 +20,27 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def sample_by_hash(rows: DataFrame, label: str, per_class: int, max_classes: int = 200) -> DataFrame:
-    """(doc_id, label): at most ``per_class`` ids of each label, chosen by hash, of the ``max_classes`` largest labels.
+def sample_by_hash(rows: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(doc_id, label): at most ``per_class`` ids of each label, chosen by hash.
 
     Counts are combined before they are shuffled; a filter by hash then leaves about
-    three times the wanted rows, so the ranking never sees a whole label. The counts
-    that are broadcast are ``max_classes`` rows at most.
+    three times the wanted rows, so the ranking never sees a whole label. What is
+    broadcast is one count a label: meant for labels of few values.
     """
     known = rows.select("doc_id", label).where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(max_classes)
+    counts = known.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     chance = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     few = known.join(F.broadcast(counts), label).where(chance * F.col("_n") < 3 * per_class)
     ranked = W.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
     return few.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= per_class).select("doc_id", label)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; set one of our own only where none is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, with underscores appended until no column of ``df`` has that name."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
 
 
 def arrow_slices(batches, rows: int, size: int = 2_000_000):
@@ -64,28 +65,47 @@ def arrow_slices(batches, rows: int, size: int = 2_000_000):
             start = stop
 
 
-def sorted_groups(batches, keys: list[str]):
-    """Groups of rows with equal ``keys`` from pandas batches that arrive sorted by them.
+def group_tables(batches, keys: list[str]):
+    """(table, starts): Arrow tables of whole groups of rows with equal ``keys``, from batches that arrive sorted by them.
 
-    A group may span batches; what is held is one group and one batch.
+    ``starts`` has the first row of every group and the number of rows. A group may
+    span batches; what is held is one group and one batch.
     """
-    import pandas as pd
+    import pyarrow as pa
 
-    rest = None
-    for frame in batches:
-        if not len(frame):
-            continue
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        changed = np.zeros(len(frame), dtype=bool)
+    held: list = []
+
+    def starts_of(table) -> np.ndarray:
+        changed = np.zeros(table.num_rows, dtype=bool)
         for key in keys:
-            column = frame[key].to_numpy()
+            column = table.column(key).to_numpy()
             changed[1:] |= column[1:] != column[:-1]
-        cuts = np.flatnonzero(changed)
-        last = int(cuts[-1]) if len(cuts) else 0
-        start = 0
-        for cut in cuts:
-            yield frame.iloc[start:cut]
-            start = int(cut)
-        rest = frame.iloc[last:].reset_index(drop=True)
-    if rest is not None and len(rest):
-        yield rest
+        changed[:1] = True
+        return np.append(np.flatnonzero(changed), table.num_rows)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = [held[-1].column(held[-1].schema.get_field_index(k))[-1].as_py() for k in keys] if held else None
+        if last is not None and all(batch.column(batch.schema.get_field_index(k))[-1].as_py() == v for k, v in zip(keys, last, strict=True)):
+            held.append(batch)  # the group goes on to the end of this batch
+            continue
+        whole = pa.Table.from_batches([*held, batch]).combine_chunks()
+        starts = starts_of(whole)
+        cut = int(starts[-2])
+        held = whole.slice(cut).combine_chunks().to_batches()
+        if cut:
+            yield whole.slice(0, cut).combine_chunks(), starts[:-1]
+    if held:
+        whole = pa.Table.from_batches(held).combine_chunks()
+        yield whole, starts_of(whole)
+
+
+def list_arrays(column) -> tuple[np.ndarray, np.ndarray]:
+    """(values, ends): a list column's values one after the other, and where each row's begin and end (rows + 1 offsets)."""
+    import pyarrow as pa
+
+    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    array = array.chunk(0) if isinstance(array, pa.ChunkedArray) else array
+    offsets = array.offsets.to_numpy().astype(np.int64)
+    return array.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]

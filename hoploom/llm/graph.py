@@ -15,8 +15,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: each links a node's neighbours
     to the least of them, so the depth shrinks while the number of edges does
     not grow. Every round is cut off by a checkpoint in the shared folder.
-    Minima are aggregated before they are shuffled, and the join that hands them
-    back is left to Spark, which splits a hub's rows.
+    Minima are aggregated before they are shuffled. A hub's rows meet its minimum
+    in a join of two shuffles of their own, which Spark splits where they are skewed:
+    the key of the minima is written as an expression, so that their aggregation's
+    partitioning is not taken for the join's.
     """
     ensure_checkpoint_dir(edges.sparkSession)
     links = edges.where("src <> dst").select(F.greatest("src", "dst").alias("node"), F.least("src", "dst").alias("parent")).distinct().checkpoint()
@@ -25,7 +27,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state[0] == 0:
             break
         both = links.union(links.select(F.col("parent").alias("node"), F.col("node").alias("parent")))
-        least = both.groupBy("node").agg(F.min("parent").alias("m")).select("node", F.least("node", "m").alias("m"))
+        least = both.groupBy("node").agg(F.min("parent").alias("m")).select(F.bitwise_not(F.bitwise_not("node")).alias("node"), F.least("node", "m").alias("m"))
         large = both.where("parent > node").join(least, "node").select(F.col("parent").alias("node"), F.col("m").alias("parent")).distinct()
         least = large.groupBy("node").agg(F.min("parent").alias("m"))
         small = large.join(least, "node").select(F.explode(F.array(F.struct("parent", "m"), F.struct(F.col("node").alias("parent"), "m"))).alias("e"))

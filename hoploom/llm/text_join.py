@@ -2,18 +2,20 @@
 
 Texts are sets of five-word shingles. Bands and rows a band follow from the
 wanted recall at the threshold. Texts with equal sets are one text with a
-weight. Texts that share a band hash are candidates; candidates that hang
-together form a group, each group's texts are fetched once, and every pair in a
-group is verified on the full sets. Groups are dealt into pairs of blocks, so
-none is held by one task, and links are counted without listing them. Groups
-beyond ``group_limit`` texts are verified band by band instead: a pair counts in
-the first band it shares.
+weight. Texts that share a band hash are candidates, and every such pair is
+verified on the full sets in the first band that it shares, whatever the size
+of its bucket. Buckets are dealt into pairs of blocks, so none is held by one
+task, and links are counted without listing them.
+
+Two passes keep the sets from being sent to every band: the first sends the
+band hashes alone and leaves only the texts that have a pair whose first shared
+band is the bucket's; the second fetches these texts and compares their sets.
 
 Defined results: null, empty and blank texts link with nothing; a text of less
-than five words is one shingle, a text without words is its own one; repeated
-rows are copies, which are linked; extra columns are ignored; an empty table
-gives no rows. Ids are taken as unique: rows with one id and other texts are
-not told apart.
+than five words is one shingle, a text without words is its own one; very long
+texts are compared whole; repeated rows are copies, which are linked; extra
+columns are ignored; an empty table gives no rows. Ids are taken as unique:
+``row_keys`` gives rows with one id and other texts ids of their own.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, ensure_checkpoint_dir, sorted_groups, table
+from .common import arrow_slices, ensure_checkpoint_dir, free_name, group_tables, list_arrays, table
 from .graph import connected_components, deal_blocks, local_roots
 
 _WORDS = re.compile(r"\w+").findall
@@ -150,11 +152,49 @@ def _fetch_sets(size: int):
         for part in arrow_slices(batches, 500):
             h, ends = shingle_sets(part.column("text").to_pylist(), size)
             sets = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("bands"), part.column("targets"), sets], names=["rep", "copies", "bands", "targets", "shingles"])
+            yield part.drop_columns(["text"]).append_column("shingles", sets)
 
     return run
 
 
+def _first_shared(bands: np.ndarray, i: np.ndarray, j: np.ndarray, band: int, chunk: int = 1 << 18) -> np.ndarray:
+    """Of pairs (i, j) that share ``band``, those that share no band before it."""
+    out = np.ones(len(i), dtype=bool)
+    for s in range(0, len(i), chunk):
+        for b in range(band):
+            out[s : s + chunk] &= bands[i[s : s + chunk], b] != bands[j[s : s + chunk], b]
+    return out
+
+
+def _block_pairs(mine: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two sides of a pair of blocks; the same one twice if lo = hi."""
+    left = np.flatnonzero(mine == lo)
+    return left, left if lo == hi else np.flatnonzero(mine == hi)
+
+
+def _needed(batches):
+    """Places (band, grp, lo, hi) and the texts there that have a pair whose first shared band is the place's."""
+    import pyarrow as pa
+
+    for whole, starts in group_tables(batches, ["band", "grp", "lo", "hi"]):
+        band_of, lo_of, hi_of, mine = (whole.column(c).to_numpy() for c in ("band", "lo", "hi", "mine"))
+        bands = list_arrays(whole.column("bands"))[0].reshape(whole.num_rows, -1)
+        keep = np.zeros(whole.num_rows, dtype=bool)
+        for a, z in zip(starts[:-1], starts[1:], strict=True):
+            if z - a < 2:
+                continue
+            left, right = _block_pairs(mine[a:z], lo_of[a], hi_of[a])
+            new = np.ones((len(left), len(right)), dtype=bool)
+            for b in range(band_of[a]):
+                new &= bands[a + left, b][:, None] != bands[a + right, b][None, :]
+            if lo_of[a] == hi_of[a]:
+                np.fill_diagonal(new, False)
+            keep[a + left[new.any(axis=1)]] = True
+            keep[a + right[new.any(axis=0)]] = True
+        if keep.any():
+            yield from whole.filter(pa.array(keep)).select(["rep", "band", "grp", "lo", "hi", "mine"]).combine_chunks().to_batches()
+
+
 def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, cells: int = 1 << 21) -> np.ndarray:
     """Sizes of the intersections of ``sets[left]`` with ``sets[right]``, by products of 0/1 matrices of a bounded size."""
     flat = np.concatenate(sets)
@@ -183,43 +223,45 @@ def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, c
 
 
 def _verify(threshold: float):
-    def run(frames):
-        import pandas as pd
-
-        for group in sorted_groups(frames, ["band", "grp", "lo", "hi"]):
-            # Rows repeated in full come back from the table more than once; one will do.
-            group = group[(group["rep"] != group["rep"].shift()).to_numpy()]
-            n = len(group)
-            if n < 2:
-                continue
-            mine, copies, reps = (group[c].to_numpy() for c in ("mine", "copies", "rep"))
-            sets = list(group["shingles"])
-            sizes = np.array([len(s) for s in sets])
-            lo, hi, band = int(group["lo"].iat[0]), int(group["hi"].iat[0]), int(group["band"].iat[0])
-            left = np.flatnonzero(mine == lo)
-            right = left if lo == hi else np.flatnonzero(mine == hi)
-            if not len(left) or not len(right):
-                continue
-            both = intersections(sets, left, right)
-            i, j = np.nonzero(both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9)
-            i, j = left[i], right[j]
-            if lo == hi:
-                i, j = i[i < j], j[i < j]
-            if not len(i):
-                continue
-            root = local_roots(n, i, j)
-            told = np.union1d(i, j)
-            if band >= 0:  # only pairs whose first shared band this is
-                bands = np.stack(group["bands"].to_numpy())
-                first = np.concatenate([(bands[i[s : s + 200_000]] == bands[j[s : s + 200_000]]).argmax(axis=1) == band for s in range(0, len(i), 200_000)])
+    def run(batches):
+        import pyarrow as pa
+
+        for whole, starts in group_tables(batches, ["band", "grp", "lo", "hi"]):
+            band_of, lo_of, hi_of, mine, copies, reps = (whole.column(c).to_numpy() for c in ("band", "lo", "hi", "mine", "copies", "rep"))
+            bands = list_arrays(whole.column("bands"))[0].reshape(whole.num_rows, -1)
+            shingles, ends = list_arrays(whole.column("shingles"))
+            found: list[list[np.ndarray]] = [[], [], []]
+            for a, z in zip(starts[:-1], starts[1:], strict=True):
+                # Rows repeated in full come back from the table more than once; one will do.
+                own = a + np.flatnonzero(np.append(True, reps[a + 1 : z] != reps[a : z - 1]))
+                if len(own) < 2:
+                    continue
+                left, right = _block_pairs(mine[own], lo_of[a], hi_of[a])
+                if not len(left) or not len(right):
+                    continue
+                sets = [shingles[ends[k] : ends[k + 1]] for k in own.tolist()]
+                sizes = np.array([len(s) for s in sets])
+                both = intersections(sets, left, right)
+                i, j = np.nonzero(both >= threshold * (sizes[left][:, None] + sizes[right][None, :] - both) - 1e-9)
+                i, j = left[i], right[j]
+                if lo_of[a] == hi_of[a]:
+                    i, j = i[i < j], j[i < j]
+                first = _first_shared(bands[own], i, j, int(band_of[a]))
                 i, j = i[first], j[first]
-            links = np.bincount(i, weights=copies[j], minlength=n).astype(np.int64) + np.bincount(j, weights=copies[i], minlength=n).astype(np.int64)
-            yield pd.DataFrame({"rep": reps[told], "links": links[told], "root": reps[root[told]]})
+                if not len(i):
+                    continue
+                n, weight = len(own), copies[own]
+                links = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
+                told = np.union1d(i, j)
+                for column, values in zip(found, (reps[own[told]], links[told].astype(np.int64), reps[own[local_roots(n, i, j)[told]]]), strict=True):
+                    column.append(values)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["rep", "links", "root"])
 
     return run
 
 
-def similar_texts(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, block: int = 512, group_limit: int = 50_000) -> DataFrame:
+def similar_texts(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall: float = 0.999, block: int = 512) -> DataFrame:
     """doc_id, class_id, n_links, text_class, kept for every row of (doc_id, text).
 
     A class is what links connect; its id is its least doc_id. ``text_class`` is the
@@ -233,23 +275,19 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall
     keyed = signed.where("n > 0 AND doc_id IS NOT NULL")
     texts = keyed.groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")).checkpoint()
 
-    spots = texts.select("rep", F.posexplode("bands").alias("band", "key"))
-    crowded = spots.groupBy("band", "key").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    candidates = spots.join(crowded, ["band", "key"]).where("rep <> head").select(F.col("head").alias("src"), F.col("rep").alias("dst"))
-    groups = connected_components(candidates).withColumnRenamed("node", "rep").checkpoint()
-    group_sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    sized = groups.join(group_sizes, "component")
-    whole = sized.where(F.col("n") <= group_limit).select("rep", F.lit(-1).alias("band"), F.col("component").alias("grp"), "n")
-    large = sized.where(F.col("n") > group_limit).select("rep").join(spots, "rep").join(crowded.select("band", "key", "n"), ["band", "key"]).select("rep", "band", F.col("key").alias("grp"), "n")
-    places = deal_blocks(whole.unionByName(large), "rep", "n", block)
-    # A text's places are few: the blocks of its group, or of its bands.
-    targets = places.groupBy("rep").agg(F.collect_list(F.struct("band", "grp", "lo", "hi", "mine")).alias("targets"))
-    wanted = texts.select("rep", "copies", "bands").join(targets, "rep")
-    fetched = wanted.join(source.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "copies", "bands", "targets", "text")
+    spots = texts.select("rep", F.posexplode("bands").alias("band", "grp"))
+    crowded = spots.groupBy("band", "grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    dealt = deal_blocks(spots.join(crowded, ["band", "grp"]), "rep", "n", block).join(texts.select("rep", "bands"), "rep")
+    place = ["band", "grp", "lo", "hi"]
+    needed = dealt.repartition(*place).sortWithinPartitions(*place).mapInArrow(_needed, "rep long, band int, grp long, lo int, hi int, mine int").checkpoint()
+
+    # Each needed text is fetched once, and its set goes to its places: the blocks of the bands that are the first of a pair.
+    targets = needed.groupBy("rep").agg(F.collect_list(F.struct(*place, "mine")).alias("targets"))
+    wanted = targets.join(texts.select("rep", "copies", "bands"), "rep").join(source.withColumnRenamed("doc_id", "rep"), "rep")
     kind = "array<struct<band:int,grp:bigint,lo:int,hi:int,mine:int>>"
-    sets = fetched.mapInArrow(_fetch_sets(size), f"rep long, copies long, bands array<long>, targets {kind}, shingles array<long>")
-    dealt = sets.select("rep", "copies", "bands", "shingles", F.explode("targets").alias("t")).select("rep", "copies", "bands", "shingles", "t.*")
-    found = dealt.repartition("band", "grp", "lo", "hi").sortWithinPartitions("band", "grp", "lo", "hi", "rep").mapInPandas(_verify(threshold), "rep long, links long, root long")
+    sets = wanted.select("rep", "copies", "bands", "targets", "text").mapInArrow(_fetch_sets(size), f"rep long, copies long, bands array<long>, targets {kind}, shingles array<long>")
+    placed = sets.select("rep", "copies", "bands", "shingles", F.explode("targets").alias("t")).select("rep", "copies", "bands", "shingles", "t.*")
+    found = placed.repartition(*place).sortWithinPartitions(*place, "rep").mapInArrow(_verify(threshold), "rep long, links long, root long")
     found = found.groupBy("rep", "root").agg(F.sum("links").alias("links")).checkpoint()
 
     classes = connected_components(found.select(F.col("root").alias("src"), F.col("rep").alias("dst"))).withColumnRenamed("node", "rep")
@@ -260,6 +298,20 @@ def similar_texts(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
+def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key column, and its name: the doc_id, or for ids of several texts a number of id and text above all ids.
+
+    Rows have one key only if id and text are the same. Null ids stay null.
+    """
+    key = free_name(docs, "row_key")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h"))
+    shared = texts.groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a <> z").select("doc_id", F.lit(True).alias(f"{key}_shared"))
+    if shared.isEmpty():
+        return docs.withColumn(key, F.col("doc_id")), key
+    own = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 61) - 1)).bitwiseOR(F.lit(1 << 62))
+    return docs.join(shared, "doc_id", "left").withColumn(key, F.when(F.col(f"{key}_shared"), own).otherwise(F.col("doc_id"))).select(*docs.columns, key), key
+
+
 def op10_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word shingles."""
     return similar_texts(table(spark, sf_dir, "documents"))

@@ -54,8 +54,8 @@ def test_against_brute_force(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(3)
     want = brute(rows)
     assert len({c for c, _, _ in want.values()}) < len(rows)
-    for options in ({}, {"block": 2}, {"group_limit": 2, "block": 2}):
-        got = j.similar_texts(df, recall=0.9999999, **options).collect()
+    for options in ({}, {"block": 2}, {"recall": 0.9999999}, {"recall": 0.9999999, "block": 2}):
+        got = j.similar_texts(df, **options).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.class_id, r.n_links, r.text_class) == want[r.doc_id], (options, r)
@@ -95,3 +95,30 @@ def test_intersections():
     for cells in (1, 1 << 20):
         got = j.intersections(sets, left, right, cells)
         assert got.tolist() == [[len(np.intersect1d(sets[a], sets[b])) for b in right] for a in left]
+
+
+def test_every_size_of_bucket_counts_alike(spark):
+    """One large group of near copies and small ones: each pair counts once, in the first band it shares."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        near = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            near[rng.randrange(len(near))] = f"v{rng.randrange(40)}"
+        rows.append((k, " ".join(near)))
+    rows += [(200 + 2 * k + c, " ".join(f"x{k}y{m}" for m in range(40 + c))) for k in range(10) for c in range(2)]
+    df, want = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), brute(rows)
+    for block in (512, 16):
+        assert all((r.class_id, r.n_links, r.text_class) == want[r.doc_id] for r in j.similar_texts(df, recall=0.9999999, block=block).collect())
+
+
+def test_row_keys(spark):
+    rows = [(1, "a", "x"), (1, "a", "y"), (2, "b", "x"), (2, "c", "x"), (None, "d", "x"), (3, None, "x"), (3, "e", "x")]
+    got, key = j.row_keys(spark.createDataFrame(rows, "doc_id long, text string, row_key string"))
+    assert key == "row_key_" and len(got.columns) == 4
+    keys = {(r.doc_id, r.text, r.row_key): r[key] for r in got.collect()}
+    assert keys[1, "a", "x"] == keys[1, "a", "y"] == 1 and keys[None, "d", "x"] is None
+    assert len({keys[2, "b", "x"], keys[2, "c", "x"], keys[3, None, "x"], keys[3, "e", "x"], 1}) == 5
+    once, key = j.row_keys(spark.createDataFrame(rows[:3], "doc_id long, text string, row_key string"))
+    assert sorted(r[key] for r in once.collect()) == [1, 1, 2]
