@@ -1,21 +1,23 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; its label holds for the bag alone. A
-sentence's probability is logistic in its words and their prefixes, the bag's
-is the noisy-or of its sentences, 1 - prod(1 - p) = 1 - exp(-sum softplus(z)).
-The weights are fitted to document labels by full-batch Adam on that
-likelihood, so the sentences that explain a label are found on the way;
-``locate`` returns them. In scoring, of the sentences whose probability is below
-``FLOOR`` only the likeliest counts: length alone must not make a text toxic.
-
-Training is bounded: ``per_class`` documents of each label, chosen by hash,
-none longer than ``max_chars``; the held-out fold is never used. Scoring reads
-whole texts.
-
-Defined results: null and empty texts have no sentences and score 0; without
-labels of both kinds every score is 0; repeated documents score alike;
-contradicting labels of one document count as toxic; extra columns are kept by
-``score_documents`` and ignored by the query.
+sentence's probability is logistic in its words, their prefixes and the
+logarithm of the number of sentences beside it; the bag's is the noisy-or of all
+its sentences, 1 - prod(1 - p) = 1 - exp(-sum softplus(z)). The weights are
+fitted to document labels by full-batch Adam on that likelihood, so the
+sentences that explain a label are found on the way; ``locate`` returns them.
+Scoring uses the same function as training: the weight of the length is learned
+with the others, so that length alone does not make a text toxic.
+
+Training is bounded: ``per_class`` documents of each label, chosen by hash, each
+whole; the held-out fold is never used. Scoring reads whole texts.
+
+Defined results: null and empty texts have no sentences and score 0; very long
+texts are scored whole, in bounded memory beside the text itself; without labels
+of both kinds every score is 0; repeated documents score alike; contradicting
+labels of one document count as toxic; extra columns are kept, and a column that
+has the name of the score keeps it: the score then gets the next free name with
+an underscore. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, held_out, sample_by_hash, table
+from .common import arrow_slices, free_name, held_out, sample_by_hash, table
 
 #: Sentences end at these marks, at line breaks, and after SENTENCE_WORDS words.
 _TOKENS = re.compile(r"\w+|[.!?\n]+").findall
 _SPANS = re.compile(r"\w+|[.!?\n]+").finditer
 SENTENCE_WORDS = 64
-FLOOR = 0.05
 PREFIXES = (3, 4, 5)
 
 
@@ -61,14 +62,15 @@ def _softplus(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class ToxicityModel:
-    """A bias and the weights of features; words' weights are cached as they come up."""
+    """A bias, the weights of features and of the length; words' weights are cached as they come up."""
 
     bias: float = -np.inf
     weights: dict[str, float] = field(default_factory=dict)
+    length_weight: float = 0.0
     _words: dict[str, float] = field(default_factory=dict, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"bias": self.bias, "weights": self.weights, "_words": {}}
+        return {"bias": self.bias, "weights": self.weights, "length_weight": self.length_weight, "_words": {}}
 
     def _weight(self, token: str) -> float:
         value = np.inf if _is_break(token) else sum(self.weights.get(f, 0.0) for f in features_of(token))
@@ -86,19 +88,16 @@ class ToxicityModel:
             return np.zeros(0), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         breaks = np.isinf(values)
         sentence = _segment(breaks, owner)
-        z = np.bincount(sentence, weights=np.where(breaks, 0.0, values)) + self.bias
-        return z, owner[np.flatnonzero(np.diff(sentence, prepend=-1))], sentence
+        bag = owner[np.flatnonzero(np.diff(sentence, prepend=-1))]
+        z = np.bincount(sentence, weights=np.where(breaks, 0.0, values)) + self.bias + self.length_weight * np.log(np.bincount(bag))[bag]
+        return z, bag, sentence
 
     def score(self, texts: list[str | None]) -> list[float]:
         """Noisy-or of each text's sentences."""
         if not np.isfinite(self.bias):
             return [0.0] * len(texts)
         z, owner, _ = self._scores([_TOKENS((t or "").lower()) for t in texts])
-        evidence = _softplus(z)
-        sure = evidence >= -np.log1p(-FLOOR)
-        rest = np.zeros(len(texts))
-        np.maximum.at(rest, owner[~sure], evidence[~sure])
-        return (-np.expm1(-np.bincount(owner[sure], weights=evidence[sure], minlength=len(texts)) - rest)).tolist()
+        return (-np.expm1(-np.bincount(owner, weights=_softplus(z), minlength=len(texts)))).tolist()
 
     def locate(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, probability) of the sentences at or above ``threshold``; offsets into the lower-cased text."""
@@ -148,61 +147,65 @@ def fit_bags(texts: list[str], labels: list[int], min_docs: int = 3, min_g: floa
     pairs = [(k, f) for k, w in enumerate(words) if not breaks[k] for f in features_of(w)]
     names = {f: k for k, f in enumerate(dict.fromkeys(f for _, f in pairs))}
     word_of, feature_of = np.array([k for k, _ in pairs]), np.array([names[f] for _, f in pairs])
-    seen = np.unique(token_owner.astype(np.int64) * len(words) + flat)
     by_word = np.argsort(word_of, kind="stable")
     starts = np.searchsorted(word_of[by_word], np.arange(len(words) + 1))
-    repeats = np.diff(starts)[seen % len(words)]
-    first = np.repeat(starts[seen % len(words)] - np.cumsum(repeats) + repeats, repeats)
-    held = np.unique(np.repeat(seen // len(words), repeats) * len(names) + feature_of[by_word][first + np.arange(repeats.sum())])
-    del seen, repeats, first
-    toxic = labels_[held // len(names)]
-    with_toxic = np.bincount(held[toxic] % len(names), minlength=len(names))
-    with_clean = np.bincount(held[~toxic] % len(names), minlength=len(names))
+    with_toxic, with_clean = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+    doc_starts = np.searchsorted(token_owner, np.arange(len(texts) + 1))
+    for d in range(len(texts)):  # one document's features at a time
+        own = np.unique(flat[doc_starts[d] : doc_starts[d + 1]])
+        repeats = starts[own + 1] - starts[own]
+        at = np.repeat(starts[own] - np.cumsum(repeats) + repeats, repeats) + np.arange(repeats.sum())
+        (with_toxic if labels_[d] else with_clean)[np.unique(feature_of[by_word[at]])] += 1
     g = _association(with_toxic, with_clean, int(labels_.sum()), int((~labels_).sum()))
     kept = (with_toxic + with_clean >= min_docs) & (g >= min_g)
     used = kept[feature_of]
     word_of, feature_of = word_of[used], feature_of[used]
+    # Tokens without a kept feature weigh nothing; their sentences stay.
+    weighty = np.zeros(len(words), dtype=bool)
+    weighty[word_of] = True
+    real = weighty[flat]
+    flat, sentence = flat[real], sentence[real]
     n_sentences, n_docs = len(bag), len(texts)
-    w, bias = np.zeros(len(names)), -4.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    w, bias, length_weight = np.zeros(len(names)), -4.0, 0.0
+    lengths = np.log(np.maximum(1, np.bincount(bag, minlength=n_docs)))[bag]
+    m, v = np.zeros(len(names) + 2), np.zeros(len(names) + 2)
     for step in range(1, steps + 1):
         word_weight = np.bincount(word_of, weights=w[feature_of], minlength=len(words))
-        z = bias + np.bincount(sentence, weights=word_weight[flat], minlength=n_sentences)
+        z = bias + length_weight * lengths + np.bincount(sentence, weights=word_weight[flat], minlength=n_sentences)
         total = np.bincount(bag, weights=_softplus(z), minlength=n_docs)
         # d loss / d total: 1 for clean bags, -1 / (e^total - 1) for toxic ones.
         outer = np.where(labels_, -1 / np.expm1(np.clip(total, 1e-6, 50)), 1.0) / n_docs
         inner = outer[bag] / (1 + np.exp(-np.clip(z, -50, 50)))
         by_word = np.bincount(flat, weights=inner[sentence], minlength=len(words))
-        gradient = np.append(np.bincount(feature_of, weights=by_word[word_of], minlength=len(names)) + decay * w, inner.sum())
+        gradient = np.append(np.bincount(feature_of, weights=by_word[word_of], minlength=len(names)) + decay * w, [inner.sum(), inner @ lengths])
         m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
         change = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w, bias = w - change[:-1], bias - change[-1]
-    return ToxicityModel(float(bias), {f: float(w[k]) for f, k in names.items() if kept[k] and abs(w[k]) >= prune})
+        w, bias, length_weight = w - change[:-2], bias - change[-2], length_weight - change[-1]
+    return ToxicityModel(float(bias), {f: float(w[k]) for f, k in names.items() if kept[k] and abs(w[k]) >= prune}, float(length_weight))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 20_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500) -> ToxicityModel:
     """Learns from (doc_id, text) and (doc_id, toxic), without the held-out fold."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    fit_for = docs.where(F.length("text").between(1, max_chars)).select("doc_id")
-    ids = sample_by_hash(known.join(fit_for, "doc_id", "left_semi"), "toxic", per_class)
-    sample = docs.where(F.length("text").between(1, max_chars)).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    with_text = docs.where("text <> ''").select("doc_id")
+    ids = sample_by_hash(known.join(with_text, "doc_id", "left_semi"), "toxic", per_class)
+    sample = docs.where("text <> ''").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     rows = sorted(sample.select("doc_id", "text", "toxic").collect())
     return fit_bags([r.text for r in rows], [r.toxic for r in rows])
 
 
-def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """All columns of ``docs`` with ``toxic_score`` added. One pass, no shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score_documents(docs: DataFrame, model: ToxicityModel, name: str = "toxic_score") -> DataFrame:
+    """All columns of ``docs`` and the score, named ``name`` or, where that is taken, as ``free_name`` says. One pass, no shuffle."""
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, name)
 
     def run(batches):
         import pyarrow as pa
 
         for part in arrow_slices(batches, 1000):
-            yield part.append_column("toxic_score", pa.array(shared.value.score(part.column("text").to_pylist()), pa.float64()))
+            yield part.append_column(name, pa.array(shared.value.score(part.column("text").to_pylist()), pa.float64()))
 
-    kept = docs.drop("toxic_score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "toxic_score double"])
-    return kept.mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"])
+    return docs.mapInArrow(run, schema)
 
 
 def locate_sentences(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:

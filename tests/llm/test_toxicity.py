@@ -36,6 +36,28 @@ def test_noisy_or_by_hand():
     assert abs(model.score([text])[0] - (1 - keep)) < 1e-9
 
 
+def test_noisy_or_of_random_bags():
+    """Every sentence counts, those of small probabilities too, with the length's weight."""
+    rng = random.Random(8)
+    weights = {f"w{k}x": rng.uniform(-1, 2) for k in range(30)}
+    for bias, length_weight in ((-3.1, 0.0), (-2.0, -0.7), (-5.0, 0.2)):
+        model = t.ToxicityModel(bias=bias, weights=weights, length_weight=length_weight)
+        bags = [[[rng.choice(list(weights)) for _ in range(rng.randint(1, 5))] for _ in range(n)] for n in (1, 2, 7, 200)]
+        bags.append([["none"]] * 200)  # all below 0.05
+        for bag, score in zip(bags, model.score([". ".join(" ".join(s) for s in bag) for bag in bags]), strict=True):
+            z = [bias + length_weight * math.log(len(bag)) + sum(weights.get(w, 0) for w in s) for s in bag]
+            assert abs(score - (1 - math.prod(1 - 1 / (1 + math.exp(-x)) for x in z))) < 1e-9
+    assert t.ToxicityModel(bias=-3.1).score(["word. " * 200])[0] > 0.999
+
+
+def test_long_clean_documents_stay_clean():
+    rng = random.Random(5)
+    texts, labels = corpus(300, rng)
+    model = t.fit_bags(texts + [" ".join(rng.choices(texts, k=40)).replace("vilething", "bana").replace("viler", "bana") for _ in range(20)], labels + [0] * 20)
+    long_clean = [" ".join(rng.choices(texts, k=60)).replace("vilething", "bana").replace("viler", "bana") for _ in range(10)]
+    assert max(model.score(long_clean)) < t.THRESHOLD <= min(model.score([x + " you vilething bana." for x in long_clean]))
+
+
 def test_query_edges(spark):
     rng = random.Random(4)
     texts, labels = corpus(240, rng)
@@ -43,9 +65,11 @@ def test_query_edges(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic_score double")
     marks = spark.createDataFrame([*enumerate(labels), (0, 1), (1, None), (None, 1)], "doc_id long, toxic int")
     model = t.fit_toxicity(docs, marks)
-    got = {r.doc_id: r.toxic_score for r in t.score_documents(docs, model).collect()}
+    scored = t.score_documents(docs, model).collect()
+    assert all(r.toxic_score in (0.5, 0.0) for r in scored)  # the given column is kept
+    got = {r.doc_id: r.toxic_score_ for r in scored}
     assert got[900] == got[901] == 0.0 and got[902] < 0.3 and got[903] > 0.5
     assert {r.doc_id for r in t.locate_sentences(docs, model).collect()} >= {903}
     nothing = t.fit_toxicity(docs, marks.limit(0))
-    assert {r.toxic_score for r in t.score_documents(docs, nothing).collect()} == {0.0}
+    assert {r.toxic_score_ for r in t.score_documents(docs, nothing).collect()} == {0.0}
     assert t.score_documents(docs.limit(0), model).count() == 0
