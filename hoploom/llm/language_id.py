@@ -14,14 +14,15 @@ phrase begins with the character. Texts are parsed in windows of ``window``
 characters side by side; a window's start begins a phrase in every language
 alike.
 
-Training is bounded a language, not in the number of languages: of each,
-``train_docs`` distinct texts, chosen by hash, share ``train_chars`` characters
-evenly; what short texts leave goes to the longer ones, of at most
-``chars_per_doc`` characters each. Scoring reads whole texts.
+Training is bounded in rows a language, not in the number of languages: of each,
+``train_docs`` distinct texts, chosen by hash, are learned whole. Scoring reads
+whole texts.
 
 Defined results: texts that are null or hold no letter are ``und`` with score
 0; so is every text if nothing can be learned; ties go to the first language by
-name; repeated texts score alike; extra columns are ignored.
+name; repeated texts score alike; very long texts are parsed whole; extra columns
+are kept, and a column that has the name of a result keeps it: the result then
+gets the next free name with an underscore. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import arrow_slices, held_out, table
+from .common import arrow_slices, free_name, held_out, table
 
 UNKNOWN = "und"
 _TOP = 0x110000
@@ -194,17 +195,7 @@ def _parser(model: LanguageModel) -> CrossParser:
     return CrossParser(model)
 
 
-def share_out(texts: list[str], budget: int) -> list[str]:
-    """Beginnings of all texts, ``budget`` characters in all (with one blank each): equal shares, short texts leave theirs to the longer ones."""
-    out, left = {}, budget
-    order = sorted(range(len(texts)), key=lambda k: (len(texts[k]), k))
-    for n, k in enumerate(order):
-        out[k] = texts[k][: max(0, left // (len(texts) - n) - 1)]
-        left -= len(out[k]) + 1
-    return [out[k] for k in range(len(texts))]
-
-
-def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: int = 4000, train_chars: int = 40_000) -> LanguageModel:
+def fit_language_model(docs: DataFrame, train_docs: int = 24) -> LanguageModel:
     """Learns from (doc_id, text, lang), without the held-out fold.
 
     The texts are ranked by their hashes alone; ``train_docs`` hashes a language
@@ -217,16 +208,17 @@ def fit_language_model(docs: DataFrame, train_docs: int = 200, chars_per_doc: in
     chance = F.pmod(F.xxhash64(F.lit(5), "h"), F.lit(1 << 30)) / float(1 << 30)
     few = hashed.select("lang", "h", "doc_id").join(F.broadcast(counts), "lang").where(chance * F.col("_n") < 3 * train_docs).groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"))
     ids = few.withColumn("_rank", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("_rank") <= train_docs).drop("_rank")
-    sample = hashed.join(F.broadcast(ids), ["lang", "h", "doc_id"], "left_semi").select("lang", "h", F.left("text", F.lit(chars_per_doc)).alias("text"))
+    sample = hashed.join(F.broadcast(ids), ["lang", "h", "doc_id"], "left_semi").select("lang", "h", "text")
     texts: dict[str, dict[str, None]] = {}
     for row in sorted(sample.collect(), key=lambda r: (r.lang, r.h, r.text)):
         if text := normalise(row.text):
             texts.setdefault(row.lang, {})[text] = None
-    return LanguageModel(tuple(sorted((name, " ".join(t for t in share_out(list(parts), train_chars) if t)) for name, parts in texts.items())))
+    return LanguageModel(tuple(sorted((name, " ".join(parts)) for name, parts in texts.items())))
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred`` and ``lang_score`` added. One pass, no shuffle."""
+def identify(docs: DataFrame, model: LanguageModel, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns of ``docs`` with the language and its score, named ``pred`` and ``score`` or as ``free_name`` says. One pass, no shuffle."""
+    pred, score = free_name(docs, pred), free_name(docs, score)
 
     def run(batches):
         import pyarrow as pa
@@ -234,11 +226,10 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         parser = _parser(model)
         for part in arrow_slices(batches, 1000):
             found = parser.predict(part.column("text").to_pylist())
-            yield part.append_column("lang_pred", pa.array([x[0] for x in found], pa.string())).append_column("lang_score", pa.array([x[1] for x in found], pa.float64()))
+            yield part.append_column(pred, pa.array([x[0] for x in found], pa.string())).append_column(score, pa.array([x[1] for x in found], pa.float64()))
 
-    kept = docs.drop("lang_pred", "lang_score")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields), "lang_pred string", "lang_score double"])
-    return kept.mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{pred}` string", f"`{score}` double"])
+    return docs.mapInArrow(run, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ an underscore. An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -144,9 +145,11 @@ def fit_bags(texts: list[str], labels: list[int], min_docs: int = 3, min_g: floa
     bag = owner[np.flatnonzero(np.diff(sentence, prepend=-1))]
     real = ~breaks[flat]
     flat, sentence, token_owner = flat[real], sentence[real], owner[real]
-    pairs = [(k, f) for k, w in enumerate(words) if not breaks[k] for f in features_of(w)]
-    names = {f: k for k, f in enumerate(dict.fromkeys(f for _, f in pairs))}
-    word_of, feature_of = np.array([k for k, _ in pairs]), np.array([names[f] for _, f in pairs])
+    names: dict[str, int] = {}
+    per_word = [array("i", [names.setdefault(f, len(names)) for f in features_of(w)] if not breaks[k] else []) for k, w in enumerate(words)]
+    word_of = np.repeat(np.arange(len(words), dtype=np.int32), [len(x) for x in per_word])
+    feature_of = np.frombuffer(b"".join(x.tobytes() for x in per_word), dtype=np.int32)
+    del per_word
     by_word = np.argsort(word_of, kind="stable")
     starts = np.searchsorted(word_of[by_word], np.arange(len(words) + 1))
     with_toxic, with_clean = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)

@@ -48,10 +48,11 @@ def test_query_shape(spark):
     fold = [r[0] for r in rows if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert fold and {r.doc_id for r in df.where(li.held_out()).collect()} == set(fold)
     got = {r.doc_id: r for r in li.identify(df, model).collect()}
-    assert [got[i].lang_pred for i in (0, 1, 2, 100, 101, 102, 103)] == ["aa", "bb", "cc", "und", "und", "cc", "aa"]
+    assert [got[i].lang_pred_ for i in (0, 1, 2, 100, 101, 102, 103)] == ["aa", "bb", "cc", "und", "und", "cc", "aa"]
+    assert got[100].lang_pred == "s" and got[103].lang_pred is None  # the given column is kept
     assert li.identify(df.limit(0), model).count() == 0
     nothing = li.fit_language_model(df.limit(0))
-    assert {r.lang_pred for r in li.identify(df, nothing).collect()} == {"und"}
+    assert {r.lang_pred_ for r in li.identify(df, nothing).collect()} == {"und"}
 
 
 def test_languages_of_a_large_script(spark):
@@ -72,14 +73,15 @@ def test_languages_of_a_large_script(spark):
         assert np.allclose(entropy[0], [phrases(text, train, 512)[0] * np.log2(6000) / len(text) for _, train in model.texts])
 
 
-def test_sample_is_spread_over_distinct_texts_and_all_languages(spark):
+def test_sample_is_of_whole_distinct_texts_and_of_all_languages(spark):
     copies = [(k, "copied text " * 400, "aa") for k in range(200)]
     others = [(1000 + k, f"{chr(97 + k % 26)}{chr(97 + k // 26)}word " * 400, "aa") for k in range(40)]
     many = [(2000 + 8 * k + j, f"l{k}", f"l{k:03d}") for k in range(260) for j in range(8)]
     df = spark.createDataFrame([*copies, *others, *many], "doc_id long, text string, lang string")
-    texts = dict(li.fit_language_model(df, train_docs=50, train_chars=4000).texts)
+    texts = dict(li.fit_language_model(df, train_docs=50).texts)
     kept = [t for k, t, _ in others if zlib.crc32(str(k).encode()) % 4 != 2]
-    assert all(t.split()[0] in texts["aa"] for t in kept) and "copied text" in texts["aa"]
-    assert 3800 <= len(texts["aa"]) <= 4000 and texts["aa"].count("copied") < 20
+    assert len(texts["aa"]) == len(" ".join([*(t.strip() for t in kept), copies[0][1].strip()]))  # each whole, copies once
+    assert all(t.strip() in texts["aa"] for t in kept) and texts["aa"].count("copied") == 400
     assert len(texts) == 261
-    assert li.share_out(["aaaaaa", "b", "cccc"], 12) == ["aaaa", "b", "cccc"]
+    few = dict(li.fit_language_model(df, train_docs=5).texts)
+    assert sum(t.strip() in few["aa"] for t in [*kept, copies[0][1]]) == 5
