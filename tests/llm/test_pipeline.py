@@ -50,7 +50,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     from tokenizers import Tokenizer
 
     real, text_of, total = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {i: t for i, t, _ in rows}, {}
-    pieces = pipeline.run(spark, str(tmp_path)).collect()
+    pieces = pipeline.run(spark, str(tmp_path), f"{tmp_path}/run").collect()
     for r in pieces:
         total[r.doc_id] = total.get(r.doc_id, 0) + r.length
     assert set(total) == {*first, None}
@@ -59,3 +59,27 @@ def test_stages_against_brute_force(spark, tmp_path):
     for r in pieces:
         fill.setdefault(r.sequence_id, []).append((r.offset, r.length))
     assert all(np.array_equal(np.cumsum([0, *[n for _, n in sorted(x)]])[:-1], [o for o, _ in sorted(x)]) for x in fill.values())
+    assert {p.name for p in (tmp_path / "run").iterdir()} == {"3-packing"}
+    again = pipeline.run(spark, "/nowhere", f"{tmp_path}/run")  # complete: nothing is run again
+    assert again.count() == len(pieces)
+
+
+def test_columns_and_rows_are_kept(spark, tmp_path):
+    rows, marks = corpus()
+    rng = random.Random(3)
+    words = [f"q{k}" for k in range(300)]
+    first, second = (" ".join(rng.choices(words, k=60)) for _ in range(2))
+    rows = rows[:220] + [(500, first, "aa"), (500, second, "aa"), (500, first, "aa"), (501, second, "aa"), (502, None, "aa"), (502, "", "aa")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, toxic_score string, row_key long"
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "ORIGINAL", f"o{i}", 7) for i, t, lang in rows], schema)
+    spark.createDataFrame([(i, 1, y) for i, y in marks], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.schema == docs.schema
+        got = out.collect()
+        assert {(r.lang_pred, r.row_key) for r in got} == {("ORIGINAL", 7)} and all(r.toxic_score == f"o{r.doc_id}" for r in got)
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    # Two texts of one id: the first one stays once, the second one is a copy of 501.
+    assert sorted((r.doc_id, r.text) for r in got if (r.doc_id or 0) >= 500 and r.text) == sorted([(500, first), (501, second)])
+    assert sum(r.doc_id == 502 for r in got) == 2
+    assert pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
