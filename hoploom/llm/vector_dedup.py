@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_slices, ensure_checkpoint_dir, sorted_groups, table
+from .common import arrow_slices, ensure_checkpoint_dir, group_tables, list_arrays, table
 from .graph import connected_components, deal_blocks, local_roots
 
 
@@ -69,62 +69,72 @@ def bucket_ids(unit: np.ndarray, labels: np.ndarray, plan: HashPlan) -> np.ndarr
     return key.view(np.int64)
 
 
+def _unit_rows(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(matrix, dimensions) of a list column's rows at length 1 in double precision, shorter rows filled with zeros."""
+    dims = np.diff(offsets)
+    width = int(dims.max(initial=0))
+    if (dims == width).all():
+        x = values.astype(np.float64).reshape(len(dims), width)
+    else:
+        x = np.zeros((len(dims), width))
+        x[np.repeat(np.arange(len(dims)), dims), np.arange(len(values)) - np.repeat(offsets[:-1], dims)] = values
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True), dims
+
+
 def _hash_rows(plan: HashPlan):
     def run(batches):
         import pyarrow as pa
 
         for part in arrow_slices(batches, 2000):
-            vectors = [np.asarray(v, dtype=np.float64) for v in part.column("embedding").to_pylist()]
-            labels = np.array(part.column("label").to_pylist(), dtype=np.int64)
-            buckets: list = [None] * len(vectors)
-            for d in {len(v) for v in vectors}:
-                own = [k for k, v in enumerate(vectors) if len(v) == d]
-                x = np.stack([vectors[k] for k in own])
-                x /= np.abs(x).max(axis=1, keepdims=True)
-                for k, b in zip(own, bucket_ids(x / np.linalg.norm(x, axis=1, keepdims=True), labels[own], plan), strict=True):
-                    buckets[k] = b
-            yield part.append_column("buckets", pa.array(buckets, pa.list_(pa.int64())))
+            x, dims = _unit_rows(*list_arrays(part.column("embedding")))
+            labels = part.column("label").to_numpy()
+            buckets = np.zeros((len(x), plan.tables), dtype=np.int64)
+            for d in np.unique(dims):
+                own = dims == d
+                buckets[own] = bucket_ids(x[own, :d], labels[own], plan)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * plan.tables), pa.array(buckets.ravel()))
+            yield part.append_column("buckets", lists)
 
     return run
 
 
 def _compare_blocks(threshold: float):
-    def run(frames):
-        import pandas as pd
-
-        for group in sorted_groups(frames, ["at", "bucket", "lo", "hi"]):
-            n = len(group)
-            if n < 2:
-                continue
-            dims = group["embedding"].map(len).to_numpy()
-            label, mine, copies, reps = (group[c].to_numpy() for c in ("label", "mine", "copies", "rep"))
-            width = int(dims.max())
-            x = np.zeros((n, width))
-            for k, v in enumerate(group["embedding"]):
-                x[k, : len(v)] = v
-            x /= np.abs(x).max(axis=1, keepdims=True)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            lo, hi = int(group["lo"].iat[0]), int(group["hi"].iat[0])
-            left = np.flatnonzero(mine == lo)
-            right = left if lo == hi else np.flatnonzero(mine == hi)
-            i, j = np.nonzero(x[left] @ x[right].T >= threshold)
-            i, j = left[i], right[j]
-            keep = (label[i] == label[j]) & (dims[i] == dims[j]) & ((i < j) if lo == hi else True)
-            i, j = i[keep], j[keep]
-            if not len(i):
-                continue
-            root = local_roots(n, i, j)
-            buckets = np.stack(group["buckets"].to_numpy())
-            at = int(group["at"].iat[0])
-            links = np.zeros(n, dtype=np.int64)
-            for start in range(0, len(i), 200_000):
-                a, b = i[start : start + 200_000], j[start : start + 200_000]
-                first = (buckets[a] == buckets[b]).argmax(axis=1) == at
-                a, b = a[first], b[first]
-                links += np.bincount(a, weights=copies[b], minlength=n).astype(np.int64) + np.bincount(b, weights=copies[a], minlength=n).astype(np.int64)
-            # Rows come in order of rep, so the least index is the least rep.
-            told = np.union1d(i, j)
-            yield pd.DataFrame({"rep": reps[told], "links": links[told], "root": reps[root[told]]})
+    def run(batches):
+        import pyarrow as pa
+
+        for whole, starts in group_tables(batches, ["at", "bucket", "lo", "hi"]):
+            x, dims = _unit_rows(*list_arrays(whole.column("embedding")))
+            buckets = list_arrays(whole.column("buckets"))[0].reshape(len(x), -1)
+            label, mine, copies, reps, at_of, lo_of, hi_of = (whole.column(c).to_numpy() for c in ("label", "mine", "copies", "rep", "at", "lo", "hi"))
+            found: list[list[np.ndarray]] = [[], [], []]
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                if z - a < 2:
+                    continue
+                if lo_of[a] == hi_of[a]:
+                    near = x[a:z] @ x[a:z].T >= threshold
+                    if np.count_nonzero(near) <= z - a:  # each with itself
+                        continue
+                    i, j = np.nonzero(np.triu(near, 1))
+                else:
+                    left, right = np.flatnonzero(mine[a:z] == lo_of[a]), np.flatnonzero(mine[a:z] == hi_of[a])
+                    i, j = np.nonzero(x[a + left] @ x[a + right].T >= threshold)
+                    i, j = left[i], right[j]
+                keep = (label[a + i] == label[a + j]) & (dims[a + i] == dims[a + j])
+                i, j = i[keep], j[keep]
+                for b in range(at_of[a]):  # a pair counts in the first bucket that it shares
+                    first = buckets[a + i, b] != buckets[a + j, b]
+                    i, j = i[first], j[first]
+                if not len(i):
+                    continue
+                n, weight = z - a, copies[a:z]
+                links = np.bincount(i, weights=weight[j], minlength=n) + np.bincount(j, weights=weight[i], minlength=n)
+                # Rows come in order of rep, so the least index is the least rep.
+                told = np.union1d(i, j)
+                for column, values in zip(found, (reps[a + told], links[told].astype(np.int64), reps[a + local_roots(n, i, j)[told]]), strict=True):
+                    column.append(values)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["rep", "links", "root"])
 
     return run
 
@@ -148,7 +158,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, recall: float =
     crowded = spots.groupBy("at", "bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     places = deal_blocks(spots.join(crowded, ["at", "bucket"]), "rep", "n", block)
     dealt = places.join(hashed, "rep").select("at", "bucket", "lo", "hi", "mine", "rep", "copies", "label", "embedding", "buckets")
-    found = dealt.repartition("at", "bucket", "lo", "hi").sortWithinPartitions("at", "bucket", "lo", "hi", "rep").mapInPandas(_compare_blocks(threshold), "rep long, links long, root long")
+    found = dealt.repartition("at", "bucket", "lo", "hi").sortWithinPartitions("at", "bucket", "lo", "hi", "rep").mapInArrow(_compare_blocks(threshold), "rep long, links long, root long")
     found = found.groupBy("rep", "root").agg(F.sum("links").alias("links")).checkpoint()
     components = connected_components(found.select(F.col("root").alias("src"), F.col("rep").alias("dst"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
