@@ -3,7 +3,8 @@
 A page becomes a tree of elements. Elements that are never article text
 (scripts, navigation, headers, footers, asides) are cut off by their tag. Forms
 and elements whose class, id or role names a sidebar, notice, advert, comment or
-the like are cut off too, unless the article is inside: see ``_spare_wrappers``.
+the like only weigh less: their densities and those of all that is in them are
+multiplied by ``PENALTY``, unless the article is inside (see ``_spare_wrappers``).
 For every remaining node the composite density is
 link-adjusted characters per tag,
 
@@ -20,11 +21,14 @@ text in several sections stays whole; what stands between its sections stays, li
 links below the threshold do not. An enclosing article element is left only for
 other article elements that reach the threshold, an enclosing main element
 never. If the article has no h1, the nearest h1 before it is its title, and what
-stands between the two stays as well.
+stands between the two stays as well. What is marked inside of the
+chosen subtree is left out, but sections of an ambiguous name ("related work") that
+are about as dense as the article are part of it.
 
 Defined results: null and empty pages give an empty text; broken markup is
-closed as browsers do; a page of bare text is its own article; repeated pages
-are extracted alike; extra columns are ignored.
+closed as browsers do; a page of bare text is its own article; very long pages are
+extracted whole; of nodes of equal sums the outermost is taken; repeated pages are
+extracted alike; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,6 +60,10 @@ TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table caption tbody th
 TEXT_WORDS = frozenset("notice notices related discussion social comment comments reply header search promotion recommended rail modal overlay toolbar share sharing aside".split())
 #: What follows one of these words in a class or an id says how the page is laid out.
 LAYOUT_WORDS = frozenset("has no with without".split())
+#: Sections whose marks are all of these may be the article's: their density decides.
+AMBIGUOUS_WORDS = frozenset("related social search rail promotion".split())
+#: Factor of the densities in marked elements, and the share of the article's characters per tag that an ambiguous section needs.
+PENALTY, AMBIGUOUS_SHARE = 0.05, 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the right side is closed by a start tag of the left side.
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -63,10 +71,10 @@ SCOPES = frozenset("table td th ul ol dl button object article section div body
 
 
 class Node:
-    __slots__ = ("tag", "kind", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "reaches", "titled")
+    __slots__ = ("tag", "kind", "noise", "weak", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "reaches", "titled")
 
     def __init__(self, tag: str, parent: Node | None, kind: str = ""):
-        self.tag, self.parent, self.kind, self.noise = tag, parent, kind, bool(kind)
+        self.tag, self.parent, self.kind, self.noise, self.weak = tag, parent, kind, kind == "cut", False
         self.children: list[Node | str] = []
 
 
@@ -82,7 +90,7 @@ def _class_words(value: str) -> set[str]:
 
 
 def _noise_of(tag: str, attributes: list[tuple[str, str | None]]) -> str:
-    """"cut", "soft" (cut unless it wraps the article), "reply" (the same, but may be longer than the article) or ""."""
+    """"cut", or a mark: "soft", "ambiguous", "reply" (may be longer than the article); or ""."""
     if tag in NOISE_TAGS:
         return "cut"
     kind = "soft" if tag == "form" else ""
@@ -93,13 +101,13 @@ def _noise_of(tag: str, attributes: list[tuple[str, str | None]]) -> str:
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return "cut"
         if name == "role" and value.lower() in NOISE_ROLES:
-            kind = kind or "soft"
+            kind = "reply" if kind == "reply" else "soft"
         if name in ("class", "id"):
             found = NOISE_WORDS & _class_words(value)
             if tag in TEXT_TAGS:
                 found -= TEXT_WORDS
             if found:
-                kind = "reply" if found & REPLY_WORDS else kind or "soft"
+                kind = "reply" if kind == "reply" or found & REPLY_WORDS else "soft" if kind == "soft" or found - AMBIGUOUS_WORDS else "ambiguous"
     return kind
 
 
@@ -184,14 +192,14 @@ class _Share:
 
 
 def _spare_wrappers(top: Node) -> None:
-    """Keeps the elements of class words, roles and forms that hold what the rest of the page lacks.
+    """Takes the mark off elements of class words, roles and forms that hold what the rest of the page lacks.
 
-    Such an element stays if it holds a main element, at least as much article text
+    Such an element loses its mark if it holds a main element, at least as much article text
     as the rest, the only h1, or more than half of the body's text (an advert beside
     an article with text does not count as that); one of reader comments has to
     hold the page's only article text. The rest of the page is what
-    no such element holds, and what the ones that stay hold themselves. The longest
-    are asked first, those inside one that stays after it.
+    no such element holds, and what the ones without mark hold themselves. The longest
+    are asked first, those inside one that lost its mark after it.
     """
     order: list[tuple[Node, bool, bool]] = []
     todo: list[tuple[Node, bool, bool]] = [(top, top.tag in ("article", "main"), False)]
@@ -235,7 +243,7 @@ def _spare_wrappers(top: Node) -> None:
         else:
             stays = a.mains > 0 or 0 < a.article >= rest.article or a.titles > 0 and rest.titles == 0 or 2 * a.chars > total and (rest.article == 0 or a.article > 0)
         if stays:
-            node.noise = False
+            node.kind = ""
             rest.add(o)
             for x, inner, its in o.wrappers:
                 heapq.heappush(heap, (-inner.chars, seen, x, inner, its))
@@ -247,7 +255,10 @@ def _bottom_up(top: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(x for x in node.children if isinstance(x, Node) and not x.noise)
+        for x in node.children:
+            if isinstance(x, Node) and not x.noise:
+                x.weak = node.weak or bool(x.kind)
+                todo.append(x)
     return order[::-1]
 
 
@@ -272,7 +283,8 @@ def _measure(top: Node) -> list[Node]:
             node.density = 0.0
         else:
             base = math.log(math.log(c / max(1, c - node.link_chars) * lc + body_share * c + math.e))
-            node.density = c / t * max(0.0, math.log(c / lc * t / lt)) / base
+            # Below 0 only for a link itself, which counts for more link tags than it has inside: no text density either.
+            node.density = c / t * max(0.0, math.log(c / lc * t / lt)) / base * (PENALTY if node.weak else 1)
         node.total = sum(x.density for x in node.children if isinstance(x, Node) and not x.noise)
     return nodes
 
@@ -294,10 +306,28 @@ def _drop_links(nodes: list[Node | str]) -> None:
             x.noise = True
 
 
+def _drop_marked(top: Node) -> Node:
+    """Marks what is left of marked elements as noise; ambiguous ones of several paragraphs stay if they are about as dense as ``top``."""
+    todo = [top]
+    while todo:
+        for x in todo.pop().children:
+            if isinstance(x, Node) and not x.noise:
+                dense = x.kind == "ambiguous" and sum(isinstance(c, Node) and c.tag == "p" for c in x.children) > 1 and _plain(x) >= AMBIGUOUS_SHARE * _plain(top)
+                if x.kind and not dense:
+                    x.noise = True
+                else:
+                    todo.append(x)
+    return top
+
+
 def main_node(top: Node) -> Node:
-    """The article's subtree; lists of links and, before a title, what else does not belong to it are taken out of the tree."""
+    """The article's subtree; what does not belong to it is taken out of the tree: lists of links, marked elements and what stands before a title."""
+    return _drop_marked(_densest(top))
+
+
+def _densest(top: Node) -> Node:
     nodes = _measure(top)
-    best = max(reversed(nodes), key=lambda n: n.total)  # the outermost wins a tie
+    best = max((n for n in reversed(nodes) if not n.weak), key=lambda n: n.total)  # the outermost wins a tie
     if best.total <= 0:
         return top
     path, node = [best], best
@@ -309,8 +339,8 @@ def main_node(top: Node) -> Node:
     start = marked[-1] if marked else 0
     for node in nodes:
         inner = [x for x in node.children if isinstance(x, Node) and not x.noise]
-        node.titled = node.tag == "h1" and node.chars > 0 or any(x.titled for x in inner)
-        node.own = node.density > 0 and (node.density >= threshold or _plain(node) >= plain)
+        node.titled = not node.weak and node.tag == "h1" and node.chars > 0 or any(x.titled for x in inner)
+        node.own = not node.weak and node.density > 0 and (node.density >= threshold or _plain(node) >= plain)
         node.reaches = node.own and (not marked or node.tag == "article") or any(x.reaches for x in inner)
 
     def beside(k: int) -> list[Node | str]:

@@ -1,3 +1,6 @@
+import math
+import random
+
 from hoploom.llm import html_text as h
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -78,3 +81,55 @@ def test_noise_words_on_running_text_and_on_true_noise():
     assert h.extract(f"<article><h1>T</h1>{as_html(text)}{inner}{noise}</article>").split("\n\n") == ["T", *text, *marked]
     assert h.extract(f"<article><h1>T</h1>{as_html(text)}</article>{noise}<div class=comments><h1>Replies</h1><p>" + "so long " * 999).split("\n\n") == ["T", *text]
     assert h.extract("<div class=ad>" + "buy now " * 30 + "</div><article><h1>T</h1><p>short</p></article>") == "T\n\nshort"
+
+
+def test_density_decides_on_every_page(monkeypatch):
+    """Taking the whole body instead of the densest subtree changes the text of each page."""
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"]).column(0).to_pylist()
+    texts = [h.extract(x) for x in pages]
+    monkeypatch.setattr(h, "main_node", lambda top: top)
+    assert sum(h.extract(x) != t for x, t in zip(pages, texts, strict=True)) == len(pages) > 0
+
+
+def brute_density(node, share, weak=False):
+    """(characters, tags, characters in links, link tags, density, sum) by recursion."""
+    inner = [(x, brute_density(x, share, weak or bool(x.kind))) for x in node.children if isinstance(x, h.Node) and not x.noise]
+    chars = sum(len(" ".join(x.split())) for x in node.children if isinstance(x, str)) + sum(m[0] for _, m in inner)
+    tags = sum(m[1] + 1 for _, m in inner)
+    link_chars, link_tags = (chars, tags + 1) if node.tag == "a" else (sum(m[2] for _, m in inner), sum(m[3] for _, m in inner))
+    t, lc, lt = max(1, tags), max(1, link_chars), max(1, link_tags)
+    density = 0.0
+    if chars:
+        base = math.log(math.log(chars / max(1, chars - link_chars) * lc + share * chars + math.e))
+        density = max(0.0, chars / t * math.log(chars / lc * t / lt) / base) * (h.PENALTY if weak else 1)
+    return chars, tags, link_chars, link_tags, density, sum(m[4] for _, m in inner)
+
+
+def test_densities_against_brute_force():
+    rng = random.Random(1)
+
+    def grow(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "p", "a href=x", "span", "section", "div class=ad", "ul", "nav"])
+            out += rng.choice(["", "word " * rng.randint(1, 30)])
+            out += f"<{tag}>{grow(depth - 1) if depth else 'leaf ' * rng.randint(0, 9)}</{tag.split()[0]}>"
+        return out
+
+    for _ in range(40):
+        top = h.parse_tree(grow(3))
+        nodes = h._measure(top)
+        share = brute_density(top, 0.0)[2] / max(1, brute_density(top, 0.0)[0])
+        for node in nodes:
+            assert (node.chars, node.tags, node.link_chars, node.link_tags) == brute_density(node, share)[:4]
+            want = brute_density(node, share, node.weak)
+            assert math.isclose(node.density, want[4], abs_tol=1e-9) and math.isclose(node.total, want[5], abs_tol=1e-9)
+
+
+def test_sections_of_ambiguous_names_are_left_to_their_density():
+    text, work = paragraphs("a", 6), paragraphs("w", 3, 300)
+    teasers = "<div class='related-posts'>" + "<p><a href=/x>Another story</a></p>" * 6 + "</div>"
+    assert h.extract(f"<article><h1>T</h1>{as_html(text)}<div class='related-work'>{as_html(work)}</div>{teasers}</article>").split("\n\n") == ["T", *text, *work]
+    assert h.extract(f"<article><h1>T</h1>{as_html(text)}</article><div class='related-posts'>{as_html(work)}</div>").split("\n\n") == ["T", *text]
