@@ -4,7 +4,10 @@ Mining: every labelled URL is a transaction of its tokens (host labels, path
 segments with digits masked, query keys) plus an item for its label. Spark's
 FP-growth finds the frequent combinations; rules whose consequent is the block
 label are kept if their support, confidence and lift suffice and no more
-general rule is as confident. Whole transactions are mined, less what cannot
+general rule is as confident. The lift sets the confidence in proportion to the
+share of blocked rows: a rule has to be ``min_lift`` times as sure as a guess, and
+``min_z`` standard errors surer, so that labels that do not depend on the URL
+give no rules however few they are. Whole transactions are mined, less what cannot
 change a rule: tokens with too few blocked rows to be in one, tokens of every
 row, and all but one of the tokens that always occur together; the rules of
 that one are repeated for the others.
@@ -14,7 +17,10 @@ reduced to distinct token sets, so a host with a third of all URLs is matched
 once per pattern, not once per row; a set matches a rule if it holds all of the
 rule's tokens.
 
-Defined results: null URLs and URLs without ``://`` have an empty host and
+Defined results: of rules that fit, the longest fixed one and the most confident
+mined one count, of equally confident ones the last by tokens; fixed rules of one
+length that both fit are the same rule; very long URLs are matched whole; extra
+columns are ignored; null URLs and URLs without ``://`` have an empty host and
 path, no tokens, and are allowed; repeated URLs are judged alike; repeated
 labels of one page count once, the worst wins; null labels are left out; an
 empty table gives no rows; without labels nothing is mined and the fixed rules
@@ -89,10 +95,10 @@ def _needless(itemsets: DataFrame, rules: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, levels).where(F.col("general") >= F.col("confidence")).select("tokens")
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int = 20, min_confidence: float = 0.5, min_lift: float = 1.2) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_rows: int = 3, min_confidence: float = 0.3, min_lift: float = 1.5, min_z: float = 4.0) -> DataFrame:
     """Rules (rule_id, tokens, confidence, support) from rows (tokens, bad).
 
-    A rule needs ``min_support`` of all labelled rows and ``min_count`` rows at least.
+    A rule needs ``min_support`` of all labelled rows as blocked ones, and ``min_rows`` of them at least.
     """
     from pyspark.ml.fpm import FPGrowth
 
@@ -100,10 +106,10 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     empty = spark.createDataFrame([], "rule_id long, tokens array<string>, confidence double, support double")
     rows = labelled.where(F.col("bad").isNotNull() & (F.size("tokens") > 0)).select("tokens", "bad")
     n = rows.count()
-    if n < min_count:
+    if n < min_rows:
         return empty
     ensure_checkpoint_dir(spark)
-    support = max(min_support, min_count / n)
+    support = max(min_support, min_rows / n)
     # A token's rows are told by the token sets that hold it: tokens of the same sets always occur together.
     patterns = rows.groupBy("tokens").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("hits"))
     together = (
@@ -119,8 +125,10 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_count: int =
     reduced = patterns.select("tokens", F.explode("tokens").alias("token")).join(together.select("token"), "token").groupBy("tokens").agg(F.collect_list("token").alias("kept"))
     kept = F.coalesce("kept", F.array().cast("array<string>"))
     items = rows.join(reduced, "tokens", "left").select(F.when(F.col("bad"), F.array_append(kept, F.lit(BLOCK_ITEM))).otherwise(kept).alias("items"))
+    share = rows.where("bad").count() / n
+    error = F.sqrt(F.lit(share * (1 - share)) / (F.col("support") * n / F.col("confidence")))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK_ITEM) & (F.col("lift") >= min_lift)).select(
+    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK_ITEM) & (F.col("lift") >= min_lift) & (F.col("confidence") >= share + min_z * error)).select(
         F.array_sort("antecedent").alias("tokens"), "confidence", "support"
     ).checkpoint()
     if rules.isEmpty():
@@ -154,12 +162,14 @@ def match_rules(token_sets: DataFrame, rules: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, **mining) -> DataFrame:
     """Verdict per page; ``labels`` has page_id and bad (boolean)."""
+    ensure_checkpoint_dir(pages.sparkSession)
     judged = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), tokens_of(F.col("url")).alias("tokens")).withColumn(
         "fixed", fixed_rule(F.col("host"), F.col("path"), rules)
     )
     worst = labels.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").alias("bad"))
-    mined = mine_rules(judged.select("page_id", "tokens").join(worst, "page_id").select("tokens", "bad"), **mining)
-    matched = match_rules(judged.where(F.col("fixed").isNull()).select("tokens").distinct(), mined)
+    mined = mine_rules(judged.select("page_id", "tokens").join(worst, "page_id").select("tokens", "bad"), **mining).checkpoint()
+    # Written first: the join back then has two shuffles of its own, and Spark splits a token set that many rows have.
+    matched = match_rules(judged.where(F.col("fixed").isNull()).select("tokens").distinct(), mined).checkpoint()
     return judged.join(matched, "tokens", "left").select(
         "page_id",
         "host",

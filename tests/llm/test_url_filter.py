@@ -38,7 +38,7 @@ def test_mined_rules_against_brute_force(spark):
     bad = {i: ("pills" in url and "buy" in url) for i, url in rows}
     pages = spark.createDataFrame([*rows, (900, "http://pills.example.com/buy/77"), (901, "http://pills.example.com/a/77"), (902, None)], "page_id long, url string")
     labels = spark.createDataFrame([*bad.items(), (0, False), (None, True), (3, None)], "page_id long, bad boolean")
-    got = {r.page_id: r for r in u.judge_urls(pages, labels, min_support=0.05, min_count=2, min_confidence=0.7).collect()}
+    got = {r.page_id: r for r in u.judge_urls(pages, labels, min_support=0.05, min_rows=2, min_confidence=0.7, min_lift=1.2, min_z=0).collect()}
     assert all(got[i].verdict == ("block" if bad[i] else "allow") for i in bad)
     assert got[900].verdict == "block" and got[901].verdict == "allow" and got[902].verdict == "allow"
     # The minimal rules by trying all token sets.
@@ -53,7 +53,7 @@ def test_mined_rules_against_brute_force(spark):
                 if not any(set(k) < set(combo) and c >= confidence for k, c in kept.items()):
                     kept[combo] = confidence
     labelled = spark.createDataFrame([(token[i], b) for i, b in bad.items()], "tokens array<string>, bad boolean")
-    mined = u.mine_rules(labelled, min_support=0.05, min_count=2, min_confidence=0.7)
+    mined = u.mine_rules(labelled, min_support=0.05, min_rows=2, min_confidence=0.7, min_lift=1.2, min_z=0)
     assert {tuple(r.tokens) for r in mined.collect()} == set(kept)
     assert u.judge_urls(pages.limit(0), labels).count() == 0
 
@@ -75,9 +75,23 @@ def test_rules_of_long_urls_against_brute_force(spark):
                 if not any(set(k) < set(combo) and c >= confidence for k, c in kept.items()):
                     kept[combo] = confidence
     labelled = spark.createDataFrame([(token[i], b) for i, b in enumerate(bad)], "tokens array<string>, bad boolean")
-    mined = {tuple(r.tokens): r.confidence for r in u.mine_rules(labelled, min_support=0.05, min_count=2, min_confidence=0.6).collect()}
+    mined = {tuple(r.tokens): r.confidence for r in u.mine_rules(labelled, min_support=0.05, min_rows=2, min_confidence=0.6, min_lift=1.2, min_z=0).collect()}
     assert mined.keys() == kept.keys() and all(abs(mined[k] - kept[k]) < 1e-9 for k in kept)
     assert ("key:key1", "path:spam") in mined and ("key:key2", "path:spam") in mined
     labels = spark.createDataFrame(list(enumerate(bad)), "page_id long, bad boolean")
-    got = u.judge_urls(pages, labels, rules=(), min_support=0.05, min_count=2, min_confidence=0.95)
+    got = u.judge_urls(pages, labels, rules=(), min_support=0.05, min_rows=2, min_confidence=0.95, min_lift=1.2, min_z=0)
     assert {r.page_id: r.verdict == "block" for r in got.collect()} == dict(enumerate(bad))
+
+
+def test_mined_rules_decide_with_the_production_parameters(spark):
+    """Labels that depend on the URL: pages without a fixed rule are blocked by the mined ones, new URLs too."""
+    urls = [f"https://{h}.example.com/{lang}/{k}?{q}=1" for k in range(20) for h in ("www", "cheap-pills", "blog") for lang in ("en", "fr", "it", "pt") for q in ("page", "ref")]
+    bad = ["cheap-pills" in url and "/fr/" in url or k % 41 == 0 for k, url in enumerate(urls)]
+    pages = spark.createDataFrame([*enumerate(urls), (5000, "http://cheap-pills.example.org/fr/99"), (5001, "http://cheap-pills.example.org/en/99"), (5002, "http://x.com/en/cheap-pills/fr")], "page_id long, url string")
+    labels = spark.createDataFrame([(k, b) for k, b in enumerate(bad) if k % 2], "page_id long, bad boolean")
+    got = {r.page_id: r for r in u.judge_urls(pages, labels).collect()}
+    pills = [k for k, url in enumerate(urls) if "cheap-pills" in url and "/fr/" in url]
+    assert all(got[k].verdict == "block" and got[k].rule is None and got[k].mined_rule for k in [*pills, 5000])
+    assert [got[k].verdict for k in (5001, 5002)] == ["allow", "block"] and got[5002].rule == "com/en/"
+    others = [k for k, url in enumerate(urls) if "cheap-pills" not in url]
+    assert sum(got[k].verdict == "block" for k in others) == 0
