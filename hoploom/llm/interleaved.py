@@ -4,13 +4,16 @@ A page is parsed into elements (position, kind, text, digest, caption) in page
 order. A media reference names its payload by the digest of the stored bytes;
 payloads live once each in a media table and are resolved by a join on the
 digest. Captions come from the figure's caption, else from the alternative
-text, and stay with their element.
+text, and stay with their element. The spans of text between the references are
+told by the digest of what they hold together.
 
 A payload is stored as a binary PPM image of 64 pixels a row (192 bytes), whose
 comment line holds the unpadded length; what is read back is parsed from these
 bytes alone.
 
-Defined results: null pages have no elements; references that no payload
+Defined results: null and empty pages have no elements; very long pages are parsed
+whole; a reference that is repeated is one element each time; an empty table gives
+no rows; references that no payload
 resolves keep null columns; equal payloads are stored once; null and empty
 texts are a payload of 192 blanks; extra columns are ignored.
 """
@@ -105,14 +108,20 @@ def sequences(pages: DataFrame, id_col: str, html_col: str = "html") -> DataFram
     return pages.select(id_col, html_col).mapInArrow(run, f"{id_col} {dict(pages.dtypes)[id_col]}, elements {ELEMENTS}")
 
 
+def spans_digest(elements: Column) -> Column:
+    """SHA-256 of an element list's texts in order, one a line."""
+    return F.sha2(F.array_join(F.transform(F.filter(elements, lambda e: e["kind"] == "text"), lambda e: e["text"]), "\n"), 256)
+
+
 def resolve(found: DataFrame, media: DataFrame, id_col: str) -> DataFrame:
     """One row per element with the media table's columns beside it.
 
-    Only references are joined; the join is by digest and left to Spark, which
-    splits a digest that a large part of all references names.
+    Other columns of ``found`` stay. Only references are joined; the join is by digest
+    and left to Spark, which splits a digest that a large part of all references names.
     """
-    elements = found.select(id_col, F.explode("elements").alias("e")).select(id_col, "e.*")
-    taken = media.select([F.col(c) for c in media.columns if c == "digest" or c not in {id_col, "pos", "kind", "text", "caption"}])
+    others = [c for c in found.columns if c not in (id_col, "elements")]
+    elements = found.select(id_col, *others, F.explode("elements").alias("e")).select(id_col, *others, "e.*")
+    taken = media.select([F.col(c) for c in media.columns if c == "digest" or c not in {id_col, *others, "pos", "kind", "text", "caption"}])
     return elements.where("kind = 'media'").join(taken, "digest", "left")
 
 
@@ -178,13 +187,29 @@ def _as_markup(text: Column) -> Column:
     return text
 
 
+def _paragraphs(lines: Column) -> Column:
+    """Lines of markup as paragraphs; no lines, nothing."""
+    return F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>"))), "")
+
+
+def as_page(text: Column, digest: Column, caption: Column) -> Column:
+    """A text's lines as paragraphs, with the figure of the digest after half of them."""
+    lines = F.split(_as_markup(text), "\n", -1)
+    half = F.floor(F.size(lines) / 2 + 0.5).cast("int")
+    figure = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), _as_markup(caption), F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), _paragraphs(F.slice(lines, F.lit(1), half)), figure, _paragraphs(F.slice(lines, half + 1, F.size(lines) - half)), F.lit("</article>"))
+
+
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a page whose figure names its payload; payloads stored once, read back and resolved by digest."""
+    """Every text as a page with a figure between its lines that names its payload; payloads stored once, read back and resolved by digest.
+
+    ``position`` is the figure's place among the ``n_elements`` of its page, ``spans_sha256`` the digest of the text around it.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "source")
     docs = docs.withColumn("media", stored_form(padded(F.col("text")), F.octet_length("text"))).withColumn("digest", F.sha2("media", 256))
     media = media_features(docs.groupBy("digest").agg(F.first("media").alias("media")))
-    figure = F.concat(F.lit('<figure><img src="sha256:'), F.col("digest"), F.lit('"><figcaption>'), _as_markup(F.coalesce("source", F.lit(""))), F.lit("</figcaption></figure>"))
-    pages = docs.select("doc_id", F.concat(F.lit("<article>"), figure, F.lit("<p>"), F.replace(_as_markup(F.col("text")), F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article>")).alias("html"))
-    return resolve(sequences(pages, "doc_id"), media, "doc_id").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("position"), "caption"
+    pages = docs.select("doc_id", as_page(F.col("text"), F.col("digest"), F.coalesce("source", F.lit(""))).alias("html"))
+    found = sequences(pages, "doc_id").withColumn("n_elements", F.size("elements")).withColumn("spans_sha256", spans_digest(F.col("elements")))
+    return resolve(found, media, "doc_id").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", F.col("pos").alias("position"), "caption", "n_elements", "spans_sha256"
     )

@@ -27,3 +27,21 @@ def test_payload_round_trip(spark):
         assert got[i].media_sha256 == got[i].digest
     assert got[2].feature == got[6].feature and got[99].feature is None
     assert m.resolve(m.sequences(pages.limit(0), "doc_id"), media, "doc_id").count() == 0
+
+
+def test_query_of_whole_documents(spark, tmp_path):
+    """Payloads, positions, captions and the text around the figures, through the query itself."""
+    texts = [None, "", "one line", "a\nb\nc\nd", "a <b> & c\n\n  d\u00a0e \nf", "x" * 5000 + "\n" + "y z " * 3000, "a\nb\nc\nd", "é" * 100 + "\r\nnext"]
+    spark.createDataFrame([(i, t, None if i == 3 else f"s<{i}>") for i, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in m.op3_media(spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        want = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        assert (got[i].n_bytes, got[i].payload_sha256, got[i].tail_crc32) == (len(raw), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-16:]))
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        half = int(len(lines) / 2 + 0.5)
+        assert got[i].position == sum(map(bool, lines[:half])) and got[i].n_elements == sum(map(bool, lines)) + 1
+        assert got[i].spans_sha256 == hashlib.sha256("\n".join(filter(None, lines)).encode()).hexdigest()
+        assert got[i].caption == (None if i == 3 else f"s<{i}>")
+    assert got[3].position == 2 and got[3].feature == got[6].feature
