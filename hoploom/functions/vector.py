@@ -16,10 +16,14 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
+def _by_length(a: Column, length: Column, of) -> Column:
+    """``of(x, length)`` for every x; the length is bound as a one-element array, so it is worked out once a vector."""
+    return F.element_at(F.transform(F.array(length), lambda n: F.transform(a, lambda x: of(x, n))), 1)
+
+
 def l2_normalize(a: Column) -> Column:
     """Unit length; a zero vector stays."""
-    n = norm(a)
-    return F.transform(a, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
+    return _by_length(a, norm(a), lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(F.lit(0.0)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -34,5 +38,4 @@ def cosine_each(a: Column, b: Column) -> Column:
 
 def scaled(a: Column) -> Column:
     """Divided by norm and small constant: the dot product of two such vectors is ``cosine_each``."""
-    n = norm(a) + EPSILON
-    return F.transform(a, lambda x: x.cast("double") / n)
+    return _by_length(a, norm(a) + EPSILON, lambda x, n: x.cast("double") / n)

@@ -1,7 +1,8 @@
-"""Exact top-k by dot product: a query set against all items, in blocks."""
+"""Exact dot products of a query set with all items, and top-k of whole tables, in blocks."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -9,6 +10,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .batches import group_tables, list_arrays
+
+
+def _query_blocks(queries: DataFrame, keys: Sequence[str], block: int) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+    """(key columns, matrix) of the queries with key and vector, about ``block`` rows at a time."""
+    usable = queries.where(F.col(keys[0]).isNotNull() & F.col("vector").isNotNull())
+    blocks = max(1, -(-usable.count() // block))
+    for b in range(blocks):
+        own = usable.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == b) if blocks > 1 else usable
+        rows = own.select(*keys, F.col("vector").cast("array<double>").alias("vector")).collect()
+        if rows:
+            yield [np.array([r[c] for r in rows], dtype=object) for c in keys], np.array([r.vector for r in rows], dtype=np.float64)
+
+
+def _usable(items: DataFrame) -> DataFrame:
+    return items.where(F.col("iid").isNotNull() & F.col("vector").isNotNull()).select("iid", F.col("vector").cast("array<double>").alias("vector"))
+
+
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest scores per row; of equal ones the first."""
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
 
 def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096, digits: int = 9) -> DataFrame:
     """(qid, iid, score, rank) of the ``k`` items with the largest dot products per query; ties by the item's id.
@@ -17,19 +40,14 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096, digit
     blocks of about ``block`` rows, so what goes to the tasks is bounded; a task
     multiplies its items' batches with the block and keeps k rows per query and
     batch, so neither side is shuffled and no pair is listed. Scores are rounded
-    before they are ranked, which makes ties the same on every machine.
+    before they are ranked, which makes ties the same on every machine. For query
+    sets that grow with the data there is ``top_k_joined``.
     """
     spark = queries.sparkSession
     kind_q, kind_i = dict(queries.dtypes)["qid"], dict(items.dtypes)["iid"]
-    usable = queries.where(F.col("qid").isNotNull() & F.col("vector").isNotNull())
-    blocks = max(1, -(-usable.count() // block))
     parts = []
-    for b in range(blocks):
-        own = usable.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else usable
-        rows = own.select("qid", F.col("vector").cast("array<double>").alias("vector")).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
+    for (ids,), matrix in _query_blocks(queries, ["qid"], block):
+        shared = spark.sparkContext.broadcast((ids, matrix))
 
         def run(batches, shared=shared):
             import pandas as pd
@@ -40,43 +58,137 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096, digit
                     continue
                 scores = np.round(matrix @ np.stack(frame["vector"].to_numpy()).astype(np.float64).T, digits) + 0.0
                 names = frame["iid"].to_numpy()
-                order = np.argsort(names, kind="stable")  # so that a stable sort by score breaks ties by id
+                order = np.argsort(names, kind="stable")  # so that ties go to the smaller id
                 scores, names = scores[:, order], names[order]
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"qid": np.repeat(np.array(ids, dtype=object), best.shape[1]), "iid": names[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+                best = _best(scores, k)
+                yield pd.DataFrame({"qid": np.repeat(ids, best.shape[1]), "iid": names[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
 
-        usable_items = items.where(F.col("iid").isNotNull() & F.col("vector").isNotNull()).select("iid", F.col("vector").cast("array<double>").alias("vector"))
-        parts.append(usable_items.mapInPandas(run, f"qid {kind_q}, iid {kind_i}, score double"))
+        parts.append(_usable(items).mapInPandas(run, f"qid {kind_q}, iid {kind_i}, score double"))
     if not parts:
         return spark.createDataFrame([], f"qid {kind_q}, iid {kind_i}, score double, rank int")
-    found = reduce(DataFrame.union, parts)
+    return _ranked(reduce(DataFrame.union, parts), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     ranked = W.partitionBy("qid").orderBy(F.desc("score"), "iid")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
-def all_scores(queries: DataFrame, items: DataFrame, block: int = 1024) -> DataFrame:
-    """(qid, iid, score) of every pair of a query set and all items, as a map over the items (no shuffle)."""
-    spark = queries.sparkSession
+def top_k_joined(queries: DataFrame, items: DataFrame, k: int, block: int = 2048, digits: int = 9) -> DataFrame:
+    """As ``top_k`` for query sets of any size: nothing passes the driver.
+
+    ``queries`` and ``items`` may both have a whole number ``cell``; a query then meets
+    the items of its cells alone. Both sides of a cell are dealt into blocks of
+    about ``block`` rows, each pair of blocks is one product, and only k rows per
+    query and block go on. The work is that of all pairs in a cell; the cells are
+    what bounds it.
+    """
     kind_q, kind_i = dict(queries.dtypes)["qid"], dict(items.dtypes)["iid"]
-    usable = queries.where(F.col("qid").isNotNull() & F.col("vector").isNotNull())
-    blocks = max(1, -(-usable.count() // block))
+    cell = (F.col("cell") if "cell" in queries.columns else F.lit(0)).cast("long").alias("cell")
+    q = queries.where("qid IS NOT NULL AND vector IS NOT NULL").select(cell, F.col("qid").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    i = items.where("iid IS NOT NULL AND vector IS NOT NULL").select(cell, F.col("iid").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def blocks_of(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    # Cells are few beside their rows; the sizes are joined to both sides.
+    sizes = blocks_of(q, "nq").join(blocks_of(i, "ni"), "cell")
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, its: str, side: int) -> DataFrame:
+        with_block = df.join(sizes, "cell").withColumn(mine, F.pmod(F.xxhash64("id"), F.col(own)).cast("int")).withColumn(its, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        return with_block.select("cell", "qb", "ib", F.lit(side).alias("side"), F.col("id").alias("qid" if side == 0 else "iid"), "vector")
+
+    both = dealt(q, "nq", "ni", "qb", "ib", 0).unionByName(dealt(i, "ni", "nq", "ib", "qb", 1), allowMissingColumns=True)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole, starts in group_tables(batches, ["cell", "qb", "ib"]):
+            values, ends = list_arrays(whole.column("vector"))
+            side = whole.column("side").to_numpy()
+            for a, z in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                cut = a + int(np.searchsorted(side[a:z], 1))
+                if cut in (a, z):
+                    continue
+                x = values[ends[a] : ends[z]].astype(np.float64).reshape(z - a, -1)
+                scores = np.round(x[: cut - a] @ x[cut - a :].T, digits) + 0.0
+                best = _best(scores, k)
+                asked, found = pa.array(np.repeat(np.arange(a, cut), best.shape[1])), pa.array(cut + best.ravel())
+                table = pa.table({"qid": whole.column("qid").take(asked), "iid": whole.column("iid").take(found), "score": np.take_along_axis(scores, best, axis=1).ravel()})
+                yield from table.combine_chunks().to_batches()
+
+    keys = ["cell", "qb", "ib"]
+    found = both.repartition(*keys).sortWithinPartitions(*keys, "side", "iid").mapInArrow(run, f"qid {kind_q}, iid {kind_i}, score double")
+    return _ranked(found.dropDuplicates(["qid", "iid"]), k)
+
+
+def nearest_cells(vectors: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
+    """Rows of ``vectors`` once for each of the ``probes`` centroids (cluster_id, centroid) nearest to it, as ``cell``.
+
+    The centroids are as many as cells were asked for, and go to the tasks.
+    """
+    rows = centroids.orderBy("cluster_id").collect()
+    shared = vectors.sparkSession.sparkContext.broadcast(([r.cluster_id for r in rows], np.array([r.centroid for r in rows], dtype=np.float64)))
+
+    def run(frames):
+        names, matrix = np.array(shared.value[0], dtype=np.int64), shared.value[1]
+        for frame in frames:
+            if len(frame):
+                x = np.stack(frame["vector"].to_numpy()).astype(np.float64)
+                distance = (matrix**2).sum(axis=1)[None, :] - 2 * x @ matrix.T
+                frame["cells"] = list(names[np.argsort(distance, axis=1, kind="stable")[:, :probes]])
+                yield frame
+
+    usable = vectors.where(F.col("vector").isNotNull())
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in usable.schema.fields), "cells array<long>"])
+    return usable.mapInPandas(run, schema).withColumn("cell", F.explode("cells")).drop("cells")
+
+
+def all_scores(queries: DataFrame, items: DataFrame, block: int = 1024, keys: Sequence[str] = ("qid",), scale: str | None = None, temperature: float = 1.0) -> DataFrame:
+    """(keys, iid, score) of every pair of a query set and all items, as a map over the items (no shuffle).
+
+    ``scale`` "minmax" puts each query's scores into 0..1 (all 1 if they are equal);
+    "softmax" gives exp(score / temperature), divided by its sum per query and times
+    the number of items. Both take a first pass over the items, from which only two
+    numbers a query and batch come back; the pairs are made once.
+    """
+    spark = queries.sparkSession
+    kinds, kind_i = dict(queries.dtypes), dict(items.dtypes)["iid"]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keys), f"iid {kind_i}, score double"])
     parts = []
-    for b in range(blocks):
-        own = usable.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) if blocks > 1 else usable
-        rows = own.select("qid", F.col("vector").cast("array<double>").alias("vector")).collect()
-        if not rows:
-            continue
-        shared = spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.vector for r in rows], dtype=np.float64)))
+    for ids, matrix in _query_blocks(queries, keys, block):
+        first = spark.sparkContext.broadcast(matrix)
+
+        def ends(batches, first=first):
+            import pandas as pd
+
+            for frame in batches:
+                if len(frame):
+                    scores = first.value @ np.stack(frame["vector"].to_numpy()).astype(np.float64).T
+                    total = np.exp(scores / temperature).sum(axis=1) if scale == "softmax" else 0.0
+                    yield pd.DataFrame({"q": np.arange(len(scores)), "low": scores.min(axis=1), "high": scores.max(axis=1), "total": total, "n": len(frame)})
+
+        known = np.zeros((len(matrix), 4))
+        if scale:
+            per = _usable(items).mapInPandas(ends, "q int, low double, high double, total double, n long")
+            for r in per.groupBy("q").agg(F.min("low"), F.max("high"), F.sum("total"), F.sum("n")).collect():  # a row a query of the block
+                known[r[0]] = r[1:]
+        shared = spark.sparkContext.broadcast((ids, matrix, known))
 
         def run(batches, shared=shared):
             import pandas as pd
 
-            ids, matrix = shared.value
+            ids, matrix, known = shared.value
+            low, high, total, n = (known[:, c : c + 1] for c in range(4))
             for frame in batches:
                 for start in range(0, len(frame), 500):
                     part = frame.iloc[start : start + 500]
                     scores = matrix @ np.stack(part["vector"].to_numpy()).astype(np.float64).T
-                    yield pd.DataFrame({"qid": np.repeat(np.array(ids, dtype=object), len(part)), "iid": np.tile(part["iid"].to_numpy(), len(ids)), "score": scores.ravel() + 0.0})
+                    if scale == "minmax":
+                        scores = np.where(high == low, 1.0, np.clip((scores - low) / np.where(high == low, 1.0, high - low), 0.0, 1.0))
+                    elif scale == "softmax":
+                        scores = np.exp(scores / temperature) / (total + 1e-8) * n
+                    yield pd.DataFrame({**{c: np.repeat(x, len(part)) for c, x in zip(keys, ids, strict=True)}, "iid": np.tile(part["iid"].to_numpy(), len(matrix)), "score": scores.ravel() + 0.0})
 
-        parts.append(items.where(F.col("iid").isNotNull() & F.col("vector").isNotNull()).select("iid", F.col("vector").cast("array<double>").alias("vector")).mapInPandas(run, f"qid {kind_q}, iid {kind_i}, score double"))
-    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], f"qid {kind_q}, iid {kind_i}, score double")
+        parts.append(_usable(items).mapInPandas(run, schema))
+    return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)

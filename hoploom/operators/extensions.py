@@ -20,8 +20,9 @@ def token_entropy(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def familiar(queries: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
-    """(qid, iid, score, familiar): the best item of each query, and whether it is near enough to answer from alone."""
-    return top_k(queries, items, 1).select("qid", "iid", "score", (F.col("score") >= threshold).alias("familiar"))
+    """(qid, iid, score, familiar): the best item of each query but itself, and whether it is near enough to answer from alone."""
+    best = top_k(queries, items, 2).where("qid <> iid").groupBy("qid").agg(F.min(F.struct("rank", "iid", "score")).alias("b"))
+    return best.select("qid", "b.iid", "b.score", (F.col("b.score") >= threshold).alias("familiar"))
 
 
 def edit_similarity(a, b):

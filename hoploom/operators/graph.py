@@ -49,6 +49,15 @@ def mention_edges(mentions: DataFrame, passages: DataFrame) -> DataFrame:
     )
 
 
+def passage_edges(passages: DataFrame) -> DataFrame:
+    """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that no text is shuffled."""
+    words = F.array_distinct(capitalised_words(F.col("text")))
+    counted = passages.select("passage_id", F.transform(words, lambda w: F.struct(w.alias("entity"), substring_count(F.col("text"), w).alias("n"))).alias("found"))
+    total = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    rows = counted.select("passage_id", total.alias("total"), F.explode("found").alias("e"))
+    return rows.select(content_key(F.col("e.entity"), "entity-").alias("src"), F.col("passage_id").alias("dst"), (F.col("e.n") / F.when(F.col("total") > 0, F.col("total"))).alias("weight")).distinct()
+
+
 def adjacency_edges(passages: DataFrame) -> DataFrame:
     """Each passage linked to the next present index, weight 1. Passages without an index have no neighbours."""
     # The order is a dense position, and the neighbour a join: no window over all rows.
@@ -65,9 +74,9 @@ def graph_nodes(entities: DataFrame, passages: DataFrame) -> DataFrame:
     return e.unionByName(passages.select(F.col("passage_id").alias("id"), F.col("text").alias("content"), F.lit("passage").alias("kind"))).dropDuplicates(["id"])
 
 
-def graph_edges(mentions: DataFrame, passages: DataFrame) -> DataFrame:
-    """All edges without loops; rebuilt as a whole, so repeated runs do not add up."""
-    return mention_edges(mentions, passages).union(adjacency_edges(passages)).where("src <> dst AND weight IS NOT NULL")
+def graph_edges(mentions: DataFrame | None, passages: DataFrame) -> DataFrame:
+    """All edges without loops; rebuilt as a whole, so repeated runs do not add up. Without mentions those of the stand-in recogniser."""
+    return (passage_edges(passages) if mentions is None else mention_edges(mentions, passages)).union(adjacency_edges(passages)).where("src <> dst AND weight IS NOT NULL")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

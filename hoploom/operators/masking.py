@@ -45,9 +45,9 @@ def top_clusters(guidance: DataFrame, centroids: DataFrame, top_p: int | str = 1
     ``top_p`` may name a column of ``guidance``.
     """
     wanted = F.col(top_p) if isinstance(top_p, str) else F.lit(top_p)
-    queries = guidance.select(F.struct("qid", "hop", wanted.alias("wanted")).alias("key"), scaled(F.col("vector")).alias("vector")).withColumn("qid", F.xxhash64("key"))
-    cosines = all_scores(queries, centroids.select(F.col("cluster_id").alias("iid"), scaled(F.col("centroid")).alias("vector"))).join(queries.select("qid", "key"), "qid")
-    scored = cosines.select("key.qid", "key.hop", "key.wanted", F.col("iid").alias("cluster_id"), F.round("score", 9).alias("sim"))
+    queries = guidance.select("qid", "hop", wanted.alias("wanted"), scaled(F.col("vector")).alias("vector"))
+    cosines = all_scores(queries, centroids.select(F.col("cluster_id").alias("iid"), scaled(F.col("centroid")).alias("vector")), keys=("qid", "hop", "wanted"))
+    scored = cosines.select("qid", "hop", "wanted", F.col("iid").alias("cluster_id"), F.round("score", 9).alias("sim"))
     ranked = W.partitionBy("qid", "hop").orderBy(F.desc("sim"), "cluster_id")
     return scored.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= F.col("wanted")).select("qid", "hop", "cluster_id", "sim")
 
@@ -57,9 +57,10 @@ def mask(clusters: DataFrame, prop_cluster: DataFrame) -> DataFrame:
     return clusters.select("qid", "hop", "cluster_id").join(prop_cluster, "cluster_id").select("qid", "hop", "prop_idx")
 
 
-def mask_incidence(incidence: DataFrame, kept: DataFrame) -> DataFrame:
-    """Incidence rows of kept propositions, per question."""
-    return kept.join(incidence, "prop_idx")
+def mask_stats(kept: DataFrame, propositions: DataFrame) -> DataFrame:
+    """(qid, hop, kept, reduction): how many propositions a mask lets pass, and the share in percent that it spares."""
+    total = propositions.count()
+    return kept.groupBy("qid", "hop").agg(F.count(F.lit(1)).alias("kept")).withColumn("reduction", (1 - F.col("kept") / F.lit(max(1, total))) * 100)
 
 
 def cluster_sizes(prop_cluster: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import entity_bonus, passage_score, with_minmax
+from ..functions.scores import entity_bonus, passage_score
 from .dense import all_scores
 
 
@@ -59,8 +59,8 @@ def passage_priors(active: DataFrame, questions: DataFrame, passages: DataFrame,
 
     ``active`` has qid, entity, score, tier; ``questions`` qid and vector; ``passages`` passage_id, text and vector.
     """
-    dense = all_scores(questions, passages.select(F.col("passage_id").alias("iid"), "vector")).withColumnRenamed("iid", "passage_id")
-    normalised = with_minmax(dense, ["qid"], "score", "dense")
+    scaled = all_scores(questions, passages.select(F.col("passage_id").alias("iid"), "vector"), scale="minmax")
+    normalised = scaled.select("qid", F.col("iid").alias("passage_id"), F.col("score").alias("dense"))
     needles = active.select("qid", F.lower("entity").alias("needle"), "score", "tier")
     hits = needles.join(occurrences(needles, passages), "needle")
     bonus = hits.groupBy("qid", "passage_id").agg(F.sum(entity_bonus(F.col("score"), F.col("n"), F.col("tier"))).alias("bonus"))

@@ -18,11 +18,10 @@ def attention(guidance: DataFrame, propositions: DataFrame, temperature: float =
 
     ``guidance`` has qid, hop and vector; ``propositions`` prop_idx and vector. The mean is 1.
     """
-    queries = guidance.select(F.struct("qid", "hop").alias("key"), scaled(F.col("vector")).alias("vector")).withColumn("qid", F.xxhash64("key"))
-    cosines = all_scores(queries, propositions.select(F.col("prop_idx").alias("iid"), scaled(F.col("vector")).alias("vector"))).join(queries.select("qid", "key"), "qid")
-    lifted = cosines.select("key.qid", "key.hop", F.col("iid").alias("prop_idx"), F.exp(F.col("score") / temperature).alias("e"))
-    total = lifted.groupBy("qid", "hop").agg(F.sum("e").alias("total"), F.count(F.lit(1)).alias("n"))
-    return lifted.join(total, ["qid", "hop"]).select("qid", "hop", "prop_idx", (F.col("e") / (F.col("total") + 1e-8) * F.col("n")).alias("attention"))
+    queries = guidance.select("qid", "hop", scaled(F.col("vector")).alias("vector"))
+    items = propositions.select(F.col("prop_idx").alias("iid"), scaled(F.col("vector")).alias("vector"))
+    found = all_scores(queries, items, keys=("qid", "hop"), scale="softmax", temperature=temperature)
+    return found.select("qid", "hop", F.col("iid").alias("prop_idx"), F.col("score").alias("attention"))
 
 
 def hop(scores: DataFrame, incidence: DataFrame, weights: DataFrame | None, affinity: DataFrame | None, factor: float = 0.3) -> DataFrame:

@@ -59,5 +59,5 @@ def stand_in_sql(text: str) -> str:
     return f"(CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT) % (SELECT n FROM n_vectors))"
 
 
-def with_(*names: str, more: str = "", recursive: bool = False) -> str:
-    return "WITH " + ("RECURSIVE " if recursive else "") + ",\n".join([SQL[n] for n in names] + ([more] if more else [])) + "\n"
+def with_(*names: str, more: str = "") -> str:
+    return "WITH " + ",\n".join([SQL[n] for n in names] + ([more] if more else [])) + "\n"

@@ -1,18 +1,8 @@
-"""Explicit schemas of every table; nothing is inferred."""
+"""Schemas of the tables that are created empty or read from text."""
 
 from __future__ import annotations
 
-PASSAGES = "passage_id string, idx long, text string"
-CHUNKS = "chunk_id string, text string"
-ENTITIES = "entity_id string, text string"
-SENTENCES = "sentence_id string, text string"
-MENTIONS = "passage_id string, entity string"
 ENTITY_SENTENCE = "entity string, sentence string"
-EDGES = "src string, dst string, weight double"
-NODES = "id string, content string, kind string"
-PROPOSITIONS = "prop_id string, text string, chunk_id string"
-INCIDENCE = "entity_idx long, prop_idx long, value double"
-AFFINITY = "i long, j long, score double"
 CENTROIDS = "cluster_id int, centroid array<double>"
 PROP_CLUSTER = "prop_idx long, cluster_id int"
 EMBEDDINGS = "hash_id string, text string, embedding array<float>"
