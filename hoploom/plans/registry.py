@@ -42,11 +42,11 @@ def dedup_by_hash(spark, d):
     return keys.dedup_first(content_hash_ids(spark, d).select("hash_id", "doc_id"), "hash_id", "doc_id")
 
 
-@query("insert_if_missing", """SELECT 'chunk_' || md5(text) AS hash_id FROM documents WHERE text IS NOT NULL
-EXCEPT SELECT 'chunk_' || md5(text) FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL""")
+@query("insert_if_missing", """SELECT 'chunk_' || md5(coalesce(text, '')) AS hash_id FROM documents
+EXCEPT SELECT 'chunk_' || md5(coalesce(text, '')) FROM documents JOIN labels USING (doc_id)""")
 def insert_if_missing(spark, d):
     """Texts that are not stored yet; those of labelled documents are."""
-    docs = keys.with_key(table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text", "chunk_")
+    docs = keys.with_key(table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "chunk_")
     stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
     return keys.missing(docs.select("hash_id"), stored, "hash_id")
 
@@ -58,14 +58,14 @@ def new_passages(spark, d):
     return src.passages(spark, d).join(known, "idx", "left_anti").select("passage_id", "idx")
 
 
-_HALVES = with_("passages", "mentions", more="""old AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 < 2 AND entity < 'M'),
-new AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 > 0 AND entity >= 'H')""")
+_HALVES = with_("passages", "mentions", more="""old AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 < 2),
+new AS (SELECT m.passage_id, entity FROM mentions m JOIN passages p USING (passage_id) WHERE p.idx % 3 = 2 OR p.idx % 3 = 1 AND entity >= 'M')""")
 
 
 def _halves(spark, d):
-    """Two overlapping recogniser results over the passages: what is merged."""
+    """Two overlapping recogniser results over the passages, every mention in one of them at least: what is merged."""
     m = src.mentions(spark, d).join(src.passages(spark, d).select("passage_id", "idx"), "passage_id")
-    return m.where("idx % 3 < 2 AND entity < 'M'").drop("idx"), m.where("idx % 3 > 0 AND entity >= 'H'").drop("idx")
+    return m.where("idx % 3 < 2").drop("idx"), m.where("idx % 3 = 2 OR idx % 3 = 1 AND entity >= 'M'").drop("idx")
 
 
 @query("ner_merge_override", _HALVES + "SELECT passage_id, entity FROM new UNION SELECT passage_id, entity FROM old WHERE passage_id NOT IN (SELECT passage_id FROM new)")
@@ -115,7 +115,7 @@ adjacent AS (SELECT passage_id AS src, lead(passage_id) OVER (ORDER BY idx, pass
 
 @query("edge_weights", with_("passages", "mentions", more=_WEIGHTS) + "SELECT src, dst, round(weight, 6) AS weight FROM weights")
 def edge_weights(spark, d):
-    return graph.mention_edges(src.mentions(spark, d), src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return graph.passage_edges(src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query("adjacency_edges", with_("passages", "mentions", more=_WEIGHTS) + "SELECT src, dst, weight FROM adjacent WHERE dst IS NOT NULL")
@@ -133,12 +133,12 @@ _EDGES = with_("passages", "mentions", more=_WEIGHTS + ", edges AS (SELECT * FRO
 
 @query("graph_edges", _EDGES + "SELECT src, dst, round(weight, 6) AS weight FROM edges WHERE src <> dst")
 def graph_edges(spark, d):
-    return graph.graph_edges(src.mentions(spark, d), src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
+    return graph.graph_edges(None, src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 @query("graph_degree", _EDGES + "SELECT id, count(*) AS degree, round(sum(weight), 6) AS strength FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY id")
 def graph_degree(spark, d):
-    return graph.degrees(graph.graph_edges(src.mentions(spark, d), src.passages(spark, d))).select("id", "degree", F.round("strength", 6).alias("strength"))
+    return graph.degrees(graph.graph_edges(None, src.passages(spark, d))).select("id", "degree", F.round("strength", 6).alias("strength"))
 
 
 @query("sparsity_stats", with_("passages", "pairs") + "SELECT count(*) AS nnz, count(DISTINCT entity) AS n_rows, count(DISTINCT sentence) AS n_cols, round((1 - count(*) / (CAST(count(DISTINCT entity) AS DOUBLE) * count(DISTINCT sentence))) * 100, 6) AS sparsity FROM pairs")
@@ -169,7 +169,7 @@ def dense_topk(spark, d):
 @query("minmax_scores", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, list_dot_product(v, vector) AS score FROM q, vectors)") + """
 SELECT qid, iid, round(CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END, 6) AS scaled FROM s WINDOW w AS (PARTITION BY qid)""")
 def minmax_scores(spark, d):
-    return sc.with_minmax(dense.all_scores(_query_set(spark, d), _items(spark, d)), ["qid"], "score", "scaled").select("qid", "iid", F.round("scaled", 6).alias("scaled"))
+    return dense.all_scores(_query_set(spark, d), _items(spark, d), scale="minmax").select("qid", "iid", F.round("score", 6).alias("scaled"))
 
 
 _SEEDS = f"""entity_vectors AS (SELECT entity, vector FROM (SELECT DISTINCT entity FROM mentions) JOIN vectors ON vec_id = {stand_in_sql('entity')}),
@@ -304,7 +304,7 @@ def _retrieval(spark, d, k: int = 5):
     active = cut_lineage(active)
     resets = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight").union(_priors(spark, d, active).select("qid", F.col("passage_id").alias("id"), F.col("prior").alias("weight")))
     passages = src.passages(spark, d)
-    ranks = pagerank.personalized_pagerank(resets, graph.graph_edges(src.mentions(spark, d), passages), 0.5, _STEPS)
+    ranks = pagerank.personalized_pagerank(resets, graph.graph_edges(None, passages), 0.5, _STEPS)
     return pagerank.rank_passages(ranks, passages, k)
 
 
@@ -372,9 +372,12 @@ def incidence(spark, d):
     return _incidence(spark, d)[0]
 
 
-@query("sentence_match_entities", f"""{with_('passages', 'pairs', more=_PROPS)} SELECT DISTINCT prop_id, lower(entity) AS name FROM props JOIN pairs ON text = sentence""")
+@query("sentence_match_entities", f"""{with_('passages', 'pairs')} SELECT DISTINCT 'prop_' || md5(sentence) AS prop_id, lower(entity) AS name FROM pairs""")
 def sentence_match_entities(spark, d):
-    return propositions.entities_by_sentence_match(_props(spark, d), src.pairs(spark, d))
+    """Propositions that are the passages' sentences, each also with one more full stop: only equal texts match."""
+    pairs = src.pairs(spark, d)
+    texts = pairs.select("sentence").distinct().select(F.explode(F.array("sentence", F.concat("sentence", F.lit(".")))).alias("text")).distinct()
+    return propositions.entities_by_sentence_match(texts.select(tx.content_key(F.col("text"), "prop_").alias("prop_id"), "text"), pairs)
 
 
 @query("entities_in_prop", f"WITH {_MEMBERS} SELECT prop_id, md5(coalesce(string_agg(name, ',' ORDER BY name), '')) AS names_md5 FROM (SELECT prop_id FROM props) LEFT JOIN members USING (prop_id) GROUP BY prop_id")
@@ -395,14 +398,14 @@ def props_with_entity(spark, d):
 _KNN = """unit AS (SELECT vec_id, CASE WHEN list_dot_product(vector, vector) > 0 THEN list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))) ELSE vector END AS u FROM vectors),
 near AS (SELECT q, i FROM (SELECT a.vec_id AS q, b.vec_id AS i, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.vec_id) AS r FROM unit a, unit b) WHERE r <= 10),
 candidates AS (SELECT DISTINCT least(q, i) AS i, greatest(q, i) AS j FROM near WHERE q <> i)"""
-#: Names for the vectors: each takes the first words of the document of its id, in ASCII (DuckDB compares bytes).
-_NAMED = "named AS (SELECT vec_id, vector, coalesce(regexp_replace(lower(substr(d.text, 1, 20)), '[^ -~]', '_', 'g'), '') AS name FROM vectors LEFT JOIN documents d ON d.doc_id = vec_id)"
+#: Names for the vectors: each takes name, brand and type of the part of its id.
+_NAMED = "named AS (SELECT vec_id, vector, concat_ws(' ', p_name, p_brand, p_type) AS name FROM vectors LEFT JOIN part ON p_partkey = vec_id)"
 _SCORED = "scored AS (SELECT c.i, c.j, 0.5 * jaro_winkler_similarity(a.name, b.name) + 0.5 * ((list_dot_product(a.vector, b.vector) / (sqrt(list_dot_product(a.vector, a.vector)) * sqrt(list_dot_product(b.vector, b.vector)) + 1e-8) + 1) / 2) AS score FROM candidates c JOIN named a ON a.vec_id = c.i JOIN named b ON b.vec_id = c.j)"
 
 
 def _named(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.regexp_replace(F.lower(F.substring("text", 1, 20)), "[^ -~]", "_").alias("name"))
-    return table(spark, d, "embeddings").join(docs, "vec_id", "left").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector"), F.coalesce("name", F.lit("")).alias("name"))
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("vec_id"), "p_name", "p_brand", "p_type")
+    return table(spark, d, "embeddings").join(parts, "vec_id", "left").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("name"))
 
 
 def _scored(spark, d):
@@ -486,11 +489,25 @@ def cluster_sizes(spark, d):
     return masking.cluster_sizes(_prop_cluster(spark, d)).withColumn("mean_size", F.round("mean_size", 6))
 
 
-@query("kmeans_assign")
+@query("kmeans_assign", "SELECT vec_id AS prop_idx, true AS nearest FROM embeddings")
 def kmeans_assign(spark, d):
-    """Cluster sizes of k-means over all vectors; other libraries give other centroids."""
+    """K-means over all vectors: whether each one's centroid is the nearest of those returned (centroids differ between libraries)."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("prop_idx"), F.col("embedding").alias("vector"))
-    return masking.fit_clusters(rows, 10, 42, 20)[1]
+    centroids, assigned = masking.fit_clusters(rows, 10, 42, 20)
+    # |x - c|^2 - |x|^2 = |c|^2 - 2 x c, for all ten centroids.
+    reach = F.aggregate("centroid", F.lit(0.0), lambda s, c: s + c * c)
+    centres = centroids.agg(F.array_agg(F.struct("cluster_id", "centroid", reach.alias("length"))).alias("centres"))
+    gaps = F.transform("centres", lambda c: F.struct(c["cluster_id"].alias("cluster_id"), (c["length"] - 2 * vx.dot(F.col("vector"), c["centroid"])).alias("gap")))
+    told = rows.join(assigned, "prop_idx").crossJoin(centres).select("prop_idx", "cluster_id", gaps.alias("gaps"))
+    own = F.element_at(F.filter("gaps", lambda g: g["cluster_id"] == F.col("cluster_id")), 1)["gap"]
+    return told.select("prop_idx", (own <= F.array_min(F.transform("gaps", lambda g: g["gap"])) + 1e-6).alias("nearest"))
+
+
+@query("mask_stats", with_("vectors", more=f"{_CENTROIDS}, {_CHOSEN}") + "SELECT qid, count(*) AS kept, round((1 - count(*) / CAST((SELECT count(*) FROM embeddings WHERE label IS NOT NULL) AS DOUBLE)) * 100, 6) AS reduction FROM near_clusters JOIN embeddings ON label = cluster_id WHERE r <= 3 GROUP BY qid")
+def mask_stats(spark, d):
+    """What each mask lets pass, and the share that it spares."""
+    kept = masking.mask(masking.top_clusters(_guidance(spark, d), _label_centroids(spark, d), 3), _prop_cluster(spark, d))
+    return masking.mask_stats(kept, _prop_cluster(spark, d)).select("qid", "kept", F.round("reduction", 6).alias("reduction"))
 
 
 _ATTENTION = f"lifted AS (SELECT qid, vec_id AS prop_idx, exp({_cosine_each('vector', 'g')} / 0.1) AS e FROM guidance, vectors), attention AS (SELECT qid, prop_idx, e / (sum(e) OVER (PARTITION BY qid) + 1e-8) * count(*) OVER (PARTITION BY qid) AS attention FROM lifted)"
@@ -520,11 +537,20 @@ raw{t} AS (SELECT qid, entity_idx, sum(score) AS score FROM (SELECT y.qid, i.ent
 x{t} AS (SELECT qid, entity_idx, CASE WHEN top > 0 THEN score / top ELSE score END AS score FROM raw{t} JOIN (SELECT qid, max(score) AS top FROM raw{t} GROUP BY qid) USING (qid))"""
 
 
+def _placed(spark, d, props):
+    """Propositions with their stand-in vectors and clusters."""
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
+    placed = props.withColumn("vec_id", src.stand_in_id(F.col("prop_id"), vectors.count())).join(vectors, "vec_id")
+    return cut_lineage(placed.select("prop_idx", "vector", F.col("label").alias("cluster_id")))
+
+
 def _walk_inputs(spark, d):
+    return _walk_tables(spark, d)[:4]
+
+
+def _walk_tables(spark, d):
     incidence, entities, props, _ = _incidence(spark, d)
-    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
-    n = vectors.count()
-    placed = cut_lineage(props.withColumn("vec_id", src.stand_in_id(F.col("prop_id"), n)).join(vectors, "vec_id").select("prop_idx", "vector", F.col("label").alias("cluster_id")))
+    placed = _placed(spark, d, props)
     guidance = src.stand_in_vectors(spark, d, src.questions(spark, d), "text").select("qid", F.lit(0).alias("hop"), "vector")
     weights = propagation.attention(guidance, placed.select("prop_idx", "vector"))
     passing = weights.join(masking.mask(masking.top_clusters(guidance, _label_centroids(spark, d), 5), placed.select("prop_idx", "cluster_id")), ["qid", "hop", "prop_idx"], "left_semi")
@@ -534,7 +560,7 @@ def _walk_inputs(spark, d):
     aliases = cut_lineage(stems.join(other, "stem").where("name <> other").select(F.col("entity_idx").alias("i"), "j", F.lit(0.8).alias("score")))
     asked = src.questions(spark, d).select("qid", F.explode(tx.capitalised_words(F.col("text"))).alias("name")).select("qid", F.lower("name").alias("name")).distinct()
     seeds = cut_lineage(asked.join(entities, "name").select("qid", "entity_idx", F.lit(1.0).alias("score")))
-    return seeds, incidence, cut_lineage(passing.select("qid", "prop_idx", "attention")), aliases
+    return seeds, incidence, cut_lineage(passing.select("qid", "prop_idx", "attention")), aliases, placed, guidance, entities
 
 
 def _walk(spark, d, hops: int):
@@ -568,6 +594,48 @@ def topk_entities(spark, d):
     return propagation.top_rows(states[-1], "entity_idx", 20).select("qid", "entity_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query("topk_entities_filled", with_("vectors", more=_WALK + _step_sql(1)) + """, filled AS (SELECT * FROM x1 UNION ALL SELECT qid, entity_idx, 0 FROM (SELECT DISTINCT qid FROM x1), entities WHERE (qid, entity_idx) NOT IN (SELECT (qid, entity_idx) FROM x1))
+SELECT qid, entity_idx, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, entity_idx) AS rank FROM filled) WHERE rank <= 200""")
+def topk_entities_filled(spark, d):
+    """As above, with entities of no score where too few have one."""
+    state, incidence, passing, aliases, _, _, entities = _walk_tables(spark, d)
+    after = cut_lineage(propagation.hop(state, incidence, passing, aliases, 0.3))
+    return propagation.top_rows(after, "entity_idx", 200, entities).select("qid", "entity_idx", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+#: The loop stops for the questions whose first hop changed less.
+_TOLERANCE = 1.5
+
+
+@query("propagate_loop", with_("vectors", more=_WALK + _step_sql(1) + _step_sql(2)) + f""", diffs AS (SELECT qid, sqrt(sum(d * d)) AS diff FROM (SELECT qid, entity_idx, sum(s) AS d FROM (SELECT qid, entity_idx, -score AS s FROM x0 UNION ALL SELECT qid, entity_idx, score FROM x1) GROUP BY qid, entity_idx) GROUP BY qid),
+going AS (SELECT qid FROM diffs WHERE diff >= {_TOLERANCE})
+SELECT qid, entity_idx, round(score, 6) AS score, 2 AS num_hops FROM x2 SEMI JOIN going USING (qid) UNION ALL SELECT qid, entity_idx, round(score, 6), 1 FROM x1 WHERE qid NOT IN (SELECT qid FROM going)""")
+def propagate_loop(spark, d):
+    """The loop over guidance vectors of at most two hops of three, with its rule to stop."""
+    seeds, incidence, _, aliases, placed, guidance, _ = _walk_tables(spark, d)
+    three = guidance.select("qid", F.explode(F.array(*map(F.lit, range(3)))).alias("hop"), "vector")
+    state, hops = propagation.propagate(
+        seeds, incidence, placed.select("prop_idx", "vector"), three, aliases, _label_centroids(spark, d), placed.select("prop_idx", "cluster_id"), max_hops=2, factor=0.3, top_p=5, tolerance=_TOLERANCE
+    )
+    return state.join(hops, "qid").select("qid", "entity_idx", F.round("score", 6).alias("score"), "num_hops")
+
+
+_MATCHED = f"""{_MEMBERS}, asked AS (SELECT DISTINCT item_id AS qid, lower(unnest(list_filter(regexp_split_to_array(text, '[^A-Za-z]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]{{3,}}')))) AS name FROM benchmark WHERE item_id % 2 = 0),
+exact AS (SELECT qid, entity_idx, CAST(1 AS DOUBLE) AS score FROM asked JOIN entities USING (name)),
+near AS (SELECT qid, entity_idx, score FROM (SELECT qid, entity_idx, s AS score, row_number() OVER (PARTITION BY qid ORDER BY s DESC, entity_idx) AS r FROM (SELECT b.item_id AS qid, e.entity_idx, round(list_dot_product(q.vector, v.vector), 9) AS s
+  FROM benchmark b JOIN vectors q ON q.vec_id = {stand_in_sql('b.text')}, entities e JOIN vectors v ON v.vec_id = {stand_in_sql('e.name')} WHERE b.item_id NOT IN (SELECT qid FROM exact))) WHERE r <= 5)"""
+
+
+@query("match_seeds", with_("vectors", more=_MATCHED) + "SELECT qid, entity_idx, round(score, 6) AS score FROM exact UNION ALL SELECT qid, entity_idx, round(score, 6) FROM near")
+def match_seeds(spark, d):
+    """Seeds by name; questions of odd ids are given no mentions and take their five nearest entities."""
+    _, entities, _, _ = _incidence(spark, d)
+    asked = src.question_mentions(spark, d).where("qid % 2 = 0")
+    vectors = src.stand_in_vectors(spark, d, entities, "name").select("entity_idx", "vector")
+    found = propagation.match_seeds(asked, entities, src.stand_in_vectors(spark, d, src.questions(spark, d), "text").select("qid", "vector"), vectors)
+    return found.select("qid", "entity_idx", F.round("score", 6).alias("score"))
+
+
 _RANKED_PROPS = """, prop_scores AS (SELECT qid, prop_idx, sum(score) AS score FROM x1 JOIN incidence USING (entity_idx) GROUP BY qid, prop_idx),
 ranked_props AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, prop_idx) AS rank FROM prop_scores) WHERE rank <= 10)"""
 
@@ -600,9 +668,6 @@ def citations(spark, d):
 
 # Answers -------------------------------------------------------------------------------
 
-_ARTICLES = r"regexp_replace(translate(lower(coalesce({x}, '')), '!\"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '(^|[^\pL\pN_])(a|an|the)(?=$|[^\pL\pN_])', '\1 ', 'g')"
-
-
 @query("parse_answer", r"SELECT conv_id, turn, CASE WHEN contains(reply, 'Answer:') THEN regexp_replace(string_split(reply, 'Answer:')[2], '^\s+|\s+$', '', 'g') ELSE reply END AS answer FROM (SELECT conv_id, turn, CASE conv_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('Thought. Answer: ', text) ELSE concat('Answer:', text, ' Answer: again') END AS reply FROM conversations WHERE role = 'assistant')")
 def parse_answer(spark, d):
     """Replies without, with one and with two marks."""
@@ -611,20 +676,23 @@ def parse_answer(spark, d):
 
 
 #: The ASCII words of a text: the engines' word boundaries differ beside other letters.
-_ASCII = r"regexp_replace(text, '[^ -~]+', ' ', 'g')"
+_ASCII = r"regexp_replace(coalesce(text, ''), '[^ -~]+', ' ', 'g')"
 _NORMAL = r"""regexp_replace(regexp_replace(array_to_string(list_transform(string_split(translate(lower({x}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), ' '), lambda w: CASE WHEN w IN ('a', 'an', 'the') THEN ' ' ELSE w END), ' '), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
 
 
-@query("normalize_answer", f"SELECT doc_id, {_NORMAL.format(x=_ASCII)} AS answer FROM documents WHERE text IS NOT NULL")
+@query("normalize_answer", f"SELECT doc_id, {_NORMAL.format(x=_ASCII)} AS answer FROM documents")
 def normalize_answer(spark, d):
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", tx.normalize_answer(F.regexp_replace("text", "[^ -~]+", " ")).alias("answer"))
+    return table(spark, d, "documents").select("doc_id", tx.normalize_answer(F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]+", " ")).alias("answer"))
 
 
-@query("contain_accuracy", f"""WITH p AS (SELECT doc_id, {_ASCII} AS pred, regexp_replace(substr(text, 1, 12), '[^ -~]+', ' ', 'g') AS gold FROM documents WHERE text IS NOT NULL)
+@query("contain_accuracy", f"""WITH p AS (SELECT doc_id, regexp_replace(coalesce(d.text, ''), '[^ -~]+', ' ', 'g') AS pred, regexp_replace(coalesce(g.text, ''), '[^ -~]+', ' ', 'g') AS gold FROM (SELECT doc_id, text, doc_id % (SELECT count(*) FROM benchmark) AS item_id FROM documents) d LEFT JOIN (SELECT item_id, string_split(text, ' ')[2] AS text FROM benchmark) g USING (item_id))
 SELECT doc_id, CASE WHEN trim(pred) = '' OR trim(gold) = '' THEN 0 ELSE CAST(contains({_NORMAL.format(x='pred')}, {_NORMAL.format(x='gold')}) AS INTEGER) END AS contain_accuracy FROM p""")
 def contain_accuracy(spark, d):
-    """Each text against its own first characters as the gold answer."""
-    docs = table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", "[^ -~]+", " ").alias("pred_answer"), F.regexp_replace(F.substring("text", 1, 12), "[^ -~]+", " ").alias("gold_answer"))
+    """Each text against a word of a benchmark item as the gold answer."""
+    items = table(spark, d, "benchmark")
+    gold = items.select("item_id", F.regexp_replace(F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), "[^ -~]+", " ").alias("gold_answer"))
+    asked = table(spark, d, "documents").select("doc_id", F.regexp_replace(F.coalesce("text", F.lit("")), "[^ -~]+", " ").alias("pred_answer"), (F.col("doc_id") % items.count()).alias("item_id"))
+    docs = asked.join(gold, "item_id", "left")
     return evaluation.score_predictions(docs).select("doc_id", "contain_accuracy")
 
 
@@ -642,7 +710,7 @@ def judge_accuracy(spark, d):
 @query("health_counts", with_("passages", "mentions") + "SELECT (SELECT count(DISTINCT entity) FROM mentions) AS num_entities, (SELECT count(*) FROM passages) AS num_passages")
 def health_counts(spark, d):
     entities = src.mentions(spark, d).agg(F.countDistinct("entity").alias("num_entities"))
-    return entities.join(src.passages(spark, d).agg(F.count(F.lit(1)).alias("num_passages")))
+    return entities.crossJoin(src.passages(spark, d).agg(F.count(F.lit(1)).alias("num_passages")))  # one row each
 
 
 # Additions -----------------------------------------------------------------------------
@@ -656,11 +724,11 @@ def entropy_filter(spark, d):
     return rows.select(F.col("id").alias("doc_id"), "n_tokens", F.round("entropy", 6).alias("entropy"), (F.round("entropy", 6) >= 4).alias("kept"))
 
 
-@query("familiarity_router", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, round(list_dot_product(v, vector), 9) AS score FROM q, vectors WHERE vec_id % 100 <> 0)") + """
+@query("familiarity_router", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, round(list_dot_product(v, vector), 9) AS score FROM q, vectors WHERE vec_id <> qid)") + """
 SELECT qid, iid, round(score, 6) AS score, score >= 0.5 AS familiar FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS r FROM s) WHERE r = 1""")
 def familiarity_router(spark, d):
-    """The query set against all other vectors."""
-    return extensions.familiar(_query_set(spark, d), _items(spark, d).where("iid % 100 <> 0"), 0.5).select("qid", "iid", F.round("score", 6).alias("score"), "familiar")
+    """The query set, each against all vectors but itself."""
+    return extensions.familiar(_query_set(spark, d), _items(spark, d), 0.5).select("qid", "iid", F.round("score", 6).alias("score"), "familiar")
 
 
 @query("edit_affinity", with_("vectors", more=", ".join([_KNN, _NAMED])) + """SELECT c.i, c.j, round(CASE WHEN greatest(length(a.name), length(b.name)) > 0 THEN 1 - CAST(levenshtein(a.name, b.name) AS DOUBLE) / greatest(length(a.name), length(b.name)) ELSE 1 END, 6) AS score
