@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     top.add_argument("--predictions", required=True, help="folder of the predictions")
     top.add_argument("--scored", help="evaluate: folder of the scored predictions")
     top.add_argument("--llm", help="model of an OpenAI-compatible service; without it a stand-in replies")
+    top.add_argument("--embedder", help="module:name of a callable that gives an embedder; without it a hashed stand-in")
+    top.add_argument("--extractor", help="module:name of a callable that gives an entity recogniser; without it a stand-in of patterns")
+    top.add_argument("--results", help="evaluate: folder of the means, as JSON")
     top.add_argument("--log")
     top.add_argument("--skip-indexing", action="store_true")
     top.add_argument("--max-iterations", type=int, default=3)
@@ -43,6 +47,12 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     return top.parse_args(argv)
 
 
+def load(path: str):
+    """What the callable ``module:name`` gives; the module has to be on the workers' path too (``--py-files``)."""
+    module, _, name = path.partition(":")
+    return getattr(importlib.import_module(module), name)()
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parse(argv)
     log = setup_logging(args.log)
@@ -55,19 +65,23 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         scored = score_predictions(judged).persist()
         if args.scored:
             write_predictions(scored, args.scored)
-        log.info("means: %s", mean_accuracy(scored).first().asDict())
+        means = mean_accuracy(scored)
+        if args.results:
+            means.coalesce(1).write.mode("overwrite").json(args.results)
+        log.info("means: %s", means.first().asDict())
         scored.unpersist()
         return
     questions = read_questions(spark, args.questions)
     keyed = questions.withColumn("key", F.concat_ws("\t", "question", "answer"))
     questions = keyed.join(dense_index(keyed, "key", "qid"), "key").drop("key").dropDuplicates(["qid"])
+    extractor = load(args.extractor) if args.extractor else RegexExtractor()
     if args.engine == "trigraph":
         config = TriGraphConfig(max_iterations=args.max_iterations, iteration_threshold=args.iteration_threshold, passage_ratio=args.passage_ratio, top_k_sentence=args.top_k_sentence, vectorized=args.vectorized)
-        engine = TriGraphEngine(spark, args.index, HashedEmbedder(), RegexExtractor(), llm, config)
+        engine = TriGraphEngine(spark, args.index, load(args.embedder) if args.embedder else HashedEmbedder(), extractor, llm, config)
         ready = engine.catalog.exists("edges")
     else:
         config = HypergraphConfig(num_clusters=args.num_clusters, top_p_clusters=args.top_p_clusters, max_hops=args.max_hops, propagation_factor=args.propagation_factor, affinity_threshold=args.affinity_threshold)
-        engine = HypergraphEngine(spark, args.index, HashedEmbedder(normalize=False), RegexExtractor(), llm, config)
+        engine = HypergraphEngine(spark, args.index, load(args.embedder) if args.embedder else HashedEmbedder(normalize=False), extractor, llm, config)
         ready = engine.indexed
     if not (args.skip_indexing and ready):
         engine.index(passages_of(read_chunks(spark, args.chunks), "idx"))

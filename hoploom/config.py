@@ -1,4 +1,4 @@
-"""Settings of the two retrieval engines, with their defaults."""
+"""Settings of the two retrieval engines. The settings' public names and their defaults."""
 
 from __future__ import annotations
 

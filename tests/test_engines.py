@@ -11,7 +11,7 @@ from hoploom.config import TriGraphConfig
 from hoploom.schemas import EMBEDDINGS
 from hoploom.sources import datasets
 from hoploom.sources.catalog import IndexCatalog
-from hoploom.sources.models import EchoLlm, HashedEmbedder, RegexExtractor, ask
+from hoploom.sources.models import EchoLlm, HashedEmbedder, OpenAiCompatibleLlm, RegexExtractor, ask
 from hoploom.streaming.incremental import index_stream, read_passages
 
 CHUNKS = [
@@ -131,6 +131,42 @@ def test_stream(spark, tmp_path):
     assert pairs.count() == pairs.distinct().count() > 0
 
 
+def own_embedder():
+    return HashedEmbedder(normalize=False)
+
+
+def test_service_client(monkeypatch):
+    """Replies of a local service: busy twice, then an answer; a refusal comes through at once."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+    from urllib.error import HTTPError
+
+    seen = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, asked["model"]))
+            code = 400 if asked["model"] == "bad" else 429 if len(seen) == 1 else 503 if len(seen) == 2 else 200
+            self.send_response(code)
+            self.end_headers()
+            if code == 200:
+                self.wfile.write(json.dumps({"choices": [{"message": {"content": asked["messages"][-1]["content"].upper()}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    monkeypatch.setenv("OPENAI_BASE_URL", f"http://127.0.0.1:{server.server_port}/v1")
+    assert OpenAiCompatibleLlm("m", pause=0.01).infer([{"role": "user", "content": "hi"}]) == "HI"
+    assert seen == [("/v1/chat/completions", "m")] * 3
+    with pytest.raises(HTTPError):
+        OpenAiCompatibleLlm("bad", pause=0.01).infer([{"role": "user", "content": "hi"}])
+    assert len(seen) == 4
+    server.shutdown()
+
+
 def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "chunks.json").write_text(json.dumps(CHUNKS))
     (tmp_path / "questions.json").write_text(json.dumps(QUESTIONS))
@@ -140,6 +176,10 @@ def test_command_line(spark, tmp_path, capsys):
         main(args, spark)
         rows = datasets.read_predictions(spark, f"{tmp_path}/{engine}-out").collect()
         assert len(rows) == 2 and all(r.pred_answer is not None for r in rows)
-    main(["evaluate", "--predictions", f"{tmp_path}/hypergraph-out", "--scored", f"{tmp_path}/scored"], spark)
+    main(["hypergraph", *common, "--index", f"{tmp_path}/hypergraph", "--predictions", f"{tmp_path}/own", "--skip-indexing", "--embedder", "tests.test_engines:own_embedder", "--extractor", "hoploom.sources.models:RegexExtractor"], spark)
+    assert datasets.read_predictions(spark, f"{tmp_path}/own").count() == 2
+    main(["evaluate", "--predictions", f"{tmp_path}/hypergraph-out", "--scored", f"{tmp_path}/scored", "--results", f"{tmp_path}/means"], spark)
+    means = spark.read.json(f"{tmp_path}/means").first()
+    assert 0 <= means.contain_accuracy <= 1 and 0 <= means.llm_accuracy <= 1
     assert spark.read.json(f"{tmp_path}/scored").where("contain_accuracy IS NOT NULL").count() == 2
     assert isinstance(EchoLlm().infer([{"content": "x"}]), str)

@@ -264,3 +264,40 @@ def test_evaluation(spark):
     assert evaluation.mean_accuracy(evaluation.score_predictions(rows.limit(0))).first().contain_accuracy is None
     pairs = spark.createDataFrame([(0, 0), (0, 1), (1, 1)], "a int, b int")
     assert evaluation.sparsity(pairs, "a", "b").first().sparsity == 25.0
+
+
+def test_top_k_in_blocks_and_cells(spark):
+    """Blocks on Spark give what the collected query set gives; cells reach nine tenths of the nearest and hold every entity."""
+    from hoploom.operators import affinity, dense
+
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((12, 16))
+    vectors = [(k, (centres[k % 12] + 0.4 * rng.standard_normal(16)).tolist()) for k in range(600)] + [(600, vectors_of_one := [1.0] * 16), (601, vectors_of_one), (602, None)]
+    df = spark.createDataFrame(vectors, "id long, vector array<double>")
+    queries, items = df.select(F.col("id").alias("qid"), "vector"), df.select(F.col("id").alias("iid"), "vector")
+    want = {(r.qid, r["rank"]): (r.iid, r.score) for r in dense.top_k(queries, items, 5).collect()}
+    for block in (2048, 50):
+        assert {(r.qid, r["rank"]): (r.iid, r.score) for r in dense.top_k_joined(queries, items, 5, block=block).collect()} == want
+    assert dense.top_k_joined(queries.limit(0), items, 5).count() == 0
+    entities = df.withColumnRenamed("id", "entity_idx")
+    exact = {(r.i, r.j) for r in affinity.candidate_pairs(entities, 10).collect()}
+    found = {(r.i, r.j) for r in affinity.candidate_pairs(entities, 10, cells=12, probes=3, sample=200).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
+    assert {x for pair in found for x in pair} == set(range(602))
+
+
+def test_scaled_scores_in_one_pass(spark):
+    from hoploom.operators import dense
+
+    rng = np.random.default_rng(5)
+    q, x = rng.standard_normal((7, 4)), rng.standard_normal((300, 4))
+    queries = spark.createDataFrame([(k, k % 2, v.tolist()) for k, v in enumerate(q)] + [(7, 0, [0.0] * 4)], "qid long, hop int, vector array<double>")
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "iid long, vector array<double>").repartition(3)
+    scores = np.vstack([q, np.zeros(4)]) @ x.T
+    low, high = scores.min(axis=1, keepdims=True), scores.max(axis=1, keepdims=True)
+    e = np.exp(scores / 0.5)
+    want = {"minmax": np.vstack([(scores - low)[:7] / (high - low)[:7], np.ones(300)]), "softmax": e / (e.sum(axis=1, keepdims=True) + 1e-8) * 300}
+    for scale, matrix in want.items():
+        for block in (1024, 3):
+            got = dense.all_scores(queries, items, block=block, keys=("qid", "hop"), scale=scale, temperature=0.5).collect()
+            assert len(got) == 2400 and all(abs(r.score - matrix[r.qid, r.iid]) < 1e-9 and r.hop == (r.qid % 2 if r.qid < 7 else 0) for r in got)
