@@ -125,7 +125,7 @@ def mine_rules(labelled: DataFrame, min_support: float = 0.002, min_rows: int =
     reduced = patterns.select("tokens", F.explode("tokens").alias("token")).join(together.select("token"), "token").groupBy("tokens").agg(F.collect_list("token").alias("kept"))
     kept = F.coalesce("kept", F.array().cast("array<string>"))
     # The transactions are made again from the token sets and their numbers, so that no join has the rows of a common set in one task.
-    thousands = patterns.join(reduced, "tokens", "left").select(kept.alias("kept"), "n", "hits", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 1000))).alias("part")).repartition()
+    thousands = patterns.join(reduced, "tokens", "left").select(kept.alias("kept"), "n", "hits", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / 1000))).alias("part")).repartition("kept", "part")
     number = F.explode(F.sequence(F.col("part") * 1000, F.least(F.col("part") * 1000 + 999, F.col("n") - 1))).alias("number")
     items = thousands.select("kept", "hits", number).select(F.when(F.col("number") < F.col("hits"), F.array_append("kept", F.lit(BLOCK_ITEM))).otherwise(F.col("kept")).alias("items"))
     share = rows.where("bad").count() / n
