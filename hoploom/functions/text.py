@@ -27,8 +27,8 @@ def strip_numbering(line: Column) -> Column:
 
 def substring_count(text: Column, needle: Column) -> Column:
     """Non-overlapping occurrences; an empty or null needle occurs 0 times."""
-    n = F.length(needle)
-    return F.when(n > 0, ((F.length(text) - F.length(F.replace(text, needle, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
+    n = F.octet_length(needle)  # bytes, which need no count of characters
+    return F.when(n > 0, ((F.octet_length(text) - F.octet_length(F.replace(text, needle, F.lit("")))) / n).cast("long")).otherwise(F.lit(0).cast("long"))
 
 
 def normalize_answer(text: Column) -> Column:

@@ -43,19 +43,22 @@ def inverted_index(entity_sentences: DataFrame) -> DataFrame:
 def mention_edges(mentions: DataFrame, passages: DataFrame) -> DataFrame:
     """Entity-passage edges weighted by the entity's share of all counted occurrences in the passage."""
     counted = mentions.join(passages.select("passage_id", "text"), "passage_id").select("passage_id", "entity", substring_count(F.col("text"), F.col("entity")).alias("n"))
-    # The join has dealt the rows by passage, and a passage has few entities: the window needs no other shuffle.
+    return _shares(counted)
+
+
+def _shares(counted: DataFrame) -> DataFrame:
+    """Edges of (passage_id, entity, n), which come dealt by passage; a passage has few entities: the window needs no other shuffle."""
     return counted.withColumn("total", F.sum("n").over(W.partitionBy("passage_id"))).select(
         content_key(F.col("entity"), "entity-").alias("src"), F.col("passage_id").alias("dst"), (F.col("n") / F.when(F.col("total") > 0, F.col("total"))).alias("weight")
     )
 
 
 def passage_edges(passages: DataFrame) -> DataFrame:
-    """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that no text is shuffled."""
-    words = F.array_distinct(capitalised_words(F.col("text")))
-    counted = passages.select("passage_id", F.transform(words, lambda w: F.struct(w.alias("entity"), substring_count(F.col("text"), w).alias("n"))).alias("found"))
-    total = F.aggregate("found", F.lit(0).cast("long"), lambda s, x: s + x["n"])
-    rows = counted.select("passage_id", total.alias("total"), F.explode("found").alias("e"))
-    return rows.select(content_key(F.col("e.entity"), "entity-").alias("src"), F.col("passage_id").alias("dst"), (F.col("e.n") / F.when(F.col("total") > 0, F.col("total"))).alias("weight")).distinct()
+    """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that one shuffle without texts is left."""
+    words = passages.select("passage_id", "text", F.explode(F.array_distinct(capitalised_words(F.col("text")))).alias("entity"))
+    counted = words.select("passage_id", "entity", substring_count(F.col("text"), F.col("entity")).alias("n"))
+    counted = counted.repartition("passage_id").dropDuplicates(["passage_id", "entity"])
+    return _shares(counted)
 
 
 def adjacency_edges(passages: DataFrame) -> DataFrame:
