@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,6 +11,70 @@ from ..functions.scores import clamp_reset
 from ..session import cut_lineage
 from .keys import dense_index
 
+#: Edges in one list of a node (a node of many edges has many lists), rows of lists taken at once, and sums a task holds before it passes them on.
+LIST_SIZE, ROWS_AT_ONCE, SUMS_HELD = 64, 1024, 65_536
+
+
+def _matrix(column) -> np.ndarray:
+    """Rows of little-endian doubles as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
+
+
+def _batch(ids, blocks: np.ndarray, values: np.ndarray):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([ids, pa.array(blocks, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["id", "block", "v"])
+
+
+def _sums(ids, blocks: np.ndarray, values: np.ndarray):
+    """Each (id, block) once, in the order of the ids' first rows, with the sum of its rows."""
+    import pyarrow as pa
+
+    keys = ids.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False).astype(np.int64) * (int(blocks.max()) + 1) + blocks
+    order = np.argsort(keys, kind="stable")
+    starts = np.flatnonzero(np.diff(keys[order], prepend=-1))
+    first = order[starts]
+    return ids.take(pa.array(first)), blocks[first], np.add.reduceat(values[order], starts, axis=0)
+
+
+def _together(parts: list):
+    import pyarrow as pa
+
+    return pa.concat_arrays([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+
+
+def _spread(batches):
+    """Vectors times the weights of their nodes' edges, summed by receiving node as far as a task can hold the sums."""
+    held: list = []
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+            part = batch.slice(start, ROWS_AT_ONCE)
+            to, weight = part.column("dst"), part.column("p").flatten().to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(part.num_rows), to.value_lengths().to_numpy(zero_copy_only=False))
+            blocks = part.column("block").to_numpy(zero_copy_only=False)
+            held.append(_sums(to.flatten(), blocks[at], _matrix(part.column("v"))[at] * weight[:, None]))
+            if sum(len(h[1]) for h in held) > SUMS_HELD:
+                held = [_sums(*_together(held))]
+                if len(held[0][1]) > SUMS_HELD // 2:
+                    yield _batch(*held.pop())
+    if held:
+        yield _batch(*_sums(*_together(held)))
+
+
+def _total(batches):
+    """Sums of rows that come ordered by (id, block); only the last key is open from one batch to the next."""
+    last: list = []
+    for batch in batches:
+        if batch.num_rows:
+            rows = (batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), _matrix(batch.column("v")))
+            ids, blocks, values = _sums(*_together([*last, rows]))
+            n = len(blocks) - 1
+            if n:
+                yield _batch(ids.slice(0, n), blocks[:n], values[:n])
+            last = [(ids.slice(n), blocks[n:], values[n:])]
+    if last:
+        yield _batch(*last[0])
+
 
 def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, block: int = 64, cut_every: int = 6) -> DataFrame:
     """(qid, id, score): scores of the undirected weighted graph with restarts in proportion to clamped reset weights.
@@ -21,46 +84,66 @@ def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float =
     reset is all zero have no rows; callers fall back to the dense ranking.
 
     A node's scores for ``block`` questions are one vector, so a step is one join
-    of nodes with their edges and one weighted vector sum, combined before it is
-    shuffled, whatever the number of questions in a block. A node without edges
+    of nodes with lists of their edges and one weighted vector sum, combined
+    before it is shuffled, whatever the number of questions in a block. A node of
+    many edges has many lists, so no row and no task holds all of them, and the
+    sums stream over sorted rows. A node without edges
     receives from the restart alone, so what such nodes give back follows from
     their share R of the restart: before step k their mass is R c_k-1 with
     c_0 = 1 and c_k = 1 - d + d R c_k-1, which has a closed form.
     """
     clamped = resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
+    clamped = cut_lineage(clamped)
     ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     both = cut_lineage(edges.where("weight > 0").select(ways.alias("e"), "weight").select("e.*", "weight"))
-    strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
-    out = cut_lineage(both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength") * damping).alias("p")))
-    linked = clamped.join(strength.select(F.col("src").alias("id"), F.lit(1).alias("linked")), "id", "left")
+    strength = both.groupBy("src").agg(F.sum("weight").alias("strength"), F.ceil(F.count(F.lit(1)) / LIST_SIZE).alias("lists"))
+    out = both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength") * damping).alias("p"), F.first("lists").alias("lists"))
+    out = out.groupBy("src", F.pmod(F.xxhash64("dst"), F.col("lists")).alias("part")).agg(F.collect_list(F.struct("dst", "p")).alias("to"))
+    out = cut_lineage(out.select("src", F.col("to.dst").alias("dst"), F.col("to.p").alias("p")))
+    linked = clamped.join(out.select(F.col("src").alias("id"), F.lit(1).alias("linked")).distinct(), "id", "left")
     total = cut_lineage(linked.groupBy("qid").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("linked").isNull(), F.col("weight")).otherwise(0.0)).alias("alone")))
     block = max(1, min(block, total.count()))
     placed = dense_index(total, "qid", "q").select("qid", F.floor(F.col("q") / block).alias("block"), (F.col("q") % block).cast("int").alias("pos"))
     asked = cut_lineage(total.join(placed, "qid").select("qid", "block", "pos", "total", (F.col("alone") / F.col("total") * damping).alias("dr")))
-    shares = clamped.join(asked, "qid").select("id", "block", "pos", (F.col("weight") / F.col("total")).alias("r"), "dr")
-
-    by_pos = F.map_from_entries(F.collect_list(F.struct("pos", F.struct("r", "dr")))).alias("m")
-    positions = F.sequence(F.lit(0), F.lit(block - 1))
-
-    def row(name: str):
-        return F.transform(positions, lambda k: F.coalesce(F.element_at(F.col("m"), k)[name], F.lit(0.0))).alias(name)
-
-    rows = cut_lineage(shares.groupBy("id", "block").agg(by_pos).select("id", "block", row("r"), row("dr")))
+    shares = clamped.join(asked, "qid").select("id", "block", F.struct("pos", (F.col("weight") / F.col("total")).alias("r"), "dr").alias("s"))
+    # At most ``block`` shares are in a row.
+    rows = cut_lineage(shares.groupBy("id", "block").agg(F.collect_list("s").alias("s")).select("id", "block", F.col("s.pos").alias("pos"), F.col("s.r").alias("r"), F.col("s.dr").alias("dr")))
+    vectors = f"id {dict(rows.dtypes)['id']}, block long, v binary"
 
     def restart(k: int) -> DataFrame:
-        def share(r, dr):
-            power = F.pow(dr, F.lit(float(k)))
-            return r * ((1 - damping) * (1 - power) / (1 - dr) + power)
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    pos, r, dr = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "r", "dr"))
+                    at = np.repeat(np.arange(batch.num_rows), batch.column("pos").value_lengths().to_numpy(zero_copy_only=False))
+                    values = np.zeros((batch.num_rows, block))
+                    power = dr**k
+                    values[at, pos] = r * ((1 - damping) * (1 - power) / (1 - dr) + power)
+                    yield _batch(batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), values)
 
-        return rows.select("id", "block", array_to_vector(F.zip_with("r", "dr", share)).alias("v"), F.lit(1.0).alias("p"))
+        return rows.mapInArrow(run, vectors)
 
-    state = restart(0).select("id", "block", "v")
+    state = restart(0)
     for k in range(1, steps + 1):
-        sent = state.join(out, state["id"] == out["src"]).select(F.col("dst").alias("id"), "block", "v", "p")
-        state = sent.unionByName(restart(k)).groupBy("id", "block").agg(Summarizer.sum(F.col("v"), F.col("p")).alias("v"))
+        sent = state.join(out, state["id"] == out["src"]).select("block", "v", "dst", "p").mapInArrow(_spread, vectors)
+        state = sent.unionByName(restart(k)).repartition("id", "block").sortWithinPartitions("id", "block").mapInArrow(_total, vectors)
         if k % cut_every == 0 or k == steps:
             state = cut_lineage(state)
-    scores = state.select("id", "block", F.posexplode(vector_to_array("v")).alias("pos", "score")).where("score > 0")
+
+    def unpack(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(start, ROWS_AT_ONCE)
+                values = _matrix(part.column("v"))
+                at, pos = np.nonzero(values > 0)
+                chosen = pa.array(at)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(chosen), part.column("block").take(chosen), pa.array(pos, pa.int32()), pa.array(values[at, pos])], names=["id", "block", "pos", "score"]
+                )
+
+    scores = state.mapInArrow(unpack, vectors.replace("v binary", "pos int, score double"))
     return scores.join(asked.select("qid", "block", "pos"), ["block", "pos"]).select("qid", "id", "score")
 
 
