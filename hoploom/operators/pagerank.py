@@ -53,9 +53,9 @@ def _spread(batches):
             at = np.repeat(np.arange(part.num_rows), to.value_lengths().to_numpy(zero_copy_only=False))
             blocks = part.column("block").to_numpy(zero_copy_only=False)
             held.append(_sums(to.flatten(), blocks[at], _matrix(part.column("v"))[at] * weight[:, None]))
-            if sum(len(h[1]) for h in held) > SUMS_HELD:
+            if sum(len(h[1]) for h in held) > 2 * SUMS_HELD:
                 held = [_sums(*_together(held))]
-                if len(held[0][1]) > SUMS_HELD // 2:
+                if len(held[0][1]) > SUMS_HELD:
                     yield _batch(*held.pop())
     if held:
         yield _batch(*_sums(*_together(held)))
