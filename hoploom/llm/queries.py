@@ -7,6 +7,7 @@ from .chat import OP5_SQL, op5_chat
 from .html_text import op2_html_text
 from .interleaved import op3_media
 from .language_id import op8_language_id
+from .licenses import OP11_SQL, op11_licenses
 from .packing import op4_packing
 from .text_join import op10_text_join
 from .toxicity import op6_toxicity
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_bpe": op9_bpe,
     "op10_text_join": op10_text_join,
+    "op11_licenses": op11_licenses,
 }
 
 ORACLES = {
     "op5_chat": OP5_SQL,
     "op7_vector_dedup": OP7_SQL,
+    "op11_licenses": OP11_SQL,
 }
