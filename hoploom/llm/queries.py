@@ -13,6 +13,7 @@ from .text_join import op10_text_join
 from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
 from .vector_dedup import OP7_SQL, op7_vector_dedup
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_bpe": op9_bpe,
     "op10_text_join": op10_text_join,
     "op11_licenses": op11_licenses,
+    "op12_whitening": op12_whitening,
 }
 
 ORACLES = {
