@@ -9,6 +9,7 @@ from .interleaved import op3_media
 from .language_id import op8_language_id
 from .licenses import OP11_SQL, op11_licenses
 from .packing import op4_packing
+from .prefix_trie import OP13_SQL, op13_prefix_trie
 from .text_join import op10_text_join
 from .toxicity import op6_toxicity
 from .url_filter import op1_url_filter
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_text_join": op10_text_join,
     "op11_licenses": op11_licenses,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES = {
     "op5_chat": OP5_SQL,
     "op7_vector_dedup": OP7_SQL,
     "op11_licenses": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
