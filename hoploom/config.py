@@ -18,6 +18,8 @@ class TriGraphConfig:
     iteration_threshold: float = 0.5
     vectorized: bool = False
     pagerank_steps: int = 30
+    #: Residuals over this share of a question's mass are pushed; None takes steps over all nodes.
+    push_eps: float | None = None
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,10 @@ class HypergraphConfig:
     temperature: float = 0.1
     kmeans_seed: int = 42
     kmeans_iterations: int = 300
+    kmeans_starts: int = 10
+    #: Beyond this many entities their neighbours come from an inverted file of about the root of their number of cells.
+    exact_neighbours: int = 50_000
+    neighbour_probes: int = 16
     evidence_limit: int = 5
     source_chunk_limit: int = 3
     seed_fallback: int = 5

@@ -85,4 +85,4 @@ def sentences_of(text: Column) -> Column:
 
 def capitalised_words(text: Column) -> Column:
     """Distinct words of four letters or more that start with a capital: the stand-in for a recogniser."""
-    return F.array_distinct(F.filter(F.split(text, "[^A-Za-z]+", -1), lambda w: F.regexp_like(w, F.lit("^[A-Z][a-z]{3,}$"))))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![A-Za-z])[A-Z][a-z]{3,}+(?![A-Za-z])"), 0))

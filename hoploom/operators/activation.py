@@ -68,9 +68,7 @@ def activate_bfs(seeds: DataFrame, pairs: DataFrame, similarity: Callable[[DataF
     """(weights, active) as above, with the exact order of a breadth-first walk.
 
     Frontier entities choose one after another, and a chosen sentence is gone
-    for those that follow. An entity can therefore need no more than its first
-    ``top_k_sentence`` times frontier-size sentences; these few rows per question
-    are what the sequential choice sees. Each contribution must reach the
+    for those that follow (``choose_in_turn``). Each contribution must reach the
     threshold by itself; the last one sets an entity's score in the next hop.
     """
     frontier = seeds.select("qid", "entity", "score", F.row_number().over(W.partitionBy("qid").orderBy("entity")).cast("long").alias("turn"))
@@ -81,18 +79,13 @@ def activate_bfs(seeds: DataFrame, pairs: DataFrame, similarity: Callable[[DataF
         frontier = cut_lineage(frontier.where(F.col("score") >= threshold))
         if frontier.isEmpty():
             break
-        sizes = frontier.groupBy("qid").agg((F.count(F.lit(1)) * top_k_sentence).alias("enough"))
         reach = frontier.join(pairs, "entity")
         if used is not None:
             reach = reach.join(used, ["qid", "sentence"], "left_anti")
-        ranked = W.partitionBy("qid", "entity").orderBy(F.desc(F.round("sim", 9)), "sentence")
-        few = _similarities(reach, similarity).withColumn("r", F.row_number().over(ranked)).join(sizes, "qid").where(F.col("r") <= F.col("enough"))
-        picks = few.select("qid", "entity", "score", "turn", "sentence", "sim", "r").groupBy("qid").applyInPandas(
-            lambda group: _choose(group, top_k_sentence), "qid " + dict(seeds.dtypes)["qid"] + ", entity string, score double, sentence string, sim double, pick long"
-        )
-        picks = cut_lineage(picks)
+        picks = cut_lineage(choose_in_turn(_similarities(reach, similarity), top_k_sentence))
         used = picks.select("qid", "sentence") if used is None else used.union(picks.select("qid", "sentence"))
         given = picks.join(pairs.withColumnRenamed("entity", "to"), "sentence").withColumn("gain", F.col("score") * F.col("sim")).where(F.col("gain") >= threshold)
+        given = given.withColumn("pick", F.struct("turn", "r"))
         per = given.groupBy("qid", F.col("to").alias("entity")).agg(F.sum("gain").alias("total"), F.max_by("gain", "pick").alias("score"), F.min(F.struct("pick", "to")).alias("place"))
         per = cut_lineage(per)
         gained.append(per.select("qid", "entity", F.col("total").alias("score")))
@@ -101,22 +94,26 @@ def activate_bfs(seeds: DataFrame, pairs: DataFrame, similarity: Callable[[DataF
     return _collect(gained, active)
 
 
-def _choose(group, k: int):
-    """One question's choices in the entities' order; few rows, see ``activate_bfs``."""
-    group = group.sort_values(["turn", "r"], kind="stable")
-    gone: set[str] = set()
-    taken: dict[int, int] = {}
-    rows = []
-    for row in group.itertuples(index=False):
-        if taken.get(row.turn, 0) < k and row.sentence not in gone:
-            gone.add(row.sentence)
-            taken[row.turn] = taken.get(row.turn, 0) + 1
-            rows.append(len(rows))
-        else:
-            rows.append(-1)
-    picked = group[[r >= 0 for r in rows]].copy()
-    picked["pick"] = range(len(picked))
-    return picked[["qid", "entity", "score", "sentence", "sim", "pick"]]
+def choose_in_turn(wishes: DataFrame, k: int) -> DataFrame:
+    """The rows of ``wishes`` (qid, entity, turn, sentence, sim, ...) that are chosen, with ``r``, the place of the choice.
+
+    As if a question's entities chose in the order of ``turn``, each its ``k`` most similar sentences that are left
+    (ties by sentence). Done in rounds for all at once: each entity names its k best; a sentence is held by the least turn that
+    names it, and is out of reach for all later ones. A holder only ever changes to an
+    earlier turn, so what is out of reach stays so; when nobody names a sentence held
+    by another, the holders are those of the walk. A question's r-th entity is settled after r rounds at the latest.
+    """
+    best = W.partitionBy("qid", "entity").orderBy(F.desc(F.round("sim", 9)), "sentence")
+    sizes = wishes.select("qid", "entity").distinct().groupBy("qid").agg((F.count(F.lit(1)) * k).alias("enough"))
+    # Others can take no more than k sentences each: an entity needs no more than its first k times the number of entities.
+    alive = wishes.withColumn("r", F.row_number().over(best)).join(sizes, "qid").where(F.col("r") <= F.col("enough")).drop("enough", "r")
+    alive = cut_lineage(alive)
+    while True:
+        named = cut_lineage(alive.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k))
+        held = named.groupBy("qid", "sentence").agg(F.min("turn").alias("holder"))
+        if named.join(held, ["qid", "sentence"]).where("turn > holder").isEmpty():
+            return named
+        alive = cut_lineage(alive.join(held, ["qid", "sentence"], "left").where("holder IS NULL OR turn <= holder").drop("holder"))
 
 
 def _collect(gained: list[DataFrame], active: list[DataFrame]):

@@ -9,23 +9,35 @@ from ..functions.lexical import jaro_winkler
 from ..functions.scores import hybrid_affinity
 from ..functions.vector import cosine, l2_normalize
 from .dense import nearest_cells, top_k_joined
+from .inverted_file import InvertedFile
 from .masking import fit_clusters
 
 
+def unit_items(entities: DataFrame) -> DataFrame:
+    """Entities (entity_idx, vector) as items of length 1 (iid, vector)."""
+    return entities.select(F.col("entity_idx").alias("iid"), l2_normalize(F.col("vector")).alias("vector"))
+
+
+def indexed_pairs(entities: DataFrame, index: InvertedFile, k: int = 10, probes: int = 4) -> DataFrame:
+    """As ``candidate_pairs``, with the nearest from an inverted file of ``unit_items``: an entity meets those of ``probes`` cells."""
+    near = index.search(unit_items(entities).withColumnRenamed("iid", "qid"), k, probes)
+    return near.where("qid <> iid").select(F.least("qid", "iid").alias("i"), F.greatest("qid", "iid").alias("j")).distinct()
+
+
 def candidate_pairs(entities: DataFrame, k: int = 10, cells: int | None = None, probes: int = 4, sample: int = 100_000) -> DataFrame:
     """(i, j), i < j: each entity with its k nearest by cosine, itself among them.
 
     With k entities or fewer, all pairs. ``entities`` has entity_idx and vector. The
     exact way compares all pairs; with ``cells`` an entity meets only those of the
     ``probes`` cells nearest to it, for tables where all pairs are too many. The cells are
-    fitted to about ``sample`` rows at most; every entity is in one.
+    fitted to about ``sample`` rows at most; every entity is in one. ``indexed_pairs`` keeps them.
     """
     unit = entities.select("entity_idx", l2_normalize(F.col("vector")).alias("vector"))
     asked, among = unit.select(F.col("entity_idx").alias("qid"), "vector"), unit.select(F.col("entity_idx").alias("iid"), "vector")
     if cells:
         share = min(1.0, sample / max(1, unit.count()))
         chosen = unit.where((F.pmod(F.xxhash64("entity_idx"), F.lit(1 << 30)) < int(share * (1 << 30))) & F.col("vector").isNotNull())
-        centroids, _ = fit_clusters(chosen.withColumnRenamed("entity_idx", "prop_idx"), cells, max_iter=20)
+        centroids, _ = fit_clusters(chosen.withColumnRenamed("entity_idx", "prop_idx"), cells, max_iter=20, starts=1)
         asked, among = nearest_cells(asked, centroids, probes), nearest_cells(among, centroids, 1)
     near = top_k_joined(asked, among, k)
     return near.where("qid <> iid").select(F.least("qid", "iid").alias("i"), F.greatest("qid", "iid").alias("j")).distinct()

@@ -24,7 +24,7 @@ def _query_blocks(queries: DataFrame, keys: Sequence[str], block: int) -> Iterat
             yield [np.array([r[c] for r in rows], dtype=object) for c in keys], np.array([r.vector for r in rows], dtype=np.float64)
 
 
-def _usable(items: DataFrame) -> DataFrame:
+def usable_items(items: DataFrame) -> DataFrame:
     return items.where(F.col("iid").isNotNull() & F.col("vector").isNotNull()).select("iid", F.col("vector").cast("array<double>").alias("vector"))
 
 
@@ -63,7 +63,7 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, block: int = 4096, digit
                 best = _best(scores, k)
                 yield pd.DataFrame({"qid": np.repeat(ids, best.shape[1]), "iid": names[best].ravel(), "score": np.take_along_axis(scores, best, axis=1).ravel()})
 
-        parts.append(_usable(items).mapInPandas(run, f"qid {kind_q}, iid {kind_i}, score double"))
+        parts.append(usable_items(items).mapInPandas(run, f"qid {kind_q}, iid {kind_i}, score double"))
     if not parts:
         return spark.createDataFrame([], f"qid {kind_q}, iid {kind_i}, score double, rank int")
     return _ranked(reduce(DataFrame.union, parts), k)
@@ -170,7 +170,7 @@ def all_scores(queries: DataFrame, items: DataFrame, block: int = 1024, keys: Se
 
         known = np.zeros((len(matrix), 4))
         if scale:
-            per = _usable(items).mapInPandas(ends, "q int, low double, high double, total double, n long")
+            per = usable_items(items).mapInPandas(ends, "q int, low double, high double, total double, n long")
             for r in per.groupBy("q").agg(F.min("low"), F.max("high"), F.sum("total"), F.sum("n")).collect():  # a row a query of the block
                 known[r[0]] = r[1:]
         shared = spark.sparkContext.broadcast((ids, matrix, known))
@@ -190,5 +190,5 @@ def all_scores(queries: DataFrame, items: DataFrame, block: int = 1024, keys: Se
                         scores = np.exp(scores / temperature) / (total + 1e-8) * n
                     yield pd.DataFrame({**{c: np.repeat(x, len(part)) for c, x in zip(keys, ids, strict=True)}, "iid": np.tile(part["iid"].to_numpy(), len(matrix)), "score": scores.ravel() + 0.0})
 
-        parts.append(_usable(items).mapInPandas(run, schema))
+        parts.append(usable_items(items).mapInPandas(run, schema))
     return reduce(DataFrame.union, parts) if parts else spark.createDataFrame([], schema)

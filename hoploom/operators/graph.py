@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.text import capitalised_words, content_key, passage_index, sentences_of, substring_count
+from ..session import cut_lineage
 from .keys import dense_index
 
 #: Entity labels that never become entities.
@@ -24,15 +25,23 @@ def keep_labels(extracted: DataFrame) -> DataFrame:
     return extracted.where(F.col("label").isNull() | ~F.col("label").isin(*DROPPED_LABELS))
 
 
+def each(df: DataFrame, found: Column, out: str, *keep: str) -> DataFrame:
+    """A row for each element of an array, without null elements.
+
+    An outer explode: for a plain one Spark filters out empty arrays first, and for that finds what is in them twice.
+    """
+    return df.select(*keep, F.explode_outer(found).alias(out)).where(F.col(out).isNotNull())
+
+
 def mentions_of(passages: DataFrame) -> DataFrame:
     """(passage_id, entity), each pair once, by the stand-in recogniser."""
-    return passages.select("passage_id", F.explode(capitalised_words(F.col("text"))).alias("entity")).distinct()
+    return each(passages, capitalised_words(F.col("text")), "entity", "passage_id").distinct()
 
 
 def entity_sentences_of(passages: DataFrame) -> DataFrame:
     """(sentence, entity), each pair once over all passages."""
-    sentences = passages.select(F.explode(sentences_of(F.col("text"))).alias("sentence"))
-    return sentences.select("sentence", F.explode(capitalised_words(F.col("sentence"))).alias("entity")).distinct()
+    sentences = each(passages, sentences_of(F.col("text")), "sentence")
+    return each(sentences, capitalised_words(F.col("sentence")), "entity", "sentence").distinct()
 
 
 def inverted_index(entity_sentences: DataFrame) -> DataFrame:
@@ -55,7 +64,7 @@ def _shares(counted: DataFrame) -> DataFrame:
 
 def passage_edges(passages: DataFrame) -> DataFrame:
     """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that one shuffle without texts is left."""
-    words = passages.select("passage_id", "text", F.explode(F.array_distinct(capitalised_words(F.col("text")))).alias("entity"))
+    words = each(passages, capitalised_words(F.col("text")), "entity", "passage_id", "text")
     counted = words.select("passage_id", "entity", substring_count(F.col("text"), F.col("entity")).alias("n"))
     counted = counted.repartition("passage_id").dropDuplicates(["passage_id", "entity"])
     return _shares(counted)
@@ -66,7 +75,8 @@ def adjacency_edges(passages: DataFrame) -> DataFrame:
     # The order is a dense position, and the neighbour a join: no window over all rows.
     numbered = passages.select("passage_id", passage_index(F.col("text")).alias("n")).where(F.col("n").isNotNull()).distinct()
     keyed = numbered.withColumn("at", F.concat(F.lpad(F.col("n").cast("string"), 20, "0"), F.lit(" "), F.col("passage_id")))
-    placed = keyed.join(dense_index(keyed, "at", "pos"), "at").select("passage_id", "pos")
+    # What is sorted holds the passage's id: the texts are read once.
+    placed = cut_lineage(dense_index(keyed, "at", "pos").select(F.substr("at", F.lit(22)).alias("passage_id"), "pos"))
     following = placed.select(F.col("passage_id").alias("dst"), (F.col("pos") - 1).alias("pos"))
     return placed.join(following, "pos").select(F.col("passage_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
 

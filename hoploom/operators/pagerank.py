@@ -1,7 +1,9 @@
-"""Personalised PageRank for many questions at once."""
+"""Personalised PageRank for many questions at once: by steps of vectors, and by diffused vectors with a local push."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -9,21 +11,10 @@ from pyspark.sql import Window as W
 
 from ..functions.scores import clamp_reset
 from ..session import cut_lineage
-from .keys import dense_index
-
-#: Edges in one list of a node (a node of many edges has many lists), rows of lists taken at once, and sums a task holds before it passes them on.
-LIST_SIZE, ROWS_AT_ONCE, SUMS_HELD = 64, 1024, 65_536
-
-
-def _matrix(column) -> np.ndarray:
-    """Rows of little-endian doubles as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<f8").reshape(len(column), -1)
-
-
-def _batch(ids, blocks: np.ndarray, values: np.ndarray):
-    import pyarrow as pa
+from .blocks import ROWS_AT_ONCE, SIZE, matrix_of, pack, question_places, unpack, vector_batch, vectors_of
 
-    return pa.RecordBatch.from_arrays([ids, pa.array(blocks, pa.int64()), pa.array([v.tobytes() for v in values], pa.binary())], names=["id", "block", "v"])
+#: Edges in one list of a node (a node of many edges has many lists), and sums a task holds before it passes them on.
+LIST_SIZE, SUMS_HELD = 64, 65_536
 
 
 def _sums(ids, blocks: np.ndarray, values: np.ndarray):
@@ -52,13 +43,13 @@ def _spread(batches):
             to, weight = part.column("dst"), part.column("p").flatten().to_numpy(zero_copy_only=False)
             at = np.repeat(np.arange(part.num_rows), to.value_lengths().to_numpy(zero_copy_only=False))
             blocks = part.column("block").to_numpy(zero_copy_only=False)
-            held.append(_sums(to.flatten(), blocks[at], _matrix(part.column("v"))[at] * weight[:, None]))
+            held.append(_sums(to.flatten(), blocks[at], matrix_of(part.column("v"))[at] * weight[:, None]))
             if sum(len(h[1]) for h in held) > 2 * SUMS_HELD:
                 held = [_sums(*_together(held))]
                 if len(held[0][1]) > SUMS_HELD:
-                    yield _batch(*held.pop())
+                    yield vector_batch(*held.pop())
     if held:
-        yield _batch(*_sums(*_together(held)))
+        yield vector_batch(*_sums(*_together(held)))
 
 
 def _total(batches):
@@ -66,85 +57,128 @@ def _total(batches):
     last: list = []
     for batch in batches:
         if batch.num_rows:
-            rows = (batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), _matrix(batch.column("v")))
+            rows = (batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), matrix_of(batch.column("v")))
             ids, blocks, values = _sums(*_together([*last, rows]))
             n = len(blocks) - 1
             if n:
-                yield _batch(ids.slice(0, n), blocks[:n], values[:n])
+                yield vector_batch(ids.slice(0, n), blocks[:n], values[:n])
             last = [(ids.slice(n), blocks[n:], values[n:])]
     if last:
-        yield _batch(*last[0])
+        yield vector_batch(*last[0])
 
 
-def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, block: int = 64, cut_every: int = 6) -> DataFrame:
-    """(qid, id, score): scores of the undirected weighted graph with restarts in proportion to clamped reset weights.
-
-    ``resets`` has qid, id and weight; ids are nodes. The error is at most 2 damping^steps.
-    Nodes without edges give their mass back to the restart. Questions whose
-    reset is all zero have no rows; callers fall back to the dense ranking.
-
-    A node's scores for ``block`` questions are one vector, so a step is one join
-    of nodes with lists of their edges and one weighted vector sum, combined
-    before it is shuffled, whatever the number of questions in a block. A node of
-    many edges has many lists, so no row and no task holds all of them, and the
-    sums stream over sorted rows. A node without edges
-    receives from the restart alone, so what such nodes give back follows from
-    their share R of the restart: before step k their mass is R c_k-1 with
-    c_0 = 1 and c_k = 1 - d + d R c_k-1, which has a closed form.
-    """
-    clamped = resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0").groupBy("qid", "id").agg(F.sum("weight").alias("weight"))
-    clamped = cut_lineage(clamped)
+def edge_shares(edges: DataFrame) -> DataFrame:
+    """(src, dst, p): both directions of every edge with its share of the source's weight; p sums to 1 over a source."""
     ways = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
     both = cut_lineage(edges.where("weight > 0").select(ways.alias("e"), "weight").select("e.*", "weight"))
-    strength = both.groupBy("src").agg(F.sum("weight").alias("strength"), F.ceil(F.count(F.lit(1)) / LIST_SIZE).alias("lists"))
-    out = both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength") * damping).alias("p"), F.first("lists").alias("lists"))
-    out = out.groupBy("src", F.pmod(F.xxhash64("dst"), F.col("lists")).alias("part")).agg(F.collect_list(F.struct("dst", "p")).alias("to"))
-    out = cut_lineage(out.select("src", F.col("to.dst").alias("dst"), F.col("to.p").alias("p")))
-    linked = clamped.join(out.select(F.col("src").alias("id"), F.lit(1).alias("linked")).distinct(), "id", "left")
-    total = cut_lineage(linked.groupBy("qid").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("linked").isNull(), F.col("weight")).otherwise(0.0)).alias("alone")))
-    block = max(1, min(block, total.count()))
-    placed = dense_index(total, "qid", "q").select("qid", F.floor(F.col("q") / block).alias("block"), (F.col("q") % block).cast("int").alias("pos"))
-    asked = cut_lineage(total.join(placed, "qid").select("qid", "block", "pos", "total", (F.col("alone") / F.col("total") * damping).alias("dr")))
-    shares = clamped.join(asked, "qid").select("id", "block", F.struct("pos", (F.col("weight") / F.col("total")).alias("r"), "dr").alias("s"))
-    # At most ``block`` shares are in a row.
-    rows = cut_lineage(shares.groupBy("id", "block").agg(F.collect_list("s").alias("s")).select("id", "block", F.col("s.pos").alias("pos"), F.col("s.r").alias("r"), F.col("s.dr").alias("dr")))
-    vectors = f"id {dict(rows.dtypes)['id']}, block long, v binary"
+    strength = both.groupBy("src").agg(F.sum("weight").alias("strength"))
+    return both.join(strength, "src").groupBy("src", "dst").agg((F.sum("weight") / F.first("strength")).alias("p"))
+
+
+def edge_lists(shares: DataFrame, factor: float) -> DataFrame:
+    """(src, part, dst, p): the edges of a node in lists of about LIST_SIZE, their shares times ``factor``."""
+    lists = shares.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / LIST_SIZE).alias("lists"))
+    parts = shares.join(lists, "src").groupBy("src", F.pmod(F.xxhash64("dst"), F.col("lists")).alias("part"), "lists").agg(F.collect_list(F.struct("dst", (F.col("p") * factor).alias("p"))).alias("to"))
+    return cut_lineage(parts.select("src", "part", "lists", F.col("to.dst").alias("dst"), F.col("to.p").alias("p")))
 
-    def restart(k: int) -> DataFrame:
-        def run(batches):
-            for batch in batches:
-                if batch.num_rows:
-                    pos, r, dr = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("pos", "r", "dr"))
-                    at = np.repeat(np.arange(batch.num_rows), batch.column("pos").value_lengths().to_numpy(zero_copy_only=False))
-                    values = np.zeros((batch.num_rows, block))
-                    power = dr**k
-                    values[at, pos] = r * ((1 - damping) * (1 - power) / (1 - dr) + power)
-                    yield _batch(batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), values)
 
-        return rows.mapInArrow(run, vectors)
+#: Lists of one node that a vector meets in one join key; a node of more has as many keys as it needs.
+LISTS_A_KEY = 16
 
+
+def _steps(rows: DataFrame, out: DataFrame, restart: Callable[[int], DataFrame], steps: int, cut_every: int) -> DataFrame:
+    """state = restart(k) + (state times edges), ``steps`` times.
+
+    A hub's lists are dealt to several join keys, and its vector is sent to each of them, so no key holds all of them.
+    """
+    keyed = out.withColumn("key", F.floor(F.col("part") / LISTS_A_KEY).cast("int"))
+    keys = cut_lineage(out.select("src", F.ceil(F.col("lists") / LISTS_A_KEY).cast("int").alias("keys")).where("keys > 1").distinct())
+    hubs = keys.count()
     state = restart(0)
     for k in range(1, steps + 1):
-        sent = state.join(out, state["id"] == out["src"]).select("block", "v", "dst", "p").mapInArrow(_spread, vectors)
-        state = sent.unionByName(restart(k)).repartition("id", "block").sortWithinPartitions("id", "block").mapInArrow(_total, vectors)
+        told = state.select(F.col("id").alias("src"), "block", "v")
+        if hubs:
+            told = told.join(keys, "src", "left").select("src", "block", "v", F.explode(F.sequence(F.lit(0), F.coalesce("keys", F.lit(1)) - 1)).alias("key"))
+        else:
+            told = told.withColumn("key", F.lit(0))
+        sent = told.join(keyed, ["src", "key"]).select("block", "v", "dst", "p").mapInArrow(_spread, rows.schema)
+        state = sent.unionByName(restart(k)).repartition("id", "block").sortWithinPartitions("id", "block").mapInArrow(_total, rows.schema)
         if k % cut_every == 0 or k == steps:
             state = cut_lineage(state)
+    return state
 
-    def unpack(batches):
+
+def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, cut_every: int = 6) -> DataFrame:
+    """(id, block, v): scores of the undirected weighted graph with restarts in proportion to clamped weights (id, block, v).
+
+    Rows of one node and block add up. Nodes without edges give their mass back to the
+    restart: they receive from the restart alone, so what they give back follows from
+    their share R of it: before step k their mass is R c_k-1 with c_0 = 1 and
+    c_k = 1 - d + d R c_k-1, which has a closed form. What comes to the driver are two
+    numbers a question.
+    """
+
+    def clamp(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values = matrix_of(batch.column("v"))
+                yield vector_batch(batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), np.where(values > 0, values, 0.0))
+
+    rows = cut_lineage(restarts.mapInArrow(clamp, restarts.schema))
+    out = edge_lists(edge_shares(edges), damping)
+    linked = rows.join(out.select(F.col("src").alias("id"), F.lit(1).alias("linked")).distinct(), "id", "left")
+
+    def masses(batches):
         import pyarrow as pa
 
+        held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
-                values = _matrix(part.column("v"))
-                at, pos = np.nonzero(values > 0)
-                chosen = pa.array(at)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(chosen), part.column("block").take(chosen), pa.array(pos, pa.int32()), pa.array(values[at, pos])], names=["id", "block", "pos", "score"]
-                )
+            if batch.num_rows:
+                values, alone = matrix_of(batch.column("v")), batch.column("linked").is_null().to_numpy(zero_copy_only=False)
+                blocks = batch.column("block").to_numpy(zero_copy_only=False)
+                for b in np.unique(blocks).tolist():
+                    own = blocks == b
+                    both = np.stack([values[own].sum(axis=0), values[own & alone].sum(axis=0)])
+                    held[b] = held[b] + both if b in held else both
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v[0].tolist() for v in held.values()]), pa.array([v[1].tolist() for v in held.values()])], names=["block", "total", "alone"])
+
+    known: dict[int, np.ndarray] = {}
+    for r in linked.select("block", "v", "linked").mapInArrow(masses, "block long, total array<double>, alone array<double>").toLocalIterator():
+        both = np.stack([r.total, r.alone])
+        known[r.block] = known[r.block] + both if r.block in known else both
+    shared = rows.sparkSession.sparkContext.broadcast({b: (np.where(t > 0, t, 1.0), a / np.where(t > 0, t, 1.0) * damping) for b, (t, a) in known.items()})
 
-    scores = state.mapInArrow(unpack, vectors.replace("v binary", "pos int, score double"))
-    return scores.join(asked.select("qid", "block", "pos"), ["block", "pos"]).select("qid", "id", "score")
+    def restart(k: int) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    blocks = batch.column("block").to_numpy(zero_copy_only=False)
+                    values = np.array(matrix_of(batch.column("v")))
+                    for b in np.unique(blocks).tolist():
+                        total, dr = shared.value[b]
+                        power = dr**k
+                        values[blocks == b] *= ((1 - damping) * (1 - power) / (1 - dr) + power) / total
+                    yield vector_batch(batch.column("id"), blocks, values)
+
+        return rows.mapInArrow(run, rows.schema)
+
+    return _steps(rows, out, restart, steps, cut_every)
+
+
+def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, block: int = SIZE, cut_every: int = 6) -> DataFrame:
+    """(qid, id, score): scores of the undirected weighted graph with restarts in proportion to clamped reset weights.
+
+    ``resets`` has qid, id and weight; ids are nodes. The error is at most 2 damping^steps.
+    Questions whose reset is all zero have no rows; callers fall back to the dense ranking.
+
+    A node's scores for ``block`` questions are one vector, so a step is one join
+    of nodes with lists of their edges and one weighted vector sum, combined
+    before it is shuffled, whatever the number of questions in a block.
+    """
+    clamped = cut_lineage(resets.select("qid", "id", clamp_reset(F.col("weight")).alias("weight")).where("weight > 0"))
+    places = cut_lineage(question_places(clamped.select("qid").distinct(), block))
+    return unpack(pagerank_blocks(pack(clamped, places, block), edges, damping, steps, cut_every), places)
 
 
 def rank_passages(scores: DataFrame, passages: DataFrame, k: int) -> DataFrame:
@@ -152,3 +186,30 @@ def rank_passages(scores: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     of_passages = scores.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi")
     ranked = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "id")
     return of_passages.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("qid", F.col("id").alias("passage_id"), "score", "rank")
+
+
+def diffuse(vectors: DataFrame, lists: DataFrame, steps: int, cut_every: int = 6) -> DataFrame:
+    """(id, v): sum over k <= ``steps`` of damping^k M^k x, for vectors (id, v) of one length; ``lists`` as of ``edge_lists``."""
+    rows = vectors.select("id", F.lit(0).cast("long").alias("block"), "v")
+    return _steps(rows, lists, lambda k: rows, steps, cut_every).select("id", "v")
+
+
+def push(residuals: DataFrame, shares: DataFrame, limits: DataFrame, damping: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """(mass, left) of residuals (qid, id, r >= 0): what came to each node, and what is left of each question.
+
+    A round sends on the residual of every (question, node) over the question's ``eps``
+    (``limits``: qid, eps): it is added to the node's mass, and damping times its share
+    goes along each edge. What stays below, or is left after the last round, is added to
+    its own node's mass and goes no further, so the mass that is missing is nowhere
+    negative and sums to at most left * damping / (1 - damping).
+    """
+    state = residuals.join(limits, "qid").select("qid", "id", "r", F.lit(0.0).alias("mass"), "eps")
+    for k in range(1, rounds + 1):
+        front = F.col("r") > F.col("eps")
+        sent = state.where(front).join(shares, state["id"] == shares["src"]).select("qid", F.col("dst").alias("id"), (F.col("r") * F.col("p") * damping).alias("r"), F.lit(0.0).alias("mass"), "eps")
+        kept = state.select("qid", "id", F.when(front, 0.0).otherwise(F.col("r")).alias("r"), (F.col("mass") + F.when(front, F.col("r")).otherwise(0.0)).alias("mass"), "eps")
+        state = sent.unionByName(kept).groupBy("qid", "id").agg(F.sum("r").alias("r"), F.sum("mass").alias("mass"), F.first("eps").alias("eps"))
+        state = cut_lineage(state)
+        if k < rounds and state.where(F.col("r") > F.col("eps")).isEmpty():
+            break
+    return state.select("qid", "id", (F.col("mass") + F.col("r")).alias("mass")).where("mass > 0"), state.groupBy("qid").agg(F.sum("r").alias("left"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import HypergraphConfig
-from ..operators.affinity import candidate_pairs, score_pairs, symmetric
+from ..operators.affinity import candidate_pairs, indexed_pairs, score_pairs, symmetric, unit_items
 from ..operators.evidence import evidence
 from ..operators.graph import keep_labels
+from ..operators.inverted_file import InvertedFile
 from ..operators.masking import fit_clusters
 from ..operators.propagation import match_seeds, propagate, proposition_scores, top_rows
 from ..operators.propositions import incidence_of, parse_propositions, parse_subquestions
@@ -49,11 +53,21 @@ class HypergraphEngine:
         self.catalog.write("entities", embed(entities, self.embedder, "name", "vector"))
         self.catalog.write("propositions", embed(texts.join(props, "prop_id"), self.embedder, "text", "vector"))
         entities = self.catalog.read("entities")
-        self.catalog.write("affinity", symmetric(score_pairs(candidate_pairs(entities, c.top_k_candidates), entities, c.lexical_weight), c.affinity_threshold))
-        centroids, prop_cluster = fit_clusters(self.catalog.read("propositions"), c.num_clusters, c.kmeans_seed, c.kmeans_iterations)
+        self.catalog.write("affinity", symmetric(score_pairs(self._alias_candidates(entities), entities, c.lexical_weight), c.affinity_threshold))
+        centroids, prop_cluster = fit_clusters(self.catalog.read("propositions"), c.num_clusters, c.kmeans_seed, c.kmeans_iterations, c.kmeans_starts)
         self.catalog.write("centroids", centroids)
         self.catalog.write("prop_cluster", prop_cluster)
 
+    def _alias_candidates(self, entities: DataFrame) -> DataFrame:
+        """Each entity with its nearest: all pairs compared up to ``exact_neighbours``, by an inverted file beyond."""
+        c, n = self.config, entities.count()
+        if n <= c.exact_neighbours:
+            return candidate_pairs(entities, c.top_k_candidates)
+        # Positions of entities are new in each index, and so is the file.
+        index = InvertedFile(self.spark, f"{self.catalog.path}/neighbours-{uuid.uuid4().hex}")
+        index.build(unit_items(entities), math.isqrt(n))
+        return indexed_pairs(entities, index, c.top_k_candidates, c.neighbour_probes)
+
     @property
     def indexed(self) -> bool:
         return self.catalog.exists("prop_cluster")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import entity_sentences_of, mentions_of, passages_of
+from ..operators.graph import each, entity_sentences_of, mentions_of, passages_of
 from ..functions.text import capitalised_words
 
 
@@ -30,7 +30,7 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def question_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return questions(spark, d).select("qid", F.explode(capitalised_words(F.col("text"))).alias("mention"))
+    return each(questions(spark, d), capitalised_words(F.col("text")), "mention", "qid")
 
 
 def stand_in_vectors(spark: SparkSession, d: str, df: DataFrame, text: str, out: str = "vector") -> DataFrame:

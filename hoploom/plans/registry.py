@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import activation, affinity, dense, evaluation, evidence, extensions, graph, keys, masking, pagerank, prior, propagation, propositions
-from ..session import cut_lineage
+from ..operators import activation, affinity, blocks, dense, evaluation, evidence, extensions, graph, inverted_file, keys, masking, pagerank, prior, propagation, propositions, push
+from ..session import cut_lineage, shared_folder
 from . import inputs as src
 from .inputs import stand_in_sql, table, with_
 
@@ -180,8 +180,10 @@ seeds AS (SELECT qid, entity, max(score) AS score FROM question_mentions JOIN ne
 _SEEDED = with_("passages", "mentions", "vectors", "questions", "question_mentions", more=_SEEDS)
 
 
-def _seeds(spark, d):
-    entities = src.stand_in_vectors(spark, d, src.mentions(spark, d).select("entity").distinct(), "entity")
+def _seeds(spark, d, pairs: DataFrame | None = None):
+    """``pairs`` holds the same entities as the passages: sentences are cut where no word is."""
+    found = src.mentions(spark, d) if pairs is None else pairs
+    entities = src.stand_in_vectors(spark, d, found.select("entity").distinct(), "entity")
     asked = src.stand_in_vectors(spark, d, src.question_mentions(spark, d), "mention")
     return activation.seed_entities(asked, entities)
 
@@ -230,7 +232,7 @@ question_vectors AS (SELECT qid, vector AS v FROM questions JOIN vectors ON vec_
 
 def _activated(spark, d, hops: int, walk=activation.activate_vectorized):
     pairs = cut_lineage(src.pairs(spark, d))
-    return walk(cut_lineage(_seeds(spark, d)), pairs, _similarity(spark, d), hops + 1, _TOP_SENTENCES, _THRESHOLD)
+    return walk(cut_lineage(_seeds(spark, d, pairs)), pairs, _similarity(spark, d), hops + 1, _TOP_SENTENCES, _THRESHOLD)
 
 
 _ACTIVE_SQL = "\nSELECT qid, entity, round(weight, 6) AS weight, round(coalesce(a.score, 0), 6) AS score, coalesce(a.tier, -1) AS tier FROM weights LEFT JOIN active a USING (qid, entity)"
@@ -250,7 +252,36 @@ def activate_vectorized_hop2(spark, d):
     return _joined(*_activated(spark, d, 2))
 
 
-@query("activate_bfs")
+def _walk_sql(hops: int) -> str:
+    """The walk as a recursion over the entities in their order; a state is a question's used sentences."""
+    out = with_("passages", "mentions", "pairs", "vectors", "questions", "question_mentions", more=_SEEDS + f""",
+question_vectors AS (SELECT qid, vector AS v FROM questions JOIN vectors ON vec_id = {stand_in_sql('text')}),
+frontier0 AS (SELECT qid, entity, score, score AS total, row_number() OVER (PARTITION BY qid ORDER BY entity) AS turn FROM seeds)""").replace("WITH ", "WITH RECURSIVE ", 1)
+    for t in range(1, hops + 1):
+        unused = "".join(f" AND NOT EXISTS (SELECT 1 FROM picks{k} u WHERE u.qid = f.qid AND u.sentence = p.sentence)" for k in range(1, t))
+        out += f""",
+reach{t} AS MATERIALIZED (SELECT f.qid, f.entity, f.score, f.turn, p.sentence, list_dot_product(qv.v, sv.vector) AS sim FROM frontier{t - 1} f JOIN pairs p ON p.entity = f.entity
+  JOIN question_vectors qv ON qv.qid = f.qid JOIN vectors sv ON sv.vec_id = {stand_in_sql('p.sentence')} WHERE f.score >= {_THRESHOLD}{unused}),
+lists{t} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY turn) AS nth FROM (SELECT qid, entity, turn, list(sentence ORDER BY round(sim, 9) DESC, sentence) AS c FROM reach{t} GROUP BY qid, entity, turn)),
+walk{t}(qid, nth, used, picked) AS (
+  SELECT DISTINCT qid, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]) FROM lists{t}
+  UNION ALL SELECT w.qid, l.nth, list_concat(w.used, list_filter(l.c, lambda x: NOT list_contains(w.used, x))[1:{_TOP_SENTENCES}]), list_filter(l.c, lambda x: NOT list_contains(w.used, x))[1:{_TOP_SENTENCES}]
+  FROM walk{t} w JOIN lists{t} l ON l.qid = w.qid AND l.nth = w.nth + 1),
+picks{t} AS MATERIALIZED (SELECT p.qid, p.sentence, r.score, r.sim, p.nth * {_TOP_SENTENCES} + p.k AS pick FROM (SELECT w.qid, l.entity, w.nth, unnest(w.picked) AS sentence, unnest(range(len(w.picked))) AS k FROM walk{t} w JOIN lists{t} l USING (qid, nth)) p
+  JOIN reach{t} r ON r.qid = p.qid AND r.entity = p.entity AND r.sentence = p.sentence),
+given{t} AS (SELECT k.qid, p.entity, k.score * k.sim AS gain, k.pick FROM picks{t} k JOIN pairs p USING (sentence) WHERE k.score * k.sim >= {_THRESHOLD}),
+frontier{t} AS MATERIALIZED (SELECT qid, entity, score, total, row_number() OVER (PARTITION BY qid ORDER BY first, entity) AS turn FROM (SELECT qid, entity, sum(gain) AS total, arg_max(gain, pick) AS score, min(pick) AS first FROM given{t} GROUP BY qid, entity))"""
+    return (
+        out.replace("\n,", ",")
+        + ", weights AS (SELECT qid, entity, sum(total) AS weight FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM frontier{t}" for t in range(hops + 1))
+        + ") GROUP BY qid, entity), active AS (SELECT qid, entity, arg_max(score, tier) AS score, max(tier) AS tier FROM ("
+        + " UNION ALL ".join(f"SELECT qid, entity, score, {t + 1} AS tier FROM frontier{t}" for t in range(hops + 1))
+        + ") GROUP BY qid, entity)"
+    )
+
+
+@query("activate_bfs", _walk_sql(2) + _ACTIVE_SQL)
 def activate_bfs(spark, d):
     return _joined(*_activated(spark, d, 2, activation.activate_bfs))
 
@@ -271,13 +302,17 @@ def _question_vectors(spark, d):
 
 
 def _priors(spark, d, active):
-    return prior.passage_priors(active, _question_vectors(spark, d), src.stand_in_vectors(spark, d, src.passages(spark, d), "text"))
+    """(priors as vectors, places of the questions)."""
+    asked = cut_lineage(_question_vectors(spark, d))
+    places = cut_lineage(blocks.question_places(asked))
+    return blocks.prior_blocks(active, asked, src.stand_in_vectors(spark, d, src.passages(spark, d), "text"), places), places
 
 
 @query("passage_prior", _activation_sql(1) + _PRIOR + "\nSELECT qid, passage_id, round(prior, 6) AS prior FROM prior")
 def passage_prior(spark, d):
     _, active = _activated(spark, d, 1)
-    return _priors(spark, d, active).select("qid", "passage_id", F.round("prior", 6).alias("prior"))
+    rows = blocks.unpack(*_priors(spark, d, cut_lineage(active)), above=None)
+    return rows.select("qid", F.col("id").alias("passage_id"), F.round("score", 6).alias("prior"))
 
 
 _STEPS = 12
@@ -301,33 +336,79 @@ state{t} AS MATERIALIZED (SELECT qid, id, sum(score) AS score FROM (SELECT * FRO
 
 def _retrieval(spark, d, k: int = 5):
     weights, active = _activated(spark, d, 1)
-    active = cut_lineage(active)
-    resets = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight").union(_priors(spark, d, active).select("qid", F.col("passage_id").alias("id"), F.col("prior").alias("weight")))
+    priors, places = _priors(spark, d, cut_lineage(active))
+    entities = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight")
     passages = src.passages(spark, d)
-    ranks = pagerank.personalized_pagerank(resets, graph.graph_edges(None, passages), 0.5, _STEPS)
-    return pagerank.rank_passages(ranks, passages, k)
+    ranks = pagerank.pagerank_blocks(blocks.pack(entities, places).union(priors), graph.graph_edges(None, passages), 0.5, _STEPS)
+    of_passages = ranks.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi")
+    return blocks.top_of(of_passages, places, k)
 
 
 @query("ppr_topk", _activation_sql(1) + _PRIOR + "," + _pagerank_sql() + f"""
 SELECT qid, passage_id, round(score, 6) AS score, rank FROM (SELECT qid, id AS passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM state{_STEPS} JOIN passages ON passage_id = id) WHERE rank <= 5""")
 def ppr_topk(spark, d):
-    return _retrieval(spark, d).select("qid", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _retrieval(spark, d).select("qid", F.col("id").alias("passage_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-_DISPATCH = _SEEDED + f""", question_vectors AS (SELECT qid, vector AS v FROM questions JOIN vectors ON vec_id = {stand_in_sql('text')}),
-passage_vectors AS (SELECT passage_id, vector FROM passages JOIN vectors ON vec_id = {stand_in_sql('text')}),
-ranked AS (SELECT qid, passage_id, row_number() OVER (PARTITION BY qid ORDER BY round(list_dot_product(v, vector), 9) DESC, passage_id) AS rank FROM question_vectors, passage_vectors)
-SELECT qid, qid IN (SELECT qid FROM seeds) AS by_graph, CASE WHEN qid IN (SELECT qid FROM seeds) THEN NULL ELSE passage_id END AS passage_id FROM ranked WHERE rank = 1"""
+_EPS, _ROUNDS, _TERMS = 1e-5, 12, 8
 
 
-@query("retrieve_dispatch", _DISPATCH)
+def _push_sql() -> str:
+    """Dense restart weights as a series, sparse ones pushed round by round."""
+    out = _WEIGHTS.replace("weights AS", "entity_edges AS") + """,
+both_ways AS (SELECT src, dst, weight FROM entity_edges UNION ALL SELECT dst, src, weight FROM entity_edges UNION ALL SELECT src, dst, weight FROM adjacent WHERE dst IS NOT NULL UNION ALL SELECT dst, src, weight FROM adjacent WHERE dst IS NOT NULL),
+out_of AS MATERIALIZED (SELECT src, dst, sum(weight) / any_value(strength) AS p FROM both_ways JOIN (SELECT src, sum(weight) AS strength FROM both_ways GROUP BY src) USING (src) GROUP BY src, dst),
+sparse AS MATERIALIZED (SELECT qid, id, sum(r) AS r FROM (SELECT qid, 'entity-' || md5(entity) AS id, weight AS r FROM weights WHERE weight > 0 UNION ALL SELECT qid, passage_id, 0.05 * ln(1 + greatest(bonus, 0)) FROM bonus) WHERE r > 0 GROUP BY qid, id),
+term0 AS MATERIALIZED (SELECT qid, passage_id AS id, 0.075 * s AS r FROM scaled),
+mass_of AS MATERIALIZED (SELECT qid, sum(r) AS total, sum(CASE WHEN id IN (SELECT src FROM out_of) THEN 0 ELSE r END) AS alone FROM (SELECT qid, id, r FROM term0 UNION ALL SELECT qid, id, r FROM sparse) GROUP BY qid),
+push0 AS (SELECT qid, id, r, CAST(0 AS DOUBLE) AS mass FROM sparse)"""
+    for t in range(1, _TERMS + 1):
+        out += f""",
+term{t} AS MATERIALIZED (SELECT qid, dst AS id, sum(r * p) * 0.5 AS r FROM term{t - 1} JOIN out_of ON src = id GROUP BY qid, dst)"""
+    for t in range(1, _ROUNDS + 1):
+        out += f""",
+push{t} AS MATERIALIZED (SELECT qid, id, sum(r) AS r, sum(mass) AS mass FROM (
+  SELECT p.qid, dst AS id, r * o.p * 0.5 AS r, 0 AS mass FROM push{t - 1} p JOIN mass_of m ON m.qid = p.qid JOIN out_of o ON o.src = p.id WHERE r > total * {_EPS}
+  UNION ALL SELECT p.qid, id, CASE WHEN r > total * {_EPS} THEN 0 ELSE r END, mass + CASE WHEN r > total * {_EPS} THEN r ELSE 0 END FROM push{t - 1} p JOIN mass_of m ON m.qid = p.qid) GROUP BY qid, id)"""
+    terms = " UNION ALL ".join(f"SELECT * FROM term{t}" for t in range(_TERMS + 1))
+    return out + f""",
+reached AS (SELECT qid, id, sum(r) AS r FROM ({terms} UNION ALL SELECT qid, id, r + mass FROM push{_ROUNDS}) GROUP BY qid, id),
+found AS (SELECT r.qid, passage_id, r * 0.5 / (1 - 0.5 * alone / total) / total AS score FROM reached r JOIN passages ON passage_id = id JOIN mass_of m ON m.qid = r.qid)"""
+
+
+def _pushed(spark, d):
+    weights, active = _activated(spark, d, 1)
+    passages = src.passages(spark, d)
+    diffused = push.diffuse_passages(graph.graph_edges(None, passages), src.stand_in_vectors(spark, d, passages, "text"), 0.5, _TERMS)
+    entities = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight")
+    return push.retrieve_by_push(entities, cut_lineage(active), cut_lineage(_question_vectors(spark, d)), passages, diffused, 5, eps=_EPS, rounds=_ROUNDS)
+
+
+@query("ppr_push_topk", _activation_sql(1) + _PRIOR + "," + _push_sql() + """
+SELECT qid, passage_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank FROM found) WHERE rank <= 5""")
+def ppr_push_topk(spark, d):
+    """As ``ppr_topk`` within a bound: similarities by diffused vectors, entities and their passages by local push."""
+    return _pushed(spark, d)[0].select("qid", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("retrieve_dispatch", _activation_sql(1) + _PRIOR + "," + _push_sql() + """,
+answers AS (SELECT qid, true AS by_graph, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank FROM found WHERE qid IN (SELECT qid FROM seeds)
+  UNION ALL SELECT qid, false, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank FROM dense WHERE qid NOT IN (SELECT qid FROM seeds))
+SELECT qid, by_graph, passage_id, round(score, 6) AS score, rank FROM answers WHERE rank <= 3""")
 def retrieve_dispatch(spark, d):
-    """Which way each question goes: with seeds through the graph, else the best passage by similarity."""
-    asked, seeded = _question_vectors(spark, d), _seeds(spark, d).select("qid").distinct()
-    items = src.stand_in_vectors(spark, d, src.passages(spark, d), "text").select(F.col("passage_id").alias("iid"), "vector")
-    plain = dense.top_k(asked.join(seeded, "qid", "left_anti"), items, 1)
-    graphed = asked.join(seeded, "qid", "left_semi").select("qid", F.lit(True).alias("by_graph"), F.lit(None).cast("string").alias("passage_id"))
-    return graphed.unionByName(plain.select("qid", F.lit(False).alias("by_graph"), F.col("iid").alias("passage_id")))
+    """Questions with seeds go through the graph, the others take the passages of the greatest similarity; the union of both answers."""
+    pairs = cut_lineage(src.pairs(spark, d))
+    seeds, asked = cut_lineage(_seeds(spark, d, pairs)), cut_lineage(_question_vectors(spark, d))
+    seeded, passages = seeds.select("qid").distinct(), src.passages(spark, d)
+    items = src.stand_in_vectors(spark, d, passages, "text")
+    plain = dense.top_k(asked.join(seeded, "qid", "left_anti"), items.select(F.col("passage_id").alias("iid"), "vector"), 3).withColumnRenamed("iid", "passage_id")
+    weights, active = activation.activate_vectorized(seeds, pairs, _similarity(spark, d), 2, _TOP_SENTENCES, _THRESHOLD)
+    diffused = push.diffuse_passages(graph.graph_edges(None, passages), items, 0.5, _TERMS)
+    entities = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight")
+    graphed, _ = push.retrieve_by_push(entities, cut_lineage(active), cut_lineage(asked.join(seeded, "qid", "left_semi")), passages, diffused, 3, eps=_EPS, rounds=_ROUNDS)
+    columns = ["qid", "passage_id", "score", "rank"]
+    both = graphed.select(*columns).withColumn("by_graph", F.lit(True)).unionByName(plain.select(*columns).withColumn("by_graph", F.lit(False)))
+    return both.select("qid", "by_graph", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # Propositions and incidence ------------------------------------------------------------
@@ -418,6 +499,26 @@ def knn_pairs(spark, d):
     return affinity.candidate_pairs(table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector")))
 
 
+@query("ivf_recall", with_("vectors", more=_KNN) + "SELECT count(*) AS pairs, true AS reached FROM candidates")
+def ivf_recall(spark, d):
+    """The pairs of nearest vectors, and whether an inverted file of 16 cells, half of them read for each vector, finds nine tenths of them."""
+    entities = table(spark, d, "embeddings").select(F.col("vec_id").alias("entity_idx"), F.col("embedding").alias("vector"))
+    index = inverted_file.InvertedFile(spark, shared_folder(spark))
+    index.build(affinity.unit_items(entities), 16)
+    exact, found = affinity.candidate_pairs(entities), affinity.indexed_pairs(entities, index, 10, 8).withColumn("found", F.lit(1))
+    return exact.join(found, ["i", "j"], "left").agg(F.count(F.lit(1)).alias("pairs"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("reached"))
+
+
+@query("ivf_topk", with_("vectors", more=f"q AS (SELECT vec_id AS qid, vector AS v FROM vectors WHERE {_QUERY_SET}), s AS (SELECT qid, vec_id AS iid, round(list_dot_product(v, vector), 9) AS score FROM q, vectors)") + """
+SELECT qid, iid, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, iid) AS rank FROM s) WHERE rank <= 5""")
+def ivf_topk(spark, d):
+    """An inverted file that grew by two appends, all of its cells read: the exact result."""
+    items, index = _items(spark, d), inverted_file.InvertedFile(spark, shared_folder(spark))
+    index.build(items.where("iid % 2 = 0"), 8)
+    index.append(items)
+    return index.search(_query_set(spark, d), 5, 8).select("qid", "iid", F.round("score", 6).alias("score"))
+
+
 @query("all_pairs_small", "WITH e AS (SELECT label AS entity_idx FROM embeddings WHERE label IS NOT NULL GROUP BY label) SELECT CAST(a.entity_idx AS BIGINT) AS i, CAST(b.entity_idx AS BIGINT) AS j FROM e a JOIN e b ON a.entity_idx < b.entity_idx")
 def all_pairs_small(spark, d):
     """Blocking of at most k entities: the labels' mean vectors are all compared."""
@@ -489,18 +590,31 @@ def cluster_sizes(spark, d):
     return masking.cluster_sizes(_prop_cluster(spark, d)).withColumn("mean_size", F.round("mean_size", 6))
 
 
-@query("kmeans_assign", "SELECT vec_id AS prop_idx, true AS nearest FROM embeddings")
+_STARTS, _CLUSTERS, _LLOYD = 3, 10, 4
+
+
+def _kmeans_sql() -> str:
+    out = f"""first AS (SELECT start, vec_id, vector, row_number() OVER (PARTITION BY start ORDER BY md5(concat_ws('/', '42', CAST(start AS VARCHAR), CAST(vec_id AS VARCHAR))), vec_id) - 1 AS c
+  FROM vectors, (SELECT unnest(range({_STARTS})) AS start)),
+centres0 AS MATERIALIZED (SELECT start, c, vector AS centre FROM first WHERE c < {_CLUSTERS})"""
+    for t in range(_LLOYD + 1):
+        out += f""",
+gaps{t} AS (SELECT start, vec_id, vector, c, centre, round(list_dot_product(centre, centre) - 2 * list_dot_product(vector, centre), 9) AS gap FROM vectors, centres{t}),
+told{t} AS MATERIALIZED (SELECT start, vec_id, vector, c, gap FROM (SELECT *, row_number() OVER (PARTITION BY start, vec_id ORDER BY gap, c) AS r FROM gaps{t}) WHERE r = 1)"""
+        if t < _LLOYD:
+            out += f""",
+means{t} AS (SELECT start, c, list(x ORDER BY d) AS centre FROM (SELECT start, c, d, avg(vector[d]) AS x FROM (SELECT start, c, vector, unnest(range(1, len(vector) + 1)) AS d FROM told{t}) GROUP BY start, c, d) GROUP BY start, c),
+centres{t + 1} AS MATERIALIZED (SELECT start, c, coalesce(m.centre, o.centre) AS centre FROM centres{t} o LEFT JOIN means{t} m USING (start, c))"""
+    return out + f""",
+inertia AS (SELECT start, round(sum(gap + list_dot_product(vector, vector)), 6) AS inertia FROM told{_LLOYD} GROUP BY start)
+SELECT vec_id AS prop_idx, CAST(c AS INTEGER) AS cluster_id FROM told{_LLOYD} WHERE start = (SELECT start FROM inertia ORDER BY inertia, start LIMIT 1)"""
+
+
+@query("kmeans_assign", with_("vectors", more=_kmeans_sql()))
 def kmeans_assign(spark, d):
-    """K-means over all vectors: whether each one's centroid is the nearest of those returned (centroids differ between libraries)."""
+    """K-means over all vectors: four steps of Lloyd from three starts, the assignment of the start with the least inertia."""
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("prop_idx"), F.col("embedding").alias("vector"))
-    centroids, assigned = masking.fit_clusters(rows, 10, 42, 20)
-    # |x - c|^2 - |x|^2 = |c|^2 - 2 x c, for all ten centroids.
-    reach = F.aggregate("centroid", F.lit(0.0), lambda s, c: s + c * c)
-    centres = centroids.agg(F.array_agg(F.struct("cluster_id", "centroid", reach.alias("length"))).alias("centres"))
-    gaps = F.transform("centres", lambda c: F.struct(c["cluster_id"].alias("cluster_id"), (c["length"] - 2 * vx.dot(F.col("vector"), c["centroid"])).alias("gap")))
-    told = rows.join(assigned, "prop_idx").crossJoin(centres).select("prop_idx", "cluster_id", gaps.alias("gaps"))
-    own = F.element_at(F.filter("gaps", lambda g: g["cluster_id"] == F.col("cluster_id")), 1)["gap"]
-    return told.select("prop_idx", (own <= F.array_min(F.transform("gaps", lambda g: g["gap"])) + 1e-6).alias("nearest"))
+    return masking.fit_clusters(rows, _CLUSTERS, 42, _LLOYD, _STARTS)[1]
 
 
 @query("mask_stats", with_("vectors", more=f"{_CENTROIDS}, {_CHOSEN}") + "SELECT qid, count(*) AS kept, round((1 - count(*) / CAST((SELECT count(*) FROM embeddings WHERE label IS NOT NULL) AS DOUBLE)) * 100, 6) AS reduction FROM near_clusters JOIN embeddings ON label = cluster_id WHERE r <= 3 GROUP BY qid")

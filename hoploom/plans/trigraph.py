@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..config import TriGraphConfig
 from ..functions.text import parse_answer
 from ..functions.vector import dot, l2_normalize
+from ..operators.blocks import pack, prior_blocks, question_places, top_of
 from ..operators.activation import activate_bfs, activate_vectorized, seed_entities
 from ..operators.dense import top_k
 from ..operators.graph import graph_edges, graph_nodes, keep_labels
-from ..operators.pagerank import personalized_pagerank, rank_passages
-from ..operators.prior import passage_priors
+from ..operators.pagerank import pagerank_blocks
+from ..operators.push import diffuse_passages, retrieve_by_push
 from ..schemas import EMBEDDINGS, EXTRACTED
 from ..session import cut_lineage
 from ..sources.catalog import IndexCatalog
@@ -77,13 +78,19 @@ class TriGraphEngine:
         walk = activate_vectorized if c.vectorized else activate_bfs
         weights, active = walk(seeds, pairs, similarity, c.max_iterations, c.top_k_sentence, c.iteration_threshold)
         with_seeds = asked.join(seeds.select("qid").distinct(), "qid", "left_semi")
-        priors = passage_priors(active, with_seeds, passages, c.passage_ratio, c.passage_node_weight)
-        resets = weights.select("qid", F.concat(F.lit("entity-"), F.md5("entity")).alias("id"), "weight").union(priors.select("qid", F.col("passage_id").alias("id"), F.col("prior").alias("weight")))
-        ranks = personalized_pagerank(resets, self.catalog.read("edges"), c.damping, c.pagerank_steps)
-        by_graph = rank_passages(ranks, passages, c.retrieval_top_k)
+        entity_weights = weights.select("qid", F.concat(F.lit("entity-"), F.md5("entity")).alias("id"), "weight")
+        edges = self.catalog.read("edges")
+        if c.push_eps is None:
+            places = cut_lineage(question_places(with_seeds.select("qid")))
+            priors = prior_blocks(cut_lineage(active), with_seeds.select("qid", "vector"), passages, places, c.passage_ratio, c.passage_node_weight)
+            ranks = pagerank_blocks(pack(entity_weights, places).union(priors), edges, c.damping, c.pagerank_steps)
+            by_graph = top_of(ranks.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi"), places, c.retrieval_top_k).withColumnRenamed("id", "passage_id")
+        else:
+            graph = diffuse_passages(edges, passages, c.damping, c.pagerank_steps)
+            by_graph, _ = retrieve_by_push(entity_weights, cut_lineage(active), with_seeds.select("qid", "vector"), passages, graph, c.retrieval_top_k, c.passage_ratio, c.passage_node_weight, c.push_eps, c.pagerank_steps)
         plain = asked.join(seeds.select("qid").distinct(), "qid", "left_anti")
         by_vector = top_k(plain, passages.select(F.col("passage_id").alias("iid"), "vector"), c.retrieval_top_k).withColumnRenamed("iid", "passage_id")
-        return by_graph.unionByName(by_vector.select("qid", "passage_id", "score", "rank")).join(passages.select("passage_id", "text"), "passage_id").select("qid", "passage_id", "text", "score", "rank")
+        return by_graph.select("qid", "passage_id", "score", "rank").unionByName(by_vector.select("qid", "passage_id", "score", "rank")).join(passages.select("passage_id", "text"), "passage_id").select("qid", "passage_id", "text", "score", "rank")
 
     def qa(self, questions: DataFrame) -> DataFrame:
         """Predictions of (qid, question, answer): passages, scores, gold and predicted answer."""

@@ -50,7 +50,7 @@ def questions(spark):
 
 def test_trigraph(spark, tmp_path, passages, questions):
     for vectorized in (False, True):
-        engine = TriGraphEngine(spark, f"{tmp_path}/{vectorized}", HashedEmbedder(), RegexExtractor(), Stub(), TriGraphConfig(iteration_threshold=0.05, top_k_sentence=3, vectorized=vectorized, pagerank_steps=8))
+        engine = TriGraphEngine(spark, f"{tmp_path}/{vectorized}", HashedEmbedder(), RegexExtractor(), Stub(), TriGraphConfig(iteration_threshold=0.05, top_k_sentence=3, vectorized=vectorized, pagerank_steps=8, push_eps=1e-6 if vectorized else None))
         engine.index(passages.where("idx < 3"))
         before = engine.catalog.read("edges").count()
         engine.index(passages)
