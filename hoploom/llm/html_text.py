@@ -67,6 +67,8 @@ PENALTY, AMBIGUOUS_SHARE = 0.05, 0.5
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the right side is closed by a start tag of the left side.
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What may stand in a head; anything else, and text, ends it.
+HEAD_TAGS = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 SCOPES = frozenset("table td th ul ol dl button object article section div body html".split())
 
 
@@ -112,22 +114,59 @@ def _noise_of(tag: str, attributes: list[tuple[str, str | None]]) -> str:
 
 
 class TreeBuilder(HTMLParser):
-    """Builds the element tree; unclosed paragraphs, items and cells end where the next one starts."""
+    """Builds the element tree; unclosed paragraphs, items and cells end where the next one starts, an open head where what cannot stand in it does.
+
+    Open elements are kept with their depth, in all and by tag, so a tag takes no longer however deep it stands.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.root = Node("html", None)
-        self.at = self.root
         self.body: Node | None = None
+        self._start_at([self.root])
+
+    def _start_at(self, path: list[Node]) -> None:
+        self.path = path
+        self.depths: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        for depth, node in enumerate(path):
+            self._opened(node, depth)
+
+    @property
+    def at(self) -> Node:
+        return self.path[-1]
+
+    def _opened(self, node: Node, depth: int) -> None:
+        self.depths.setdefault(node.tag, []).append(depth)
+        if node.tag in BLOCKS:
+            self.blocks.append(depth)
+
+    def _close_from(self, depth: int) -> None:
+        """Closes the element at this depth and all in it."""
+        while len(self.path) > depth:
+            node = self.path.pop()
+            self.depths[node.tag].pop()
+            if node.tag in BLOCKS:
+                self.blocks.pop()
+
+    def _deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def _leave_head(self) -> None:
+        if self.at.tag == "head":
+            self._close_from(len(self.path) - 1)
 
     def handle_starttag(self, tag, attrs):
         if tag == "html":
             return
         if tag == "body":
             if self.body is None:
-                self.at = self.body = Node("body", self.root)
+                self.body = Node("body", self.root)
                 self.root.children.append(self.body)
+                self._start_at([self.root, self.body])
             return
+        if tag not in HEAD_TAGS:
+            self._leave_head()
         if tag in BLOCKS:
             self._close_up_to({"p"}, SCOPES)
         if tag in IMPLIED_END:
@@ -135,34 +174,29 @@ class TreeBuilder(HTMLParser):
         node = Node(tag, self.at, _noise_of(tag, attrs))
         self.at.children.append(node)
         if tag not in VOID:
-            self.at = node
+            self._opened(node, len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # HTML has no self-closing elements but the void ones
 
     def _close_up_to(self, tags, scopes) -> None:
-        node = self.at
-        while node is not None and node.tag not in scopes:
-            if node.tag in tags:
-                self.at = node.parent
-                return
-            node = node.parent
-        if node is not None and node.tag in tags:
-            self.at = node.parent
+        """Closes the innermost open element of ``tags``, if no scope is open in it."""
+        depth = self._deepest(tags)
+        if depth >= 0 and depth >= self._deepest(scopes):
+            self._close_from(depth)
 
     def handle_endtag(self, tag):
-        if tag in ("html", "body") or tag in VOID:
+        depth = self._deepest((tag,))
+        if tag in ("html", "body") or tag in VOID or depth < 0:
             return
-        node = self.at
-        while node is not None and node.tag not in ("body", "html"):
-            if node.tag == tag:
-                self.at = node.parent
-                return
-            if tag not in BLOCKS and node.tag in BLOCKS:
-                return  # an inline end tag does not close a block
-            node = node.parent
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > depth:
+            return  # an inline end tag does not close a block
+        self._close_from(depth)
 
     def handle_data(self, data):
+        if data.strip():
+            self._leave_head()
         self.at.children.append(data)
 
 
