@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import importlib
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +14,8 @@ from .operators.keys import dense_index
 from .plans.hypergraph import HypergraphEngine
 from .plans.trigraph import TriGraphEngine
 from .sources.datasets import read_chunks, read_predictions, read_questions, setup_logging, write_predictions
-from .sources.models import EchoLlm, HashedEmbedder, OpenAiCompatibleLlm, RegexExtractor, ask
+from .sources.models import EchoLlm, HashedEmbedder, Lazy, OpenAiCompatibleLlm, RegexExtractor, ask
+from .sources.replies import ReplyStore
 
 JUDGE = "Does the prediction agree with the gold answer? Reply with correct or incorrect only."
 
@@ -29,9 +29,10 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     top.add_argument("--predictions", required=True, help="folder of the predictions")
     top.add_argument("--scored", help="evaluate: folder of the scored predictions")
     top.add_argument("--llm", help="model of an OpenAI-compatible service; without it a stand-in replies")
-    top.add_argument("--embedder", help="module:name of a callable that gives an embedder; without it a hashed stand-in")
-    top.add_argument("--extractor", help="module:name of a callable that gives an entity recogniser; without it a stand-in of patterns")
+    top.add_argument("--embedder", help="module:name of a callable that gives an embedder, called in the workers; without it a hashed stand-in")
+    top.add_argument("--extractor", help="module:name of a callable that gives an entity recogniser, called in the workers; without it a stand-in of patterns")
     top.add_argument("--results", help="evaluate: folder of the means, as JSON")
+    top.add_argument("--replies", help="folder in which the language model's replies are kept; none is asked for twice")
     top.add_argument("--log")
     top.add_argument("--skip-indexing", action="store_true")
     top.add_argument("--max-iterations", type=int, default=3)
@@ -47,21 +48,16 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     return top.parse_args(argv)
 
 
-def load(path: str):
-    """What the callable ``module:name`` gives; the module has to be on the workers' path too (``--py-files``)."""
-    module, _, name = path.partition(":")
-    return getattr(importlib.import_module(module), name)()
-
-
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> None:
     args = parse(argv)
     log = setup_logging(args.log)
     spark = spark or SparkSession.builder.appName("hoploom").getOrCreate()
     llm = OpenAiCompatibleLlm(args.llm) if args.llm else EchoLlm()
+    replies = ReplyStore(spark, args.replies, args.llm or "") if args.replies else None
     if args.engine == "evaluate":
         rows = read_predictions(spark, args.predictions)
         prompt = F.concat_ws("\n", F.col("question"), F.lit("Gold:"), F.col("gold_answer"), F.lit("Prediction:"), F.col("pred_answer"))
-        judged = ask(rows.withColumn("prompt", prompt), llm, "prompt", "verdict", JUDGE).drop("prompt")
+        judged = (replies.ask if replies else ask)(rows.withColumn("prompt", prompt), llm, "prompt", "verdict", JUDGE).drop("prompt")
         scored = score_predictions(judged).persist()
         if args.scored:
             write_predictions(scored, args.scored)
@@ -74,14 +70,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     questions = read_questions(spark, args.questions)
     keyed = questions.withColumn("key", F.concat_ws("\t", "question", "answer"))
     questions = keyed.join(dense_index(keyed, "key", "qid"), "key").drop("key").dropDuplicates(["qid"])
-    extractor = load(args.extractor) if args.extractor else RegexExtractor()
+    extractor = Lazy(args.extractor) if args.extractor else RegexExtractor()
     if args.engine == "trigraph":
         config = TriGraphConfig(max_iterations=args.max_iterations, iteration_threshold=args.iteration_threshold, passage_ratio=args.passage_ratio, top_k_sentence=args.top_k_sentence, vectorized=args.vectorized)
-        engine = TriGraphEngine(spark, args.index, load(args.embedder) if args.embedder else HashedEmbedder(), extractor, llm, config)
+        engine = TriGraphEngine(spark, args.index, Lazy(args.embedder) if args.embedder else HashedEmbedder(), extractor, llm, config, replies)
         ready = engine.catalog.exists("edges")
     else:
         config = HypergraphConfig(num_clusters=args.num_clusters, top_p_clusters=args.top_p_clusters, max_hops=args.max_hops, propagation_factor=args.propagation_factor, affinity_threshold=args.affinity_threshold)
-        engine = HypergraphEngine(spark, args.index, load(args.embedder) if args.embedder else HashedEmbedder(normalize=False), extractor, llm, config)
+        engine = HypergraphEngine(spark, args.index, Lazy(args.embedder) if args.embedder else HashedEmbedder(normalize=False), extractor, llm, config, replies)
         ready = engine.indexed
     if not (args.skip_indexing and ready):
         engine.index(passages_of(read_chunks(spark, args.chunks), "idx"))

@@ -20,6 +20,7 @@ from ..schemas import CENTROIDS, PROP_CLUSTER
 from ..session import cut_lineage
 from ..sources.catalog import IndexCatalog
 from ..sources.datasets import chunks_of
+from ..sources.replies import ReplyStore
 from ..sources.models import Embedder, EntityExtractor, LlmClient, ask, embed, extract_entities
 
 PROPOSE = "Rewrite the passage as numbered, self-contained factual statements, one a line."
@@ -31,9 +32,10 @@ NO_ANSWER = "No answer could be generated."
 class HypergraphEngine:
     """Builds and queries an index kept as Parquet tables."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, extractor: EntityExtractor, llm: LlmClient, config: HypergraphConfig | None = None):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, extractor: EntityExtractor, llm: LlmClient, config: HypergraphConfig | None = None, replies: ReplyStore | None = None):
         self.spark, self.catalog = spark, IndexCatalog(spark, path)
         self.embedder, self.extractor, self.llm = embedder, extractor, llm
+        self._ask = replies.ask if replies else ask
         self.config = config or HypergraphConfig()
 
     def index(self, passages: DataFrame) -> None:
@@ -42,7 +44,7 @@ class HypergraphEngine:
         self.catalog.write("chunks", chunks_of(passages))
         chunks = self.catalog.read("chunks")
         # A failed call makes the whole chunk one proposition.
-        replies = ask(chunks, self.llm, "text", "reply", PROPOSE, on_error="{text}")
+        replies = self._ask(chunks, self.llm, "text", "reply", PROPOSE, on_error="{text}")
         self.catalog.write("propositions_text", parse_propositions(replies, "chunk_id", "reply"))
         texts = self.catalog.read("propositions_text")
         found = keep_labels(extract_entities(texts.select(F.col("prop_id").alias("passage_id"), "text"), self.extractor))
@@ -80,7 +82,7 @@ class HypergraphEngine:
         mentions = found.select(F.col("passage_id").alias("key"), F.col("entity").alias("mention")).join(questions.select("qid", F.col("qid").cast("string").alias("key")), "key").select("qid", "mention")
         entities, incidence = self.catalog.read("entities"), self.catalog.read("incidence")
         seeds = cut_lineage(match_seeds(mentions, entities.select("entity_idx", "name"), asked.select("qid", "vector"), entities.select("entity_idx", "vector"), c.seed_fallback))
-        parts = parse_subquestions(ask(questions.select("qid", "question"), self.llm, "question", "reply", DECOMPOSE, on_error="{question}"), "qid", "reply")
+        parts = parse_subquestions(self._ask(questions.select("qid", "question"), self.llm, "question", "reply", DECOMPOSE, on_error="{question}"), "qid", "reply")
         guidance = embed(parts, self.embedder, "text", "vector").select("qid", "hop", "vector")
         props = self.catalog.read("propositions")
         state, hops = propagate(
@@ -97,7 +99,7 @@ class HypergraphEngine:
         told = evidence(best, self.catalog.read("propositions").select("prop_idx", "text", "chunk_id"), c.evidence_limit, c.source_chunk_limit)
         rows = questions.join(told, "qid", "left").join(hops, "qid", "left").withColumnRenamed("answer", "gold_answer")
         prompt = F.concat(F.lit("Facts:\n"), F.coalesce("context", F.lit("")), F.lit("\n\nQuestion: "), F.col("question"))
-        return ask(rows.withColumn("prompt", prompt), self.llm, "prompt", "pred_answer", ANSWER, on_error=NO_ANSWER).drop("prompt", "context")
+        return self._ask(rows.withColumn("prompt", prompt), self.llm, "prompt", "pred_answer", ANSWER, on_error=NO_ANSWER).drop("prompt", "context")
 
     def health(self) -> DataFrame:
         """(status, indexed, num_entities, num_propositions) in one row."""

@@ -10,6 +10,8 @@ from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import activation, affinity, blocks, dense, evaluation, evidence, extensions, graph, inverted_file, keys, masking, pagerank, prior, propagation, propositions, push
 from ..session import cut_lineage, shared_folder
+from ..sources.models import embed
+from ..sources.word_vectors import WordVectors
 from . import inputs as src
 from .inputs import stand_in_sql, table, with_
 
@@ -193,6 +195,17 @@ def seed_entities(spark, d):
     return _seeds(spark, d).select("qid", "entity", F.round("score", 6).alias("score"))
 
 
+@query("embed_topk")
+def embed_topk(spark, d):
+    """Word vectors fitted to all passages; the five passages nearest to each question by cosine."""
+    passages = src.passages(spark, d)
+    model = WordVectors.fit(passages)
+    unit = vx.l2_normalize(F.col("vector"))
+    asked = embed(src.questions(spark, d), model, "text", "vector").select("qid", unit.alias("vector"))
+    items = embed(passages, model, "text", "vector").select(F.col("passage_id").alias("iid"), unit.alias("vector"))
+    return dense.top_k(asked, items, 5).select("qid", F.col("iid").alias("passage_id"), F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # Activation ----------------------------------------------------------------------------
 
 _THRESHOLD, _TOP_SENTENCES = 0.05, 3

@@ -17,6 +17,7 @@ from ..operators.push import diffuse_passages, retrieve_by_push
 from ..schemas import EMBEDDINGS, EXTRACTED
 from ..session import cut_lineage
 from ..sources.catalog import IndexCatalog
+from ..sources.replies import ReplyStore
 from ..sources.models import Embedder, EntityExtractor, LlmClient, ask, embed, extract_entities
 
 INSTRUCTION = "Answer the question from the passages. Reason briefly, then write the result after 'Answer:'."
@@ -25,9 +26,10 @@ INSTRUCTION = "Answer the question from the passages. Reason briefly, then write
 class TriGraphEngine:
     """Builds and queries an index kept as Parquet tables; calls of ``index`` add what is new."""
 
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, extractor: EntityExtractor, llm: LlmClient | None = None, config: TriGraphConfig | None = None):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder, extractor: EntityExtractor, llm: LlmClient | None = None, config: TriGraphConfig | None = None, replies: ReplyStore | None = None):
         self.spark, self.catalog = spark, IndexCatalog(spark, path)
         self.embedder, self.extractor, self.llm = embedder, extractor, llm
+        self._ask = replies.ask if replies else ask
         self.config = config or TriGraphConfig()
 
     def _store(self, name: str, texts: DataFrame, prefix: str) -> DataFrame:
@@ -103,4 +105,4 @@ class TriGraphEngine:
             F.coalesce(F.transform("rows", lambda r: r["score"]), F.array().cast("array<double>")).alias("sorted_passage_scores"),
         )
         prompt = F.concat(F.array_join("sorted_passage", "\n"), F.lit("\n\nQuestion: "), F.col("question"))
-        return ask(joined.withColumn("prompt", prompt), self.llm, "prompt", "reply", INSTRUCTION).withColumn("pred_answer", parse_answer(F.col("reply"))).drop("prompt", "reply")
+        return self._ask(joined.withColumn("prompt", prompt), self.llm, "prompt", "reply", INSTRUCTION).withColumn("pred_answer", parse_answer(F.col("reply"))).drop("prompt", "reply")

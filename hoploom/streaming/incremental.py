@@ -1,15 +1,11 @@
-"""Incremental indexing as a stream: passages that arrive are keyed, deduplicated and added to the stores."""
+"""Incremental indexing as a stream: passages that arrive go into the engine's own index."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import content_key
-from ..operators.graph import entity_sentences_of
-from ..schemas import EMBEDDINGS, ENTITY_SENTENCE
-from ..sources.catalog import IndexCatalog
-from ..sources.models import Embedder, embed
+from ..plans.trigraph import TriGraphEngine
 
 
 def read_passages(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,19 +13,13 @@ def read_passages(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema("idx long, text string").parquet(folder)
 
 
-def add_batch(catalog: IndexCatalog, embedder: Embedder, batch: DataFrame) -> None:
-    """Adds what is new in one batch; a batch that is repeated after a failure adds nothing twice."""
-    passages = batch.where("text IS NOT NULL").select(F.concat(F.col("idx").cast("string"), F.lit(":"), "text").alias("text")).withColumn("hash_id", content_key(F.col("text"), "passage-"))
-    new = passages.dropDuplicates(["hash_id"]).join(catalog.read("passages", EMBEDDINGS).select("hash_id"), "hash_id", "left_anti")
-    stored = embed(new, embedder).select("hash_id", "text", "embedding")
-    catalog.append_missing("passages", stored, "hash_id", EMBEDDINGS)
-    pairs = entity_sentences_of(passages.withColumnRenamed("hash_id", "passage_id")).select("entity", "sentence")
-    fresh = pairs.join(catalog.read("entity_sentence", ENTITY_SENTENCE), ["entity", "sentence"], "left_anti")
-    fresh.write.mode("append").parquet(f"{catalog.path}/entity_sentence")
+def add_batch(engine: TriGraphEngine, batch: DataFrame) -> None:
+    """Indexes one batch with the engine's embedder and recogniser; a batch that is repeated after a failure adds nothing twice."""
+    passages = batch.where("text IS NOT NULL").select(F.concat(F.coalesce(F.col("idx").cast("string"), F.lit("")), F.lit(":"), "text").alias("text"))
+    if not passages.isEmpty():
+        engine.index(passages)
 
 
-def index_stream(passages: DataFrame, catalog: IndexCatalog, embedder: Embedder, checkpoint: str):
+def index_stream(passages: DataFrame, engine: TriGraphEngine, checkpoint: str):
     """Starts the stream; it stops when all that has arrived is indexed."""
-    return (
-        passages.writeStream.foreachBatch(lambda batch, _: add_batch(catalog, embedder, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    return passages.writeStream.foreachBatch(lambda batch, _: add_batch(engine, batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,7 +11,9 @@ from hoploom.config import TriGraphConfig
 from hoploom.schemas import EMBEDDINGS
 from hoploom.sources import datasets
 from hoploom.sources.catalog import IndexCatalog
-from hoploom.sources.models import EchoLlm, HashedEmbedder, OpenAiCompatibleLlm, RegexExtractor, ask
+from hoploom.sources.models import EchoLlm, HashedEmbedder, Lazy, OpenAiCompatibleLlm, RegexExtractor, ask, embed
+from hoploom.sources.replies import ReplyStore
+from hoploom.sources.word_vectors import WordVectors
 from hoploom.streaming.incremental import index_stream, read_passages
 
 CHUNKS = [
@@ -119,16 +121,85 @@ def test_catalog(spark, tmp_path):
     assert catalog.append_missing("t", spark.createDataFrame([("b", 9), ("c", 3)], schema), "hash_id", schema).count() == 3
 
 
-def test_stream(spark, tmp_path):
-    catalog = IndexCatalog(spark, str(tmp_path / "index"))
-    folder = str(tmp_path / "in")
+def test_stream_gives_the_tables_of_a_batch(spark, tmp_path):
+    """Also with an embedder that does not normalise, and with passages that come twice."""
+    def engine(name):
+        return TriGraphEngine(spark, str(tmp_path / name), HashedEmbedder(normalize=False), RegexExtractor())
+
+    folder, streamed, whole = str(tmp_path / "in"), engine("stream"), engine("batch")
     for k in range(2):
         rows = [(i, CHUNKS[i]) for i in range(k, k + 3)]
         spark.createDataFrame(rows, "idx long, text string").coalesce(1).write.mode("append").parquet(folder)
-        index_stream(read_passages(spark, folder), catalog, HashedEmbedder(), str(tmp_path / "state")).awaitTermination(120)
-    assert catalog.read("passages", EMBEDDINGS).count() == 4
-    pairs = catalog.read("entity_sentence")
-    assert pairs.count() == pairs.distinct().count() > 0
+        index_stream(read_passages(spark, folder), streamed, str(tmp_path / "state")).awaitTermination(240)
+    whole.index(passages_of(spark.createDataFrame([(i, CHUNKS[i]) for i in range(4)], "doc_id long, text string")).select("text"))
+    for name in ("passages", "sentences", "entities", "ner", "edges", "nodes", "entity_sentence"):
+        a, b = streamed.catalog.read(name), whole.catalog.read(name)
+        assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0, name
+    assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in streamed.catalog.read("passages").collect())
+
+
+def test_unpicklable_model_is_built_in_the_workers(spark):
+    def make():
+        import threading
+
+        class Locked:
+            def __init__(self):
+                self.lock = threading.Lock()  # cannot be pickled
+
+            def encode(self, texts):
+                import numpy as np
+
+                with self.lock:
+                    return np.array([[len(t)] for t in texts], dtype=np.float32)
+
+        return Locked()
+
+    df = spark.createDataFrame([("a",), ("bcd",), (None,)], "text string")
+    assert sorted(r.embedding for r in embed(df, Lazy(make)).collect()) == [[0.0], [1.0], [3.0]]
+    assert Lazy("hoploom.sources.models:RegexExtractor").extract("In Paris.") == [("In Paris.", "In Paris", "ENTITY")]
+
+
+def test_replies_are_asked_for_once(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    class Counting:
+        def __init__(self, failing=()):
+            self.failing, self.folder = failing, str(calls)
+
+        def infer(self, messages):
+            import uuid
+
+            text = messages[-1]["content"]
+            open(f"{self.folder}/{uuid.uuid4().hex}", "w").close()
+            if text in self.failing:
+                raise RuntimeError("down")
+            return f"{messages[0]['content']}|{text}"
+
+    def asked():
+        return len(list(calls.iterdir()))
+
+    df = spark.createDataFrame([(k, f"p{k % 5}") for k in range(20)] + [(99, None)], "id long, prompt string").repartition(3)
+    store = ReplyStore(spark, str(tmp_path / "store"), "model", slice_rows=2, rate=200.0)
+    with pytest.raises(RuntimeError, match="have no reply"):
+        store.ask(df, Counting(("p3",)), "prompt", system="s")
+    assert asked() == 6
+    found = {r.id: r.reply for r in store.ask(df, Counting(), "prompt", system="s").collect()}
+    assert asked() == 7 and found == {**{k: f"s|p{k % 5}" for k in range(20)}, 99: "s|"}
+    again = store.ask(df, Counting(("p1",)), "prompt", system="s").collect()
+    assert asked() == 7 and len(again) == 21
+    ReplyStore(spark, str(tmp_path / "store"), "other").ask(df.limit(1), Counting(), "prompt", system="s").collect()
+    other = {r.reply for r in store.ask(df.where("id = 1"), Counting(("p1",)), "prompt", system="t", on_error="{prompt}").collect()}
+    assert asked() == 9 and other == {"p1"}
+
+
+def test_word_vectors(spark):
+    rows = [("red apple pear fruit",)] * 30 + [("engine wheel motor car",)] * 30 + [(None,), ("rare",)]
+    model = WordVectors.fit(spark.createDataFrame(rows, "text string"), dim=8, min_count=5, partitions=1, steps=8)
+    a, b, c, nothing = model.encode(["Apple pear!", "fruit RED", "motor", "rare"])
+    cos = lambda x, y: float(x @ y) / float((x @ x) ** 0.5 * (y @ y) ** 0.5)
+    assert len(model.at) == 8 and cos(a, b) > cos(a, c) and not nothing.any()
+    assert not WordVectors.fit(spark.createDataFrame(rows[:1], "text string")).encode(["red"]).any()
 
 
 def own_embedder():
