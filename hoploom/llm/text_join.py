@@ -312,6 +312,23 @@ def row_keys(docs: DataFrame) -> tuple[DataFrame, str]:
     return docs.join(shared, "doc_id", "left").withColumn(key, F.when(F.col(f"{key}_shared"), own).otherwise(F.col("doc_id"))).select(*docs.columns, key), key
 
 
+def similar_documents(docs: DataFrame, **how) -> DataFrame:
+    """As ``similar_texts``, for documents whose ids may belong to several texts: each text is judged for itself.
+
+    In the result keys are ids again; texts of one id that are in different classes can so have one class id,
+    and ``kept`` tells each of them apart.
+    """
+    keyed, key = row_keys(docs.select("doc_id", "text"))
+    found = similar_texts(keyed.select(F.col(key).alias("doc_id"), "text"), **how)
+    shared = keyed.where(F.col(key) != F.col("doc_id")).select(F.col(key).alias("key"), "doc_id").distinct()
+    if shared.isEmpty():
+        return found
+    shared = shared.withColumnRenamed("doc_id", "real").checkpoint()
+    for name in ("doc_id", "class_id", "text_class"):
+        found = found.join(shared.withColumnRenamed("key", name), name, "left").withColumn(name, F.coalesce("real", name)).drop("real")
+    return found.select("doc_id", "class_id", "n_links", "text_class", "kept")
+
+
 def op10_text_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document at a Jaccard similarity of 0.8 on five-word shingles."""
-    return similar_texts(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents"))

@@ -122,3 +122,16 @@ def test_row_keys(spark):
     assert len({keys[2, "b", "x"], keys[2, "c", "x"], keys[3, None, "x"], keys[3, "e", "x"], 1}) == 5
     once, key = j.row_keys(spark.createDataFrame(rows[:3], "doc_id long, text string, row_key string"))
     assert sorted(r[key] for r in once.collect()) == [1, 1, 2]
+
+
+def test_ids_of_several_texts_are_judged_text_by_text(spark):
+    from hoploom.llm.text_join import similar_documents
+
+    long, other = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    near = long.replace("a39", "z")
+    rows = [(1, long), (1, other), (1, other), (2, near), (3, other), (4, "alone and short text of six"), (None, long), (5, None)]
+    got = sorted((str(r.doc_id), r.class_id, r.n_links, r.kept) for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # Text "long" of id 1 comes after id 2, and "other" of id 1 after id 3: the class ids are those of the others.
+    assert got == sorted([("1", 2, 1, False), ("1", 3, 2, False), ("1", 3, 2, False), ("2", 2, 1, True), ("3", 3, 2, True), ("4", 4, 0, True), ("None", None, 0, False), ("5", 5, 0, True)])
+    unique = spark.createDataFrame([(1, long), (2, near)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in similar_documents(unique).collect()) == [(1, 1, 1, 1, True), (2, 1, 1, 2, False)]
