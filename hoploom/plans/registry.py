@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as sc
 from ..functions import text as tx
 from ..functions import vector as vx
-from ..operators import activation, affinity, blocks, dense, evaluation, evidence, extensions, graph, inverted_file, keys, masking, pagerank, prior, propagation, propositions, push
+from ..operators import activation, affinity, blocks, dense, evaluation, evidence, extensions, gazetteer, graph, inverted_file, keys, masking, pagerank, prior, propagation, propositions, push
 from ..session import cut_lineage, shared_folder
 from ..sources.models import embed
 from ..sources.word_vectors import WordVectors
@@ -110,6 +110,25 @@ def inverted_index(spark, d):
     return found.select("entity", F.size("sentences").cast("long").alias("n_sentences"), F.md5(F.array_join(F.transform("sentences", F.md5), ",")).alias("sentences_md5"))
 
 
+_TOKENS = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+@query("gazetteer_mentions", f"""WITH RECURSIVE asked AS (SELECT {_TOKENS} AS t FROM benchmark),
+names AS (SELECT DISTINCT array_to_string(t[1:n], ' ') AS name, n FROM asked, (SELECT unnest([2, 3, 5]) AS n) WHERE len(t) >= n),
+words AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
+met AS (SELECT doc_id, start, max(n) AS n FROM (SELECT doc_id, n, start, array_to_string(t[start + 1 : start + n], ' ') AS name FROM (SELECT doc_id, t, n, unnest(range(len(t) - n + 1)) AS start FROM words, (SELECT unnest([2, 3, 5]) AS n) WHERE len(t) >= n)) SEMI JOIN names USING (name, n) GROUP BY doc_id, start),
+linked AS MATERIALIZED (SELECT a.doc_id, a.start, a.n, b.start AS following FROM met a ASOF LEFT JOIN met b ON a.doc_id = b.doc_id AND a.start + a.n <= b.start),
+walk(doc_id, start, n, following) AS (SELECT doc_id, start, n, following FROM linked WHERE (doc_id, start) IN (SELECT (doc_id, min(start)) FROM met GROUP BY doc_id)
+  UNION ALL SELECT l.doc_id, l.start, l.n, l.following FROM walk w JOIN linked l ON l.doc_id = w.doc_id AND l.start = w.following)
+SELECT w.doc_id, CAST(w.start AS INTEGER) AS start, CAST(w.n AS INTEGER) AS n_tokens, array_to_string(t[w.start + 1 : w.start + w.n], ' ') AS name FROM walk w JOIN words USING (doc_id)""")
+def gazetteer_mentions(spark, d):
+    """The first two, three and five words of every question as names, found in all documents."""
+    asked = table(spark, d, "benchmark").select(gazetteer.tokens_of(F.col("text")).alias("t"))
+    names = asked.select(F.explode(F.transform(F.array(F.lit(2), F.lit(3), F.lit(5)), lambda n: F.when(F.size("t") >= n, F.array_join(F.slice("t", F.lit(1), n), " ")))).alias("name")).where("name IS NOT NULL")
+    found = gazetteer.gazetteer_mentions(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), names)
+    return found.withColumnRenamed("id", "doc_id")
+
+
 _WEIGHTS = """counted AS (SELECT m.passage_id, m.entity, CAST((length(p.text) - length(replace(p.text, m.entity, ''))) / length(m.entity) AS BIGINT) AS n FROM mentions m JOIN passages p USING (passage_id)),
 weights AS (SELECT 'entity-' || md5(entity) AS src, passage_id AS dst, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY passage_id) AS weight FROM counted),
 adjacent AS (SELECT passage_id AS src, lead(passage_id) OVER (ORDER BY idx, passage_id) AS dst, CAST(1 AS DOUBLE) AS weight FROM passages)"""

@@ -168,3 +168,24 @@ def test_inverted_file(spark, tmp_path):
     exact = {(r.i, r.j) for r in affinity.candidate_pairs(items, 5).collect()}
     assert {(r.i, r.j) for r in affinity.indexed_pairs(items, index, 5, 12).collect()} == exact
     assert len({(r.i, r.j) for r in affinity.indexed_pairs(items, index, 5, 6).collect()} & exact) >= 0.9 * len(exact)
+
+
+def test_gazetteer_takes_the_leftmost_longest(spark):
+    from hoploom.operators.gazetteer import gazetteer_mentions
+
+    rng = np.random.default_rng(4)
+    names = ["a b", "B, C d", "c", "d e a b c", "a", "...", ""]
+    texts = [(k, " ".join(rng.choice(list("abcdef"), rng.integers(0, 30)))) for k in range(60)] + [(100, None), (101, "A--b\n(C) D!")]
+    known = {tuple("".join(ch if ch.isalnum() else " " for ch in n.lower()).split()) for n in names} - {()}
+    want = []
+    for k, text in texts:
+        words, at = "".join(ch if ch.isalnum() else " " for ch in (text or "").lower()).split(), 0
+        while at < len(words):
+            n = max((n for n in range(1, 6) if tuple(words[at : at + n]) in known and at + n <= len(words)), default=0)
+            if n:
+                want.append((k, at, n, " ".join(words[at : at + n])))
+            at += n or 1
+    frame = spark.createDataFrame(texts, "id long, text string")
+    got = gazetteer_mentions(frame, spark.createDataFrame([(n,) for n in names], "name string"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
+    assert gazetteer_mentions(frame, spark.createDataFrame([("!",)], "name string")).count() == 0
