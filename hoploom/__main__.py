@@ -40,6 +40,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     top.add_argument("--passage-ratio", type=float, default=2.0)
     top.add_argument("--top-k-sentence", type=int, default=3)
     top.add_argument("--vectorized", action="store_true")
+    top.add_argument("--familiarity", type=float, help="questions with a passage at least this near skip the graph")
     top.add_argument("--num-clusters", type=int, default=100)
     top.add_argument("--top-p-clusters", type=int, default=10)
     top.add_argument("--max-hops", type=int, default=5)
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     questions = keyed.join(dense_index(keyed, "key", "qid"), "key").drop("key").dropDuplicates(["qid"])
     extractor = Lazy(args.extractor) if args.extractor else RegexExtractor()
     if args.engine == "trigraph":
-        config = TriGraphConfig(max_iterations=args.max_iterations, iteration_threshold=args.iteration_threshold, passage_ratio=args.passage_ratio, top_k_sentence=args.top_k_sentence, vectorized=args.vectorized)
+        config = TriGraphConfig(max_iterations=args.max_iterations, iteration_threshold=args.iteration_threshold, passage_ratio=args.passage_ratio, top_k_sentence=args.top_k_sentence, vectorized=args.vectorized, familiarity=args.familiarity)
         engine = TriGraphEngine(spark, args.index, Lazy(args.embedder) if args.embedder else HashedEmbedder(), extractor, llm, config, replies)
         ready = engine.catalog.exists("edges")
     else:

@@ -20,6 +20,8 @@ class TriGraphConfig:
     pagerank_steps: int = 30
     #: Residuals over this share of a question's mass are pushed; None takes steps over all nodes.
     push_eps: float | None = None
+    #: Questions whose best passage is at least this near take their nearest passages and skip the graph; None sends all through it.
+    familiarity: float | None = None
 
 
 @dataclass(frozen=True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .dense import top_k
 
 
@@ -25,6 +26,16 @@ def familiar(queries: DataFrame, items: DataFrame, threshold: float) -> DataFram
     return best.select("qid", "b.iid", "b.score", (F.col("b.score") >= threshold).alias("familiar"))
 
 
+def familiar_answers(questions: DataFrame, items: DataFrame, threshold: float, k: int) -> DataFrame:
+    """(qid, iid, score, rank): the k best items of those questions whose best item scores at least ``threshold``.
+
+    The other questions have no rows: they are left to a costlier way. A question without a vector is never familiar.
+    """
+    best = cut_lineage(top_k(questions, items, k).select("qid", "iid", "score", "rank"))
+    near = best.groupBy("qid").agg(F.max("score").alias("top")).where(F.round("top", 9) >= threshold)
+    return best.join(near.select("qid"), "qid", "left_semi")
+
+
 def edit_similarity(a, b):
     """1 minus the edit distance over the longer length; two empty strings are 1."""
     longest = F.greatest(F.length(a), F.length(b))

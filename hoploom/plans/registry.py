@@ -423,26 +423,55 @@ def ppr_push_topk(spark, d):
     return _pushed(spark, d)[0].select("qid", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("retrieve_dispatch", _activation_sql(1) + _PRIOR + "," + _push_sql() + """,
-answers AS (SELECT qid, true AS by_graph, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank FROM found WHERE qid IN (SELECT qid FROM seeds)
-  UNION ALL SELECT qid, false, passage_id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank FROM dense WHERE qid NOT IN (SELECT qid FROM seeds))
-SELECT qid, by_graph, passage_id, round(score, 6) AS score, rank FROM answers WHERE rank <= 3""")
-def retrieve_dispatch(spark, d):
-    """Questions with seeds go through the graph, the others take the passages of the greatest similarity; the union of both answers."""
+_RANKED = "row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, passage_id) AS rank"
+_DISPATCH_SQL = _activation_sql(1) + _PRIOR + "," + _push_sql() + f""",
+answers AS (SELECT qid, true AS by_graph, passage_id, score, {_RANKED} FROM found WHERE qid IN (SELECT qid FROM seeds)
+  UNION ALL SELECT qid, false, passage_id, score, {_RANKED} FROM dense WHERE qid NOT IN (SELECT qid FROM seeds))"""
+
+
+def _passage_items(spark, d):
+    return src.stand_in_vectors(spark, d, src.passages(spark, d), "text")
+
+
+def _dispatched(spark, d, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, passage_id, score, rank, by_graph): questions with seeds through the graph, the others by similarity."""
     pairs = cut_lineage(src.pairs(spark, d))
-    seeds, asked = cut_lineage(_seeds(spark, d, pairs)), cut_lineage(_question_vectors(spark, d))
+    seeds = cut_lineage(_seeds(spark, d, pairs).join(asked.select("qid"), "qid", "left_semi"))
     seeded, passages = seeds.select("qid").distinct(), src.passages(spark, d)
-    items = src.stand_in_vectors(spark, d, passages, "text")
-    plain = dense.top_k(asked.join(seeded, "qid", "left_anti"), items.select(F.col("passage_id").alias("iid"), "vector"), 3).withColumnRenamed("iid", "passage_id")
+    items = _passage_items(spark, d)
+    plain = dense.top_k(asked.join(seeded, "qid", "left_anti"), items.select(F.col("passage_id").alias("iid"), "vector"), k).withColumnRenamed("iid", "passage_id")
     weights, active = activation.activate_vectorized(seeds, pairs, _similarity(spark, d), 2, _TOP_SENTENCES, _THRESHOLD)
     diffused = push.diffuse_passages(graph.graph_edges(None, passages), items, 0.5, _TERMS)
     entities = weights.select("qid", tx.content_key(F.col("entity"), "entity-").alias("id"), "weight")
-    graphed, _ = push.retrieve_by_push(entities, cut_lineage(active), cut_lineage(asked.join(seeded, "qid", "left_semi")), passages, diffused, 3, eps=_EPS, rounds=_ROUNDS)
+    graphed, _ = push.retrieve_by_push(entities, cut_lineage(active), cut_lineage(asked.join(seeded, "qid", "left_semi")), passages, diffused, k, eps=_EPS, rounds=_ROUNDS)
     columns = ["qid", "passage_id", "score", "rank"]
-    both = graphed.select(*columns).withColumn("by_graph", F.lit(True)).unionByName(plain.select(*columns).withColumn("by_graph", F.lit(False)))
+    return graphed.select(*columns).withColumn("by_graph", F.lit(True)).unionByName(plain.select(*columns).withColumn("by_graph", F.lit(False)))
+
+
+@query("retrieve_dispatch", _DISPATCH_SQL + "\nSELECT qid, by_graph, passage_id, round(score, 6) AS score, rank FROM answers WHERE rank <= 3")
+def retrieve_dispatch(spark, d):
+    """Questions with seeds go through the graph, the others take the passages of the greatest similarity; the union of both answers."""
+    both = _dispatched(spark, d, cut_lineage(_question_vectors(spark, d)), 3)
     return both.select("qid", "by_graph", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_FAMILIAR = 0.4
+
+
+@query("retrieve_routed", _DISPATCH_SQL + f""",
+near AS (SELECT qid FROM dense GROUP BY qid HAVING max(round(score, 9)) >= {_FAMILIAR})
+SELECT qid, 'near' AS way, passage_id, round(score, 6) AS score, rank FROM (SELECT qid, passage_id, score, {_RANKED} FROM dense WHERE qid IN (SELECT qid FROM near)) WHERE rank <= 3
+UNION ALL SELECT qid, CASE WHEN by_graph THEN 'graph' ELSE 'plain' END, passage_id, round(score, 6), rank FROM answers WHERE rank <= 3 AND qid NOT IN (SELECT qid FROM near)""")
+def retrieve_routed(spark, d):
+    """Familiar questions are answered by their nearest passages alone; only the others are activated and ranked on the graph."""
+    asked = cut_lineage(_question_vectors(spark, d))
+    near = extensions.familiar_answers(asked, _passage_items(spark, d).select(F.col("passage_id").alias("iid"), "vector"), _FAMILIAR, 3).withColumnRenamed("iid", "passage_id")
+    rest = _dispatched(spark, d, cut_lineage(asked.join(near.select("qid").distinct(), "qid", "left_anti")), 3)
+    columns = ["qid", "way", "passage_id", "score", "rank"]
+    both = near.withColumn("way", F.lit("near")).select(*columns).unionByName(rest.withColumn("way", F.when(F.col("by_graph"), "graph").otherwise("plain")).select(*columns))
+    return both.select("qid", "way", "passage_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 # Propositions and incidence ------------------------------------------------------------
 
 _LINES = r"""list_filter(list_transform(list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), lambda x: regexp_replace(regexp_replace(x, '^(?:10|[1-9])\.', ''), '^\s+|\s+$', '', 'g')), lambda x: length(x) >= {n})"""

@@ -11,6 +11,7 @@ from ..functions.vector import dot, l2_normalize
 from ..operators.blocks import pack, prior_blocks, question_places, top_of
 from ..operators.activation import activate_bfs, activate_vectorized, seed_entities
 from ..operators.dense import top_k
+from ..operators.extensions import familiar_answers
 from ..operators.graph import graph_edges, graph_nodes, keep_labels
 from ..operators.pagerank import pagerank_blocks
 from ..operators.push import diffuse_passages, retrieve_by_push
@@ -60,11 +61,20 @@ class TriGraphEngine:
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """(qid, passage_id, text, score, rank): the best passages of each question (qid, question).
 
-        Questions with seeds go through the graph, the others by dense similarity; the two scores differ in scale.
+        Familiar questions (``familiarity``) are answered by dense similarity before anything is activated; of the
+        others those with seeds go through the graph and the rest by similarity. The scores differ in scale.
         """
         c = self.config
         asked = cut_lineage(embed(questions.select("qid", "question"), self.embedder, "question", "vector").withColumn("vector", l2_normalize(F.col("vector"))))
         passages = self.catalog.read("passages", EMBEDDINGS).select(F.col("hash_id").alias("passage_id"), "text", F.col("embedding").alias("vector"))
+        items, columns = passages.select(F.col("passage_id").alias("iid"), "vector"), ["qid", "passage_id", "score", "rank"]
+        near = None
+        if c.familiarity is not None:
+            near = familiar_answers(asked, items, c.familiarity, c.retrieval_top_k).withColumnRenamed("iid", "passage_id").select(*columns)
+            asked = cut_lineage(asked.join(near.select("qid").distinct(), "qid", "left_anti"))
+            questions = questions.join(asked.select("qid"), "qid", "left_semi")
+            if asked.isEmpty():
+                return self._with_texts(near, passages)
         entities = self.catalog.read("entities", EMBEDDINGS).select(F.col("text").alias("entity"), F.col("embedding").alias("vector"))
         sentences = self.catalog.read("sentences", EMBEDDINGS).select(F.col("text").alias("sentence"), F.col("embedding").alias("s"))
         pairs = self.catalog.read("entity_sentence")
@@ -91,8 +101,13 @@ class TriGraphEngine:
             graph = diffuse_passages(edges, passages, c.damping, c.pagerank_steps)
             by_graph, _ = retrieve_by_push(entity_weights, cut_lineage(active), with_seeds.select("qid", "vector"), passages, graph, c.retrieval_top_k, c.passage_ratio, c.passage_node_weight, c.push_eps, c.pagerank_steps)
         plain = asked.join(seeds.select("qid").distinct(), "qid", "left_anti")
-        by_vector = top_k(plain, passages.select(F.col("passage_id").alias("iid"), "vector"), c.retrieval_top_k).withColumnRenamed("iid", "passage_id")
-        return by_graph.select("qid", "passage_id", "score", "rank").unionByName(by_vector.select("qid", "passage_id", "score", "rank")).join(passages.select("passage_id", "text"), "passage_id").select("qid", "passage_id", "text", "score", "rank")
+        by_vector = top_k(plain, items, c.retrieval_top_k).withColumnRenamed("iid", "passage_id")
+        found = by_graph.select(*columns).unionByName(by_vector.select(*columns))
+        return self._with_texts(found if near is None else found.unionByName(near), passages)
+
+    @staticmethod
+    def _with_texts(found: DataFrame, passages: DataFrame) -> DataFrame:
+        return found.join(passages.select("passage_id", "text"), "passage_id").select("qid", "passage_id", "text", "score", "rank")
 
     def qa(self, questions: DataFrame) -> DataFrame:
         """Predictions of (qid, question, answer): passages, scores, gold and predicted answer."""

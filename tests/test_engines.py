@@ -68,6 +68,26 @@ def test_trigraph(spark, tmp_path, passages, questions):
         assert rows[0].sorted_passage_scores == sorted(rows[0].sorted_passage_scores, reverse=True)
 
 
+def test_familiar_questions_skip_the_graph(spark, tmp_path, passages, questions):
+    def answers(threshold, extractor=RegexExtractor()):
+        engine = TriGraphEngine(spark, str(tmp_path), HashedEmbedder(), extractor, config=TriGraphConfig(pagerank_steps=4, familiarity=threshold))
+        return {(r.qid, r.rank): (r.passage_id, r.score) for r in engine.retrieve(questions).collect()}
+
+    class Broken:
+        def extract(self, text):
+            raise AssertionError("activated")
+
+    TriGraphEngine(spark, str(tmp_path), HashedEmbedder(), RegexExtractor()).index(passages)
+    graph, near = answers(None), answers(-1.0, Broken())  # all familiar: no recogniser is called
+    assert answers(2.0) == graph and near.keys() == graph.keys() and near != graph
+    # A threshold between the two questions' best passages sends each its own way.
+    tops = sorted((near[q, 1][1], q) for q in (0, 1))
+    routed = answers((tops[0][0] + tops[1][0]) / 2)
+    assert tops[0][0] < tops[1][0]
+    for (_, q), source in zip(tops, (graph, near)):
+        assert {k: v for k, v in routed.items() if k[0] == q} == {k: v for k, v in source.items() if k[0] == q}
+
+
 def test_hypergraph(spark, tmp_path, passages, questions):
     engine = HypergraphEngine(spark, str(tmp_path), HashedEmbedder(normalize=False), RegexExtractor(), Stub())
     assert engine.health().first().indexed is False
