@@ -81,6 +81,34 @@ def adjacency_edges(passages: DataFrame) -> DataFrame:
     return placed.join(following, "pos").select(F.col("passage_id").alias("src"), "dst", F.lit(1.0).alias("weight"))
 
 
+#: Indices of passages that share a bucket.
+BUCKET = 1 << 16
+
+
+def bucket_of(n: Column, bucket: int = BUCKET) -> Column:
+    return F.floor(n / bucket).cast("long")
+
+
+def linked_places(places: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(passage_id, n, next_id, bucket) of (passage_id, n): each passage with the next one of its bucket, null for the bucket's last."""
+    keyed = places.select(F.concat(F.lpad(F.col("n").cast("string"), 20, "0"), F.lit(" "), F.col("passage_id")).alias("at"))
+    n = F.substr("at", F.lit(1), F.lit(20)).cast("long")
+    placed = cut_lineage(dense_index(keyed, "at", "pos").select(F.substr("at", F.lit(22)).alias("passage_id"), n.alias("n"), bucket_of(n, bucket).alias("bucket"), "pos"))
+    following = placed.select(F.col("passage_id").alias("next_id"), "bucket", (F.col("pos") - 1).alias("pos"))
+    return placed.join(following, ["pos", "bucket"], "left").select("passage_id", "n", "next_id", "bucket")
+
+
+def place_edges(places: DataFrame) -> DataFrame:
+    """Edges of weight 1 between the passages of ``linked_places`` and from the last of each bucket to the first of the next bucket present."""
+    one = F.lit(1.0).alias("weight")
+    inside = places.where("next_id IS NOT NULL").select(F.col("passage_id").alias("src"), F.col("next_id").alias("dst"), one)
+    ends = places.groupBy("bucket").agg(F.min(F.struct("n", "passage_id")).alias("first"), F.max(F.struct("n", "passage_id")).alias("last"))
+    ends = cut_lineage(ends)
+    placed = cut_lineage(ends.join(dense_index(ends, "bucket", "pos"), "bucket"))
+    following = placed.select(F.col("first.passage_id").alias("dst"), (F.col("pos") - 1).alias("pos"))
+    return inside.union(placed.join(following, "pos").select(F.col("last.passage_id").alias("src"), "dst", one))
+
+
 def graph_nodes(entities: DataFrame, passages: DataFrame) -> DataFrame:
     """Entity and passage nodes, each id once; stored entities without edges stay."""
     e = entities.select(content_key(F.col("entity"), "entity-").alias("id"), F.col("entity").alias("content"), F.lit("entity").alias("kind"))

@@ -12,7 +12,9 @@ from ..operators import activation, affinity, blocks, dense, evaluation, evidenc
 from ..session import cut_lineage, shared_folder
 from ..sources.models import embed
 from ..sources.word_vectors import WordVectors
+from ..sources.catalog import IndexCatalog
 from . import inputs as src
+from .graph_store import GraphStore
 from .inputs import stand_in_sql, table, with_
 
 FLAGSHIP = "dense_topk"
@@ -157,6 +159,17 @@ def graph_edges(spark, d):
     return graph.graph_edges(None, src.passages(spark, d)).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
+@query("graph_edges_batches", ORACLES["graph_edges"])
+def graph_edges_batches(spark, d):
+    """The graph of ``graph_edges``, stored in two batches of interleaved passages; buckets of 256 indices, so that both batches meet in them."""
+    passages = cut_lineage(src.passages(spark, d).select("passage_id", "text"))
+    store = GraphStore(IndexCatalog(spark, shared_folder(spark)), bucket=256)
+    for part in (0, 1):
+        batch = passages.where(F.pmod(F.crc32("passage_id"), F.lit(2)) <= part)
+        store.add(batch, graph.mentions_of(batch).withColumn("sentence", F.lit(None).cast("string")))
+    return store.edges().select("src", "dst", F.round("weight", 6).alias("weight"))
+
+
 @query("graph_degree", _EDGES + "SELECT id, count(*) AS degree, round(sum(weight), 6) AS strength FROM (SELECT src AS id, weight FROM edges UNION ALL SELECT dst, weight FROM edges) GROUP BY id")
 def graph_degree(spark, d):
     return graph.degrees(graph.graph_edges(None, src.passages(spark, d))).select("id", "degree", F.round("strength", 6).alias("strength"))

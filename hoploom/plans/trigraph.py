@@ -12,13 +12,14 @@ from ..operators.blocks import pack, prior_blocks, question_places, top_of
 from ..operators.activation import activate_bfs, activate_vectorized, seed_entities
 from ..operators.dense import top_k
 from ..operators.extensions import familiar_answers
-from ..operators.graph import graph_edges, graph_nodes, keep_labels
+from ..operators.graph import keep_labels
 from ..operators.pagerank import pagerank_blocks
 from ..operators.push import diffuse_passages, retrieve_by_push
 from ..schemas import EMBEDDINGS, EXTRACTED
 from ..session import cut_lineage
 from ..sources.catalog import IndexCatalog
 from ..sources.replies import ReplyStore
+from .graph_store import GraphStore
 from ..sources.models import Embedder, EntityExtractor, LlmClient, ask, embed, extract_entities
 
 INSTRUCTION = "Answer the question from the passages. Reason briefly, then write the result after 'Answer:'."
@@ -29,6 +30,7 @@ class TriGraphEngine:
 
     def __init__(self, spark: SparkSession, path: str, embedder: Embedder, extractor: EntityExtractor, llm: LlmClient | None = None, config: TriGraphConfig | None = None, replies: ReplyStore | None = None):
         self.spark, self.catalog = spark, IndexCatalog(spark, path)
+        self.graph = GraphStore(self.catalog)
         self.embedder, self.extractor, self.llm = embedder, extractor, llm
         self._ask = replies.ask if replies else ask
         self.config = config or TriGraphConfig()
@@ -40,7 +42,7 @@ class TriGraphEngine:
         return self.catalog.append_missing(name, embed(new, self.embedder).withColumn("embedding", l2_normalize(F.col("embedding")).cast("array<float>")), "hash_id", EMBEDDINGS)
 
     def index(self, passages: DataFrame) -> None:
-        """Adds passages (text, as "idx:chunk") and rebuilds the graph tables."""
+        """Adds passages (text, as "idx:chunk") and what they bring to the graph; those that are in it already cost no writing."""
         stored = self._store("passages", passages.select("text"), "passage-").select(F.col("hash_id").alias("passage_id"), "text")
         known = self.catalog.read("ner", EXTRACTED)
         todo = stored.join(known.select("passage_id").distinct(), "passage_id", "left_anti")
@@ -53,10 +55,7 @@ class TriGraphEngine:
         ner = self.catalog.read("ner", EXTRACTED).where("entity IS NOT NULL")
         self._store("sentences", ner.select(F.col("sentence").alias("text")).distinct(), "sentence-")
         self._store("entities", ner.select(F.col("entity").alias("text")).distinct(), "entity-")
-        mentions = ner.select("passage_id", "entity").distinct()
-        self.catalog.write("edges", graph_edges(mentions, stored))
-        self.catalog.write("nodes", graph_nodes(self.catalog.read("entities", EMBEDDINGS).select(F.col("text").alias("entity")), stored))
-        self.catalog.write("entity_sentence", ner.select("sentence", "entity").distinct())
+        self.graph.add(stored, ner)
 
     def retrieve(self, questions: DataFrame) -> DataFrame:
         """(qid, passage_id, text, score, rank): the best passages of each question (qid, question).
@@ -91,15 +90,15 @@ class TriGraphEngine:
         weights, active = walk(seeds, pairs, similarity, c.max_iterations, c.top_k_sentence, c.iteration_threshold)
         with_seeds = asked.join(seeds.select("qid").distinct(), "qid", "left_semi")
         entity_weights = weights.select("qid", F.concat(F.lit("entity-"), F.md5("entity")).alias("id"), "weight")
-        edges = self.catalog.read("edges")
+        edges = self.graph.edges()
         if c.push_eps is None:
             places = cut_lineage(question_places(with_seeds.select("qid")))
             priors = prior_blocks(cut_lineage(active), with_seeds.select("qid", "vector"), passages, places, c.passage_ratio, c.passage_node_weight)
             ranks = pagerank_blocks(pack(entity_weights, places).union(priors), edges, c.damping, c.pagerank_steps)
             by_graph = top_of(ranks.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi"), places, c.retrieval_top_k).withColumnRenamed("id", "passage_id")
         else:
-            graph = diffuse_passages(edges, passages, c.damping, c.pagerank_steps)
-            by_graph, _ = retrieve_by_push(entity_weights, cut_lineage(active), with_seeds.select("qid", "vector"), passages, graph, c.retrieval_top_k, c.passage_ratio, c.passage_node_weight, c.push_eps, c.pagerank_steps)
+            diffused = diffuse_passages(edges, passages, c.damping, c.pagerank_steps)
+            by_graph, _ = retrieve_by_push(entity_weights, cut_lineage(active), with_seeds.select("qid", "vector"), passages, diffused, c.retrieval_top_k, c.passage_ratio, c.passage_node_weight, c.push_eps, c.pagerank_steps)
         plain = asked.join(seeds.select("qid").distinct(), "qid", "left_anti")
         by_vector = top_k(plain, items, c.retrieval_top_k).withColumnRenamed("iid", "passage_id")
         found = by_graph.select(*columns).unionByName(by_vector.select(*columns))

@@ -35,6 +35,17 @@ class IndexCatalog:
         """Replaces a table; ``df`` must not read it."""
         df.write.mode("overwrite").parquet(self._at(name))
 
+    def append(self, name: str, df: DataFrame) -> None:
+        """Adds rows to a table; one job, so that all of them or none are seen."""
+        df.write.mode("append").parquet(self._at(name))
+
+    def write_partitions(self, name: str, df: DataFrame, by: str, within: str) -> None:
+        """Replaces those folders of a table partitioned ``by`` a column that ``df`` has rows of; ``df`` must not read them.
+
+        Rows are dealt by ranges of ``by`` and ``within``: few files a folder, and a large folder is written by several tasks.
+        """
+        df.repartitionByRange(by, within).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(self._at(name))
+
     def append_missing(self, name: str, df: DataFrame, key: str, schema: str) -> DataFrame:
         """Appends rows whose key is not stored yet and gives them back as stored."""
         new = missing(df, self.read(name, schema), key).persist()

@@ -152,7 +152,7 @@ def test_stream_gives_the_tables_of_a_batch(spark, tmp_path):
         spark.createDataFrame(rows, "idx long, text string").coalesce(1).write.mode("append").parquet(folder)
         index_stream(read_passages(spark, folder), streamed, str(tmp_path / "state")).awaitTermination(240)
     whole.index(passages_of(spark.createDataFrame([(i, CHUNKS[i]) for i in range(4)], "doc_id long, text string")).select("text"))
-    for name in ("passages", "sentences", "entities", "ner", "edges", "nodes", "entity_sentence"):
+    for name in ("passages", "sentences", "entities", "ner", "edges", "nodes", "places", "entity_sentence"):
         a, b = streamed.catalog.read(name), whole.catalog.read(name)
         assert a.count() == b.count() > 0 and a.exceptAll(b).count() == 0, name
     assert all(abs(sum(x * x for x in r.embedding) - 1) < 1e-5 for r in streamed.catalog.read("passages").collect())

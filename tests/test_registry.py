@@ -11,7 +11,7 @@ DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 QUICK = [
     "content_hash_ids", "dedup_by_hash", "insert_if_missing", "new_passages", "ner_merge_override", "entity_index", "mentions", "inverted_index", "edge_weights", "adjacency_edges",
-    "graph_nodes", "sparsity_stats", "dense_topk", "minmax_scores", "seed_entities", "parse_propositions", "parse_subquestions", "incidence", "props_with_entity", "affinity_symmetric",
+    "graph_nodes", "graph_edges_batches", "sparsity_stats", "dense_topk", "minmax_scores", "seed_entities", "parse_propositions", "parse_subquestions", "incidence", "props_with_entity", "affinity_symmetric",
     "cluster_mask", "adaptive_mask", "attention_weights", "propagate_1hop", "parse_answer", "normalize_answer", "contain_accuracy", "judge_accuracy",
 ]
 
