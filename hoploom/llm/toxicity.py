@@ -5,7 +5,8 @@ sentence's probability is logistic in its words, their prefixes and the
 logarithm of the number of sentences beside it; the bag's is the noisy-or of all
 its sentences, 1 - prod(1 - p) = 1 - exp(-sum softplus(z)). The weights are
 fitted to document labels by full-batch Adam on that likelihood, so the
-sentences that explain a label are found on the way; ``locate`` returns them.
+sentences that explain a label are found on the way; ``locate`` returns them,
+and ``with_sentences`` those of every document that is predicted toxic.
 Scoring uses the same function as training: the weight of the length is learned
 with the others, so that length alone does not make a text toxic.
 
@@ -17,7 +18,10 @@ texts are scored whole, in bounded memory beside the text itself; without labels
 of both kinds every score is 0; repeated documents score alike; contradicting
 labels of one document count as toxic; extra columns are kept, and a column that
 has the name of the score keeps it: the score then gets the next free name with
-an underscore. An empty table gives no rows.
+an underscore. An empty table gives no rows. Sentences are given by offsets into
+the text as it is, in order; a document below the threshold has none, and one
+that reaches it by many weak sentences has its most probable one (of equals the
+first).
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ _TOKENS = re.compile(r"\w+|[.!?\n]+").findall
 _SPANS = re.compile(r"\w+|[.!?\n]+").finditer
 SENTENCE_WORDS = 64
 PREFIXES = (3, 4, 5)
+#: Documents at or above this score are predicted toxic.
+THRESHOLD = 0.3
 
 
 def features_of(word: str) -> list[str]:
@@ -101,15 +107,30 @@ class ToxicityModel:
         return (-np.expm1(-np.bincount(owner, weights=_softplus(z), minlength=len(texts)))).tolist()
 
     def locate(self, text: str | None, threshold: float = 0.5) -> list[tuple[int, int, float]]:
-        """(start, end, probability) of the sentences at or above ``threshold``; offsets into the lower-cased text."""
+        """(start, end, probability) of the sentences at or above ``threshold``; offsets into the text, in code points."""
+        return [hit for hit in self._sentences(text) if hit[2] >= threshold]
+
+    def offending(self, text: str | None, threshold: float) -> list[tuple[int, int, float]]:
+        """As ``locate``; if no sentence reaches the threshold alone, the most probable one."""
+        every = self._sentences(text)
+        return [hit for hit in every if hit[2] >= threshold] or sorted(every, key=lambda hit: -hit[2])[:1]
+
+    def _sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         if not text or not np.isfinite(self.bias):
             return []
-        spans = list(_SPANS(text.lower()))
+        lowered = text.lower()
+        spans = list(_SPANS(lowered))
+        if not spans:
+            return []
         z, _, sentence = self._scores([[m.group() for m in spans]])
+        first = np.flatnonzero(np.diff(sentence, prepend=-1))
+        last = np.append(first[1:], len(spans)) - 1
+        # Some letters become longer when lowered; their offsets are taken back to the text.
+        at = None if len(lowered) == len(text) else [k for k, c in enumerate(text) for _ in c.lower()] + [len(text)]
         out = []
-        for k in np.flatnonzero(1 / (1 + np.exp(-z)) >= threshold).tolist():
-            own = np.flatnonzero(sentence == k)
-            out.append((spans[own[0]].start(), spans[own[-1]].end(), float(1 / (1 + np.exp(-z[k])))))
+        for a, b, p in zip(first.tolist(), last.tolist(), (1 / (1 + np.exp(-z))).tolist(), strict=True):
+            start, end = spans[a].start(), spans[b].end()
+            out.append((start, end, p) if at is None else (at[start], at[end - 1] + 1, p))
         return out
 
 
@@ -211,29 +232,33 @@ def score_documents(docs: DataFrame, model: ToxicityModel, name: str = "toxic_sc
     return docs.mapInArrow(run, schema)
 
 
-def locate_sentences(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """One row per offending sentence: doc_id, start, end, probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def with_sentences(scored: DataFrame, model: ToxicityModel, threshold: float, score: str = "toxic_score", name: str = "sentences") -> DataFrame:
+    """All columns of scored documents and the offending sentences of those at or above ``threshold``: an array of start, end and probability. One pass, no shuffle."""
+    shared, name = scored.sparkSession.sparkContext.broadcast(model), free_name(scored, name)
 
     def run(batches):
         import pyarrow as pa
 
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
         for part in arrow_slices(batches, 1000):
-            rows = [(i, *hit) for i, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) for hit in shared.value.locate(t, threshold)]
-            columns = list(zip(*rows, strict=True)) or [[], [], [], []]
-            kinds = [part.schema.field(0).type, pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "end", "probability"])
+            scores, texts = part.column(score).to_pylist(), part.column("text")
+            found = [shared.value.offending(texts[k].as_py(), threshold) if s is not None and s >= threshold else [] for k, s in enumerate(scores)]
+            yield part.append_column(name, pa.array([[dict(zip(("start", "end", "probability"), hit, strict=True)) for hit in hits] for hits in found], kind))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, start long, end long, probability double")
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in scored.schema.fields), f"`{name}` array<struct<start: bigint, end: bigint, probability: double>>"])
+    return scored.mapInArrow(run, schema)
 
 
-#: Documents at or above this score are predicted toxic.
-THRESHOLD = 0.3
+def locate_sentences(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per offending sentence of the documents that are predicted toxic: doc_id, start, end, probability."""
+    found = with_sentences(score_documents(docs.select("doc_id", "text"), model), model, threshold)
+    return found.select("doc_id", F.explode("sentences").alias("s")).select("doc_id", "s.*")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every whole text."""
+    """Score of every whole text, and of the toxic ones the offending sentences."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
-    scored = score_documents(docs.withColumn("held_out", held_out()), model)
-    return scored.select("doc_id", "held_out", F.col("toxic_score").alias("score"), (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted"))
+    found = with_sentences(score_documents(docs.withColumn("held_out", held_out()), model), model, THRESHOLD)
+    predicted = (F.col("toxic_score") >= THRESHOLD).cast("int").alias("predicted")
+    return found.select("doc_id", "held_out", F.col("toxic_score").alias("score"), predicted, F.size("sentences").alias("n_sentences"), "sentences")

@@ -58,6 +58,26 @@ def test_long_clean_documents_stay_clean():
     assert max(model.score(long_clean)) < t.THRESHOLD <= min(model.score([x + " you vilething bana." for x in long_clean]))
 
 
+def test_offsets_are_those_of_the_text():
+    """Also where lowering makes a letter longer, and for sentences by hand."""
+    model = t.ToxicityModel(bias=-2.0, weights={"bad": 5.0})
+    for text in ("ok. this is bad. fine", "\u0130\u0130\u0130\u0130 ok. this is bad. fine", "\u0130. bad\u0130 Bad! \u0130", "BAD", "x " * 70 + "bad"):
+        hits = model.locate(text)
+        assert len(hits) == 1 and "bad" in text[hits[0][0] : hits[0][1]].lower(), text
+        assert all(0 <= a < b <= len(text) for a, b, _ in model.locate(text, 0.0))
+    assert model.locate("\u0130\u0130\u0130\u0130 ok. this is bad. fine")[0][:2] == (9, 21)
+    assert [text for a, b, _ in model.locate("ok. this is bad. fine", 0.0) for text in ["ok. this is bad. fine"[a:b]]] == ["ok.", "this is bad.", "fine"]
+
+
+def test_many_weak_sentences_give_the_most_probable():
+    model = t.ToxicityModel(bias=-2.5, weights={"odd": 0.5})
+    text = "one. two. odd one. four. " * 2
+    assert model.score([text])[0] >= t.THRESHOLD and not model.locate(text, t.THRESHOLD)
+    (start, end, p), = model.offending(text, t.THRESHOLD)
+    assert text[start:end] == "odd one." and start == 10 and abs(p - 1 / (1 + math.exp(2.0))) < 1e-9
+    assert model.offending("", 0.3) == model.offending(None, 0.3) == model.offending("?", 2.0)[1:] == []
+
+
 def test_query_edges(spark):
     rng = random.Random(4)
     texts, labels = corpus(240, rng)
@@ -69,7 +89,12 @@ def test_query_edges(spark):
     assert all(r.toxic_score in (0.5, 0.0) for r in scored)  # the given column is kept
     got = {r.doc_id: r.toxic_score_ for r in scored}
     assert got[900] == got[901] == 0.0 and got[902] < 0.3 and got[903] > 0.5
-    assert {r.doc_id for r in t.locate_sentences(docs, model).collect()} >= {903}
+    hits = t.locate_sentences(docs, model).collect()
+    toxic = {i for i, score in got.items() if score >= t.THRESHOLD}
+    assert {r.doc_id for r in hits} == toxic >= {903}
+    whole = dict((r[0], r[1]) for r in rows)
+    assert all("vile" in whole[r.doc_id][r.start : r.end] for r in hits if r.probability >= t.THRESHOLD)
+    assert [(r.start, r.end) for r in hits if r.doc_id == 903] == [(6, 12)]
     nothing = t.fit_toxicity(docs, marks.limit(0))
     assert {r.toxic_score_ for r in t.score_documents(docs, nothing).collect()} == {0.0}
     assert t.score_documents(docs.limit(0), model).count() == 0
