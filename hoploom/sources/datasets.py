@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import content_key, drop_index_prefix
 from ..schemas import PREDICTIONS, QUESTIONS
@@ -18,9 +19,27 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, text) of a JSON array of strings; the position is the index."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.from_json("value", "array<string>")).alias("pos", "text")).select(F.col("pos").cast("long").alias("idx"), "text")
+    """(idx, text) of a JSON array of strings; the position is the index. Anything but strings in the array is an error.
+
+    The file is read in splits, however long its lines are: records end at quotes. Whether a quote is escaped is seen
+    from its own record, so the quotes before a record are a running count within its split and a sum over the splits
+    before; between an odd quote and the next is text. A folder's files are counted one by one.
+    """
+    split, order = ["file", "split"], ["split", "at"]
+    value = F.col("value")
+    cuts = spark.read.option("lineSep", '"').text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    # An even number of backslashes before the quote: it is not escaped.
+    cuts = cuts.withColumn("quote", 1 - (F.length(value) - F.length(F.rtrim(value, F.lit("\\")))) % 2)
+    before = W.partitionBy("file").orderBy("split").rowsBetween(W.unboundedPreceding, -1)
+    starts = cuts.groupBy(*split).agg(F.sum("quote").alias("n")).select(*split, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    within = F.coalesce(F.sum("quote").over(W.partitionBy(*split).orderBy("at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = cuts.withColumn("n", within).join(starts, split).withColumn("n", F.col("n") + F.col("start"))
+    is_text = F.when(F.col("n") % 2 == 1, True).when(value.rlike(r"^[\s,\[\]\x{FEFF}]*$"), False).otherwise(F.raise_error(F.concat(F.lit("not an array of strings: "), F.col("file"))).cast("boolean"))
+    parts = numbered.where(is_text).groupBy("file", F.floor(F.col("n") / 2).alias("idx")).agg(F.array_sort(F.collect_list(F.struct(*order, "value"))).alias("parts"))
+    quoted = F.concat(F.lit('["'), F.array_join(F.transform("parts", lambda x: x["value"]), '"'), F.lit('"]'))
+    return parts.select(F.col("idx").cast("long").alias("idx"), F.from_json(quoted, "array<string>")[0].alias("text"))
 
 
 def chunks_of(passages: DataFrame) -> DataFrame:

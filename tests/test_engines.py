@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,6 +131,33 @@ def test_readers_and_writers(spark, tmp_path, passages):
     assert len(parsed.getElementsByTagName("node")) == 5 and len(parsed.getElementsByTagName("edge")) == 1
 
 
+@pytest.mark.parametrize("split", [7, 64, 1 << 20])
+def test_chunks_in_splits(spark, tmp_path, split):
+    """Quotes, backslashes, commas and brackets within texts, also where splits cut them."""
+    rng = random.Random(split)
+    texts = ["", '"', "\\", '\\"', 'a "b", ["c"]', "line\nbreak\t", "Éа漢🙂\u2028", "x" * 500, *("".join(rng.choices('ab"\\,[] \né🙂', k=rng.randint(0, 30))) for _ in range(60))]
+    (tmp_path / "a.json").write_text(json.dumps(texts), encoding="utf-8")
+    (tmp_path / "b.json").write_text(json.dumps(texts, indent=2, ensure_ascii=False), encoding="utf-8")
+    (tmp_path / "none.json").write_text("[]")
+    (tmp_path / "mixed.json").write_text('["a", 1]')
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    kept = {name: spark.conf.get(name, None) for name in names}
+    try:
+        for name, value in zip(names, (split, 1, 1)):
+            spark.conf.set(name, str(value))
+        for name in "ab":
+            got = datasets.read_chunks(spark, f"{tmp_path}/{name}.json").orderBy("idx").collect()
+            assert [(r.idx, r.text) for r in got] == list(enumerate(texts))
+        if split == 64:
+            assert spark.read.option("lineSep", '"').text(f"{tmp_path}/a.json").rdd.getNumPartitions() > 10
+        assert datasets.read_chunks(spark, f"{tmp_path}/none.json").count() == 0
+        with pytest.raises(Exception, match="not an array of strings"):
+            datasets.read_chunks(spark, f"{tmp_path}/mixed.json").collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def test_catalog(spark, tmp_path):
     catalog = IndexCatalog(spark, str(tmp_path / "c"))
     schema = "hash_id string, x int"
