@@ -6,6 +6,12 @@ hash table of pairs, a merge replaces the left id, closes the gap by
 compaction and looks up only the two pairs it changed. Rows without a mergeable
 pair leave the matrix.
 
+A piece of ``LONG`` bytes or more is a row of its own, and one round takes all
+the merges of the minimum rank that the rounds one by one would take in
+succession: from the left, up to the first that makes a pair of a lower rank.
+There are then at most about as many rounds as ranks that occur, however long
+the piece is.
+
 Defined results: null and empty texts have no ids; any other text, however
 long, is encoded whole; equal texts have equal ids; extra columns are ignored
 by the query.
@@ -26,6 +32,7 @@ from .pieces import ASCII_PATTERN, PieceEncoder
 _NONE = np.int32(2**31 - 1)
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.int64(-1)
+LONG = 2048
 
 
 class PairTable:
@@ -67,6 +74,14 @@ class PairTable:
         return out.reshape(shape)
 
 
+def _without(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The values but those at sorted places; few places are cut out by slices."""
+    if len(places) > 16:
+        return np.delete(values, places)
+    edges = [-1, *places.tolist(), len(values)]
+    return np.concatenate([values[a + 1 : b] for a, b in zip(edges, edges[1:], strict=False)])
+
+
 class BytePairVocabulary:
     """A rank file: token bytes by id, and the pairs whose concatenation is a token."""
 
@@ -97,6 +112,8 @@ class BytePairVocabulary:
             raw = piece.encode()
             if (rank := self.ranks.get(raw)) is not None:
                 out[k] = rank.to_bytes(4, "little")
+            elif len(raw) >= LONG:
+                out[k] = self._merge_long(self._bytes[np.frombuffer(raw, dtype=np.uint8)]).astype("<u4").tobytes()
             else:
                 n = len(raw)
                 # Exact lengths up to 16 bytes, then steps of an eighth.
@@ -152,6 +169,37 @@ class BytePairVocabulary:
         ends = np.cumsum(counts) * 4
         return [flat[e - 4 * c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
 
+    def _merge_long(self, ids: np.ndarray) -> np.ndarray:
+        ranks = self._pairs.ranks(ids[:-1], ids[1:])
+        while len(ranks):
+            best = ranks.min()
+            if best == _NONE:
+                break
+            at = np.flatnonzero(ranks == best)
+            if len(at) > 1:
+                at = self._in_succession(ids, at, best)
+            ids[at] = best
+            ids, ranks = _without(ids, at + 1), _without(ranks, at)
+            # Every merge before has moved a place to the left by one.
+            at = at - np.arange(len(at))
+            changed = np.unique(np.concatenate([at - 1, at]))
+            changed = changed[(changed >= 0) & (changed < len(ranks))]
+            ranks[changed] = self._pairs.ranks(ids[changed], ids[changed + 1])
+        return ids
+
+    def _in_succession(self, ids: np.ndarray, at: np.ndarray, best: np.int32) -> np.ndarray:
+        """Of the places of the minimum rank those that are merged one after another before any pair of a lower rank arises."""
+        # Places in a row overlap: of each run the first, the third and so on.
+        k = np.arange(len(at))
+        begins = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, k, 0))
+        at = at[(k - begins) % 2 == 0]
+        # The neighbours when a place's turn comes: on its left what was merged just before, on its right what was there.
+        left = np.where(np.diff(at, prepend=-3) == 2, best, ids[np.maximum(at - 1, 0)])
+        right = ids[np.minimum(at + 2, len(ids) - 1)]
+        merged = np.full(len(at), best, dtype=ids.dtype)
+        lower = ((at > 0) & (self._pairs.ranks(left, merged) < best)) | ((at + 2 < len(ids)) & (self._pairs.ranks(merged, right) < best))
+        return at[: int(lower.argmax()) + 1] if lower.any() else at
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 

@@ -19,6 +19,37 @@ def test_encode_matches_the_library():
         assert vocabulary.decode(ids) == text.encode()
 
 
+def test_long_pieces_match_the_library(monkeypatch):
+    """Runs of letters, repeats and bytes that are no text; also ranks that fall when tokens grow, against merges one by one."""
+    import random
+
+    import numpy as np
+
+    tiktoken = pytest.importorskip("tiktoken")
+    vocabulary, _ = bpe._codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    real = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    rng = random.Random(6)
+    pieces = ["".join(rng.choices(letters, k=n)) for letters, n in (("abcdefghijklmnopqrstuvwxyz", 20_000), ("ab", 9000), ("a", 5001), ("éß漢", 4000), ("etaoin", 30_000))]
+    for piece, ids in zip(pieces, vocabulary.encode_pieces(pieces), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == real.encode_ordinary(piece)
+    # Random ranks: longer tokens may come before their parts.
+    monkeypatch.setattr(bpe, "LONG", 3)
+    for _ in range(60):
+        tokens = {bytes(rng.choices(b"abc", k=rng.randint(2, 5))) for _ in range(40)}
+        ranks = [bytes([b]) for b in range(256)] + sorted(tokens, key=lambda _: rng.random())
+        own = bpe.BytePairVocabulary({t: k for k, t in enumerate(ranks)})
+        for text in ("".join(rng.choices("abc", k=rng.randint(3, 60))) for _ in range(20)):
+            ids = [own.ranks[bytes([b])] for b in text.encode()]
+            while True:
+                pairs = [(own.ranks.get(own.tokens[a] + own.tokens[b], 1 << 30), k) for k, (a, b) in enumerate(zip(ids, ids[1:]))]
+                if not pairs or min(pairs)[0] == 1 << 30:
+                    break
+                rank, k = min(pairs)
+                ids[k : k + 2] = [rank]
+            if text.encode() not in own.ranks:
+                assert np.frombuffer(own.encode_pieces([text])[0], "<u4").tolist() == ids, text
+
+
 def test_query_columns(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate([*TEXTS, None])], "doc_id long, text string, ids int")
     path = P.path("byte_bpe_50k.tiktoken")
