@@ -85,3 +85,18 @@ def test_sample_is_of_whole_distinct_texts_and_of_all_languages(spark):
     assert len(texts) == 261
     few = dict(li.fit_language_model(df, train_docs=5).texts)
     assert sum(t.strip() in few["aa"] for t in [*kept, copies[0][1]]) == 5
+
+
+def test_sample_is_bounded_in_characters(spark):
+    """Texts are taken whole while they fit; a language of longer texts learns its shortest, whole."""
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 4 != 2]
+    short = [(ids[k], f"{chr(97 + k)}word " * 20, "aa") for k in range(12)]
+    long = [(ids[20 + k], f"{chr(97 + k)}text " * n, "bb") for k, n in enumerate((900, 300, 500))]
+    both = [(ids[30], "tail " * 400, "cc"), (ids[31], "head " * 10, "cc")]
+    df = spark.createDataFrame([*short, *long, *both], "doc_id long, text string, lang string")
+    texts = dict(li.fit_language_model(df, train_chars=600).texts)
+    assert len(texts["aa"].split()) == 20 * 5 and sum(t.strip() in texts["aa"] for _, t, _ in short) == 5
+    assert texts["bb"] == long[1][1].strip()
+    assert texts["cc"] == both[1][1].strip()
+    whole = dict(li.fit_language_model(df).texts)
+    assert all(t.strip() in whole[lang] for _, t, lang in [*short, *long, *both])
