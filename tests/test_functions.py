@@ -70,3 +70,19 @@ def test_jaro_winkler_column_matches_sql(spark):
     pairs = [("lionel messi", "leo messi"), ("abcdef", "fedcba"), ("new york", "york"), ("a", "b"), ("inter miami", "inter miami cf")]
     got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").select(jaro_winkler("a", "b")).collect()]
     assert all(abs(x - duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", list(p)).fetchone()[0]) < 1e-9 for x, p in zip(got, pairs, strict=True))
+
+
+def test_jaro_winkler_of_many_lengths_matches_sql(spark):
+    """Pairs of 0 to 3,000 characters in one batch, nulls and repeated pairs among them."""
+    import random
+
+    import duckdb
+
+    rng = random.Random(4)
+    names = ["".join(rng.choices("abcde ", k=rng.choice([0, 1, 2, 3, 6, 12, 40]))) for _ in range(300)] + ["ab" * 1500, "a", "x" * 900]
+    pairs = [(a, rng.choice([rng.choice(names), a[: len(a) // 2] + "c" + a[len(a) // 2 :]])) for a in names] * 2 + [(None, "a"), ("a", None), (None, None), ("a", "ab" * 1500)]
+    got = [r[0] for r in spark.createDataFrame(pairs, "a string, b string").coalesce(1).select(jaro_winkler("a", "b")).collect()]
+    for x, p in zip(got, pairs, strict=True):
+        want = None if None in p else duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", list(p)).fetchone()[0]
+        assert x is want is None or abs(x - want) < 1e-9, p
+    assert abs(jaro_winkler_of("éà漢字", "éà字漢") - jaro_winkler_of("abcd", "abdc")) < 1e-12
