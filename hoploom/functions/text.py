@@ -86,3 +86,8 @@ def sentences_of(text: Column) -> Column:
 def capitalised_words(text: Column) -> Column:
     """Distinct words of four letters or more that start with a capital: the stand-in for a recogniser."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit("(?<![A-Za-z])[A-Z][a-z]{3,}+(?![A-Za-z])"), 0))
+
+
+def capitalised_runs(text: Column) -> Column:
+    """Every capital with all the small letters behind it, three or more, also within other words."""
+    return F.regexp_extract_all(text, F.lit("[A-Z][a-z]{3,}+"), 0)

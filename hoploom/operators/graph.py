@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import capitalised_words, content_key, passage_index, sentences_of, substring_count
+from ..functions.text import capitalised_runs, capitalised_words, content_key, passage_index, sentences_of, substring_count
 from ..session import cut_lineage
 from .keys import dense_index
 
@@ -39,9 +39,12 @@ def mentions_of(passages: DataFrame) -> DataFrame:
 
 
 def entity_sentences_of(passages: DataFrame) -> DataFrame:
-    """(sentence, entity), each pair once over all passages."""
-    sentences = each(passages, sentences_of(F.col("text")), "sentence")
-    return each(sentences, capitalised_words(F.col("sentence")), "entity", "sentence").distinct()
+    """(sentence, entity), each pair once over all passages.
+
+    A sentence is shuffled once, whatever the number of its entities, and searched for them once.
+    """
+    sentences = each(passages, sentences_of(F.col("text")), "sentence").distinct()
+    return each(sentences, capitalised_words(F.col("sentence")), "entity", "sentence")
 
 
 def inverted_index(entity_sentences: DataFrame) -> DataFrame:
@@ -63,9 +66,12 @@ def _shares(counted: DataFrame) -> DataFrame:
 
 
 def passage_edges(passages: DataFrame) -> DataFrame:
-    """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that one shuffle without texts is left."""
-    words = each(passages, capitalised_words(F.col("text")), "entity", "passage_id", "text")
-    counted = words.select("passage_id", "entity", substring_count(F.col("text"), F.col("entity")).alias("n"))
+    """As ``mention_edges`` of the stand-in recogniser's mentions: counted where the text is, so that one shuffle without texts is left.
+
+    Such a word is a capital with small letters behind it, so it occurs where a run of that form begins with it: the text is searched for runs once, not for every word.
+    """
+    words = each(passages.withColumn("runs", capitalised_runs(F.col("text"))), capitalised_words(F.col("text")), "entity", "passage_id", "runs")
+    counted = words.select("passage_id", "entity", F.size(F.filter("runs", lambda run: F.startswith(run, F.col("entity")))).alias("n"))
     counted = counted.repartition("passage_id").dropDuplicates(["passage_id", "entity"])
     return _shares(counted)
 

@@ -301,3 +301,17 @@ def test_scaled_scores_in_one_pass(spark):
         for block in (1024, 3):
             got = dense.all_scores(queries, items, block=block, keys=("qid", "hop"), scale=scale, temperature=0.5).collect()
             assert len(got) == 2400 and all(abs(r.score - matrix[r.qid, r.iid]) < 1e-9 and r.hop == (r.qid % 2 if r.qid < 7 else 0) for r in got)
+
+
+def test_passage_edges_count_as_mention_edges(spark):
+    texts = ["Lionel Lion Lion xLion LIONel LLionel Lions. lion", "Éclairs Über ÉLion Lion-Lion Abcd\nAbcdAbcd Abcde", "no capital", "", None, "Lion " * 3000 + "Lionel"]
+    passages = graph.passages_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {(r.src, r.dst): round(r.weight, 12) for r in graph.passage_edges(passages).collect()}
+    assert got == {(r.src, r.dst): round(r.weight, 12) for r in graph.mention_edges(graph.mentions_of(passages), passages).collect()} and len(got) == 8
+    assert graph.passage_edges(passages.limit(0)).count() == 0
+
+
+def test_sentences_are_searched_once(spark):
+    passages = graph.passages_of(spark.createDataFrame([(1, "Abcd and Efgh. Abcd again. Ijkl"), (2, "none. Abcd again. Ijkl\nIjkl"), (3, None)], "doc_id long, text string"))
+    got = sorted((r.sentence, r.entity) for r in graph.entity_sentences_of(passages).collect())
+    assert got == [("1:Abcd and Efgh", "Abcd"), ("1:Abcd and Efgh", "Efgh"), ("Abcd again", "Abcd"), ("Ijkl", "Ijkl")]
