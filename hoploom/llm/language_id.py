@@ -19,7 +19,7 @@ languages: of each, at most ``train_docs`` distinct texts, chosen by hash, are
 learned, each of them whole, as long as they have at most ``train_chars``
 characters together. Texts of more than that come last and by length, so a
 language that has no other learns one of them, whole: the shortest text of its
-sample. An automaton takes about 400 bytes a character while it is built and 80
+sample. An automaton takes about 600 bytes a character while it is built and 50
 afterwards. Scoring reads whole texts, however long.
 
 Defined results: texts that are null or hold no letter are ``und`` with score
