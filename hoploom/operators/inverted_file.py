@@ -42,7 +42,7 @@ class InvertedFile:
         new = vectors.where("iid IS NOT NULL AND vector IS NOT NULL").select("iid", F.col("vector").cast("array<double>").alias("vector")).dropDuplicates(["iid"])
         if self.catalog.exists(CELLS):
             new = new.join(self.catalog.read(CELLS).select("iid"), "iid", "left_anti")
-        placed = nearest_cells(new, self.catalog.read(CENTROIDS), 1)
+        placed = nearest_cells(new, self.catalog.read(CENTROIDS), 1).withColumn("cell", F.col("cells")[0]).drop("cells")
         placed.repartition("cell", F.pmod(F.xxhash64("iid"), F.lit(16))).write.mode("append").partitionBy("cell").parquet(f"{self.catalog.path}/{CELLS}")
 
     def search(self, queries: DataFrame, k: int, probes: int) -> DataFrame:

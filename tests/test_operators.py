@@ -315,3 +315,60 @@ def test_sentences_are_searched_once(spark):
     passages = graph.passages_of(spark.createDataFrame([(1, "Abcd and Efgh. Abcd again. Ijkl"), (2, "none. Abcd again. Ijkl\nIjkl"), (3, None)], "doc_id long, text string"))
     got = sorted((r.sentence, r.entity) for r in graph.entity_sentences_of(passages).collect())
     assert got == [("1:Abcd and Efgh", "Abcd"), ("1:Abcd and Efgh", "Efgh"), ("Abcd again", "Abcd"), ("Ijkl", "Ijkl")]
+
+
+def test_all_pairs_store_each_side_once(spark):
+    """Every vector was written once for each block of the other side; now no stage shuffles more rows than there are vectors or results."""
+    from hoploom.operators import affinity, dense
+
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.standard_normal((700, 8)), np.repeat(rng.standard_normal((1, 8)), 400, axis=0)])
+    df = spark.createDataFrame([(k, v.astype(np.float32).tolist()) for k, v in enumerate(x)], "id long, vector array<float>")
+    blocks = dense.packed_rows(df, 64)
+    assert blocks.count() >= 1100 / 64 and blocks.select(F.sum(F.size("ids"))).first()[0] == 1100
+    near = dense.top_k_of_blocks(blocks, blocks, 5, unit=True)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    u = x.astype(np.float32).astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    scores = np.round(u @ u.T, 9) + 0.0
+    want = np.argsort(-scores, axis=1, kind="stable")[:, :5]
+    rows = near.collect()
+    assert len(rows) == 5500 and all(want[r.qid, r["rank"] - 1] == r.iid and r.score == scores[r.qid, r.iid] for r in rows)
+    whole, dense.HELD_ITEMS = dense.HELD_ITEMS, 300  # items of several tasks are merged
+    try:
+        assert sorted(map(tuple, dense.top_k_of_blocks(blocks, blocks, 5, unit=True).collect())) == sorted(map(tuple, rows))
+    finally:
+        dense.HELD_ITEMS = whole
+    entities = df.select(F.col("id").alias("entity_idx"), "vector", F.concat(F.lit("name"), F.col("id")).alias("name"))
+    known = {(r.i, r.j): r.score for r in affinity.score_pairs(affinity.compared_pairs(entities, 5), entities).collect()}
+    joined = {(r.i, r.j): r.score for r in affinity.score_pairs(affinity.candidate_pairs(entities, 5), entities).collect()}
+    assert known.keys() == joined.keys() and all(abs(known[p] - joined[p]) < 1e-12 for p in known)
+
+
+def test_top_k_of_texts_and_cells(spark):
+    """Ids may be texts; a query meets the items of its cells alone."""
+    from hoploom.operators import dense
+
+    queries = spark.createDataFrame([("a", [1.0, 0.0], [0, 2]), ("b", [0.0, 1.0], [1, 0])], "qid string, vector array<double>, cells array<long>")
+    items = spark.createDataFrame([("é", [3.0, 1.0], 1), ("x", [2.0, 2.0], 0), ("w", [2.0, 2.0], 0), ("v", [1.0, 9.0], 2)], "iid string, vector array<double>, cell long")
+    got = sorted((r.qid, r["rank"], r.iid, r.score) for r in dense.top_k_joined(queries, items, 2).collect())
+    assert got == [("a", 1, "w", 2.0), ("a", 2, "x", 2.0), ("b", 1, "w", 2.0), ("b", 2, "x", 2.0)]
+
+
+def test_affinity_of_products(spark):
+    """The products are not stored: the same as a state of all products through ``apply_affinity``, whatever the blocks and slices."""
+    from hoploom.operators import affinity, dense
+
+    rng = np.random.default_rng(7)
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.standard_normal((900, 4)))] + [(900, None)], "iid long, vector array<double>")
+    queries = items.where("iid % 100 = 0").withColumnRenamed("iid", "qid")
+    a = [(int(i), int(j), 0.8) for i, j in rng.integers(0, 900, (300, 2)) if i < j] + [(3, j, 0.9) for j in range(100, 800)]  # 3 goes on through slices
+    both = affinity.symmetric(spark.createDataFrame(a, "i long, j long, score double").dropDuplicates(["i", "j"]), 0.7)
+    state = dense.all_scores(queries, items).select("qid", F.col("iid").alias("entity_idx"), F.greatest("score", F.lit(0.0)).alias("score"))
+    want = {(r.qid, r.entity_idx): r.score for r in affinity.apply_affinity(state, both, 0.3).collect()}
+    for block in (1024, 4):
+        got = affinity.apply_to_products(queries, items, both, 0.3, block=block)
+        assert "HashAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = got.collect()
+        assert len(rows) == len(want) == 8100 and all(abs(want[r.qid, r.entity_idx] - r.score) < 1e-9 for r in rows)
