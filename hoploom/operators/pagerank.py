@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.scores import clamp_reset
 from ..session import cut_lineage
+from .columns import Columns, NumberedGraph, numbered
 from .blocks import ROWS_AT_ONCE, SIZE, matrix_of, pack, question_places, unpack, vector_batch, vectors_of
 
 #: Edges in one list of a node (a node of many edges has many lists), and sums a task holds before it passes them on.
@@ -108,9 +109,10 @@ def _steps(rows: DataFrame, out: DataFrame, restart: Callable[[int], DataFrame],
     return state
 
 
-def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, cut_every: int = 6) -> DataFrame:
+def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, cut_every: int = 6, wanted: DataFrame | None = None) -> DataFrame:
     """(id, block, v): scores of the undirected weighted graph with restarts in proportion to clamped weights (id, block, v).
 
+    With ``wanted`` (id) only those nodes' scores. A graph whose edges a task can hold goes by columns (``columns``).
     Rows of one node and block add up. Nodes without edges give their mass back to the
     restart: they receive from the restart alone, so what they give back follows from
     their share R of it: before step k their mass is R c_k-1 with c_0 = 1 and
@@ -125,6 +127,11 @@ def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5,
                 yield vector_batch(batch.column("id"), batch.column("block").to_numpy(zero_copy_only=False), np.where(values > 0, values, 0.0))
 
     rows = cut_lineage(restarts.mapInArrow(clamp, restarts.schema))
+    edges = cut_lineage(edges)
+    graph = numbered(edges, rows.select("id"))
+    if graph is not None:
+        scores = _pagerank_columns(rows, graph, damping, steps, wanted)
+        return scores if wanted is None else scores.join(wanted.select("id"), "id", "left_semi")
     out = edge_lists(edge_shares(edges), damping)
     linked = rows.join(out.select(F.col("src").alias("id"), F.lit(1).alias("linked")).distinct(), "id", "left")
 
@@ -163,7 +170,37 @@ def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5,
 
         return rows.mapInArrow(run, rows.schema)
 
-    return _steps(rows, out, restart, steps, cut_every)
+    scores = _steps(rows, out, restart, steps, cut_every)
+    return scores if wanted is None else scores.join(wanted.select("id"), "id", "left_semi")
+
+
+def ends_of(graph: NumberedGraph, wanted: DataFrame | None) -> tuple[int, int]:
+    """Least and largest number of the wanted nodes."""
+    if wanted is None:
+        return 0, graph.size - 1
+    low, high = graph.nodes.join(wanted.select("id"), "id", "left_semi").agg(F.min("n"), F.max("n")).first()
+    return (0, -1) if low is None else (low, high)
+
+
+def _pagerank_columns(rows: DataFrame, graph: NumberedGraph, damping: float, steps: int, wanted: DataFrame | None) -> DataFrame:
+    first = rows.select("block", F.length("v").alias("size")).agg(F.max("block"), F.max("size")).first()
+    if first[0] is None:
+        return rows
+
+    def way(x, send, own):
+        for v in x:
+            total = v.sum()
+            if total <= 0:
+                continue
+            r = v / total
+            state = r
+            for _ in range(steps):  # what nodes without edges hold goes back to the restart
+                moved = damping * send(state)
+                state = moved + r * (1.0 - moved.sum())
+            v[:] = state
+        return x, np.zeros(len(x))
+
+    return Columns(rows, graph, first[1] // 8, first[0] + 1).solve(way, *ends_of(graph, wanted))[0]
 
 
 def personalized_pagerank(resets: DataFrame, edges: DataFrame, damping: float = 0.5, steps: int = 30, block: int = SIZE, cut_every: int = 6) -> DataFrame:
@@ -188,6 +225,24 @@ def rank_passages(scores: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     return of_passages.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("qid", F.col("id").alias("passage_id"), "score", "rank")
 
 
+def diffuse_columns(vectors: DataFrame, graph: NumberedGraph, damping: float, steps: int) -> DataFrame:
+    """As ``diffuse``, by columns, for the nodes of ``vectors``."""
+    size = vectors.agg(F.max(F.length("v"))).first()[0]
+    if size is None:
+        return vectors
+
+    def way(x, send, own):
+        for v in x:
+            state = v
+            for _ in range(steps):
+                state = v + damping * send(state)
+            v[:] = state
+        return x, np.zeros(len(x))
+
+    rows = vectors.select("id", F.lit(0).cast("long").alias("block"), "v")
+    return Columns(rows, graph, size // 8, 1).solve(way, *ends_of(graph, vectors))[0].select("id", "v")
+
+
 def diffuse(vectors: DataFrame, lists: DataFrame, steps: int, cut_every: int = 6) -> DataFrame:
     """(id, v): sum over k <= ``steps`` of damping^k M^k x, for vectors (id, v) of one length; ``lists`` as of ``edge_lists``."""
     rows = vectors.select("id", F.lit(0).cast("long").alias("block"), "v")

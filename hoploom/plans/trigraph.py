@@ -94,8 +94,8 @@ class TriGraphEngine:
         if c.push_eps is None:
             places = cut_lineage(question_places(with_seeds.select("qid")))
             priors = prior_blocks(cut_lineage(active), with_seeds.select("qid", "vector"), passages, places, c.passage_ratio, c.passage_node_weight)
-            ranks = pagerank_blocks(pack(entity_weights, places).union(priors), edges, c.damping, c.pagerank_steps)
-            by_graph = top_of(ranks.join(passages.select(F.col("passage_id").alias("id")), "id", "left_semi"), places, c.retrieval_top_k).withColumnRenamed("id", "passage_id")
+            ranks = pagerank_blocks(pack(entity_weights, places).union(priors), edges, c.damping, c.pagerank_steps, wanted=passages.select(F.col("passage_id").alias("id")))
+            by_graph = top_of(ranks, places, c.retrieval_top_k).withColumnRenamed("id", "passage_id")
         else:
             diffused = diffuse_passages(edges, passages, c.damping, c.pagerank_steps)
             by_graph, _ = retrieve_by_push(entity_weights, cut_lineage(active), with_seeds.select("qid", "vector"), passages, diffused, c.retrieval_top_k, c.passage_ratio, c.passage_node_weight, c.push_eps, c.pagerank_steps)

@@ -189,3 +189,44 @@ def test_gazetteer_takes_the_leftmost_longest(spark):
     got = gazetteer_mentions(frame, spark.createDataFrame([(n,) for n in names], "name string"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and want
     assert gazetteer_mentions(frame, spark.createDataFrame([("!",)], "name string")).count() == 0
+
+
+def test_pagerank_by_columns(spark, world, monkeypatch):
+    """A graph whose edges a task holds goes by columns, without messages between nodes; a larger one by steps, with the same scores."""
+    from hoploom.operators import columns
+
+    passages, edges, questions, active, plain = world
+    places = blocks.question_places(questions, 4)
+    entities = active.select("qid", F.concat(F.lit("entity-"), "entity").alias("id"), F.col("score").alias("weight"))
+    rows = blocks.pack(entities, places, 4).union(blocks.prior_blocks(active, questions, passages, places, size=4))
+    wanted = passages.select(F.col("passage_id").alias("id"))
+
+    def scores():
+        return {(r.qid, r.id): r.score for r in blocks.unpack(pagerank.pagerank_blocks(rows, edges, 0.5, 25, wanted=wanted), places).collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(pagerank, "_steps", None)  # what larger graphs take
+        by_columns = scores()
+        m.setattr(columns, "EDGES_AT_ONCE", 16)
+        m.setattr(columns, "COLUMNS", 2)
+        m.setattr(columns, "NODES_AT_ONCE", 7)
+        parted = scores()
+    monkeypatch.setattr(columns, "EDGES_HELD", 10)
+    by_steps = scores()
+    assert by_columns.keys() == parted.keys() == by_steps.keys() and len(by_columns) == 420
+    exact = by_hand(plain)
+    assert all(abs(s - parted[k]) < 1e-12 and abs(s - by_steps[k]) < 1e-7 and abs(s - exact[k[0]][k[1]]) < 1e-7 for k, s in by_columns.items())
+    alone = spark.createDataFrame([("p00", 0, np.array([1.0, 0, 0, 0]).tobytes()), ("p59", 0, np.array([3.0, 1, 0, 0]).tobytes())], blocks.vectors_of("string"))
+    got = {(r.id, k): v for r in pagerank.pagerank_blocks(alone, edges.limit(0), 0.5, 3).collect() for k, v in enumerate(np.frombuffer(r.v)) if v}
+    assert got == {("p00", 0): 0.25, ("p59", 0): 0.75, ("p59", 1): 1.0}
+
+
+def test_a_cut_leaves_no_shuffle_files(spark):
+    """Shuffle files of a query that is stored stayed until the driver collected its garbage."""
+    from hoploom.session import CLEAN_UP, cut_lineage
+
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    before, told = tracker.shuffleStatuses().size(), spark.conf.get(CLEAN_UP)
+    rows = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert tracker.shuffleStatuses().size() <= before and spark.conf.get(CLEAN_UP) == told
+    assert rows.count() == 7
