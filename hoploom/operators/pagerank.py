@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from ..functions.scores import clamp_reset
 from ..session import cut_lineage
 from .columns import Columns, NumberedGraph, numbered
-from .blocks import ROWS_AT_ONCE, SIZE, matrix_of, pack, question_places, unpack, vector_batch, vectors_of
+from .blocks import ROWS_AT_ONCE, SIZE, block_sums, matrix_of, pack, question_places, unpack, vector_batch, vectors_of
 
 #: Edges in one list of a node (a node of many edges has many lists), and sums a task holds before it passes them on.
 LIST_SIZE, SUMS_HELD = 64, 65_536
@@ -133,27 +133,8 @@ def pagerank_blocks(restarts: DataFrame, edges: DataFrame, damping: float = 0.5,
         scores = _pagerank_columns(rows, graph, damping, steps, wanted)
         return scores if wanted is None else scores.join(wanted.select("id"), "id", "left_semi")
     out = edge_lists(edge_shares(edges), damping)
-    linked = rows.join(out.select(F.col("src").alias("id"), F.lit(1).alias("linked")).distinct(), "id", "left")
-
-    def masses(batches):
-        import pyarrow as pa
-
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            if batch.num_rows:
-                values, alone = matrix_of(batch.column("v")), batch.column("linked").is_null().to_numpy(zero_copy_only=False)
-                blocks = batch.column("block").to_numpy(zero_copy_only=False)
-                for b in np.unique(blocks).tolist():
-                    own = blocks == b
-                    both = np.stack([values[own].sum(axis=0), values[own & alone].sum(axis=0)])
-                    held[b] = held[b] + both if b in held else both
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([v[0].tolist() for v in held.values()]), pa.array([v[1].tolist() for v in held.values()])], names=["block", "total", "alone"])
-
-    known: dict[int, np.ndarray] = {}
-    for r in linked.select("block", "v", "linked").mapInArrow(masses, "block long, total array<double>, alone array<double>").toLocalIterator():
-        both = np.stack([r.total, r.alone])
-        known[r.block] = known[r.block] + both if r.block in known else both
+    linked = rows.join(out.select(F.col("src").alias("id"), F.lit(True).alias("linked")).distinct(), "id", "left")
+    known = block_sums(linked.select("block", "v", F.coalesce("linked", F.lit(False)).alias("linked")))
     shared = rows.sparkSession.sparkContext.broadcast({b: (np.where(t > 0, t, 1.0), a / np.where(t > 0, t, 1.0) * damping) for b, (t, a) in known.items()})
 
     def restart(k: int) -> DataFrame:
@@ -225,6 +206,27 @@ def rank_passages(scores: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     return of_passages.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("qid", F.col("id").alias("passage_id"), "score", "rank")
 
 
+def push_columns(residuals: DataFrame, graph: NumberedGraph, limits: np.ndarray, width: int, damping: float, rounds: int, wanted: DataFrame) -> tuple[DataFrame, dict[int, float]]:
+    """As ``push``, by columns: (mass of the ``wanted`` nodes as rows (id, block, v), what is left of each column), from residuals (id, block, v) and a limit a column."""
+    shared = residuals.sparkSession.sparkContext.broadcast(limits)
+
+    def way(x, send, own):
+        left = np.zeros(len(x))
+        for j, (v, eps) in enumerate(zip(x, shared.value[own], strict=True)):
+            r, mass = v.copy(), np.zeros(len(v))
+            for _ in range(rounds):
+                front = r > eps
+                if not front.any():
+                    break
+                sent = np.where(front, r, 0.0)
+                mass += sent
+                r = np.where(front, 0.0, r) + damping * send(sent)
+            v[:], left[j] = mass + r, r.sum()
+        return x, left
+
+    return Columns(residuals, graph, width, -(-len(limits) // width)).solve(way, *ends_of(graph, wanted))
+
+
 def diffuse_columns(vectors: DataFrame, graph: NumberedGraph, damping: float, steps: int) -> DataFrame:
     """As ``diffuse``, by columns, for the nodes of ``vectors``."""
     size = vectors.agg(F.max(F.length("v"))).first()[0]

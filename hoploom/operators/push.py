@@ -5,7 +5,8 @@ passage, and a sparse part: its entities and the passages that name them. The
 similarity is linear in the question's vector, and so is PageRank in the restart:
 the dense part of all questions follows from one diffused vector a passage, made of
 the passages' vectors and a constant once for the graph. The sparse part is pushed
-along edges from the few nodes that hold it.
+along edges from the few nodes that hold it; where a task holds the graph's edges,
+both go by columns.
 """
 
 from __future__ import annotations
@@ -21,26 +22,28 @@ from pyspark.sql import Window as W
 from ..functions.scores import entity_bonus
 from ..functions.vector import dot
 from ..session import cut_lineage
-from .blocks import question_places, question_sets, score_ends
+from .batches import list_arrays
+from .blocks import block_sums, bonus_blocks, pack, question_places, question_sets, score_ends
+from .columns import NumberedGraph, numbered
 from .dense import top_k
-from .pagerank import diffuse, edge_lists, edge_shares, push
+from .pagerank import diffuse, diffuse_columns, edge_lists, edge_shares, push, push_columns
 from .prior import occurrences
 
 
 @dataclass
 class DiffusedGraph:
-    """What a graph keeps for its questions: ``shares`` (src, dst, p), and ``vectors`` (id, x, g, linked): a passage's vector with a 1 behind it, the same diffused, and whether it has edges."""
+    """What a graph keeps for its questions: ``vectors`` (id, x, g, linked): a passage's vector with a 1 behind it, the same diffused, and whether it has edges; and the graph ``numbered`` or, if a task cannot hold its edges, their ``shares`` (src, dst, p)."""
 
-    shares: DataFrame
     vectors: DataFrame
     damping: float
     steps: int
+    numbered: NumberedGraph | None = None
+    shares: DataFrame | None = None
 
 
 def diffuse_passages(edges: DataFrame, passages: DataFrame, damping: float = 0.5, steps: int = 8) -> DiffusedGraph:
     """``passages`` has passage_id and vector. The tail that ``steps`` leave out is damping^(steps + 1) / (1 - damping) of the mass at most."""
-    shares = cut_lineage(edge_shares(edges))
-    lists = edge_lists(shares, damping)
+    edges = cut_lineage(edges)
     x = F.concat(F.col("vector").cast("array<double>"), F.array(F.lit(1.0)))
     rows = cut_lineage(passages.where("passage_id IS NOT NULL AND vector IS NOT NULL").select(F.col("passage_id").alias("id"), x.alias("x")))
 
@@ -56,11 +59,18 @@ def diffuse_passages(edges: DataFrame, passages: DataFrame, damping: float = 0.5
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([np.frombuffer(v, dtype="<f8").tolist() for v in batch.column("v").to_pylist()], pa.list_(pa.float64()))], names=["id", "g"])
 
-    spread = diffuse(rows.mapInArrow(to_bytes, "id string, v binary"), lists, steps)
+    graph, packed, shares = numbered(edges, rows.select("id")), rows.mapInArrow(to_bytes, "id string, v binary"), None
+    if graph is not None:
+        spread = diffuse_columns(packed, graph, damping, steps)
+        linked = graph.nodes.where("linked").select("id", "linked")
+    else:
+        shares = cut_lineage(edge_shares(edges))
+        spread = diffuse(packed, edge_lists(shares, damping), steps)
+        linked = shares.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
     own = spread.join(rows.select("id"), "id", "left_semi").mapInArrow(to_lists, "id string, g array<double>")
-    linked = shares.select(F.col("src").alias("id")).distinct().withColumn("linked", F.lit(True))
-    vectors = rows.join(own, "id").join(linked, "id", "left").select("id", "x", "g", F.coalesce("linked", F.lit(False)).alias("linked"))
-    return DiffusedGraph(shares, cut_lineage(vectors), damping, steps)
+    # A vector of zeros has no columns, and stays.
+    vectors = rows.join(own, "id", "left").join(linked, "id", "left").select("id", "x", F.coalesce("g", F.transform("x", lambda v: F.lit(0.0))).alias("g"), F.coalesce("linked", F.lit(False)).alias("linked"))
+    return DiffusedGraph(cut_lineage(vectors), damping, steps, graph, shares)
 
 
 def _sums(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,6 +123,8 @@ def retrieve_by_push(weights: DataFrame, active: DataFrame, questions: DataFrame
     """
     spark = questions.sparkSession
     asked = cut_lineage(_dense_parts(spark, questions, graph, ratio * weight))
+    if graph.numbered is not None:
+        return _by_columns(weights, active, asked, passages, graph, k, weight, eps, rounds)
     needles = active.select("qid", F.lower("entity").alias("needle"), "score", "tier")
     hits = needles.join(occurrences(needles, passages), "needle")
     bonus = hits.groupBy("qid", F.col("passage_id").alias("id")).agg((F.log1p(F.greatest(F.sum(entity_bonus(F.col("score"), F.col("n"), F.col("tier"))), F.lit(0.0))) * weight).alias("r"))
@@ -133,3 +145,70 @@ def retrieve_by_push(weights: DataFrame, active: DataFrame, questions: DataFrame
     rows = scored.unionByName(rest).withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     bounds = told.join(left, "qid", "left").select("qid", (F.coalesce("left", F.lit(0.0)) * d / (1 - d) * F.col("f") + 2 * F.lit(d) ** (graph.steps + 1)).alias("bound"))
     return rows, bounds
+
+
+#: Questions whose pushed mass is in one vector.
+WIDTH = 512
+
+
+def _by_columns(weights: DataFrame, active: DataFrame, asked: DataFrame, passages: DataFrame, graph: DiffusedGraph, k: int, weight: float, eps: float, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """``retrieve_by_push`` where a task holds the edges: sparse weights, what is pushed and the scores are vectors of questions; no row a question and passage is made."""
+    spark, d, kind = asked.sparkSession, graph.damping, dict(asked.dtypes)["qid"]
+    n = asked.count()
+    if not n:
+        return spark.createDataFrame([], f"qid {kind}, passage_id string, score double, rank int"), spark.createDataFrame([], f"qid {kind}, bound double")
+    width = min(WIDTH, n)
+    places = cut_lineage(question_places(asked, width))
+    count = -(-n // width)
+    of_passages = graph.vectors.select("id")
+    bonus = bonus_blocks(active, places, passages, weight, width).join(of_passages, "id", "left_semi")
+    named = pack(weights.where("weight > 0 AND NOT isnan(weight)").select("qid", "id", "weight"), places, width)
+    sparse = cut_lineage(named.select("id", "block", "v").unionByName(bonus.select("id", "block", "v")))
+    linked = sparse.join(graph.numbered.nodes.select("id", "linked"), "id", "left").select("block", "v", F.coalesce("linked", F.lit(False)).alias("linked"))
+    sums = block_sums(linked)
+    total, alone, factor, slopes = np.zeros(count * width), np.zeros(count * width), np.zeros(count * width), None
+    for b, (whole, lonely) in sums.items():
+        total[b * width : (b + 1) * width], alone[b * width : (b + 1) * width] = whole, lonely
+    names = {}
+    for r in asked.join(places, "qid").toLocalIterator():
+        at = r.block * width + r.pos
+        slopes = np.zeros((count * width, len(r.a))) if slopes is None else slopes
+        slopes[at], names[at] = r.a, r.qid
+        total[at], alone[at] = total[at] + r.total, alone[at] + r.alone
+        if total[at] > 0:
+            factor[at] = (1 - d) / (1.0 - d * alone[at] / total[at]) / total[at]
+    pushed, left = push_columns(sparse, graph.numbered, total * eps, width, d, rounds, of_passages)
+    blocks = spark.range(count).select(F.col("id").alias("block"))
+    every = graph.vectors.select("id", "g").crossJoin(F.broadcast(blocks)).join(pushed, ["id", "block"], "left")
+    shared = spark.sparkContext.broadcast((slopes, factor))
+
+    def run(batches):
+        import pyarrow as pa
+
+        slopes, factor = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids, blocks = np.array(batch.column("id").to_pylist(), dtype=object), batch.column("block").to_numpy()
+            for b in np.unique(blocks).tolist():
+                own = np.flatnonzero(blocks == b)
+                own = own[np.argsort(ids[own], kind="stable")]  # so that ties go to the smaller id
+                part = batch.take(pa.array(own))
+                g = list_arrays(part.column("g"))[0].reshape(len(own), -1)
+                columns = slice(b * width, (b + 1) * width)
+                scores = g @ slopes[columns].T
+                for row, v in enumerate(part.column("v").to_pylist()):
+                    if v is not None:
+                        scores[row] += np.frombuffer(v, dtype="<f8")
+                scores *= factor[columns]
+                best = np.argsort(-np.round(scores, 9), axis=0, kind="stable")[:k].T
+                pos, at = np.repeat(np.arange(width), best.shape[1]), best.ravel()
+                chosen = factor[columns][pos] > 0
+                pos, at = pos[chosen], at[chosen]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at)), pa.array(np.full(len(at), b)), pa.array(pos, pa.int32()), pa.array(scores[at, pos])], names=["passage_id", "block", "pos", "score"])
+
+    few = every.select("id", "g", "block", "v").mapInArrow(run, "passage_id string, block long, pos int, score double")
+    ranked = W.partitionBy("qid").orderBy(F.desc(F.round("score", 9)), "passage_id")
+    rows = few.join(F.broadcast(places), ["block", "pos"]).select("qid", "passage_id", "score").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    bounds = [(qid, float(left.get(at, 0.0) * d / (1 - d) * factor[at] + 2 * d ** (graph.steps + 1))) for at, qid in names.items() if factor[at] > 0]
+    return rows, spark.createDataFrame(bounds, f"qid {kind}, bound double")

@@ -230,3 +230,27 @@ def test_a_cut_leaves_no_shuffle_files(spark):
     rows = cut_lineage(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
     assert tracker.shuffleStatuses().size() <= before and spark.conf.get(CLEAN_UP) == told
     assert rows.count() == 7
+
+
+def test_push_by_columns(spark, world, monkeypatch):
+    """Diffused vectors, the push and its scores by columns are those of the rows that larger graphs take, in blocks of any width."""
+    from hoploom.operators import columns
+
+    passages, edges, questions, active, _ = world
+    entities = active.select("qid", F.concat(F.lit("entity-"), "entity").alias("id"), F.col("score").alias("weight")).unionByName(spark.createDataFrame([(0, "entity-unknown", 2.0)], "qid long, id string, weight double"))
+
+    def answers():
+        graph = push.diffuse_passages(edges, passages, 0.5, 6)
+        rows, bounds = push.retrieve_by_push(entities, active, questions, passages, graph, k=60, eps=1e-3, rounds=5)
+        return {(r.qid, r.passage_id): (r.score, r["rank"]) for r in rows.collect()}, {r.qid: r.bound for r in bounds.collect()}
+
+    with monkeypatch.context() as m:
+        m.setattr(push, "push", None)  # a row a question and node
+        whole, told = answers()
+        m.setattr(push, "WIDTH", 3)
+        parted, _ = answers()
+    monkeypatch.setattr(columns, "EDGES_HELD", 10)
+    by_rows, bounds = answers()
+    assert whole.keys() == parted.keys() == by_rows.keys() and len(whole) == 420
+    assert all(whole[x][1] == parted[x][1] == by_rows[x][1] and abs(whole[x][0] - s) < 1e-12 and abs(parted[x][0] - s) < 1e-12 for x, (s, _) in by_rows.items())
+    assert told.keys() == bounds.keys() and all(abs(told[q] - b) < 1e-12 for q, b in bounds.items())
