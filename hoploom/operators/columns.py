@@ -143,14 +143,22 @@ class Columns:
 
             def solved():
                 if len(held) == 1:
-                    a, b, w = (np.concatenate(x) for x in zip(*edges, strict=True))
-                    strength = np.bincount(a, weights=w, minlength=size) + np.bincount(b, weights=w, minlength=size)
-                    held.extend((a, b, w, np.where(strength > 0, 1.0 / np.where(strength > 0, strength, 1.0), 0.0)))
-                k, (a, b, w, inverse) = held[0][0], held[1:]
+                    parts, some = [], []
+                    while edges:  # large parts, so that sums over all nodes are few; not one, so that products of edges are small
+                        some.append(edges.pop())
+                        if not edges or sum(len(x[0]) for x in some) >= EDGES_AT_ONCE:
+                            parts.append(tuple(np.concatenate(x) for x in zip(*some, strict=True)))
+                            some = []
+                    strength = sum(np.bincount(a, weights=w, minlength=size) + np.bincount(b, weights=w, minlength=size) for a, b, w in parts)
+                    held.extend((parts, np.where(strength > 0, 1.0 / np.where(strength > 0, strength, 1.0), 0.0)))
+                k, (parts, inverse) = held[0][0], held[1:]
 
                 def send(v: np.ndarray) -> np.ndarray:
-                    u = v * inverse
-                    return np.bincount(b, weights=w * u[a], minlength=size) + np.bincount(a, weights=w * u[b], minlength=size)
+                    u, got = v * inverse, np.zeros(size)
+                    for a, b, w in parts:
+                        got += np.bincount(b, weights=w * u[a], minlength=size)
+                        got += np.bincount(a, weights=w * u[b], minlength=size)
+                    return got
 
                 own = columns[keys.index(k)]
                 out, numbers = way(np.frombuffer(held[0][1], dtype="<f8").reshape(len(own), size).copy(), send, own)
@@ -169,7 +177,7 @@ class Columns:
                     elif not held:
                         held.append((k, batch.column("x")[r].as_py()))
                     if len(held) == 1:
-                        edges.append(tuple(np.frombuffer(batch.column(c)[r].as_py(), dtype=kind).astype(to) for c, kind, to in (("a", "<i4", np.int64), ("b", "<i4", np.int64), ("w", "<f8", np.float64))))
+                        edges.append(tuple(np.frombuffer(batch.column(c)[r].as_py(), dtype=kind) for c, kind in (("a", "<i4"), ("b", "<i4"), ("w", "<f8"))))
             if held:
                 yield from solved()
 
