@@ -86,3 +86,21 @@ def test_jaro_winkler_of_many_lengths_matches_sql(spark):
         want = None if None in p else duckdb.execute("SELECT jaro_winkler_similarity(?, ?)", list(p)).fetchone()[0]
         assert x is want is None or abs(x - want) < 1e-9, p
     assert abs(jaro_winkler_of("éà漢字", "éà字漢") - jaro_winkler_of("abcd", "abdc")) < 1e-12
+
+
+def test_word_vectors_count_the_corpus_once(spark):
+    """The texts are read for the counts, for the vocabulary and for the training; the counts were made twice."""
+    from pyspark.sql import functions as F
+
+    from hoploom.sources.word_vectors import WordVectors
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(text):
+        read.add(1)
+        return text
+
+    texts = spark.createDataFrame([(k, "alpha beta gamma delta") for k in range(40)], "id long, text string")
+    model = WordVectors.fit(texts.select(told("text").alias("text")), dim=4, partitions=1)
+    assert sorted(model.at) == ["alpha", "beta", "delta", "gamma"] and read.value <= 3 * 40
